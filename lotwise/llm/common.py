@@ -19,7 +19,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Words between ASCII white space as an array; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    inside = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, SPACES))
 
 
 class Scratch:
