@@ -1,4 +1,6 @@
 """All registered queries of the library, by name."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lotwise.plans import evaluation
+
+QUERIES: dict = {**evaluation.QUERIES}
+SQL: dict[str, str] = {**evaluation.SQL}
