@@ -78,7 +78,7 @@ query("explanations", """select job_id, bidder_file_id, criterion_id, concat('['
     when parsed_value in ('is not blacklisted', 'hereby declare') then concat('Compliant (not blacklisted/debarred): ''', parsed_value, '''') when verdict = 'fail' then concat('Non-compliant: ''', parsed_value, '''')
     when parsed_value in ('valid', 'registered') then concat('Compliant: ''', parsed_value, '''') when parsed_value <> '' then concat('Value present: ''', parsed_value, '''') else 'Could not determine compliance from: ''''' end) as explanation from judged""",
     "criteria", "files", "extractions", extra=TO_JUDGED)(lambda c, f, x: E.evaluate_jobs(c, f, x).select("job_id", "bidder_file_id", "criterion_id", "explanation"))
-query("not_yet_judged", "select job_id, bidder_file_id, criterion_id from grid g where not exists (select 1 from results r where r.job_id = g.job_id and r.criterion_id = g.criterion_id and r.bidder_file_id is not distinct from g.bidder_file_id)", "files", "criteria", "extractions", "results", extra=(BEST, GRID))(
+query("not_yet_judged", "select job_id, bidder_file_id, criterion_id from grid g where not exists (select 1 from results r where r.job_id = g.job_id and r.criterion_id = g.criterion_id and r.bidder_file_id is not distinct from g.bidder_file_id) and g.bidder_file_id is not null", "files", "criteria", "extractions", "results", extra=(BEST, GRID))(
     lambda f, c, x, r: E.not_yet_judged(E.evaluation_grid(f, c, E.best_extraction(x)), r).select("job_id", "bidder_file_id", "criterion_id"))
 query("final_decision", f"""select job_id, bidder_file_id, case when bool_or(verdict = 'fail' and mandatory) then 'DISQUALIFIED' else 'QUALIFIED' end as status, round(cast(sum(cast(score as decimal(18,4))) as double) / count(*), 4) as score,
     round(cast(sum(cast(score as decimal(18,4))) as double), 4) as total_weighted, cast(count(*) as double) as total_weight, {COUNTS} from judged group by job_id, bidder_file_id""", "criteria", "files", "extractions", extra=TO_JUDGED)(lambda c, f, x: E.final_decision(E.evaluate_jobs(c, f, x)))
@@ -138,7 +138,7 @@ FLAGS = (
     union all select l.job_id, 'missing_numeric_thresholds', 'info', string_agg(distinct criterion_id, ',' order by criterion_id) from latest l join criteria c on c.id = l.criterion_id where verdict = 'unknown' and threshold_value is null group by 1""",
 )
 query("quality_flags", "select * from flags", "jobs", "results", "criteria", extra=(LATEST, FLAGS))(I.quality_flags)
-query("dashboard", f"select s.job_id, status, s.total_score, string_agg(concat(coalesce(rank, {1 << 30}), ':', bidder_name), ',' order by coalesce(rank, {1 << 30}), bidder_name, bidder_file_id nulls first) as bidders, (select count(*) from flags f where f.job_id = s.job_id) as n_flags from summary s left join ({RANKED}) r on r.job_id = s.job_id group by s.job_id, status, s.total_score", "jobs", "results", "criteria", "files", extra=(*TO_COMPARED, SUMMARY, FLAGS))(
+query("dashboard", f"select s.job_id, status, s.total_score, string_agg(case when r.job_id is not null then concat(coalesce(rank, {1 << 30}), ':', bidder_name) end, ',' order by coalesce(rank, {1 << 30}), bidder_name, bidder_file_id nulls first) as bidders, (select count(*) from flags f where f.job_id = s.job_id) as n_flags from summary s left join ({RANKED}) r on r.job_id = s.job_id group by s.job_id, status, s.total_score", "jobs", "results", "criteria", "files", extra=(*TO_COMPARED, SUMMARY, FLAGS))(
     lambda j, r, c, f: I.dashboard(j, r, c, f).select("job_id", "status", "total_score", F.array_join(F.transform("bidders", lambda b: F.concat(b["position"], F.lit(":"), b["bidder_name"])), ",").alias("bidders"), F.coalesce(F.size("flags"), F.lit(0)).cast("long").alias("n_flags")).withColumn("n_flags", F.greatest("n_flags", F.lit(0))))
 query("evaluation_timeline", "select strftime(d, '%Y-%m-%d') as day, (select count(*) from results where cast(created_at as date) = d) as evaluations from (select cast(unnest(generate_series(date '1998-07-03', date '1998-08-01', interval 1 day)) as date) as d)", "results")(lambda r: I.evaluation_timeline(r, "1998-08-01", 30))
 query("verdict_distribution", "select verdict, case verdict when 'pass' then 1 when 'fail' then 2 else 3 end as position, count(*) as n from results group by 1", "results")(I.verdict_distribution)

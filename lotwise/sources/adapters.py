@@ -51,7 +51,7 @@ ADAPTERS: dict[str, str] = {
         from customer join (select o_custkey, count(*) as n_orders from orders group by o_custkey) on o_custkey = c_custkey
         cross join (values (1), (2), (3), (4), (5), (6)) as a(k) cross join (values (0), (1)) as b(v)""",
     "results": """
-        select concat('r', l_orderkey, '_', l_linenumber) as id, concat('j', l_suppkey % 25) as job_id, case when l_partkey % 17 = 0 then null else concat('f', l_partkey % 40) end as bidder_file_id,
+        select concat('r', l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppkey) as id, concat('j', l_suppkey % 25) as job_id, case when l_partkey % 17 = 0 then null else concat('f', l_partkey % 40) end as bidder_file_id,
                concat('c', l_suppkey % 25, '_', 1 + l_linenumber % 6) as criterion_id,
                case l_returnflag when 'A' then 'pass' when 'R' then 'fail' else 'unknown' end as verdict,
                case l_returnflag when 'A' then cast(55 + cast(l_quantity as bigint) % 45 as double) / 100 when 'R' then 0.0e0 else 0.3e0 end as score,
