@@ -4,8 +4,9 @@ Texts become sets of runs of `WORDS` words; equal sets are one class and are joi
 minhash values. A run of the join starts from one node that holds all sets and splits a node by sampled values: a child
 takes the sets that share that value, and each value is sampled with chance 1 / (threshold * SIZE), so that two sets at
 the threshold are expected to meet in one child. Nodes of at most `SMALL` sets are compared by brute force (on the
-embedding, with slack); larger ones are split again. Nodes still large after `DEPTH` splits are passed on whole, so no
-link is lost to a cap. Runs are repeated until the chance of meeting, 1 - (1 - f) ** runs with f the chance of a pair at
+embedding, with slack); larger ones are split again, except where splitting is of no use: a large node half of whose
+sets share one more value, drawn by its path, is a crowd of near copies and is passed on whole, as are those still large
+after `DEPTH` splits, so no link is lost to a cap. Runs are repeated until the chance of meeting, 1 - (1 - f) ** runs with f the chance of a pair at
 the threshold to meet at full depth, reaches `RECALL`.
 
 What met is gathered into groups (components), and within each group every pair is compared exactly, once, on whole sets:
@@ -177,7 +178,7 @@ def compare_small(nodes: DataFrame, least: float) -> DataFrame:
 
 
 def candidate_edges(sets: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Edges (a, b) between sets (rep, minhashes) that met in a small node alike, or in a node still large at the end."""
+    """Edges (a, b) between sets (rep, minhashes) that met in a small node alike, or in one passed on whole."""
     nodes, compared, edges = first_nodes(sets, runs_for(recall, depth), threshold), [], []
     for level in range(1, depth + 1):
         sizes = nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
@@ -187,10 +188,15 @@ def candidate_edges(sets: DataFrame, scratch: Scratch, threshold: float = THRESH
         if large.isEmpty():
             break
         if level == depth:
-            first = large.groupBy("path").agg(F.min("rep").alias("b"))
-            edges.append(large.join(first, "path").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+            crowds = large.groupBy("path").agg(F.min("rep").alias("b"))
         else:
-            nodes = split(large.join(sets.select("rep", "minhashes"), "rep").select("path", "rep", "minhashes"), threshold)
+            probe = F.substring(F.col("minhashes"), 4 * F.pmod(F.xxhash64("path"), F.lit(SIZE)).cast("int") + 1, F.lit(4))
+            values = large.join(sets.select("rep", "minhashes"), "rep").groupBy("path", probe.alias("_value")).agg(F.count("*").alias("n"), F.min("rep").alias("b"))
+            crowds = values.groupBy("path").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.min("b").alias("b")).where("2 * most >= n").select("path", "b")
+        crowds = scratch.save(crowds, f"crowds-{level}")
+        edges.append(large.join(crowds, "path").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+        if level < depth:
+            nodes = split(large.join(crowds, "path", "left_anti").join(sets.select("rep", "minhashes"), "rep"), threshold)
     every = compared[0]
     for more in compared[1:]:
         every = every.unionByName(more)
