@@ -7,6 +7,7 @@ from lotwise.llm.chat import op9_chat_format
 from lotwise.llm.decontaminate import op4_decontaminate
 from lotwise.llm.html_extract import op5_html_extract
 from lotwise.llm.jaccard_join import op8_jaccard_join
+from lotwise.llm.oracles import SQL
 from lotwise.llm.quality_classifier import op2_quality_classifier
 from lotwise.llm.quality_rules import op1_quality_rules
 from lotwise.llm.token_counts import op7_token_counts
@@ -14,4 +15,5 @@ from lotwise.llm.url_filter import op10_url_filter
 from lotwise.llm.warc import op3_warc
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_warc, op4_decontaminate, op5_html_extract, op6_byte_bpe, op7_token_counts, op8_jaccard_join, op9_chat_format, op10_url_filter)}
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
