@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import fields as X
 from lotwise.functions import rules, text
-from lotwise.operators import audit, criteria, documents, quality, retrieval, review
+from lotwise.operators import audit, criteria, documents, locate, quality, retrieval, review
 from lotwise.plans.evaluation import COUNTS, LATEST, QUERIES, SCORE, SQL, query
 from lotwise.sources import tables
 from lotwise.streaming import jobs as streaming
@@ -100,6 +100,8 @@ query("build_prompts", "select p.job_id, p.file_id, c.k as criterion_id, length(
 query("resolve_snippet_page", "select file_id, file_id || '-' || page_number as snippet_id, (select min(q.page_number) from pages q where q.file_id = p.file_id and contains(q.text, trim(substr(p.text, 101, 100), ' '))) as page from pages p where length(trim(substr(p.text, 101, 100), ' ')) >= 90", "pages")(
     lambda p: criteria.resolve_snippet_page(p.select("file_id", F.concat("file_id", F.lit("-"), "page_number").alias("snippet_id"), F.substring("text", 101, 100).alias("snippet")).where(F.length(F.btrim("snippet")) >= 90), p.withColumns({"chunk_index": F.col("page_number"), "page": F.col("page_number")})))
 
+query("locate_snippets", None, "pages")(lambda p: locate.locate_snippets(p.withColumn("snippet", F.substring("text", 101, 80))).select("file_id", "page_number", "start", "end", "tier"))
+
 query("dedupe_criteria", "select * from criteria qualify row_number() over (partition by job_id, criterion_key order by created_at, id) = 1", "criteria")(criteria.dedupe_criteria)
 query("duplicate_criteria", "select job_id, criterion_key, count(*) as n from criteria group by 1, 2 having count(*) > 1", "criteria")(quality.duplicate_criteria)
 query("list_criteria", "select job_id, id, criterion_key, label, count(*) over (partition by job_id) as total from criteria", "criteria")(criteria.list_criteria)

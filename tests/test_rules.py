@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.functions import fields, rules, text
-from lotwise.operators import audit, documents, latest
+from lotwise.operators import audit, documents, latest, locate
 from lotwise.sources import tables
 from lotwise.streaming import jobs
 
@@ -110,3 +110,31 @@ def test_tables(spark, tmp_path):
 def test_null_keys(spark):
     rows = spark.createDataFrame([("j", None, 1, "b"), ("j", None, 2, "a"), ("j", "x", 1, "c")], "job_id string, bidder_file_id string, created_at int, id string")
     assert sorted(r.id for r in latest.newest_row(rows, ["job_id", "bidder_file_id"]).collect()) == ["a", "c"]
+
+
+TOLD = """Bid Document — Acme Constructions Pvt Ltd
+Annual Turnover Statement
+Average Annual Turnover (FY 2021-22 to FY 2023-24): Rs. 9.23 Crore
+FY 2023-24: Rs. 11.40 Crore
+FY 2022-23: Rs. 9.90 Crore
+FY 2021-22: Rs. 6.40 Crore
+Project Experience
+Total Completed Projects: 5 projects worth above Rs. 2 Crore
+GSTIN: 27ABCDE1234F1Z5
+ISO 9001:2015 — Certificate Valid until December 2025
+Organization is not blacklisted by any Government department."""
+
+
+@pytest.mark.parametrize("snippet,want", [
+    ("Average Annual Turnover (FY 2021-22 to FY 2023-24): Rs. 9.23 Crore", (68, 134, "exact")), ("Annual Turnover for FY 2023-24 is Rs. 11.40 Crore in their financial statement", (147, 162, "phrase")),
+    ("Average\u00a0Annual\u00a0Turnover — Rs.\u00a09.23\u00a0Crore", (68, 91, "phrase")), ("Qualifying projects: 5", (252, 260, "token")), ("FY values: [11.4, 9.9, 6.4] -> avg 9.23 Crore", (124, 128, "token")),
+    ("GSTIN: 27ABCDE1234F1Z5", (297, 319, "exact")), ("ISO 9001:2015 Certificate", (320, 347, "exact")), ("Organization is not blacklisted by any Government department.", (374, 435, "exact")),
+    ("The quick brown fox jumps over the lazy dog ABCXYZ987", (None, None, None)), (None, (None, None, None)), ("", (None, None, None)),
+])
+def test_locate(snippet, want):
+    assert locate.locate(snippet, TOLD) == want
+
+
+def test_locate_rows(spark):
+    df = spark.createDataFrame([("GSTIN: 27ABCDE1234F1Z5", TOLD), (None, None)], "snippet string, text string")
+    assert [tuple(r)[2:] for r in locate.locate_snippets(df).collect()] == [(297, 319, "exact"), (None, None, None)]
