@@ -76,8 +76,6 @@ class Counts:
 
     def merge(self, pre_tokens: list[str]) -> None:
         """Let the library merge pre-tokens that are not whole tokens, and remember how many tokens each gives."""
-        if len(self.merged) + len(pre_tokens) > REMEMBERED:
-            self.merged.clear()
         merges, letters = self.library.model.tokenize, self.letters
         self.merged.update((t, len(merges(t.encode().decode("latin-1").translate(letters)))) for t in pre_tokens)
 
@@ -90,6 +88,8 @@ class Counts:
             if not rest:
                 continue
             seen = Counter(rest)
+            if len(self.merged) > REMEMBERED:  # before this piece asks for any, lest it lose those that it has found
+                self.merged.clear()
             if new := [t for t in seen if t not in self.merged]:
                 self.merge(new)
             total += sum(n * self.merged[t] for t, n in seen.items())

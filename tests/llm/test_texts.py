@@ -43,6 +43,15 @@ def test_token_counts(docs):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 1024)
 
 
+def test_token_counts_forget(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    own = token_counts.Counts(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    texts = [f"Ouan zzq{k} xxq{k + 1} Ouan qqz{k % 3}" for k in range(30)]
+    assert [own.count(t) for t in texts] == [len(own.library.encode(t, add_special_tokens=False)) for t in texts]
+
+
 def brute_rules(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
