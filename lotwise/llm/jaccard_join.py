@@ -37,8 +37,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
 SIZE, SMALL, DEPTH = 128, 64, 4
 #: Estimates of similarity this far under the threshold (four standard errors) still count as met.
 SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SIZE)
-#: Runs of words in a block of a group at most (a single longer set is a block of its own).
-BLOCK_SHINGLES = 1 << 17
+#: Runs of words in a block of a group on average, and sets in it if they are short: both bound the memory of a cell.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 17, 2048
 _random = np.random.default_rng(8)
 _A = _random.integers(1, 1 << 63, SIZE, np.uint64) | np.uint64(1)
 _B = _random.integers(0, 1 << 63, SIZE, np.uint64)
@@ -229,18 +229,24 @@ def cell_links(sets: list[np.ndarray], blocks: np.ndarray, across: bool, thresho
         seen = np.zeros((len(sets), min(width, int(column[-1]) + 1 - at)), np.float32)
         seen[owner[lo:hi], column[lo:hi] - at] = 1
         overlap += seen @ seen.T
-    linked = overlap.astype(np.float64) * (1 + threshold) >= threshold * (n[:, None] + n[None, :]) - 1e-3
-    if across:
-        linked &= blocks[:, None] != blocks[None, :]
-    return np.nonzero(np.triu(linked, 1))
-
-
-def verify(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    a, b = [], []
+    for at in range(0, len(sets), 256):
+        rows = slice(at, at + 256)
+        linked = overlap[rows].astype(np.float64) * (1 + threshold) >= threshold * (n[rows, None] + n[None, :]) - 1e-3
+        if across:
+            linked &= blocks[rows, None] != blocks[None, :]
+        found = np.nonzero(np.triu(linked, at + 1))
+        a.append(found[0] + at)
+        b.append(found[1])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def verify(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(rep, links, linked_to) rows from comparing all pairs within groups (rep, root, n), exactly.
 
     A set has a row for each cell in which it has links; linked_to is the smallest set of its part of the cell.
     """
-    sizes = groups.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    sizes = groups.groupBy("root").agg(F.ceil(F.sum(F.greatest("n", F.lit(max(1, block_shingles // block_sets)))) / block_shingles).cast("int").alias("blocks"))
     placed = groups.join(sizes, "root").select("rep", "root", "blocks", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0).cast("int").alias("block"))
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("_text")).join(placed, "rep").dropDuplicates(["rep"])
 
