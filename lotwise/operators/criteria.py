@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.functions.rules import canonical_key, parse_threshold
+from lotwise.functions.rules import canonical_key, parse_threshold, strip
 from lotwise.operators.latest import best_row
 
 _CRITERIA = "struct<criteria: array<struct<id: string, label: string, criterion_type: string, mandatory: boolean, threshold_value: string, threshold_unit: string, operator: string, ambiguous: boolean>>>"
@@ -84,9 +84,9 @@ def build_prompts(context: DataFrame, criteria: DataFrame) -> DataFrame:
 
 def resolve_snippet_page(snippets: DataFrame, chunks: DataFrame) -> DataFrame:
     """Page (file_id, snippet_id, page) of the chunk that holds each snippet: by exact heads, by a loose head, by words."""
-    raw, text = F.btrim("snippet"), F.coalesce("text", F.lit(""))
+    raw, text = strip(F.col("snippet")), F.coalesce("text", F.lit(""))
     both = snippets.join(chunks.select("file_id", "chunk_index", "page", "text"), "file_id")
-    exact = F.coalesce(*(F.when((F.length(p) >= 20) & text.contains(p), F.lit(k)) for k, p in enumerate((raw, *(F.btrim(F.substring(raw, 1, n)) for n in (200, 120, 80, 50))))))
+    exact = F.coalesce(*(F.when((F.length(p) >= 20) & text.contains(p), F.lit(k)) for k, p in enumerate((raw, *(strip(F.substring(raw, 1, n)) for n in (200, 120, 80, 50))))))
     flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
     head = flat(F.substring(raw, 1, 60))
     words = F.regexp_extract_all(F.lower(raw), F.lit(r"[A-Za-z0-9]{4,}"), 0)

@@ -99,6 +99,8 @@ query("build_prompts", "select p.job_id, p.file_id, c.k as criterion_id, length(
     lambda p: criteria.build_prompts(p.withColumnRenamed("page_number", "chunk_index"), p.select("job_id").distinct().withColumns({"id": F.lit("k1"), "label": F.lit("Turnover")})).select("job_id", "file_id", "criterion_id", F.length("prompt").cast("long").alias("prompt_chars")))
 query("resolve_snippet_page", "select file_id, file_id || '-' || page_number as snippet_id, (select min(q.page_number) from pages q where q.file_id = p.file_id and contains(q.text, trim(substr(p.text, 101, 100), ' '))) as page from pages p where length(trim(substr(p.text, 101, 100), ' ')) >= 90", "pages")(
     lambda p: criteria.resolve_snippet_page(p.select("file_id", F.concat("file_id", F.lit("-"), "page_number").alias("snippet_id"), F.substring("text", 101, 100).alias("snippet")).where(F.length(F.btrim("snippet")) >= 90), p.withColumns({"chunk_index": F.col("page_number"), "page": F.col("page_number")})))
+query("resolve_all_snippets", None, "pages")(
+    lambda p: criteria.resolve_snippet_page(p.select("file_id", F.concat("file_id", F.lit("-"), "page_number").alias("snippet_id"), F.substring("text", 101, 100).alias("snippet")), p.withColumns({"chunk_index": F.col("page_number"), "page": F.col("page_number")})))
 
 query("locate_snippets", None, "pages")(lambda p: locate.locate_snippets(p.withColumn("snippet", F.substring("text", 101, 80))).select("file_id", "page_number", "start", "end", "tier"))
 
