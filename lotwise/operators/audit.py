@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.operators.scratch import Scratch
+
 GENESIS = hashlib.sha256(b"GENESIS").hexdigest()
 CHAIN = "id string, job_id string, action_type string, payload string, previous_hash string, current_hash string, created_at timestamp"
+#: Rows of a chain that follow each other: from which hash to which (null after a mismatch), how many, where the last fork is.
+SEGMENTS = "job_id string, start string, `end` string, n long, fork long"
 
 
 def link(previous: str, payload: str) -> str:
@@ -59,29 +63,57 @@ def verify_chain(chain: DataFrame) -> DataFrame:
 
 
 def failure_index(chain: DataFrame) -> DataFrame:
-    """(job_id, failure_index) of invalid jobs, by walking each from GENESIS; only those jobs' rows are gathered."""
-    bad = verify_chain(chain).where(~F.col("chain_valid")).select("job_id")
-
-    def walk(f: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list] = {}
-        for row in f.sort_values("id").itertuples():
-            after.setdefault(row.previous_hash, []).append(row)
-        at, n, index, last = GENESIS, 0, None, len(f)
-        while at in after and n < last:
-            rows = after[at]
-            if len(rows) > 1:
-                index = n
-            row = rows[0]
-            if link(row.previous_hash, row.payload or "") != row.current_hash:
-                index = n
-                break
-            at, n = row.current_hash, n + 1
-        else:
-            if index is None and n < last:
-                index = n
-        return pd.DataFrame({"job_id": [f.job_id.iloc[0]], "failure_index": [index]})
-
-    return chain.join(bad, "job_id").select("id", "job_id", "payload", "previous_hash", "current_hash").groupBy("job_id").applyInPandas(walk, "job_id string, failure_index int")
+    """(job_id, failure_index) of invalid jobs: the last fork on the walk from GENESIS, else its hash mismatch, else where it ends early.
+
+    Rows that follow each other in time order become one segment as they stream by; segments are then joined to the
+    next one in doubling steps, so no task holds a job, whatever order its rows have.
+    """
+    good = F.sha2(F.concat("previous_hash", F.coalesce("payload", F.lit(""))), 256) == F.col("current_hash")
+    rows = chain.select("job_id", "previous_hash", F.struct("id", F.coalesce(good, F.lit(False)).alias("ok"), "current_hash", "created_at").alias("_row"))
+    # The walk takes the lowest id of a fork and leaves the others.
+    taken = rows.groupBy("job_id", "previous_hash").agg(F.min_by("_row", "_row.id").alias("_row"), F.count("*").alias("n"))
+    taken = taken.select("job_id", F.col("previous_hash").alias("start"), F.when(F.col("_row.ok"), F.col("_row.current_hash")).alias("end"), (F.col("n") > 1).alias("fork"), F.col("_row.created_at").alias("created_at"), F.col("_row.id").alias("id"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            done = []
+            for job, start, end, fork in zip(f["job_id"], f["start"], f["end"], f["fork"]):
+                if held is None or held[0] != job or held[2] is None or held[2] != start:
+                    if held is not None:
+                        done.append(held)
+                    held = [job, start, None, 0, None]
+                if fork:
+                    held[4] = held[3]
+                held[2], held[3] = end, held[3] + 1
+            if done:
+                yield _segments(done)
+        if held is not None:
+            yield _segments([held])
+
+    ordered = taken.repartitionByRange("job_id", "created_at", "id").sortWithinPartitions("job_id", "created_at", "id")
+    scratch = Scratch(chain.sparkSession, "chains")
+    segments, k = scratch.save(ordered.select("job_id", "start", "end", "fork").mapInPandas(run, SEGMENTS), "segments0"), 0
+    head = (F.col("start") == GENESIS) & F.col("end").isNotNull()
+    after = lambda s: s.select("job_id", F.col("start").alias("end"), F.col("end").alias("_end"), F.col("n").alias("_n"), F.col("fork").alias("_fork"))
+    # Cycles can't occur: a segment's end is null unless all its hashes match.
+    while not segments.where(head).join(after(segments), ["job_id", "end"], "left_semi").isEmpty():
+        joined = segments.join(after(segments), ["job_id", "end"], "left")
+        more = F.col("_n").isNotNull()
+        k += 1
+        segments = scratch.save(joined.select("job_id", "start", F.when(more, F.col("_end")).otherwise(F.col("end")).alias("end"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce(F.col("n") + F.col("_fork"), "fork").alias("fork")), f"segments{k}")
+        if k > 1:
+            scratch.drop(f"segments{k - 2}")
+    walked = segments.where(F.col("start") == GENESIS)
+    total = chain.groupBy("job_id").agg(F.count("*").alias("total"))
+    n = F.coalesce("n", F.lit(0))
+    index = F.coalesce(F.col("fork"), F.when(F.col("n").isNotNull() & F.col("end").isNull(), n - 1), F.when(n < F.col("total"), n))
+    return total.join(walked, "job_id", "left").select("job_id", index.cast("int").alias("failure_index")).where("failure_index is not null")
+
+
+def _segments(rows: list) -> pd.DataFrame:
+    f = pd.DataFrame(rows, columns=["job_id", "start", "end", "n", "fork"])
+    return f.assign(fork=f["fork"].astype("Int64"))
 
 
 def chain_stats(chain: DataFrame) -> DataFrame:

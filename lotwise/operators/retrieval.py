@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.operators.scratch import running
+
 #: Bytes of query vectors that are sent to every task at most; more are searched in further passes.
 QUERY_BYTES = 64 << 20
 
@@ -21,9 +23,8 @@ def l2_normalize(vector: Column) -> Column:
 
 def embedding_batches(chunks: DataFrame, size: int = 100, most_chars: int = 6000) -> DataFrame:
     """Chunks of a job in order, cut to the model's limit, with batch number and reference."""
-    w = Window.partitionBy("job_id").orderBy("file_id", "chunk_index")
-    rows = chunks.withColumn("position", F.row_number().over(w) - 1)
-    return rows.select("job_id", "file_id", "chunk_index", "position", F.floor(F.col("position") / size).alias("batch"), F.substring("text", 1, most_chars).alias("text"), F.concat(F.lit("vector:"), "job_id", F.lit(":"), "position").alias("reference"))
+    rows = running(chunks.select("job_id", "file_id", "chunk_index", F.substring("text", 1, most_chars).alias("text")), "job_id", ["file_id", "chunk_index"], F.lit(1), "position")
+    return rows.select("job_id", "file_id", "chunk_index", "position", F.floor(F.col("position") / size).alias("batch"), "text", F.concat(F.lit("vector:"), "job_id", F.lit(":"), "position").alias("reference"))
 
 
 def _unit(rows: list) -> np.ndarray:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.operators.scratch import running
+
 # Accepted kinds and size of uploads.
 ACCEPTED = ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "image/png", "image/jpeg", "image/tiff")
 MOST_BYTES = 100 * 1024 * 1024
+#: Columns of an entry of an audit report, and bytes of entries in a piece of it.
+ENTRY, PIECE_BYTES = ("created_at", "id", "action_type", "payload", "current_hash"), 4 << 20
 
 
 def read_upload_files(spark: SparkSession, path: str) -> DataFrame:
@@ -64,10 +68,13 @@ def job_reports(dashboard: DataFrame, jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", "title").join(dashboard, "job_id").select("job_id", F.to_json(F.struct("title", F.struct(*[c for c in dashboard.columns if c not in ("job_id",)]).alias("evaluation"))).alias("report"))
 
 
-def audit_reports(chain: DataFrame) -> DataFrame:
-    """One JSON document per job: its chain in time order."""
-    entry = F.struct("created_at", "id", "action_type", "payload", "current_hash")
-    return chain.groupBy("job_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias("entries"))).alias("report"))
+def audit_reports(chain: DataFrame, most_bytes: int = PIECE_BYTES) -> DataFrame:
+    """JSON documents (job_id, piece, report): each job's chain in time order, in pieces numbered from 0 of at most most_bytes and one entry."""
+    entry = F.struct(*ENTRY)
+    # An entry counts as one piece at most, so that no number is left out.
+    size = F.least(F.lit(200) + F.coalesce(F.octet_length("payload"), F.lit(0)), F.lit(most_bytes)).cast("long")
+    rows = running(chain.select("job_id", *ENTRY), "job_id", ["created_at", "id"], size, "_before").withColumn("piece", F.floor(F.col("_before") / most_bytes))
+    return rows.groupBy("job_id", "piece").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias("entries"))).alias("report"))
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -1,13 +1,17 @@
 """Whole jobs against brute force: what findings of reviews named."""
 
+import datetime
+import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import criteria
+from lotwise.operators import audit, criteria
+from lotwise.operators.scratch import running
 from lotwise.plans import registry
-from lotwise.sources import adapters
+from lotwise.sources import adapters, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +56,70 @@ def test_tiers(spark, snippet):
     rows = spark.createDataFrame([("f", k, k + 1, t) for k, t in enumerate(told)], "file_id string, chunk_index int, page int, text string")
     got = criteria.resolve_snippet_page(spark.createDataFrame([("f", "s", snippet)], "file_id string, snippet_id string, snippet string"), rows).first()["page"]
     assert got == page_of(snippet, list(enumerate(told, 1)))
+
+
+def walk(rows):
+    """Failure index by the rules of SURVEY H5; None where the chain is valid."""
+    after, at, seen, index = {}, audit.GENESIS, 0, None
+    for r in sorted(rows, key=lambda r: r["id"]):
+        after.setdefault(r["previous_hash"], []).append(r)
+    while at in after:
+        if len(after[at]) > 1:
+            index = seen
+        r = after[at][0]
+        if audit.link(r["previous_hash"], r["payload"] or "") != r["current_hash"]:
+            return seen if index is None else index
+        at, seen = r["current_hash"], seen + 1
+    return seen if index is None and seen < len(rows) else index
+
+
+def chains():
+    """Jobs of tampered rows: payloads, links, forks before a mismatch, lost rows, and times in no order."""
+    rng, out = random.Random(5), []
+    for j in range(16):
+        last, rows = audit.GENESIS, []
+        for k in range(rng.randrange(1, 60)):
+            now = audit.link(last, str(k))
+            minute = k // 5 if j % 2 else rng.randrange(60)
+            rows.append({"id": f"{k:03}", "job_id": f"j{j}", "action_type": "x", "payload": str(k), "previous_hash": last, "current_hash": now, "created_at": datetime.datetime(2024, 1, 1, 0, minute)})
+            last = now
+        for _ in range(j % 4):
+            r = rng.choice(rows)
+            rows.append(r | {"id": r["id"] + "f", "payload": "fork", "current_hash": audit.link(r["previous_hash"], "fork")})
+        if j % 3 == 1:
+            rng.choice(rows)["payload"] = "{}"
+        if j % 5 == 2:
+            rows.pop(rng.randrange(len(rows)))
+        out += rows
+    return out
+
+
+def test_failure_index(spark):
+    rows = chains()
+    chain = spark.createDataFrame([tuple(r[c] for c in ("id", "job_id", "action_type", "payload", "previous_hash", "current_hash", "created_at")) for r in rows], audit.CHAIN)
+    want = {j: walk([r for r in rows if r["job_id"] == j]) for j in {r["job_id"] for r in rows}}
+    made = audit.failure_index(chain)
+    assert {r.job_id: r.failure_index for r in made.collect()} == {j: i for j, i in want.items() if i is not None}
+    # No operator gathers a whole job in one call.
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+
+
+def test_audit_reports_are_bounded(spark):
+    rows = [(f"{k:04}", f"j{k % 2}", "x", "p" * (5000 if k == 40 else k % 70), "b", f"h{k}", datetime.datetime(2024, 1, 1, 0, k // 20)) for k in range(600)]
+    got = tables.audit_reports(spark.createDataFrame(rows, audit.CHAIN), most_bytes=2000).collect()
+    for job in ("j0", "j1"):
+        pieces = sorted((r.piece, json.loads(r.report)["entries"]) for r in got if r.job_id == job)
+        assert [p for p, _ in pieces] == list(range(len(pieces))) and len(pieces) > 10
+        assert [e["id"] for _, es in pieces for e in es] == [r[0] for r in rows if r[1] == job]
+        assert max(len(es) for _, es in pieces) <= 10
+
+
+def test_running_in_ranges(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("if(id % 3 = 0, 'b', 'a') as g", "id * 7919 % 5000 as k", "id % 11 as w")
+    made = running(rows, "g", ["k"], F.col("w"), "s", rows=50)
+    sums = {"a": 0, "b": 0}
+    for r in made.orderBy("k").collect():
+        assert r.s == sums[r.g]
+        sums[r.g] += r.w
+    assert made.count() == 5000
+    assert "_range" in made._jdf.queryExecution().toString()
