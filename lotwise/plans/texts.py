@@ -97,6 +97,8 @@ query("merge_field_sources", """select id as file_id, m.field_name, case when e.
     lambda x: criteria.merge_field_sources(x.select(F.col("id").alias("file_id"), F.col("criterion_id").alias("field_name"), F.when(F.col("page_number") == 1, F.col("parsed_value")).alias("parsed_value"), F.lit(0.9).alias("confidence")), _modelled(x)))
 query("build_prompts", "select p.job_id, p.file_id, c.k as criterion_id, length(concat('Field: ', c.label, chr(10), chr(10), 'Context:', chr(10))) + sum(length(p.text)) + 7 * (count(*) - 1) as prompt_chars from pages p join (select source, 'k1' as k, 'Turnover' as label from (select distinct source from documents)) c on c.source = p.job_id group by p.job_id, p.file_id, c.k, c.label", "pages")(
     lambda p: criteria.build_prompts(p.withColumnRenamed("page_number", "chunk_index"), p.select("job_id").distinct().withColumns({"id": F.lit("k1"), "label": F.lit("Turnover")})).select("job_id", "file_id", "criterion_id", F.length("prompt").cast("long").alias("prompt_chars")))
+query("build_criterion_prompts", None, "pages", "criteria")(
+    lambda p, c: criteria.build_prompts(p.withColumnRenamed("page_number", "chunk_index").withColumn("job_id", F.regexp_replace("job_id", "^src", "j")), c))
 query("resolve_snippet_page", "select file_id, file_id || '-' || page_number as snippet_id, (select min(q.page_number) from pages q where q.file_id = p.file_id and contains(q.text, trim(substr(p.text, 101, 100), ' '))) as page from pages p where length(trim(substr(p.text, 101, 100), ' ')) >= 90", "pages")(
     lambda p: criteria.resolve_snippet_page(p.select("file_id", F.concat("file_id", F.lit("-"), "page_number").alias("snippet_id"), F.substring("text", 101, 100).alias("snippet")).where(F.length(F.btrim("snippet")) >= 90), p.withColumns({"chunk_index": F.col("page_number"), "page": F.col("page_number")})))
 query("resolve_all_snippets", None, "pages")(
