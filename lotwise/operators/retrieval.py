@@ -13,6 +13,8 @@ from lotwise.operators.scratch import running
 
 #: Bytes of query vectors that are sent to every task at most; more are searched in further passes.
 QUERY_BYTES = 64 << 20
+#: Scores that a task holds at once, about.
+SCORES = 4 << 20
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -33,6 +35,15 @@ def _unit(rows: list) -> np.ndarray:
     return np.divide(m, n, out=m, where=n > 0)
 
 
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which scores are the k best of their row; of those equal to the last of them, the first."""
+    if scores.shape[1] <= k:
+        return np.ones(scores.shape, bool)
+    last = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = scores > last, scores == last
+    return above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+
+
 def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """The k best chunks (job_id, query_id, chunk_id, position, score, rank) of each query's own job, exactly.
 
@@ -48,10 +59,13 @@ def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
                     if job not in sent.value:
                         continue
                     ids, q = sent.value[job]
-                    scores = q @ _unit(list(g.embedding)).T
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, :k] if len(g) <= 4 * k else np.argpartition(-scores, 4 * k - 1, axis=1)[:, : 4 * k]
-                    row = np.repeat(np.arange(len(ids)), order.shape[1])
-                    yield pd.DataFrame({"job_id": job, "query_id": np.array(ids, object)[row], "chunk_id": g.chunk_id.to_numpy()[order.ravel()], "position": g.position.to_numpy()[order.ravel()], "score": scores[row, order.ravel()].astype(float)})
+                    # In order of position, so that the first of equal scores are those to keep.
+                    g = g.sort_values("position")
+                    units, step = _unit(list(g.embedding)).T.astype(float), max(1, SCORES // len(g))
+                    for at in range(0, len(ids), step):
+                        scores = np.round(q[at : at + step].astype(float) @ units, 6)
+                        row, column = np.nonzero(_best(scores, k))
+                        yield pd.DataFrame({"job_id": job, "query_id": np.array(ids, object)[at + row], "chunk_id": g.chunk_id.to_numpy()[column], "position": g.position.to_numpy()[column], "score": scores[row, column]})
 
         return chunks.select("job_id", "chunk_id", "position", "embedding").mapInPandas(run, "job_id string, query_id string, chunk_id string, position long, score double")
 

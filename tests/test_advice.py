@@ -5,10 +5,11 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import audit, criteria
+from lotwise.operators import audit, criteria, retrieval
 from lotwise.operators.scratch import running
 from lotwise.plans import registry
 from lotwise.sources import adapters, tables
@@ -147,3 +148,17 @@ def test_prompt_families(spark, key, label, description, want):
     context = spark.createDataFrame([("j", "f", 0, "t")], "job_id string, file_id string, chunk_index int, text string")
     rows = spark.createDataFrame([("j", "c", key, label, description)], "job_id string, id string, criterion_key string, label string, description string")
     assert criteria.build_prompts(context, rows).first()["prompt"].startswith(want)
+
+
+@pytest.mark.parametrize("k", [5, 15])
+def test_copies_tie_by_position(spark, k):
+    rng = np.random.default_rng(3)
+    vectors = [*([rng.normal(size=16).tolist()] * 90), *rng.normal(size=(300, 16)).tolist(), *([rng.normal(size=16).tolist()] * 90)]
+    positions = rng.permutation(len(vectors)).tolist()
+    chunks = spark.createDataFrame([("j", f"c{p}", p, v) for p, v in zip(positions, vectors)], "job_id string, chunk_id string, position long, embedding array<float>").coalesce(1)
+    queries = spark.createDataFrame([("j", f"q{n}", vectors[n]) for n in (0, 100, 479)], "job_id string, query_id string, embedding array<float>")
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for n in (0, 100, 479):
+        want = sorted(zip((-np.round(unit[n] @ unit.T, 4)).tolist(), positions))[:k]
+        got = retrieval.topk_cosine(queries, chunks, k).where(F.col("query_id") == f"q{n}").orderBy("rank").collect()
+        assert [r.position for r in got] == [p for _, p in want]
