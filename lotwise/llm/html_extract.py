@@ -31,9 +31,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = ("script", "style", "template", "title", "textarea", "svg", "iframe", "object")
 #: A start tag of these closes an open one of the same group up to the nearest container.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: A block-level start tag also closes an open paragraph.
+#: An svg tag that ends in '/>' is empty. A block-level start tag also closes an open paragraph.
 _MARKUP = re.compile(
-    r"<!--(.*?)(?:-->|\Z)|<(" + "|".join(HIDDEN) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
+    r"<!--(.*?)(?:-->|\Z)|<svg\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?<=/)>|<(" + "|".join(HIDDEN) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
