@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.llm import html_extract
 from lotwise.operators import audit, criteria, retrieval
 from lotwise.operators.scratch import running
 from lotwise.plans import registry
@@ -163,8 +162,3 @@ def test_copies_tie_by_position(spark, k):
         want = sorted(zip((-np.round(unit[n] @ unit.T, 4)).tolist(), positions))[:k]
         got = retrieval.topk_cosine(queries, chunks, k).where(F.col("query_id") == f"q{n}").orderBy("rank").collect()
         assert [r.position for r in got] == [p for _, p in want]
-
-
-@pytest.mark.parametrize("svg", ['<svg class="a>b" width=1 />', "<SVG/>", "<svg><svg/><text>hidden</text></svg>", "<svg viewBox='0 0 1 1'>hidden</svg>"])
-def test_empty_svg_hides_nothing(svg):
-    assert [b.text.split() for b in html_extract.leaf_blocks(f"<p>one {svg} two</p><p>three</p>")] == [["one", "two"], ["three"]]
