@@ -9,24 +9,52 @@ SYMBOLS = "[#*$%&|<>]"
 
 
 def quality_rules_sql() -> str:
-    """Features by unnesting words and runs; the fit as one materialised row of numbers per round."""
+    """Features by unnesting words and runs; the fit as a recursive table of one row per start and round."""
     names = list(rules.RULES)
-    least, alarm0, alarm1 = rules.SENSITIVITY_LEAST, rules.ALARM_LEAST, rules.ALARM_MOST
-    odds = "ln(prior / (1 - prior))" + "".join(f" + case {n} when 1 then ln(s[{k}] / f[{k}]) when 0 then ln((1 - s[{k}]) / (1 - f[{k}])) else 0 end" for k, n in enumerate(names, 1))
-    votes = ", ".join(f"case when {bad} then 1 when {good} then 0 end as {n}" for n, (bad, good) in rules.RULES.items())
-    s = ", ".join(f"least(0.99, greatest({least}, sum(case when {n} = 1 then q else 0 end) / greatest(sum(case when {n} is not null then q else 0 end), 1e-9)))" for n in names)
-    f = ", ".join(f"least({alarm1}, greatest({alarm0}, sum(case when {n} = 1 then n - q else 0 end) / greatest(sum(case when {n} is not null then n - q else 0 end), 1e-9)))" for n in names)
-    start = f"em0 as materialized (select cast({rules.START[0]} as double) as prior, list_transform(range({len(names)}), lambda x: cast({rules.START[1]} as double)) as s, list_transform(range({len(names)}), lambda x: cast({rules.START[2]} as double)) as f)"
-    rounds = ", ".join(f"em{k} as materialized (select (sum(q) + 1) / (sum(n) + 10) as prior, [{s}] as s, [{f}] as f from (select p.*, n / (1 + exp(-({odds}))) as q from patterns p, em{k - 1}))" for k in range(1, rules.ROUNDS + 1))
-    return f"""with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from documents),
-    runs as (select doc_id, i, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from t where len(w) >= 5)),
+    stops = ", ".join(f"'{w}'" for w in rules.STOPS)
+    votes = ",\n      ".join(f"case when {bad} then 1 when {good} then 0 end as {n}" for n, (bad, good) in rules.RULES.items())
+    of_bad = "ln(prior)" + "".join(f" + case {n} when 1 then ln(s[{k}]) when 0 then ln(1 - s[{k}]) else 0 end" for k, n in enumerate(names, 1))
+    of_good = "ln(1 - prior)" + "".join(f" + case {n} when 1 then ln(f[{k}]) when 0 then ln(1 - f[{k}]) else 0 end" for k, n in enumerate(names, 1))
+    (share1, share0), (s1, s0), (f1, f0) = rules.SHARE_PRIOR, rules.SENSITIVITY_PRIOR, rules.ALARM_PRIOR
+    s = ",\n        ".join(f"(sum(case when {n} = 1 then q else 0 end) + {s1}) / (sum(case when {n} is not null then q else 0 end) + {s1 + s0})" for n in names)
+    f = ",\n        ".join(f"(sum(case when {n} = 1 then n - q else 0 end) + {f1}) / (sum(case when {n} is not null then n - q else 0 end) + {f1 + f0})" for n in names)
+    starts = " union all ".join(
+        f"select {k}, 0, cast({p} as double), list_transform(range({len(names)}), lambda x: cast({a} as double)), list_transform(range({len(names)}), lambda x: cast({b} as double))"
+        for k, (p, a, b) in enumerate(rules.STARTS)
+    )
+    base = f"(n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words)"
+    return f"""with recursive t as (
+      select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from documents),
+    runs as (select doc_id, i, array_to_string(w[i : i + 4], ' ') as g
+      from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from t where len(w) >= 5)),
     again as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from runs) where n > 1),
     covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from again) group by 1),
-    features as (select t.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
-      len(l) as n_lines, length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) as n_upper, length(text) - length(replace(text, '!', '')) as n_exclaims, len(list_filter(l, lambda x: right(x, 1) in ('.', '?', '!', '…'))) as n_ended from t left join covered c on c.doc_id = t.doc_id),
-    voted as (select *, {votes} from features), patterns as materialized (select {", ".join(names)}, count(*) as n from voted group by all), {start}, {rounds}
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words) as base_failed,
-      not (n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words) and 1 - 1 / (1 + exp(-({odds}))) >= {rules.KEEP} as kept from voted, em{rules.ROUNDS}"""
+    features as (select t.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+      length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines,
+      coalesce(c.n, 0) as n_repeat_words, length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) as n_upper,
+      length(text) - length(replace(text, '!', '')) as n_exclaims, len(list_distinct(w)) as n_distinct,
+      len(list_filter(w, lambda x: regexp_matches(x, '{rules.PLAIN}'))) as n_plain,
+      len(list_filter(w, lambda x: x in ({stops}))) as n_stops,
+      len(list_filter(w, lambda x: regexp_matches(x, '{rules.MARKED}'))) as n_marked,
+      len(list_filter(w, lambda x: regexp_matches(x, '{rules.DIGIT}'))) as n_digits
+      from t left join covered c on c.doc_id = t.doc_id),
+    voted as materialized (select *, {base} as base_failed,
+      {votes} from features),
+    patterns as materialized (select {", ".join(names)}, count(*) as n from voted where not base_failed group by all),
+    em(start, k, prior, s, f) as ({starts} union all
+      select start, any_value(k) + 1, (sum(q) + {share1}) / (sum(n) + {share1 + share0}),
+        [{s}],
+        [{f}]
+      from (select p.*, start, k, n / (1 + exp(least(700, ({of_good}) - ({of_bad})))) as q from em, patterns p where k < 300) group by start),
+    ends as (select * from em where k = 300),
+    densities as (select start, sum(n * (greatest(x, y) + ln(exp(x - greatest(x, y)) + exp(y - greatest(x, y))))) as d
+      from (select start, n, {of_bad} as x, {of_good} as y from ends, patterns) group by start),
+    best as (select e.* from ends e join densities using (start)
+      order by list_sum(s) > list_sum(f) desc, d + {share1} * ln(prior) + {share0} * ln(1 - prior)
+        + list_sum(list_transform(s, lambda x: {s1} * ln(x) + {s0} * ln(1 - x))) + list_sum(list_transform(f, lambda x: {f1} * ln(x) + {f0} * ln(1 - x))) desc limit 1)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      not base_failed and 1 - 1 / (1 + exp(({of_good}) - ({of_bad}))) >= {rules.KEEP} as kept from voted left join best on true"""
 
 
 def warc_sql() -> str:

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,12 +75,84 @@ def test_quality_rules(spark, docs):
     assert quality_rules.stage(spark, docs.limit(0), "").count() == 0
 
 
-def test_rules_learn_from_agreement(spark):
-    good, bad = "The quick brown fox jumps over the lazy dog near the river bank today.\n" , "T#h*e q$u%i&c|k b<r>o#w*n f$o%x j&u|m<p>s o#v*e$r l%a&z|y d<o>g n#o*w"
-    docs = spark.createDataFrame([(k, f"{good}{k} and more words follow here to be long enough, said number {k * 7}." if k % 10 else f"{bad} {k}") for k in range(200)], "doc_id long, text string")
-    features = quality_rules.with_features(docs)
-    out = {r.doc_id: r.kept for r in quality_rules.score(features, quality_rules.fit(features)).collect()}
-    assert all(out[k] == bool(k % 10) for k in out)
+CLEAN = "The river of the little settlement is wide, and in springtime the water reaches the houses beside the mill. "
+DECORATED = "The*** rivers### of*** that%%% old&&& towns$$$ is*** widening,%%% and&&& spring*** water$$$ comes*** upward&&& houses%%% mills*** today$$$ again### "
+PHONES = "Call the office of the mayor at 5552748 or 5559913 to request another form, and the secretary of the settlement is there from morning until noon. "
+
+
+def rules_corpus():
+    """Clean texts, decorated ones, and clean ones with many numbers, on which the digits rule disagrees with all others."""
+    rng = random.Random(2)
+    made = []
+    for k in range(400):
+        kind = "decorated" if k % 10 == 0 else "phones" if k % 20 == 1 else "clean"
+        base = {"decorated": DECORATED, "phones": PHONES, "clean": CLEAN}[kind].split()
+        rng.shuffle(base)
+        made.append((k, kind, " ".join(base) + f" {rng.choice('abcdefgh') * 5}"))
+    return made
+
+
+def rules_verdicts(features):
+    scored = quality_rules.score(features, quality_rules.fit(features))
+    return {r.doc_id: (r.kept, r.fired) for r in scored.withColumn("fired", sum(F.coalesce(v, F.lit(0)) for v in quality_rules.votes())).collect()}
+
+
+def test_rules_that_disagree(spark):
+    made = rules_corpus()
+    got = rules_verdicts(quality_rules.with_features(spark.createDataFrame([(k, t) for k, _, t in made], "doc_id long, text string")))
+    assert all(got[k][0] == (kind != "decorated") for k, kind, _ in made)
+    assert all(got[k][1] >= 1 for k, kind, _ in made if kind == "phones")
+
+
+def test_the_posterior_decides(spark):
+    """On the given documents, verdicts follow neither any one vote nor the base rule, and agree with labels not used."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    features = quality_rules.with_features(docs.select("doc_id", "text")).drop("text").cache()
+    judged = rules_verdicts(features.where(~quality_rules.base_failed()))
+    fired = {k: v for k, v in judged.items() if v[1]}
+    assert 0 < sum(kept for kept, _ in fired.values()) < len(fired)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in judged}
+    agreed = sum(judged[k][0] == bool(y) for k, y in labels.items()) / len(labels)
+    print(f"agreement with labels: {agreed:.4f} of {len(labels)}")
+    assert agreed >= 0.98 and sum(judged[k][0] for k, y in labels.items() if y) >= 0.98 * sum(labels.values())
+    for name, was in [(n, getattr(quality_rules, n)) for n in ("STARTS", "SHARE_PRIOR", "SENSITIVITY_PRIOR", "ALARM_PRIOR")]:
+        for factor in (0.5, 2):
+            try:
+                setattr(quality_rules, name, tuple(tuple(min(0.95, factor * x) for x in row) for row in was) if name == "STARTS" else tuple(factor * x for x in was))
+                other = rules_verdicts(features.where(~quality_rules.base_failed()))
+            finally:
+                setattr(quality_rules, name, was)
+            assert sum(other[k] != judged[k] for k in judged) <= 0.002 * len(judged), (name, factor)
+    features.unpersist()
+
+
+def test_fit_settles_like_a_plain_one():
+    """settle() against expectation-maximisation written with arrays."""
+    rng = np.random.default_rng(1)
+    n_rules = len(quality_rules.RULES)
+    bad = rng.random(3000) < 0.1
+    votes = np.where(rng.random((3000, n_rules)) < np.where(bad[:, None], 0.7, 0.04), 1.0, 0.0)
+    votes[rng.random(votes.shape) < 0.1] = np.nan
+    rows = collections.Counter(tuple(None if x != x else int(x) for x in r) for r in votes)
+    _, (prior, s, f) = quality_rules.settle(list(rows), list(rows.values()), quality_rules.STARTS[0])
+    p, a, b = quality_rules.STARTS[0][0], np.full(n_rules, quality_rules.STARTS[0][1]), np.full(n_rules, quality_rules.STARTS[0][2])
+    one, zero = votes == 1, votes == 0
+    for _ in range(200):
+        x = p * np.prod(np.where(one, a, np.where(zero, 1 - a, 1)), 1)
+        y = (1 - p) * np.prod(np.where(one, b, np.where(zero, 1 - b, 1)), 1)
+        q = (x / (x + y))[:, None]
+        p = (q.sum() + 1) / 3010
+        a = ((q * one).sum(0) + 1) / ((q * (one | zero)).sum(0) + 2)
+        b = (((1 - q) * one).sum(0) + 1) / (((1 - q) * (one | zero)).sum(0) + 21)
+    assert prior == pytest.approx(p, abs=1e-6) and s == pytest.approx(list(a), abs=1e-6) and f == pytest.approx(list(b), abs=1e-6)
+    assert abs(prior - 0.1) < 0.02
+
+
+def test_rules_on_very_long_texts(spark):
+    text = " ".join(f"w{k}" for k in range(300_000))
+    row = quality_rules.with_features(spark.createDataFrame([(0, text), (1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert row[0].n_words == row[0].n_distinct == row[0].n_digits == 300_000 and row[0].n_repeat_words == 0 and row[0][2:] == row[1][2:] and row[2].n_words == 0
 
 
 def test_quality_classifier(spark):
@@ -105,6 +179,11 @@ def test_html(spark):
     assert [r.n_chars for r in html_extract.extract_text(df, model).orderBy("page_id").collect()] == [len(model.extract(page)), 0]
 
 
+@pytest.mark.parametrize("svg", ['<svg class="a>b" width=1 />', "<SVG/>", "<svg><svg/><text>hidden</text></svg>", "<svg viewBox='0 0 1 1'>hidden</svg>"])
+def test_empty_svg_hides_nothing(svg):
+    assert [b.text.split() for b in html_extract.leaf_blocks(f"<p>one {svg} two</p><p>three</p>")] == [["one", "two"], ["three"]]
+
+
 def test_viterbi_is_the_best_labelling():
     import itertools
 
