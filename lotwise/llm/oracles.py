@@ -61,8 +61,11 @@ def warc_sql() -> str:
     """Base32 of a SHA-1 from its hexadecimal digits, five digits to four characters."""
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     base32 = f"array_to_string(list_transform(range(32), lambda k: substr('{alphabet}', 1 + (cast(concat('0x', substr(h, cast(1 + 5 * (k // 4) as int), 5)) as bigint) >> cast(15 - 5 * (k % 4) as int)) % 32, 1)), '')"
-    return f"""select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to
-    from (select page_id, n as payload_bytes, {base32} as payload_digest, min(page_id) over (partition by h) as first_id from (select page_id, sha1(coalesce(html, '')) as h, strlen(coalesce(html, '')) as n from pages))"""
+    return f"""select page_id, payload_bytes, payload_digest, case when place = 1 then 'response' else 'revisit' end as record_type,
+      case when place > 1 then first_id end as refers_to
+    from (select page_id, n as payload_bytes, {base32} as payload_digest, min(page_id) over (partition by h) as first_id,
+        row_number() over (partition by h order by page_id nulls last, url) as place
+      from (select page_id, url, sha1(coalesce(html, '')) as h, strlen(coalesce(html, '')) as n from pages))"""
 
 
 def chat_sql() -> str:
