@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import Scratch
 
+#: A key of more rows than this is frequent; so is one of more than a MOST_FREQUENT-th of twice the rows at least.
+FREQUENT, MOST_FREQUENT = 1_000, 500_000
+
+
+def with_totals(rows: DataFrame, key: str, n_rows: int, **totals: Column) -> DataFrame:
+    """rows with aggregates of their key's group; no key's rows are gathered in one task.
+
+    Frequent keys number at most MOST_FREQUENT (so do rows over their least size), which bounds what is broadcast; their
+    rows stay where they are. The others' rows meet their totals by a shuffle.
+    """
+    least = max(FREQUENT, n_rows // MOST_FREQUENT)
+    found = rows.groupBy(key).agg(F.count("*").alias("_rows"), *(c.alias(name) for name, c in totals.items()))
+    frequent = found.where(F.col("_rows") > least).drop("_rows")
+    often = rows.join(F.broadcast(frequent), key)
+    seldom = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(found.where(F.col("_rows") <= least).drop("_rows"), key)
+    return often.unionByName(seldom)
+
 
 def components(edges: DataFrame, scratch: Scratch, label: str, most_rounds: int = 50) -> DataFrame:
     """(node, root) of every node that edges (a, b: long) name; root is the smallest node of its component.
@@ -18,13 +35,14 @@ def components(edges: DataFrame, scratch: Scratch, label: str, most_rounds: int
     mark = _mark(now)
     for k in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
+        least = with_totals(both, "a", 2 * mark[0], m=F.min("b")).select("a", "b", F.least("a", "m").alias("m"))
+        large = scratch.save(least.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{label}-large-{k}")
+        down = with_totals(large, "a", mark[0], m=F.min("b"))
+        small = down.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         after = scratch.save(small, f"{label}-{k}")
         seen = _mark(after)
         scratch.drop(f"{label}-{k - 1}")
+        scratch.drop(f"{label}-large-{k}")
         now = after
         if seen == mark:
             break

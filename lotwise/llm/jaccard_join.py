@@ -11,12 +11,15 @@ the threshold to meet at full depth, reaches `RECALL`.
 
 What met is gathered into groups (components), and within each group every pair is compared exactly, once, on whole sets:
 groups are cut into cells of two blocks, whose size is bounded, and a cell yields a count of links and one edge per set,
-never its pairs. So links in a group of near copies of n different texts take n * n / 2 comparisons, spread over cells,
-and O(n) rows per block.
+never its pairs. So links in a group of n different texts take n * n / 2 comparisons, spread over cells, and O(n) rows per
+block. Blocks are cut by set size, and blocks whose sizes are too far apart to link are not compared.
 
 Words are maximal runs of bytes that aren't ASCII white space. A text of fewer than WORDS words but at least one has one
-run, all its words. Null, empty and wordless texts link to nothing and are classes of their own. Rows that repeat a
-doc_id are taken as copies. An empty table gives no rows; extra columns are ignored. Runs are told apart by 64-bit hashes.
+run, all its words. Null, empty and wordless texts link to nothing; each row of them is a class of its own. Work is done on
+distinct sets, which have numbers of their own, so doc_ids may repeat: every row gives one row, rows of equal texts are
+copies, and rows of one doc_id but other texts are judged by their texts. Null doc_ids come after all others; a class of
+none but null ids has a null class_id. An empty table gives no rows; extra columns are ignored. Runs are told apart by
+64-bit hashes. A text of any length is one row: its set takes memory in proportion to the text.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import Scratch, mix, read_table, shingle_hashes, word_hashes
-from lotwise.llm.components import components
+from lotwise.llm.components import FREQUENT, MOST_FREQUENT, components, with_totals
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
 SIZE, SMALL, DEPTH = 128, 64, 4
@@ -66,19 +69,26 @@ def embed(sets: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def row_key(key: str, text: str) -> Column:
+    """What tells rows apart: doc_id and text; rows equal in both are repeats."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("?")), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n, set_id, minhashes) of each row; set_id and minhashes are null where there are no words."""
+    """(doc_id, row_key, n, set_id, minhashes) of each row; set_id and minhashes are null where there are no words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, ids, hashes = [], [], []
-            for x in b.column(1).to_pylist():
+            for x in b.column(2).to_pylist():
                 s = shingles(x, words)
                 n.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 hashes.append(embed(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(hashes, pa.binary())], names=["doc_id", "n", "set_id", "minhashes"])
+            made = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(hashes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "row_key", "n", "set_id", "minhashes"])
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n long, set_id binary, minhashes binary")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("row_key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_key binary, n long, set_id binary, minhashes binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -181,22 +191,24 @@ def candidate_edges(sets: DataFrame, scratch: Scratch, threshold: float = THRESH
     """Edges (a, b) between sets (rep, minhashes) that met in a small node alike, or in one passed on whole."""
     nodes, compared, edges = first_nodes(sets, runs_for(recall, depth), threshold), [], []
     for level in range(1, depth + 1):
-        sizes = nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        shared = scratch.save(nodes.join(sizes, "path"), f"nodes-{level}")
+        nodes = scratch.save(nodes, f"split-{level}")
+        shared = scratch.save(with_totals(nodes, "path", nodes.count(), size=F.count("*")).where("size > 1"), f"nodes-{level}")
         compared.append(shared.where(F.col("size") <= small).select("path", "rep"))
         large = shared.where(F.col("size") > small)
-        if large.isEmpty():
+        n_rows = large.count()
+        if not n_rows:
             break
         if level == depth:
-            crowds = large.groupBy("path").agg(F.min("rep").alias("b"))
+            crowds = large.groupBy("path").agg(F.max("size").alias("size"), F.min("rep").alias("b"))
         else:
             probe = F.substring(F.col("minhashes"), 4 * F.pmod(F.xxhash64("path"), F.lit(SIZE)).cast("int") + 1, F.lit(4))
-            values = large.join(sets.select("rep", "minhashes"), "rep").groupBy("path", probe.alias("_value")).agg(F.count("*").alias("n"), F.min("rep").alias("b"))
-            crowds = values.groupBy("path").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.min("b").alias("b")).where("2 * most >= n").select("path", "b")
+            values = large.join(sets.select("rep", "minhashes"), "rep").groupBy("path", "size", probe.alias("_value")).agg(F.count("*").alias("n"), F.min("rep").alias("b"))
+            crowds = values.groupBy("path", "size").agg(F.max("n").alias("most"), F.min("b").alias("b")).where("2 * most >= size").select("path", "size", "b")
         crowds = scratch.save(crowds, f"crowds-{level}")
-        edges.append(large.join(crowds, "path").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+        edges.append(_in_crowds(large, crowds, n_rows, "inner").where("rep <> b").select(F.col("rep").alias("a"), "b"))
         if level < depth:
-            nodes = split(large.join(crowds, "path", "left_anti").join(sets.select("rep", "minhashes"), "rep"), threshold)
+            rest = _in_crowds(large, crowds, n_rows, "left_anti")
+            nodes = split(rest.join(sets.select("rep", "minhashes"), "rep"), threshold)
     every = compared[0]
     for more in compared[1:]:
         every = every.unionByName(more)
@@ -207,8 +219,16 @@ def candidate_edges(sets: DataFrame, scratch: Scratch, threshold: float = THRESH
     return out.distinct()
 
 
+def _in_crowds(large: DataFrame, crowds: DataFrame, n_rows: int, how: str) -> DataFrame:
+    """Rows of large nodes joined with crowds (path, size, b), the largest crowds by broadcast: at most MOST_FREQUENT of them."""
+    least = max(FREQUENT, n_rows // MOST_FREQUENT)
+    often, seldom = F.col("size") > least, F.col("size") <= least
+    some = large.where(often).join(F.broadcast(crowds.where(often).drop("size")), "path", how)
+    return some.unionByName(large.where(seldom).join(crowds.where(seldom).drop("size"), "path", how))
+
+
 def cell_links(sets: list[np.ndarray], blocks: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked sets: those of one block with each other, or, across, those of two blocks.
+    """Index pairs of linked sets: those of one block with each other, or, across, those of two sides.
 
     Overlaps are counted by products of a dense incidence matrix, some columns at a time; only hashes that two sets have
     take part.
@@ -241,29 +261,52 @@ def cell_links(sets: list[np.ndarray], blocks: np.ndarray, across: bool, thresho
     return np.concatenate(a), np.concatenate(b)
 
 
-def verify(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """(rep, links, linked_to) rows from comparing all pairs within groups (rep, root, n), exactly.
+def cells_of(groups: DataFrame, scratch: Scratch, threshold: float, block_shingles: int, block_sets: int) -> DataFrame:
+    """(rep, root, low, i, high, j, side): the cells in which each set of groups (rep, root, n) is compared.
 
-    A set has a row for each cell in which it has links; linked_to is the smallest set of its part of the cell.
+    A group of at most one block is one cell. A larger one is cut into classes of size, a factor of 1 / threshold each, and
+    those into blocks. As linked sets are at most one class apart, cell (low, i, high, j) compares block i of a class with
+    block j of the same class or of the next one; sets of side 0 are of block i, those of side 1 of block j.
     """
-    sizes = groups.groupBy("root").agg(F.ceil(F.sum(F.greatest("n", F.lit(max(1, block_shingles // block_sets)))) / block_shingles).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "root").select("rep", "root", "blocks", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0).cast("int").alias("block"))
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("_text")).join(placed, "rep").dropDuplicates(["rep"])
+    weight = F.greatest("n", F.lit(max(1, block_shingles // block_sets)))
+    whole = scratch.save(with_totals(groups, "root", groups.count(), _weight=F.sum(weight)), "group-weights")
+    zero = [F.lit(0).alias(x) for x in ("low", "i", "high", "j", "side")]
+    small = whole.where(F.col("_weight") <= block_shingles).select("rep", "root", *zero)
+    large = whole.where(F.col("_weight") > block_shingles).select("rep", "root", weight.alias("_weight"), F.floor(F.log("n") / -math.log(threshold)).cast("int").alias("class"))
+    n_large = large.count()
+    if not n_large:
+        return small
+    own = with_totals(large.withColumn("_of", F.struct("root", "class")), "_of", n_large, blocks=F.ceil(F.sum("_weight") / block_shingles).cast("int"))
+    own = scratch.save(own.select("rep", "root", "class", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")), "blocks")
+    step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")
+    met = own.select("*", step).withColumn("_of", F.struct("root", (F.col("class") + F.col("step")).alias("class")))
+    met = with_totals(met, "_of", 3 * n_large, others=F.max(F.when(F.col("step") == 0, F.col("blocks")))).where("others is not null")
+    pairs = met.select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+    first = (F.col("step") == 1) | ((F.col("step") == 0) & (F.col("block") <= F.col("other")))
+    i, j = F.when(first, F.col("block")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("block"))
+    low, high = F.least("class", F.col("class") + F.col("step")), F.greatest("class", F.col("class") + F.col("step"))
+    return small.unionByName(pairs.select("rep", "root", low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), F.when(first, 0).otherwise(1).alias("side")))
+
+
+def verify(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """(rep, links, linked_to) rows from comparing all pairs within groups (rep, root, n), exactly.
 
+    texts (rep, text) has one text of each set. A set has a row for each cell in which it has links; linked_to is the
+    smallest set of its part of the cell.
+    """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([shingles(x, words).tobytes() for x in b.column(4).to_pylist()], pa.binary())], names=["root", "rep", "blocks", "block", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, words).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["rep", "set"])
 
-    made = texts.select("root", "rep", "blocks", "block", "_text").mapInArrow(sets, "root long, rep long, blocks int, block int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # Cell (i, j) with i < j compares block i with block j, cell (i, i) the sets of block i with each other.
-    cells = made.select("root", "rep", "block", "set", other.alias("_other")).select("root", "rep", "block", "set", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
+    made = texts.select("rep", "text").mapInArrow(sets, "rep long, set binary")
+    cells = made.join(cells_of(groups, scratch, threshold, block_shingles, block_sets), "rep")
 
     def one(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         if len(rows) < 2:
             return
-        reps = np.array([r[3] for r in rows])
-        a, b = cell_links([np.frombuffer(r[5], np.uint64) for r in rows], np.array([r[4] for r in rows]), rows[0][1] != rows[0][2], threshold)
+        reps = np.array([r[5] for r in rows])
+        across = rows[0][1:3] != rows[0][3:5]
+        a, b = cell_links([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[6] for r in rows]), across, threshold)
         links = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
         label = labels_of(len(rows), a, b)
         for k in np.flatnonzero(links):
@@ -272,10 +315,10 @@ def verify(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out, now = [], [], None
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(6))):
-                if row[:3] != now:
+            for row in zip(*(b.column(k).to_pylist() for k in range(8))):
+                if row[:5] != now:
                     out.extend(one(held))
-                    held, now = [], row[:3]
+                    held, now = [], row[:5]
                 held.append(row)
             if len(out) > 10_000:
                 yield _links(out)
@@ -284,7 +327,8 @@ def verify(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str =
         if out:
             yield _links(out)
 
-    dealt = cells.select("root", "i", "j", "rep", "block", "set").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
+    cell = ["root", "low", "i", "high", "j"]
+    dealt = cells.select(*cell, "rep", "side", "set").repartition(*cell).sortWithinPartitions(*cell, "rep")
     return dealt.mapInArrow(run, "rep long, links long, linked_to long")
 
 
@@ -292,26 +336,55 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["rep", "links", "linked_to"])
 
 
-def jaccard_classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_of, n_links.
+def judged(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(rows with words: doc_id, row_key, class, class_id, copy_of, n_links; rows without: doc_id).
 
-    copy_of is the smallest doc_id with an equal set, class_id the smallest of all documents that links connect, n_links
-    the number of different sets that the document's set links to (similarity of at least the threshold).
+    Aggregates are written before rows that may be many per key are joined with them, so that Spark can split those joins.
     """
     sketched = scratch.save(sketch(docs, key, text, words), "sketches")
     wordy = sketched.where("n > 0")
-    first = wordy.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    members = scratch.save(wordy.select("doc_id", "n", "set_id").join(first, "set_id").select("doc_id", "rep", "n"), "members")
-    own = members.where("doc_id = rep").select("rep", "n").distinct()
-    sets = scratch.save(wordy.select(F.col("doc_id").alias("rep"), "minhashes").dropDuplicates(["rep"]).join(own.select("rep"), "rep", "left_semi"), "sets")
-    edges = candidate_edges(sets, scratch, threshold, recall)
-    groups = components(edges, scratch, "met").select(F.col("node").alias("rep"), "root")
-    links = scratch.save(verify(docs, groups.join(own, "rep"), key, text, words, threshold), "links")
+    distinct = wordy.groupBy("set_id").agg(F.min("doc_id").alias("copy_of"), F.min("n").alias("n"), F.min("row_key").alias("row_key"), F.first("minhashes").alias("minhashes"))
+    sets = scratch.save(distinct.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    members = scratch.save(wordy.select("doc_id", "row_key", "set_id").join(sets.select("set_id", "rep"), "set_id").drop("set_id"), "members")
+    edges = candidate_edges(sets.select("rep", "minhashes"), scratch, threshold, recall)
+    met = components(edges, scratch, "met").select(F.col("node").alias("rep"), "root")
+    groups = scratch.save(met.join(sets.select("rep", "n", "row_key"), "rep"), "groups")
+    rows = docs.select(row_key(key, text).alias("row_key"), F.col(text).alias("text"))
+    texts = rows.join(groups.select("rep", "row_key"), "row_key").select("rep", "text").dropDuplicates(["rep"])
+    links = scratch.save(verify(texts, groups.select("rep", "root", "n"), scratch, words, threshold), "links")
     roots = components(links.select(F.col("rep").alias("a"), F.col("linked_to").alias("b")), scratch, "linked").select(F.col("node").alias("rep"), "root")
     found = links.groupBy("rep").agg(F.sum("links").alias("n_links")).join(roots, "rep", "left")
-    linked = members.join(found, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    alone = sketched.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone)
+    placed = sets.select("rep", "copy_of").join(found, "rep", "left").select("rep", "copy_of", F.coalesce("root", "rep").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    placed = scratch.save(placed, "placed")
+    classes = scratch.save(with_totals(placed, "class", placed.count(), class_id=F.min("copy_of")), "classes")
+    return members.join(classes, "rep").drop("rep"), sketched.where("n = 0").select("doc_id")
+
+
+def jaccard_classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, copy_of, n_links.
+
+    copy_of is the smallest doc_id with an equal set, class_id the smallest of all documents that links connect, n_links
+    the number of different sets that the document's set links to (similarity of at least the threshold).
+    """
+    linked, alone = judged(docs, scratch, key, text, words, threshold, recall)
+    own = F.col("doc_id")
+    return linked.select("doc_id", "class_id", "copy_of", "n_links").unionByName(alone.select("doc_id", own.alias("class_id"), own.alias("copy_of"), F.lit(0).cast("long").alias("n_links")))
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each class, that of the smallest doc_id (of several texts the one of the smallest digest; of
+    rows equal in doc_id and text any one), and all rows without words; columns stay as they are."""
+    linked, _ = judged(docs, scratch, key, text)
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
+    stay = linked.groupBy("class").agg(F.min_by("row_key", rank).alias("row_key"))
+    own = "_row"
+    while own in docs.columns:
+        own += "_"
+    has_words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # Repeats are merged before the shuffle; the join then keeps its partitioning.
+    distinct = docs.where(has_words).withColumn(own, row_key(key, text)).dropDuplicates([own])
+    kept = distinct.join(stay.select(F.col("row_key").alias(own)), own, "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where(~has_words))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,6 +392,5 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class, the document of the smallest doc_id stays; columns stay as they are."""
-    stay = jaccard_classes(docs, Scratch(spark, "jaccard-join")).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: of each class one document stays."""
+    return one_of_each(docs, Scratch(spark, "jaccard-join"))

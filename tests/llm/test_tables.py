@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import decontaminate, jaccard_join, url_filter, warc
 from lotwise.llm.common import Scratch
-from lotwise.llm.components import components
+from lotwise.llm.components import components, with_totals
 
 
 def words(rng, n):
@@ -59,11 +59,48 @@ def test_jaccard_join(spark):
 
 def test_cells_of_blocks_give_the_same_links(spark):
     texts = [t for t in near_copies() if t and t.strip()]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    groups = docs.select(F.col("doc_id").alias("rep"), F.lit(0).cast("long").alias("root"), F.size(F.split("text", " +")).cast("long").alias("n"))
-    sizes = ({}, {"block_shingles": 2_000}, {"block_sets": len(texts) // 4})
-    one, many, short = ({r.rep: r.n for r in jaccard_join.verify(docs, groups, **at).groupBy("rep").agg(F.sum("links").alias("n")).collect()} for at in sizes)
-    assert one == many == short and one
+    docs = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
+    n = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda k: F.array_join(F.slice("w", k, 5), " "))))
+    groups = docs.withColumn("w", F.split("text", " +")).select("rep", F.lit(0).cast("long").alias("root"), n.cast("long").alias("n"))
+    sizes = ({}, {"block_shingles": 2_000}, {"block_sets": len(texts) // 4}, {"block_shingles": 500})
+    found = [{r.rep: r.n for r in jaccard_join.verify(docs, groups, Scratch(spark, "test"), **at).groupBy("rep").agg(F.sum("links").alias("n")).collect()} for at in sizes]
+    assert all(f == found[0] for f in found) and found[0]
+
+
+def keyed_rows():
+    long = " ".join(f"w{k}" for k in range(60))
+    near = long.replace("w30", "other")
+    return [(1, long), (1, long), (1, long), (1, near), (1, "quite another text of more than five words"), (None, near.replace("w59", "last")), (None, "null id and words of its own here"), (None, "null id and words of its own here"), (2, long), (3, None), (3, None), (None, ""), (4, " ")]
+
+
+def test_keys_that_repeat_or_are_null(spark):
+    rows = keyed_rows()
+    docs = spark.createDataFrame([(k, t, "clash", "c2") for k, t in rows], "doc_id long, text string, _row string, row_key string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_classes(docs, Scratch(spark, "test")).collect()), key=repr)
+    want = [(1, 1, 1, 2)] * 3 + [(2, 1, 1, 2), (1, 1, 1, 2), (None, 1, None, 2), (1, 1, 1, 0), (None, None, None, 0), (None, None, None, 0), (3, 3, 3, 0), (3, 3, 3, 0), (None, None, None, 0), (4, 4, 4, 0)]
+    assert got == sorted(want, key=repr)
+    kept = jaccard_join.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert left in [sorted([(1, t), (1, rows[4][1]), (None, rows[6][1]), (3, None), (3, None), (None, ""), (4, " ")], key=repr) for t in (rows[0][1], rows[3][1])]
+    assert jaccard_join.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_frequent_keys_are_not_gathered(spark, monkeypatch):
+    """Totals, components and nodes are the same whichever keys count as frequent."""
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(0 if k % 3 else rng.randrange(40), k) for k in range(600)], "g long, v long")
+    edges = [(k, 500) for k in range(400)] + [(k + 1, k) for k in range(900, 960)] + [(500, 3), (901, 1000)]
+    texts = spark.createDataFrame(list(enumerate(near_copies())), "doc_id long, text string")
+    results = []
+    for least in (1, 50, 10**9):
+        monkeypatch.setattr("lotwise.llm.components.FREQUENT", least)
+        monkeypatch.setattr("lotwise.llm.jaccard_join.FREQUENT", least)
+        totals = sorted(tuple(r) for r in with_totals(rows, "g", 600, total=F.sum("v")).collect())
+        roots = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c").collect())
+        results.append((totals, roots, sorted(tuple(r) for r in jaccard_join.jaccard_classes(texts, Scratch(spark, "test")).collect())))
+    assert results[0][:2] == results[1][:2] == results[2][:2] and len(results[0][0]) == 600
+    assert all(len(r[2]) == len(results[0][2]) and sum(a != b for a, b in zip(r[2], results[0][2])) <= 4 for r in results)
 
 
 def test_components(spark):
@@ -119,23 +156,42 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(frame, bench.limit(0)).count() == 0 and decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
+def read_pages(spark, rows, path, min_bytes=0, segment_bytes=16_384):
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, refers_to string").repartition(3)
+    scratch = Scratch(spark, "test")
+    warc.write_warc(pages, str(path), scratch, min_bytes, segment_bytes)
+    return sorted((tuple(r) for r in warc.read_warc(spark, str(path), scratch).collect()), key=repr)
+
+
+def brute_warc(rows):
+    """One row each: the response is the smallest page_id of a payload (null last), all others revisit it."""
+    out, groups = [], {}
+    for page_id, _, html in rows:
+        groups.setdefault((html or "").encode(), []).append(page_id)
+    for own, ids in groups.items():
+        ids.sort(key=lambda x: (x is None, x or 0))
+        out += [(x, len(own), warc.digest(own), "revisit" if k else "response", ids[0] if k else None) for k, x in enumerate(ids)]
+    return sorted(out, key=repr)
+
+
 def test_warc(spark, tmp_path):
-    html = ["<p>a</p>", None, "", "é" * 9_000, "é" * 9_000, "x\r\n\r\nWARC/1.1\r\n" * 2_000, "<p>a</p>"]
-    pages = spark.createDataFrame([(k, None if k == 2 else f"http://h/{k} x", h, "clash") for k, h in enumerate(html)], "page_id long, url string, html string, refers_to string")
+    html = ["<p>a</p>", None, "", "é" * 9_000, "é" * 9_000, "x\r\n\r\nWARC/1.1\r\n" * 2_000, "<p>a</p>", "y" * 3_000_000]
+    rows = [(k, None if k == 2 else f"http://h/{k} x", h) for k, h in enumerate(html)]
     for cut in (100, 16_384):
-        warc.write_warc(pages, str(tmp_path / str(cut)), 0, cut)
-        got = {r.page_id: tuple(r)[1:] for r in warc.read_warc(spark, str(tmp_path / str(cut)), Scratch(spark, "test")).collect()}
-        for k, h in enumerate(html):
-            own = (h or "").encode()
-            at = [(x or "").encode() for x in html].index(own)
-            assert got[k] == (len(own), warc.digest(own), "response" if at == k else "revisit", None if at == k else at)
-    warc.write_warc(pages, str(tmp_path / "least"), 10**6)
-    assert warc.read_warc(spark, str(tmp_path / "least"), Scratch(spark, "test")).where("record_type = 'revisit'").count() == 0
+        assert read_pages(spark, rows[: -1 if cut == 100 else None], tmp_path / str(cut), 0, cut) == brute_warc(rows[: -1 if cut == 100 else None])
+    assert all(r[3] == "response" for r in read_pages(spark, rows[:-1] * 2, tmp_path / "least", 10**6))
+    assert read_pages(spark, [], tmp_path / "none") == []
     assert warc.dechunk(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc" and warc.dechunk(warc.chunked(b"z" * 10_000)) == b"z" * 10_000
     with pytest.raises(ValueError):
         warc.dechunk(b"5\r\nabcd\r\n0\r\n\r\n")
 
 
+def test_warc_keys_that_repeat_or_are_null(spark, tmp_path):
+    long = "long é" * 5_000
+    rows = [(1, "u", long), (1, "u", long), (1, "v", long), (1, "u", "other"), (None, "u", "x"), (None, None, "x"), (2, "u", "x"), (None, "w", None), (None, "w", ""), (5, None, long), *[(9, "u", "hot")] * 300]
+    assert read_pages(spark, rows, tmp_path / "keys") == brute_warc(rows)
+
+
 def test_url_filter(spark):
     link = lambda *hosts: "".join(f"<a class=x href='http://{h}/p'>l</a>" for h in hosts)
     rows = [
