@@ -5,8 +5,10 @@ class, id and role) and of its text; neighbouring labels interact. The model is
 ascent on the penalised likelihood (forward-backward) and decoded by Viterbi.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
-order by one space; nothing else is dropped or cut. Null, empty or text-free html gives an empty text; unclosed tags and
-stray brackets are tolerated; repeated rows give repeated results; extra columns are ignored.
+order by one space; nothing else is dropped or cut. Null, empty or text-free html gives an empty text. Reading takes time
+in proportion to the page's length, however long or malformed it is: unclosed tags and stray brackets are tolerated (a
+bracket that no ">" follows is text, an unclosed comment or script reaches to the end). Repeated rows give repeated
+results; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +33,77 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = ("script", "style", "template", "title", "textarea", "svg", "iframe", "object")
 #: A start tag of these closes an open one of the same group up to the nearest container.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: An svg tag that ends in '/>' is empty. A block-level start tag also closes an open paragraph.
-_MARKUP = re.compile(
-    r"<!--(.*?)(?:-->|\Z)|<svg\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?<=/)>|<(" + "|".join(HIDDEN) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_HIDDEN_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in HIDDEN}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_LONG_NUMBER = re.compile(r"&#(?:([0-9]{10,})|[xX]([0-9a-fA-F]{10,}));?")
+
+
+def decoded(text: str) -> str:
+    """Text with its character references decoded; numbers beyond any character give the replacement character."""
+    def shorter(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 9 else f"&#{'x' if m[2] else ''}{digits};"
+
+    return references.unescape(_LONG_NUMBER.sub(shorter, text))
+
+
+class Tags:
+    """The markup of a page in order, each character looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html = html
+        #: Whether quotes in tags hide ">"; given up for the rest of a page once a quoted value never ends its tag.
+        self.quoted = True
+
+    def end(self, at: int) -> int:
+        """Where the tag that starts at a place ends; -1 where no ">" follows."""
+        html, k = self.html, at
+        while self.quoted:
+            m = _STOP.search(html, k)
+            if m is None:
+                self.quoted = False
+            elif m[0] == ">":
+                return m.end()
+            else:  # a quote opens a value only after "="
+                k, before = m.end(), m.start() - 1
+                while before > at and html[before].isspace():
+                    before -= 1
+                if html[before] == "=":
+                    k = html.find(m[0], k) + 1 or k
+        return html.find(">", at) + 1 or -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """(start, end, kind, name, attributes); kind is open, close, comment or other. Hidden elements come as one."""
+        html, at = self.html, 0
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                close = html.find("-->", start + 4)
+                at = close + 3 if close >= 0 else len(html)
+                yield start, at, "comment", "", html[start + 4 : close if close >= 0 else at]
+                continue
+            m = _TAG.match(html, start)
+            if m is None and html[start + 1 : start + 2] not in ("!", "?"):
+                at = start + 1
+                continue
+            end = self.end(m.end()) if m else html.find(">", start) + 1 or -1
+            if end < 0:
+                return
+            at = end
+            if m is None:
+                yield start, end, "other", "", ""
+            elif m[1]:
+                yield start, end, "close", m[2].lower(), ""
+            elif (name := m[2].lower()) not in _HIDDEN_END:
+                yield start, end, "open", name, html[m.end() : end - 1]
+            else:
+                if name != "svg" or html[end - 2] != "/":  # an svg tag that ends in "/>" is empty
+                    close = _HIDDEN_END[name].search(html, end)
+                    at = self.end(close.end()) if close else -1
+                    at = at if at >= 0 else len(html)
+                yield start, at, "other", "", ""
 
 
 class Block:
@@ -49,64 +115,95 @@ class Block:
         self.text, self.linked, self.context, self.own, self.main = text, linked, context, own, main
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
+class Stack:
+    """Open elements: their names, the features of each with its ancestors, and where each name is open."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known
+        self.names: list[str] = []
+        self.contexts: list[tuple[str, ...]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, attributes: str) -> None:
+        context = self.contexts[-1] if self.contexts else ()
+        if name in BLOCK:
+            own = [f"in:{name}", *(f"at:{w}" for x in _NAMED.findall(attributes) for w in _WORDS.findall("".join(x).lower()))]
+            new = [f for f in dict.fromkeys(own) if f not in context and (self.known is None or f in self.known)]
+            context = (*context, *new) if new else context
+            self.blocks.append(len(self.names))
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.contexts.append(context)
+
+    def pop_to(self, place: int) -> int:
+        """Close the element at a place and all within it; how many links that closes."""
+        links = 0
+        while len(self.names) > place:
+            self.contexts.pop()
+            name = self.names.pop()
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+            links += name == "a"
+        return links
+
+    def close(self, name: str) -> int:
+        """An end tag: closes the nearest such element; inline ones close none outside the nearest block."""
+        if not (places := self.places.get(name)) or (name not in BLOCK and self.blocks and self.blocks[-1] > places[-1]):
+            return 0
+        return self.pop_to(places[-1])
+
+    def make_room(self, name: str) -> int:
+        """A start tag closes the nearest block where that is one of its group."""
+        ends = CLOSES.get(name, ("p",) if name in BLOCK else ())
+        return self.pop_to(self.blocks[-1]) if self.blocks and self.names[self.blocks[-1]] in ends else 0
+
+    def nearest(self) -> tuple[str, tuple[str, ...]]:
+        """Name and features of the nearest block."""
+        return (self.names[self.blocks[-1]], self.contexts[self.blocks[-1]]) if self.blocks else ("", ())
+
+
+def leaf_blocks(html: str, known: frozenset[str] | None = None, marked: bool = False) -> list[Block]:
+    """Leaf blocks with text, in page order, with the ancestors' features that are known (None: all).
+
+    Comments main and /main set labels where the page is a marked one for training; in others they are comments.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    text: list[str] = []
+    stack, text = Stack(known), []
     linked, links, main, at = 0, 0, False, 0
 
     def close() -> None:
         nonlocal linked
         if text:
-            words = " ".join(references.unescape("".join(text)).split())
+            words = " ".join(decoded("".join(text)).split())
             if words:
-                own = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-                context = tuple(dict.fromkeys(f for t, named in stack if t in BLOCK for f in (f"in:{t}", *named)))
+                own, context = stack.nearest()
                 blocks.append(Block(words, min(linked, len(words)), context, own, main))
             text.clear()
         linked = 0
 
-    for m in _MARKUP.finditer(html):
-        if m.start() > at:
-            text.append(html[at : m.start()])
+    for start, end, kind, name, attributes in Tags(html):
+        if start > at:
+            text.append(html[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        if m[1] is not None:
-            if m[1] in ("main", "/main"):
-                close()
-                main = m[1] == "main"
-            continue
-        if not m[4]:
+                linked += start - at
+        at = end
+        if kind == "comment" and marked and attributes in ("main", "/main"):
+            close()
+            main = attributes == "main"
+        if kind not in ("open", "close"):
             continue
-        tag = m[4].lower()
-        if tag == "br":
+        if name == "br":
             text.append(" ")
-        if tag in BLOCK:
+        if name in BLOCK:
             close()
-        if m[3]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break
-            continue
-        if tag in VOID:
-            continue
-        ends = CLOSES.get(tag, ("p",) if tag in BLOCK else ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                break
-            if stack[k][0] in BLOCK:
-                break
-        named = tuple(f"at:{w}" for x in _NAMED.findall(m[5]) for w in _WORDS.findall("".join(x).lower())) if m[5] else ()
-        stack.append((tag, named))
-        links += tag == "a"
+        if kind == "close":
+            links -= stack.close(name)
+        elif name not in VOID:
+            links -= stack.make_room(name)
+            stack.push(name, attributes)
+            links += name == "a"
     if at < len(html):
         text.append(html[at:])
     close()
@@ -127,6 +224,7 @@ class Model:
     def __init__(self, weights: dict[str, float], transitions: list[list[float]], first: float):
         self.weights, self.transitions, self.first = weights, transitions, first
         self.contexts: dict[tuple[str, ...], float] = {}
+        self.known = frozenset(weights)
 
     def score(self, b: Block) -> float:
         known = self.contexts.get(b.context)
@@ -153,13 +251,13 @@ class Model:
         return labels[::-1]
 
     def extract(self, html: str | None) -> str:
-        blocks = leaf_blocks(html or "")
+        blocks = leaf_blocks(html or "", self.known)
         return " ".join(b.text for b, keep in zip(blocks, self.decode(blocks)) if keep)
 
 
 def train(pages: list[str], penalty: float = 0.0005, rounds: int = 400, rate: float = 0.1) -> Model:
     """Fit the field on labelled pages, all sequences at once (they are padded), with Adam steps on the likelihood."""
-    sequences = [s for s in map(leaf_blocks, pages) if s]
+    sequences = [s for s in (leaf_blocks(x, marked=True) for x in pages) if s]
     names = sorted({f for s in sequences for b in s for f in (*b.context, *text_features(b))})
     index = {f: k for k, f in enumerate(names)}
     longest = max(map(len, sequences))

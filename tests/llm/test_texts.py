@@ -4,11 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import html_pages
 from lotwise.llm import byte_bpe, chat, html_extract, quality_classifier, quality_rules, token_counts
 
 TEXTS = [None, "", " ", "a", "Hello, world's   end.\n\nx", "naïve café — “q” 你好 ½²", "x<|endoftext|>y", "a" * 30_000, "ab cd " * 20_000, "1a2b'sx" * 9_000, "word\x00\x85  z", "Und Und Und Und Und", "dup", "dup"]
@@ -173,10 +175,53 @@ def test_html(spark):
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>Menu one</a></li></ul></nav><div class=ad>Buy it now.</div><article><h1>Head&amp;line here</h1><p><b>First  part,\nof some length, it is.<br><p>Second part of it, a &lt; b, said they. And more.</p></article><section class='comments'><p>I liked it, really.</p></section><footer>&copy; site</footer>"
     assert model.extract(page) == "Head&line here First part, of some length, it is. Second part of it, a < b, said they. And more."
     assert [model.extract(x) for x in (None, "", "<p>", "<!-- x", "<script>a")] == [""] * 5
-    for blocks in map(html_extract.leaf_blocks, html_extract.labelled_pages()):
-        assert model.decode(blocks) == [b.main for b in blocks]
-    df = spark.createDataFrame([(1, "u", page), (2, None, None)], "page_id long, url string, html string")
-    assert [r.n_chars for r in html_extract.extract_text(df, model).orderBy("page_id").collect()] == [len(model.extract(page)), 0]
+    df = spark.createDataFrame([(1, "u", page, "clash"), (2, None, None, "clash"), (3, "u", page, "x"), (3, "u", page, "x"), (None, None, page, None)], "page_id long, url string, html string, text string")
+    got = html_extract.extract_text(df, model)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    want = model.extract(page)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "u", want, len(want)), (2, None, "", 0), (3, "u", want, len(want)), (3, "u", want, len(want)), (None, None, want, len(want))], key=repr)
+    assert html_extract.extract_text(df.limit(0), model).count() == 0
+
+
+def found_and_wanted(model, pages):
+    """Characters of main text that were found, that are found in all, and that are wanted."""
+    hit = found = wanted = 0
+    for page in pages:
+        blocks = html_extract.leaf_blocks(page, model.known, marked=True)
+        for b, keep in zip(blocks, model.decode(blocks)):
+            n = len(b.text)
+            hit, found, wanted = hit + n * (keep and b.main), found + n * keep, wanted + n * b.main
+    return hit, found, wanted
+
+
+def test_html_on_pages_not_trained_on():
+    hit, found, wanted = found_and_wanted(html_extract.default_model(), html_pages.PAGES)
+    print(f"pages written apart: precision {hit / found:.3f}, recall {hit / wanted:.3f}")
+    assert 2 * hit / (found + wanted) >= 0.95
+    pages = html_extract.labelled_pages()
+    for part in range(3):  # three of the nine frames are left out, so these pages' main elements were never seen
+        train, test = [p for k, p in enumerate(pages) if k * 9 // len(pages) % 3 != part], [p for k, p in enumerate(pages) if k * 9 // len(pages) % 3 == part]
+        hit, found, wanted = found_and_wanted(html_extract.train(train, rounds=200), test)
+        print(f"left-out frames {part}: precision {hit / found:.3f}, recall {hit / wanted:.3f}")
+        assert 2 * hit / (found + wanted) >= 0.8 and hit / found >= 0.95
+
+
+@pytest.mark.parametrize("bad", ["<script x", '<p "', '<p ="', '<p =\'">', "<b>", "<div>a", "<td>a<b>", "</script ", "<!", "&#1111111111111111", "<i><div><b></i>", "<p class='a b c'>x"])
+def test_malformed_pages_take_time_in_proportion(bad):
+    model = html_extract.default_model()
+    began = time.time()
+    model.extract(bad * (5_000_000 // len(bad)))
+    assert time.time() - began < 60
+
+
+def test_markup_rules():
+    text = lambda x: [b.text for b in html_extract.leaf_blocks(x)]
+    assert text("foo<!--main-->bar<!--x") == ["foobar"]
+    assert text("<p title='a>b' class=c>one</p> two <y") == ["one", "two <y"]
+    assert text("<a href=\"x>one</a> two") == ["one two"] and text("<p it's>one<p>it's > two") == ["one", "it's > two"]
+    assert text("<script>a</scriptx>b</script foo>c") == ["c"] and text("a<script>b</script") == ["a"]
+    assert text("1 < 2 <3 &#65; &#x000000000000041; &#99999999999999; &amp;") == ["1 < 2 <3 A A \ufffd &"]
+    assert [b.main for b in html_extract.leaf_blocks("<!--main--><p>a</p><!--/main-->b", marked=True)] == [True, False]
 
 
 @pytest.mark.parametrize("svg", ['<svg class="a>b" width=1 />', "<SVG/>", "<svg><svg/><text>hidden</text></svg>", "<svg viewBox='0 0 1 1'>hidden</svg>"])
