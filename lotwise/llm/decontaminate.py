@@ -1,17 +1,23 @@
 """Operator 4: benchmark decontamination by greedy string tiling.
 
 Words are maximal runs of letters, digits and underscores, lower-cased. Documents and benchmark items are joined on seeds,
-runs of `LEAST` words (Karp-Rabin hashes); for each pair that shares one, the longest common runs that overlap no earlier
-tile are marked, again and again, until none of LEAST words is left. A pair is a leak where tiles cover at least `COVERAGE`
-of the item's words, in whatever order the passages come.
-
-The benchmark's seeds are broadcast in blocks of at most `BLOCK_WORDS` words, and documents are scanned once per block,
-so that memory is bounded for benchmarks of any size. Items of fewer than LEAST words are one tile as a whole; items and
-texts without words, and nulls, never match. Repeated items and rows are reported each; extra columns are ignored.
+runs of `LEAST` words (Karp-Rabin hashes); for each pair that shares some, the longest common run that overlaps no earlier
+tile is marked, again and again (ties: the smallest position in the document, then in the item), until none of LEAST words
+is left. A pair is a leak where tiles cover at least `COVERAGE` of the item's words, in whatever order the passages come.
+
+Seeds that more than `FREQUENT` places of the benchmark share lead to candidates only for items that they could cover by
+themselves; every other item must share a rarer seed as well, so none is lost, and a phrase that all items share costs
+nothing. Items whose shared seeds can't cover enough of them are not tiled.
+
+The benchmark's seeds are broadcast in blocks of at most `BLOCK_WORDS` words (or one item), and documents are scanned once
+per block, so that memory is bounded for benchmarks of any size. Items of fewer than LEAST words are one tile as a whole;
+items and texts without words, and nulls, never match. Repeated items and rows, and null ids, are reported each; very long
+and repetitive texts take memory in proportion to their length; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -23,109 +29,185 @@ from pyspark.sql import types as T
 from lotwise.llm.common import mix, read_table
 
 LEAST, COVERAGE = 5, 0.5
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS, FREQUENT = 2_000_000, 64
+#: Pairs of equal places in a document and an item up to which they are held at once; beyond, matches are found row by row.
+MOST_PAIRS = 2_000_000
 WORD = re.compile(r"\w+")
+Tile = tuple[int, int, int]
+
+
+def free_runs(used_doc: bytearray, used_item: bytearray, i: int, j: int, n: int, least: int) -> list[Tile]:
+    """Parts of a match of at least `least` words that no tile has marked."""
+    used = np.frombuffer(used_doc, np.uint8, n, i) | np.frombuffer(used_item, np.uint8, n, j)
+    edge = np.flatnonzero(np.diff(np.concatenate(([1], used, [1])).astype(np.int8)))
+    return [(i + int(a), j + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
+
 
+def matches(pairs: tuple[np.ndarray, np.ndarray], least: int) -> list[Tile]:
+    """Maximal common runs (doc position, item position, length) from the pairs of places where runs of `least` words are equal."""
+    i, j = pairs
+    order = np.lexsort((i, i - j))
+    i, j = i[order], j[order]
+    first = np.concatenate(([True], (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)))
+    at = np.flatnonzero(first)
+    return list(zip(i[at].tolist(), j[at].tolist(), (np.diff(np.concatenate((at, [len(i)]))) + least - 1).tolist()))
 
-def tiles(doc: list[int] | np.ndarray, item: list[int] | np.ndarray, least: int, starts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Greedy tiles (doc position, item position, length), longest first, ties by position.
 
-    starts are the pairs of positions where runs of `least` words are equal. Marks only ever shorten a match or cut off
-    its front, so each round extends from those pairs that are unmarked and follow no unmarked equal pair.
+def tiles(n_doc: int, n_item: int, least: int, found: list[Tile]) -> list[Tile]:
+    """Greedy tiles out of all maximal common runs: longest first, ties by position.
+
+    A run that a tile overlaps comes back as the parts that are left of it.
     """
-    used_doc, used_item, out = set(), set(), []
-    while starts:
-        live = [(i, j) for i, j in starts if i not in used_doc and j not in used_item]
-        open_ = set(live)
-        best, found = least, []
-        for i, j in live:
-            if (i - 1, j - 1) in open_:
-                continue
-            n = 0
-            while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and i + n not in used_doc and j + n not in used_item:
-                n += 1
-            if n > best:
-                best, found = n, [(i, j)]
-            elif n == best:
-                found.append((i, j))
-        if not found:
-            return out
-        for i, j in found:
-            if all(i + k not in used_doc and j + k not in used_item for k in (0, best - 1)) and not any(i + k in used_doc or j + k in used_item for k in range(best)):
-                used_doc.update(range(i, i + best))
-                used_item.update(range(j, j + best))
-                out.append((i, j, best))
-        starts = live
+    used_doc, used_item, out = bytearray(n_doc), bytearray(n_item), []
+    queue = [(-n, i, j) for i, j, n in found]
+    heapq.heapify(queue)
+    while queue:
+        n, i, j = heapq.heappop(queue)
+        left = free_runs(used_doc, used_item, i, j, -n, least)
+        if left == [(i, j, -n)]:
+            used_doc[i : i - n] = used_item[j : j - n] = b"\1" * -n
+            out.append((i, j, -n))
+            if used_item.find(bytes(least)) < 0:
+                break
+        else:
+            for a, b, m in left:
+                heapq.heappush(queue, (-m, a, b))
     return out
 
 
+def tiles_by_rows(doc: np.ndarray, item: np.ndarray, least: int) -> list[Tile]:
+    """The same tiles for texts with very many equal places: memory in proportion to the document, one pass per tile."""
+    doc, item, out = doc.copy(), item.copy(), []
+    while True:
+        best: Tile = (0, 0, 0)
+        run = np.zeros(len(doc) + 1, np.int32)
+        for j, word in enumerate(item.tolist()):
+            run[1:] = np.where(doc == word, run[:-1] + 1, 0) if word > 0 else 0
+            n = int(run.max())
+            if n >= max(best[2], 1):
+                tile = (int(run.argmax()) - n, j - n + 1, n)
+                if (-tile[2], *tile[:2]) < (-best[2], *best[:2]):
+                    best = tile
+        i, j, n = best
+        if n < least:
+            return out
+        out.append(best)
+        doc[i : i + n], item[j : j + n] = -1, -2
+
+
+class Seeds:
+    """Runs of n words of a block's items: distinct hashes, and the places (item, position) that each leads to."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], n: int, lengths: np.ndarray, coverage: float):
+        self.n = n
+        runs = [karp_rabin(w, n) for _, w in items]
+        owner = np.repeat(np.array([k for k, _ in items]), [len(r) for r in runs])
+        position = np.concatenate([np.arange(len(r)) for r in runs])
+        self.hashes, number, counts = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+        frequent = (counts > FREQUENT)[number]
+        self.by_frequent = covered(owner[frequent], position[frequent], n, len(lengths))
+        able = self.by_frequent >= coverage * lengths
+        #: Words that frequent seeds may add to what the places in this index show.
+        self.by_frequent[able] = 0
+        leads = ~frequent | able[owner]
+        order = np.flatnonzero(leads)[np.argsort(number[leads], kind="stable")]
+        self.owner, self.position = owner[order].astype(np.int32), position[order].astype(np.int32)
+        self.start = np.searchsorted(number[order], np.arange(len(self.hashes) + 1))
+        #: Of each item, the numbers of its runs.
+        cuts = np.cumsum([0, *(len(r) for r in runs)])
+        self.own = {k: number[a:b].astype(np.int32) for (k, _), a, b in zip(items, cuts, cuts[1:])}
+
+
+def covered(owner: np.ndarray, position: np.ndarray, n: int, n_items: int) -> np.ndarray:
+    """Words of each item that runs of n words at these places cover; places sorted by item and position."""
+    if not len(owner):
+        return np.zeros(n_items, np.int64)
+    step = np.full(len(owner), n, np.int64)
+    same = owner[1:] == owner[:-1]
+    step[:-1][same] = np.minimum(n, (position[1:] - position[:-1])[same])
+    return np.bincount(owner, step, n_items).astype(np.int64)
+
+
+def karp_rabin(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(out)].astype(np.uint64)
+    return mix(out)
+
+
 class Block:
-    """Items of one block: vocabulary, words by number, and seeds in hash order."""
+    """Items of one block: vocabulary, words by number, and seeds by run length."""
 
-    def __init__(self, items: list[tuple[int, str | None]], least: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], least: int = LEAST, coverage: float = COVERAGE):
+        self.coverage = coverage
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
+        self.items: list[tuple[int | None, np.ndarray]] = []
         for item_id, text in items:
             words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall((text or "").lower())]
             if words:
-                self.items.append((item_id, words))
-        #: By run length: sorted hashes, and for each the item and position.
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in sorted({min(least, len(w)) for _, w in self.items}):
-            rows = [(h, k, j) for k, (_, w) in enumerate(self.items) if min(least, len(w)) == n for j, h in enumerate(self.runs(np.array(w), n).tolist())]
-            rows.sort()
-            self.seeds[n] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-
-    @staticmethod
-    def runs(words: np.ndarray, n: int) -> np.ndarray:
-        """Karp-Rabin hashes of the runs of n words."""
-        out = np.zeros(max(0, len(words) - n + 1), np.uint64)
-        for k in range(n):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(out)].astype(np.uint64)
-        return mix(out)
-
-    def leaks(self, text: str | None, coverage: float) -> list[tuple[int, float, int, int]]:
-        """(item_id, coverage, tiles, longest tile) of the items that a text holds."""
-        get, zero = self.vocabulary.get, 0
+                self.items.append((item_id, np.array(words, np.int64)))
+        self.lengths = np.array([len(w) for _, w in self.items], np.int64)
+        some = sorted({min(least, n) for n in self.lengths.tolist()})
+        self.seeds = [Seeds([(k, w) for k, (_, w) in enumerate(self.items) if min(least, len(w)) == n], n, self.lengths, coverage) for n in some]
+
+    def leaks(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
+        """(item_id, coverage, tiles, longest tile) of the items that a text holds, in the items' order."""
         words = WORD.findall((text or "").lower())
-        doc = np.fromiter((get(w, zero) for w in words), np.int64, len(words))
-        pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for n, (hashes, items, positions) in self.seeds.items():
-            runs = self.runs(doc, n)
-            first = np.searchsorted(hashes, runs)
-            hit = np.flatnonzero(hashes[np.minimum(first, len(hashes) - 1)] == runs)
-            if not len(hit):
-                continue
-            last = np.searchsorted(hashes, runs[hit], side="right")
-            for i, a, b in zip(hit.tolist(), first[hit].tolist(), last.tolist()):
-                for s in range(a, b):
-                    pairs.setdefault((int(items[s]), n), []).append((i, int(positions[s])))
+        doc = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
         out = []
-        numbers = doc.tolist() if pairs else []
-        for (k, n), starts in sorted(pairs.items()):
-            item_id, item = self.items[k]
-            if len({j for _, j in starts}) + n - 1 < coverage * len(item) and len(starts) * n < coverage * len(item):
-                continue  # not even all seeds together cover enough
-            starts = [(i, j) for i, j in starts if numbers[i : i + n] == item[j : j + n]]
-            found = tiles(numbers, item, n, starts)
-            share = sum(t[2] for t in found) / len(item)
-            if share >= coverage:
-                out.append((item_id, share, len(found), max(t[2] for t in found)))
-        return out
-
-
-def blocks(benchmark: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+        for seeds in self.seeds:
+            runs = karp_rabin(doc, seeds.n)
+            number = np.minimum(np.searchsorted(seeds.hashes, runs), len(seeds.hashes) - 1)
+            places = np.flatnonzero(seeds.hashes[number] == runs)
+            if len(places):
+                out += self.tiled(doc, seeds, number[places], places)
+        out.sort(key=lambda x: x[0])
+        return [(self.items[k][0], *rest) for k, *rest in out]
+
+    def tiled(self, doc: np.ndarray, seeds: Seeds, number: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+        """(item, coverage, tiles, longest tile) of leaking items, given the document's places with seeds of a number."""
+        n, shared = seeds.n, np.unique(number)
+        start, count = seeds.start[shared], seeds.start[shared + 1] - seeds.start[shared]
+        led = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+        owner, position = seeds.owner[led], seeds.position[led]
+        order = np.lexsort((position, owner))
+        candidates, where = np.unique(owner[order], return_inverse=True)
+        bound = covered(where, position[order], n, len(candidates)) + seeds.by_frequent[candidates]
+        order = np.argsort(number, kind="stable")
+        number, places = number[order], places[order]
+        for k in candidates[bound >= self.coverage * self.lengths[candidates]].tolist():
+            own, item = seeds.own[k], self.items[k][1]
+            at = np.flatnonzero(np.isin(own, shared))
+            least_words = self.coverage * len(item)
+            if covered(np.zeros(len(at), np.int64), at, n, 1)[0] < least_words:
+                continue
+            first = np.searchsorted(number, own[at])
+            times = np.searchsorted(number, own[at], side="right") - first
+            found = None
+            if times.sum() <= MOST_PAIRS:
+                i = places[np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())]
+                found = matches((i, np.repeat(at, times)), n)
+                if not all(np.array_equal(doc[a : a + m], item[b : b + m]) for a, b, m in found):
+                    found = None  # hashes that agree by chance
+            tiling = tiles_by_rows(doc, item, n) if found is None else tiles(len(doc), len(item), n, found)
+            words = sum(t[2] for t in tiling)
+            if words >= least_words and tiling:
+                yield k, words / len(item), len(tiling), max(t[2] for t in tiling)
+
+
+def blocks(benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark (item_id, text) in blocks of bounded size, streamed to the driver partition by partition."""
     held, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         n = len(WORD.findall(row["text"] or ""))
         if held and size + n > block_words:
-            yield Block(held, least)
+            yield Block(held, least, coverage)
             held, size = [], 0
         held.append((row["item_id"], row["text"]))
         size += n
     if held:
-        yield Block(held, least)
+        yield Block(held, least, coverage)
 
 
 _LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.IntegerType()), T.StructField("longest", T.IntegerType())])
@@ -135,12 +217,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """One row per (document, item) that leaks: key, item_id, coverage, n_tiles, longest. No shuffle."""
     schema = T.StructType([docs.schema[key], *_LEAK.fields])
     out = None
-    for block in blocks(benchmark, least, block_words):
+    for block in blocks(benchmark, least, coverage, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(k, *leak) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for leak in sent.value.leaks(x, coverage)]
+                rows = [(k, *leak) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for leak in sent.value.leaks(x)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (b.column(0).type, pa.int64(), pa.float64(), pa.int32(), pa.int32()))], names=schema.names)
 
@@ -152,12 +234,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without rows that leak any item; columns stay as they are. No shuffle, one pass per block."""
     at = docs.columns.index(text)
-    for block in blocks(benchmark, least, block_words):
+    for block in blocks(benchmark, least, coverage, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not sent.value.leaks(x, coverage) for x in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not sent.value.leaks(x) for x in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -1,6 +1,8 @@
 """Operators on whole tables against brute force on small fixtures."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -130,14 +132,68 @@ def brute_tiles(doc, item, least):
 
 def test_tiles():
     rng = random.Random(3)
-    for _ in range(60):
-        item = [rng.randrange(6) for _ in range(25)]
-        doc = [rng.randrange(6) for _ in range(40)]
-        cut = rng.randrange(5, 20)
-        doc[10:10] = item[cut:] + [9] + item[:cut]
-        starts = [(i, j) for i in range(len(doc) - 3) for j in range(len(item) - 3) if doc[i : i + 4] == item[j : j + 4]]
-        got, want = decontaminate.tiles(doc, item, 4, starts), brute_tiles(doc, item, 4)
-        assert sorted(t[2] for t in got)[-1] == sorted(t[2] for t in want)[-1] and abs(sum(t[2] for t in got) - sum(t[2] for t in want)) <= 4
+    for k in range(150):
+        kinds = rng.choice((1, 2, 4, 6, 12))
+        item = [rng.randrange(kinds) + 1 for _ in range(rng.choice((5, 12, 25)))]
+        doc = [rng.randrange(kinds) + 1 for _ in range(rng.choice((4, 20, 40)))]
+        cut = rng.randrange(1, len(item))
+        doc[10:10] = item[cut:] + [90] + item[:cut] if k % 3 else []
+        least = rng.choice((2, 4, 5))
+        pairs = [(i, j) for i in range(len(doc) - least + 1) for j in range(len(item) - least + 1) if doc[i : i + least] == item[j : j + least]]
+        want = brute_tiles(doc, item, least)
+        i, j = (np.array(x, int) for x in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+        found = decontaminate.matches((i, j), least) if pairs else []
+        assert decontaminate.tiles(len(doc), len(item), least, found) == want
+        assert decontaminate.tiles_by_rows(np.array(doc), np.array(item), least) == want
+
+
+def brute_leaks(text, items, least, coverage):
+    out, doc = [], re.findall(r"\w+", (text or "").lower())
+    number = {w: k for k, w in enumerate(dict.fromkeys(doc + [w for _, t in items for w in re.findall(r"\w+", (t or "").lower())]))}
+    for item_id, t in items:
+        words = re.findall(r"\w+", (t or "").lower())
+        got = brute_tiles([number[w] for w in doc], [number[w] for w in words], min(least, len(words))) if words else []
+        n = sum(x[2] for x in got)
+        if got and n >= coverage * len(words):
+            out.append((item_id, n / len(words), len(got), max(x[2] for x in got)))
+    return out
+
+
+@pytest.mark.parametrize("frequent,pairs", [(64, 10**6), (1, 10**6), (0, 10**6), (3, 5)])
+def test_leaks_equal_brute_force(monkeypatch, frequent, pairs):
+    """Random items that share phrases, in documents that hold some whole, some in part, some in another order."""
+    monkeypatch.setattr(decontaminate, "FREQUENT", frequent)
+    monkeypatch.setattr(decontaminate, "MOST_PAIRS", pairs)
+    rng = random.Random(8)
+    phrase = "a phrase that all of them share".split()
+    items = []
+    for k in range(30):
+        own = [rng.choice("uvwxyz") + str(rng.randrange(4)) for _ in range(rng.choice((2, 9, 16)))]
+        at = rng.randrange(len(own))
+        items.append((k if k % 7 else None, " ".join([*own[:at], *(phrase if k % 2 else []), *own[at:]])))
+    items += [(50, None), (51, ""), (52, " ".join(phrase * 3)), (53, "a phrase"), (54, items[3][1])]
+    block = decontaminate.Block(items, 4, 0.5)
+    for _ in range(40):
+        parts = [*rng.sample(items[:30], 3), (0, " ".join(phrase * rng.randrange(3)))]
+        words = [w for _, t in parts for w in (lambda x: x[rng.randrange(3) :] if rng.random() < 0.5 else x[len(x) // 2 :] + x[: len(x) // 2])(t.split())]
+        text = " ".join(words)
+        assert block.leaks(text) == brute_leaks(text, items, 4, 0.5)
+    assert block.leaks(None) == block.leaks("") == block.leaks("none of these") == []
+
+
+def test_a_phrase_that_all_items_share_costs_little():
+    rng = random.Random(9)
+    phrase = "this very long phrase here is in all items".split()
+    items = [(k, " ".join([*words(rng, 12), *phrase, *words(rng, 12)])) for k in range(20_000)]
+    block = decontaminate.Block(items)
+    text = " ".join([*words(rng, 600), *phrase, *words(rng, 580), *items[77][1].split(), *phrase])
+    began = time.time()
+    for _ in range(10):
+        assert [x[0] for x in block.leaks(text)] == [77]
+    assert time.time() - began < 1
+    began = time.time()
+    same = decontaminate.Block([(1, "again " * 400), (2, "again " * 399 + "then")]).leaks("again " * 100_000)
+    assert [x[0] for x in same] == [1, 2] and time.time() - began < 60
 
 
 def test_decontaminate(spark):
@@ -147,12 +203,13 @@ def test_decontaminate(spark):
         0: words(rng, 50) + items[0] + words(rng, 9), 1: items[1][15:] + words(rng, 20) + items[1][:15], 2: items[2][:8] + words(rng, 50), 3: words(rng, 80), 4: [w.upper() for w in items[3]], 5: ["a", "tiny", "item"],
     }
     rows = [(k, " ".join(v)) for k, v in docs.items()] + [(8, None), (9, "")]
-    frame = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(items)] + [(20, None)], "item_id long, text string")
-    want = {(0, 0), (1, 1), (4, 3), (5, 6)}
+    frame = spark.createDataFrame([(*r, "clash") for r in [*rows, (None, rows[3][1]), rows[3]]], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(k if k != 3 else None, " ".join(v), "clash") for k, v in enumerate(items)] + [(20, None, None)], "item_id long, text string, coverage string")
+    want = {(0, 0), (1, 1), (4, None), (5, 6)}
     for block in (10, 1 << 20):
         assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench, block_words=block).collect()} == want
-        assert {r.doc_id for r in decontaminate.drop_leaking(frame, bench, block_words=block).collect()} == {2, 3, 8, 9}
+        left = decontaminate.drop_leaking(frame, bench, block_words=block)
+        assert left.columns == frame.columns and sorted((r.doc_id for r in left.collect()), key=repr) == [2, 3, 3, 8, 9, None]
     assert decontaminate.find_leaks(frame, bench.limit(0)).count() == 0 and decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
