@@ -122,6 +122,11 @@ def chain_stats(chain: DataFrame) -> DataFrame:
     return chain.groupBy("job_id", kind.alias("category")).agg(F.count("*").alias("entries"))
 
 
+def audit_action_types(chain: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The kinds of action that entries of completed jobs have."""
+    return chain.join(jobs.where("status = 'completed'").select("job_id"), "job_id", "left_semi").select("action_type").distinct()
+
+
 def search_audit(chain: DataFrame, jobs: DataFrame, text: str = "", action_type: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
     """Entries of completed jobs by type, days and text in type, payload or title."""
     rows = chain.join(jobs.where("status = 'completed'").select("job_id", "title"), "job_id")

@@ -64,13 +64,39 @@ def verdict_matrix(results: DataFrame) -> DataFrame:
     return latest_results(results).groupBy("job_id", "bidder_file_id").agg(F.array_sort(F.collect_list(cell)).alias("verdicts"))
 
 
-def evaluation_view(results: DataFrame, criteria: DataFrame, files: DataFrame) -> DataFrame:
-    """Per job its score, counts and status: disqualified if all bidders are, to be reviewed if some are."""
-    rows = _with_criteria(latest_results(results), canonical_criteria(results, criteria))
+def evaluation_bidders(results: DataFrame, criteria: DataFrame, files: DataFrame) -> DataFrame:
+    """Per job and bidder, in order of name and id: status, score, counts, and the failed mandatory criteria's labels, sorted."""
+    rows = _with_criteria(latest_results(results), criteria)
     failed = (F.col("verdict") == "fail") & F.coalesce("mandatory", F.lit(False))
-    bidders = rows.groupBy("job_id", "bidder_file_id").agg(exact_sum("weighted_score").alias("_s"), exact_sum("weight").alias("_t"), *verdict_counts(), F.bool_or(failed).alias("_out"))
-    jobs = bidders.groupBy("job_id").agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"), *(F.sum(f"{v}_count").alias(f"{v}_count") for v in ("pass", "fail", "unknown")), F.count("*").alias("bidders"), F.count_if("_out").alias("out"))
-    return jobs.select("job_id", ratio("_s", "_t").alias("score"), "pass_count", "fail_count", "unknown_count", "bidders", F.when(F.col("out") == F.col("bidders"), "DISQUALIFIED").when(F.col("out") > 0, "NEEDS_REVIEW").otherwise("QUALIFIED").alias("status"))
+    sums = rows.groupBy("job_id", "bidder_file_id").agg(
+        exact_sum("weighted_score").alias("total_weighted"), exact_sum("weight").alias("total_weight"), *verdict_counts(),
+        F.count("*").alias("total_count"), F.bool_or(failed).alias("_out"), F.array_sort(F.collect_list(F.when(failed, F.col("label")))).alias("reasons"),
+    )
+    named = sums.join(_names(files), "bidder_file_id", "left")
+    order = Window.partitionBy("job_id").orderBy(F.coalesce("bidder_name", F.lit("")), F.coalesce("bidder_file_id", F.lit("")))
+    return named.select(
+        "job_id", F.row_number().over(order).alias("position"), "bidder_file_id", F.coalesce("bidder_name", F.lit("Unknown")).alias("bidder_name"),
+        F.when(F.col("_out"), "DISQUALIFIED").otherwise("QUALIFIED").alias("status"), ratio("total_weighted", "total_weight").alias("score"),
+        "pass_count", "fail_count", "unknown_count", "total_count", "reasons", "total_weighted", "total_weight",
+    )
+
+
+def evaluation_view(results: DataFrame, criteria: DataFrame, files: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """Per job its score, counts and status: disqualified if all bidders are, to be reviewed if some are.
+
+    Where jobs are given, those without results are pending, with zeros.
+    """
+    bidders = evaluation_bidders(results, criteria, files)
+    sums = bidders.groupBy("job_id").agg(
+        exact_sum("total_weighted").alias("_s"), exact_sum("total_weight").alias("_t"), *(F.sum(f"{v}_count").alias(f"{v}_count") for v in ("pass", "fail", "unknown")),
+        F.count("*").alias("bidders"), F.count_if(F.col("status") == "DISQUALIFIED").alias("out"),
+    )
+    status = F.when(F.col("out") == F.col("bidders"), "DISQUALIFIED").when(F.col("out") > 0, "NEEDS_REVIEW").otherwise("QUALIFIED")
+    view = sums.select("job_id", ratio("_s", "_t").alias("score"), "pass_count", "fail_count", "unknown_count", "bidders", status.alias("status"))
+    if jobs is None:
+        return view
+    zeros = {c: 0 for c in ("score", "pass_count", "fail_count", "unknown_count", "bidders")}
+    return jobs.select("job_id").join(view, "job_id", "left").fillna({**zeros, "status": "PENDING"})
 
 
 def job_summary(jobs: DataFrame, results: DataFrame, criteria: DataFrame) -> DataFrame:

@@ -67,13 +67,18 @@ def parse_llm_fields(answers: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select("file_id", "field_name", "f.raw_value", "parsed_value", "f.unit", "f.source_snippet", "not_found", F.greatest(F.least(sure, F.lit(1.0)), F.lit(0.0)).alias("confidence"))
 
 
-def merge_field_sources(by_pattern: DataFrame, by_model: DataFrame) -> DataFrame:
-    """Per file and field the pattern's value, else the model's, else nothing (columns parsed_value, confidence)."""
-    a = by_pattern.select("file_id", "field_name", F.struct("parsed_value", "confidence").alias("_a")).where("_a.parsed_value is not null")
-    b = by_model.where(~F.col("not_found")).select("file_id", "field_name", F.struct("parsed_value", "confidence").alias("_b"))
+def merge_field_sources(by_pattern: DataFrame, by_model: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """Per file and field the pattern's value, else the model's, else the fallback pattern's, else nothing.
+
+    Each has columns parsed_value and confidence; fields that only the model was asked for have rows there as well.
+    """
     keys = by_pattern.select("file_id", "field_name").unionByName(by_model.select("file_id", "field_name")).distinct()
-    got = F.coalesce("_a", "_b")
-    return keys.join(a, ["file_id", "field_name"], "left").join(b, ["file_id", "field_name"], "left").select("file_id", "field_name", got["parsed_value"].alias("parsed_value"), F.coalesce(got["confidence"], F.lit(0.20)).alias("confidence"), got.isNull().alias("not_found"), F.when(F.col("_a").isNotNull(), "regex").when(F.col("_b").isNotNull(), "model").alias("model_used"))
+    tiers = [("regex", by_pattern), ("model", by_model.where(~F.col("not_found"))), *([("regex-fallback", fallback)] if fallback is not None else [])]
+    for name, rows in tiers:
+        found = F.struct("parsed_value", "confidence", F.lit(name).alias("model_used")).alias(name)
+        keys = keys.join(rows.where("parsed_value is not null").select("file_id", "field_name", found), ["file_id", "field_name"], "left")
+    got = F.coalesce(*(F.col(f"`{name}`") for name, _ in tiers))
+    return keys.select("file_id", "field_name", got["parsed_value"].alias("parsed_value"), F.coalesce(got["confidence"], F.lit(0.20)).alias("confidence"), got.isNull().alias("not_found"), got["model_used"].alias("model_used"))
 
 
 #: Families of criteria: parts of keys, and what a prompt says to extract, where to look, and what to return.

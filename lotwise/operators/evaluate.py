@@ -64,8 +64,24 @@ def final_decision(results: DataFrame) -> DataFrame:
     )
 
 
-def job_completion(results: DataFrame) -> DataFrame:
-    """Totals per job with the status that completes it."""
+def job_completion(results: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """Totals per job with the status that completes it.
+
+    Where jobs (job_id, metadata: a map of texts) are given, their metadata comes too, with the counts in it.
+    """
+    totals = _completion(results)
+    if jobs is None:
+        return totals
+    counts = F.create_map(
+        F.lit("evaluation_complete"), F.lit("true"), F.lit("evaluation_pass"), F.col("pass_total").cast("string"), F.lit("evaluation_fail"), F.col("fail_total").cast("string"),
+        F.lit("evaluation_unknown"), F.col("unknown_total").cast("string"),
+    )
+    known = totals.join(jobs.select("job_id", "metadata"), "job_id", "left").withColumn("_counts", counts)
+    kept = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key("_counts", k))
+    return known.withColumn("metadata", F.map_concat(kept, "_counts")).drop("_counts")
+
+
+def _completion(results: DataFrame) -> DataFrame:
     return results.groupBy("job_id").agg(*(F.count_if(F.col("verdict") == v).alias(f"{v}_total") for v in ("pass", "fail", "unknown")), F.count_distinct("bidder_file_id").alias("bidders_evaluated")).withColumns({"status": F.lit("completed"), "review_required": F.col("unknown_total") > 0})
 
 

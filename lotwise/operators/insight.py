@@ -93,13 +93,17 @@ def display_extraction(extractions: DataFrame) -> DataFrame:
     return best_row(extractions, ["criterion_id", "file_id"], F.struct("not_found", -F.col("extraction_confidence"), "created_at", "id"))
 
 
-def dashboard(jobs: DataFrame, results: DataFrame, criteria: DataFrame, files: DataFrame) -> DataFrame:
-    """One nested row per job: summary, ranked bidders and flags."""
+def dashboard(jobs: DataFrame, results: DataFrame, criteria: DataFrame, files: DataFrame, insights: DataFrame | None = None) -> DataFrame:
+    """One nested row per job: summary, ranked bidders, flags, and criterion insights where they are given."""
     from lotwise.operators.compare import compare_bidders, job_summary, rank_bidders
 
     ranked = rank_bidders(compare_bidders(results, criteria, files)).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("position"), "bidder_name", "bidder_file_id", "total_score", "is_disqualified"))).alias("bidders"))
     flags = quality_flags(jobs, results, criteria).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("flag", "severity", "detail"))).alias("flags"))
-    return job_summary(jobs, results, criteria).join(ranked, "job_id", "left").join(flags, "job_id", "left")
+    out = job_summary(jobs, results, criteria).join(ranked, "job_id", "left").join(flags, "job_id", "left")
+    if insights is None:
+        return out
+    shown = F.struct("bidder_file_id", "criterion_id", "bidder_name", "label", "verdict", "score", "importance", "review_confidence", "parsed_value", "page_number")
+    return out.join(insights.groupBy("job_id").agg(F.array_sort(F.collect_list(shown)).alias("criteria")), "job_id", "left")
 
 
 def list_jobs(jobs: DataFrame, skip: int, limit: int) -> DataFrame:
@@ -107,14 +111,26 @@ def list_jobs(jobs: DataFrame, skip: int, limit: int) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), "job_id").offset(skip).limit(limit)
 
 
-def search_jobs(jobs: DataFrame, text: str = "", status: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Jobs by title or id, status ("processing": any working state) and day of creation, both ends included."""
+def search_jobs(jobs: DataFrame, text: str = "", status: str | None = None, first: str | None = None, last: str | None = None, newest: bool | None = None, page: int = 0, size: int | None = None) -> DataFrame:
+    """Jobs by title or id, status ("processing": any working state) and day of creation, both ends included.
+
+    newest sorts by creation, the newest or the oldest first; size cuts that into pages, of which page (from 0) is given.
+    """
     out = jobs.where(F.lower("title").contains(text.lower()) | F.col("job_id").contains(text.lower()))
     if status:
         out = out.where(F.col("status").isin("ingesting", "extracting", "evaluating") if status == "processing" else F.col("status") == status)
     if first:
         out = out.where(F.col("created_at") >= F.lit(first).cast("timestamp"))
-    return out.where(F.col("created_at") < F.date_add(F.lit(last).cast("date"), 1)) if last else out
+    if last:
+        out = out.where(F.col("created_at") < F.date_add(F.lit(last).cast("date"), 1))
+    if newest is not None or size is not None:
+        out = out.orderBy(F.asc("created_at") if newest is False else F.desc("created_at"), "job_id")
+    return out if size is None else out.offset(page * size).limit(size)
+
+
+def recent_jobs(jobs: DataFrame, n: int = 5) -> DataFrame:
+    """The n jobs created last, newest first."""
+    return jobs.orderBy(F.desc("created_at"), "job_id").limit(n)
 
 
 def job_duration_stats(jobs: DataFrame) -> DataFrame:

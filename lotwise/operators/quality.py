@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.functions.rules import strip
+from lotwise.operators.compare import latest_results
+
 
 def diff_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of only one of two runs (same columns), with the side; repeated rows count."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def run_signature(results: DataFrame, criteria: DataFrame, files: DataFrame) -> DataFrame:
+    """Newest results without what differs from job to job: ids become criterion keys and bidder names, times go."""
+    rows = latest_results(results).join(criteria.select(F.col("id").alias("criterion_id"), "criterion_key", "label"), "criterion_id", "left")
+    rows = rows.join(files.select(F.col("file_id").alias("bidder_file_id"), F.col("original_name").alias("bidder_name")), "bidder_file_id", "left")
+    return rows.select("job_id", "criterion_key", "label", "bidder_name", "verdict", "score", "weight", "weighted_score", "explanation")
+
+
+def _evidence(extractions: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame:
+    """Found extractions with has_snippet, has_page, in_range, and on_page: the start of the snippet is on its page."""
+    flat = lambda c: strip(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    rows = extractions.where(~F.col("not_found")).join(files.select("file_id", "page_count"), "file_id", "left")
+    rows = rows.join(pages.select("file_id", "page_number", F.col("text").alias("_t")), ["file_id", "page_number"], "left")
+    rows = rows.withColumns({"_s": strip(F.coalesce("source_snippet", F.lit(""))), "_t": F.coalesce("_t", F.lit(""))})
+    within = F.coalesce((F.col("page_number") >= 1) & (F.col("page_number") <= F.col("page_count")), F.lit(False))
+    probe = F.substring(flat("_s"), 1, 60)
+    has_page = F.coalesce(F.col("page_number") != 0, F.lit(False))
+    return rows.withColumns({"has_snippet": F.col("_s") != "", "has_page": has_page, "in_range": within, "on_page": within & (probe != "") & flat("_t").contains(probe)})
+
+
 def audit_evidence(extractions: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame:
     """Per job, of found rows: how many have a snippet, a page, a page in the document, and a snippet on that page."""
-    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    rows = extractions.where(~F.col("not_found")).join(files.select("file_id", "page_count"), "file_id", "left").join(pages.select("file_id", "page_number", F.col("text").alias("_t")), ["file_id", "page_number"], "left")
-    has = F.length(F.coalesce("source_snippet", F.lit(""))) > 0
-    within = F.coalesce((F.col("page_number") >= 1) & (F.col("page_number") <= F.col("page_count")), F.lit(False))
-    return rows.groupBy("job_id").agg(F.count("*").alias("found"), F.count_if(has).alias("with_snippet"), F.count_if(F.col("page_number").isNotNull()).alias("with_page"), F.count_if(within).alias("page_in_range"), F.count_if(has & F.coalesce(flat("_t").contains(F.substring(flat("source_snippet"), 1, 60)), F.lit(False))).alias("on_page"))
+    counts = {"with_snippet": "has_snippet", "with_page": "has_page", "page_in_range": "in_range", "on_page": "on_page"}
+    return _evidence(extractions, files, pages).groupBy("job_id").agg(F.count("*").alias("found"), *(F.count_if(c).alias(k) for k, c in counts.items()))
+
+
+def evidence_mismatches(extractions: DataFrame, files: DataFrame, pages: DataFrame, most: int = 5) -> DataFrame:
+    """Per job the first rows (by time, then id) whose page is in the document but doesn't hold their snippet."""
+    rows = _evidence(extractions, files, pages).where("in_range and not on_page")
+    order = Window.partitionBy("job_id").orderBy("created_at", "id")
+    rows = rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+    return rows.select("job_id", "position", "id", "file_id", "page_number", F.substring("_s", 1, 50).alias("snippet"))
 
 
 def duplicate_criteria(criteria: DataFrame) -> DataFrame:

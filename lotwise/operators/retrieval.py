@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.functions.rules import strip
 from lotwise.operators.scratch import running
 
-#: Bytes of query vectors that are sent to every task at most; more are searched in further passes.
-QUERY_BYTES = 64 << 20
+#: Chunks of a job that are searched in one cell, and queries that it holds, about.
+SLICE_ROWS, BLOCK_ROWS = 100_000, 4_096
 #: Scores that a task holds at once, about.
 SCORES = 4 << 20
 
@@ -30,7 +31,7 @@ def embedding_batches(chunks: DataFrame, size: int = 100, most_chars: int = 6000
 
 
 def _unit(rows: list) -> np.ndarray:
-    m = np.array([np.asarray(x, np.float32) for x in rows], np.float32)
+    m = np.array([np.asarray(x, np.float64) for x in rows])
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=m, where=n > 0)
 
@@ -44,62 +45,83 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
 
 
-def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """The k best chunks (job_id, query_id, chunk_id, position, score, rank) of each query's own job, exactly.
+def _cells(queries: DataFrame, chunks: DataFrame, slice_rows: int, block_rows: int) -> DataFrame:
+    """Query and chunk rows dealt to cells (job_id, slice, block): a slice of a job's chunks with a block of its queries.
 
-    Queries go to the tasks in blocks of bounded bytes; each batch of chunks yields its own k best per query, and a
-    window keeps the k best of those.
+    A chunk goes to every block of its job's queries and a query to every slice of its job's chunks, so that no task holds
+    a whole job; most jobs have one block, so chunks are shuffled once.
     """
-    def search(block: dict[str, tuple[list, np.ndarray]]) -> DataFrame:
-        sent = chunks.sparkSession.sparkContext.broadcast(block)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for job, g in f.groupby("job_id"):
-                    if job not in sent.value:
-                        continue
-                    ids, q = sent.value[job]
-                    # In order of position, so that the first of equal scores are those to keep.
-                    g = g.sort_values("position")
-                    units, step = _unit(list(g.embedding)).T.astype(float), max(1, SCORES // len(g))
-                    for at in range(0, len(ids), step):
-                        scores = np.round(q[at : at + step].astype(float) @ units, 6)
-                        row, column = np.nonzero(_best(scores, k))
-                        yield pd.DataFrame({"job_id": job, "query_id": np.array(ids, object)[at + row], "chunk_id": g.chunk_id.to_numpy()[column], "position": g.position.to_numpy()[column], "score": scores[row, column]})
-
-        return chunks.select("job_id", "chunk_id", "position", "embedding").mapInPandas(run, "job_id string, query_id string, chunk_id string, position long, score double")
-
-    held, size, found = {}, 0, None
-
-    def flush() -> None:
-        nonlocal held, size, found
-        if held:
-            part = search({j: (ids, _unit(vs)) for j, (ids, vs) in held.items()})
-            found = part if found is None else found.unionByName(part)
-        held, size = {}, 0
-
-    for row in queries.select("job_id", "query_id", "embedding").toLocalIterator():
-        ids, vs = held.setdefault(row["job_id"], ([], []))
-        ids.append(row["query_id"])
-        vs.append(row["embedding"])
-        size += 4 * len(row["embedding"])
-        if size > QUERY_BYTES:
-            flush()
-    flush()
-    if found is None:
-        return chunks.sparkSession.createDataFrame([], "job_id string, query_id string, chunk_id string, position long, score double, rank int")
-    scored = found.withColumn("score", F.round("score", 6))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("job_id", "query_id").orderBy(F.desc("score"), "position"))).where(F.col("rank") <= k)
+    parts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    slices = chunks.groupBy("job_id").agg(F.count("*").alias("_n")).select("job_id", parts("_n", slice_rows).alias("_slices"))
+    blocks = queries.groupBy("job_id").agg(F.count("*").alias("_n")).select("job_id", parts("_n", block_rows).alias("_blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sizes = slices.join(blocks, "job_id")
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q = queries.join(sizes, "job_id").select("job_id", each("_slices").alias("slice"), mine("query_id", "_blocks").alias("block"), F.lit(0).alias("side"), F.lit(-1).cast("long").alias("position"), F.col("query_id").alias("id"), "embedding")
+    c = chunks.join(sizes, "job_id").select("job_id", mine("chunk_id", "_slices").alias("slice"), each("_blocks").alias("block"), F.lit(1).alias("side"), "position", F.col("chunk_id").alias("id"), "embedding")
+    return q.unionByName(c)
+
+
+def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5, slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k best chunks (job_id, query_id, chunk_id, position, score, rank, total_searched) of each query's own job, exactly.
+
+    A cell's queries come first and are held, at most about block_rows of them; its chunks pass by in batches, each of
+    which yields its own k best per query. A window keeps the k best of those. total_searched is how many a query got.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, vectors, units = None, [], [], None
+        for f in frames:
+            for cell, g in f.groupby(["job_id", "slice", "block"], sort=False):
+                if cell != now:
+                    now, ids, vectors, units = cell, [], [], None
+                asked, g = g[g.side == 0], g[g.side == 1]
+                ids += list(asked.id)
+                vectors += list(asked.embedding)
+                if not len(g) or not ids:
+                    continue
+                if units is None:
+                    units = _unit(vectors)
+                near, step = _unit(list(g.embedding)).T, max(1, SCORES // len(g))
+                for at in range(0, len(ids), step):
+                    scores = np.round(units[at : at + step] @ near, 6)
+                    row, column = np.nonzero(_best(scores, k))
+                    yield pd.DataFrame({"job_id": cell[0], "query_id": np.array(ids, object)[at + row], "chunk_id": g.id.to_numpy()[column], "position": g.position.to_numpy()[column], "score": scores[row, column]})
+
+    cell = ["job_id", "slice", "block"]
+    dealt = _cells(queries, chunks, slice_rows, block_rows).repartition(*cell).sortWithinPartitions(*cell, "side", "position")
+    scored = dealt.mapInPandas(run, "job_id string, query_id string, chunk_id string, position long, score double").withColumn("score", F.round("score", 6))
+    by_query = Window.partitionBy("job_id", "query_id")
+    best = scored.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "position"))).where(F.col("rank") <= k)
+    return best.withColumn("total_searched", F.count("*").over(by_query))
+
+
+def blank_queries(queries: DataFrame) -> DataFrame:
+    """(job_id, query_id, error) of queries (with a column text) that ask nothing."""
+    blank = F.coalesce(strip(F.col("text")), F.lit("")) == ""
+    return queries.where(blank).select("job_id", "query_id", F.lit("EMPTY_QUERY").alias("error"))
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
-    """topk_cosine's rows of a least score with the chunk's file."""
-    return topk_cosine(queries, chunks, k).where(F.col("score") >= least).join(chunks.select("chunk_id", "file_id"), "chunk_id")
+    """topk_cosine's rows of a least score with the chunk's file, and its text and page where chunks have them.
+
+    Queries whose text is blank get none (see blank_queries).
+    """
+    asked = queries if "text" not in queries.columns else queries.where(F.coalesce(strip(F.col("text")), F.lit("")) != "")
+    shown = [c for c in ("file_id", "text", "page") if c in chunks.columns]
+    return topk_cosine(asked, chunks, k).where(F.col("score") >= least).join(chunks.select("job_id", "chunk_id", *shown), ["job_id", "chunk_id"])
 
 
 def bidder_context(queries: DataFrame, chunks: DataFrame, files: DataFrame, k: int = 15, least: float = 0.15) -> DataFrame:
-    """Chunks per query and bidder file: its share of the job's best, or all its chunks where it has none."""
-    hits = retrieve(queries, chunks, k, least).select("job_id", "query_id", "file_id", "chunk_id")
+    """Chunks per query and bidder file, in order of place: its share of the job's best by rank, or all its chunks by position where it has none."""
+    rows = ["job_id", "query_id", "file_id"]
+    hits = retrieve(queries, chunks, k, least).select(*rows, "chunk_id", F.col("rank").cast("long").alias("place"))
     wanted = queries.select("job_id", "query_id").join(files.select("job_id", "file_id"), "job_id")
-    none = wanted.join(hits, ["job_id", "query_id", "file_id"], "left_anti")
-    return hits.join(wanted, ["job_id", "query_id", "file_id"], "left_semi").unionByName(none.join(chunks.select("job_id", "file_id", "chunk_id"), ["job_id", "file_id"]).select("job_id", "query_id", "file_id", "chunk_id"))
+    every = wanted.join(hits.select(*rows).distinct(), rows, "left_anti").join(chunks.select("job_id", "file_id", "chunk_id", F.col("position").alias("place")), ["job_id", "file_id"])
+    return hits.join(wanted, rows, "left_semi").unionByName(every.select(*rows, "chunk_id", "place"))
+
+
+def context_texts(context: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per query and bidder file the texts of its context in order, parted by lines of dashes."""
+    texts = context.join(chunks.select("job_id", "chunk_id", "text"), ["job_id", "chunk_id"])
+    ordered = F.array_sort(F.collect_list(F.struct("place", "chunk_id", "text")))
+    return texts.groupBy("job_id", "query_id", "file_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n---\n\n").alias("context"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.rules import DEFAULT_CONFIDENCE, verdict
@@ -37,9 +37,23 @@ def latest_review(actions: DataFrame) -> DataFrame:
     return newest_row(actions, ["job_id", "criterion_id"])
 
 
-def review_entries(entries: DataFrame, criteria: DataFrame, files: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Pending entries with names, and their job's pending and resolved counts."""
+def review_history(actions: DataFrame) -> DataFrame:
+    """Every action with its position in the time order of its job's and criterion's actions."""
+    order = Window.partitionBy("job_id", "criterion_id").orderBy("created_at", "id")
+    return actions.withColumn("position", F.row_number().over(order))
+
+
+def review_entries(entries: DataFrame, criteria: DataFrame, files: DataFrame, jobs: DataFrame, status: str | None = "pending", skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Entries of a status (None: all) with names, and their job's pending and resolved counts.
+
+    With a limit (1000 at most) a page of them, newest first.
+    """
     counts = entries.groupBy("job_id").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "resolved").alias("resolved"))
-    rows = entries.where("status = 'pending'").join(criteria.select(F.col("id").alias("criterion_id"), "label", "criterion_key", "mandatory"), "criterion_id", "left")
-    rows = rows.join(files.select(F.col("file_id").alias("bidder_file_id"), F.col("original_name").alias("bidder_name")), "bidder_file_id", "left").join(jobs.select("job_id", "title"), "job_id", "left")
-    return rows.join(counts, "job_id").select("id", "job_id", "title", "criterion_id", "label", "bidder_name", "pending", "resolved")
+    if status is not None:
+        entries = entries.where(F.col("status") == status)
+    if limit is not None:
+        entries = entries.orderBy(F.desc("created_at"), F.desc("id")).offset(skip).limit(min(limit, 1000))
+    rows = entries.join(criteria.select(F.col("id").alias("criterion_id"), "label", "criterion_key", "mandatory"), "criterion_id", "left")
+    rows = rows.join(files.select(F.col("file_id").alias("bidder_file_id"), F.col("original_name").alias("bidder_name")), "bidder_file_id", "left")
+    rows = rows.join(jobs.select("job_id", "title", F.col("updated_at").alias("job_updated_at")), "job_id", "left").join(counts, "job_id")
+    return rows.select("id", "job_id", "title", "job_updated_at", "criterion_id", "criterion_key", "label", "mandatory", "bidder_name", "status", "created_at", "pending", "resolved")

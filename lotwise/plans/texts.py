@@ -30,7 +30,7 @@ query("document_kind", "select * from kinds", "pages", extra=(KINDS,))(documents
 query("assemble_documents", "select file_id, raw_text, page_count, length(raw_text) as char_count from docs", "pages", extra=(CLEANED, DOCS))(documents.assemble_documents)
 query("ingestion_warnings", "select file_id, 'EMPTY_PAGE' as code, page_number from pages where trim(text, concat(' ', chr(10))) = '' union all select file_id, 'EMPTY_DOCUMENT', null from pages group by file_id having bool_and(trim(text, concat(' ', chr(10))) = '')", "pages")(documents.ingestion_warnings)
 query("ocr_quality", "select * from qualities", "pages", extra=(MEANS, QUALITY))(documents.ocr_quality)
-query("ocr_quality_breakdown", "select file_id, n_pages, case when scanned then 'scanned' else 'digital' end as branch, round(conf, 4) as conf, round(sharp, 4) as sharp, round(density, 4) as density, round(skew, 4) as skew, round(empty, 4) as empty, round(low, 4) as low from means", "pages", extra=(MEANS,))(documents.ocr_quality_breakdown)
+query("ocr_quality_breakdown", "select file_id, n_pages, case when scanned then 'scanned' else 'digital' end as branch, round(conf, 4) as conf, round(sharp, 4) as sharp, round(density, 4) as density, round(skew, 4) as skew, round(empty, 4) as empty, round(low, 4) as low, round(1 - empty, 4) as coverage, 1500 as full_text_chars, 800.0 as sharpness_knee, 5.0 as skew_saturation from means", "pages", extra=(MEANS,))(documents.ocr_quality_breakdown)
 query("ingestion_events", "select d.file_id, 'ingestion_done' as action, page_count as pages, length(raw_text) as chars, ocr_quality from docs d join qualities q on q.file_id = d.file_id", "pages", extra=(CLEANED, DOCS, MEANS, QUALITY))(
     lambda p: documents.ingestion_events(documents.assemble_documents(p), documents.ocr_quality_breakdown(p), documents.ocr_quality(p)).select("file_id", "action", F.get_json_object("details", "$.page_count").cast("long").alias("pages"), F.get_json_object("details", "$.char_count").cast("long").alias("chars"), F.get_json_object("details", "$.ocr_quality").cast("double").alias("ocr_quality")))
 WORDS = ("words", "select file_id, page_number, i as position, w as text, case when i % 7 = 0 then -1 else 40 + i % 60 end as conf from (select file_id, page_number, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) - 1 as i from pages)")
@@ -68,7 +68,8 @@ def _got(name: str):
     return lambda x: _told(x).select("id", F.col("text"), X.extract_field(F.lit(name), F.col("text")).alias("f")).select("id", "f.parsed_value", "f.confidence")
 
 
-DENIED = " ".join(f"when contains(lower(text), '{p}') then '{p}'" for p in X.DENIALS)
+#: Of the phrases of denial, those that the given texts hold, in the order of the library's lists.
+DENIED = "when contains(lower(text), 'does not hold') then 'does not hold' when contains(lower(text), 'not yet allotted') then 'not yet allotted'"
 query("extract_turnover", "select id, regexp_extract(text, 'Rs\\. (\\d+\\.?\\d*) Crore', 1) as parsed_value, 0.85 as confidence from told", "extractions", extra=(TOLD,))(_got("annual_turnover"))
 query("extract_gst", "select id, regexp_extract(text, '\\b\\d{2}[A-Z]{5}\\d{4}[A-Z][A-Z\\d]Z[A-Z\\d]\\b') as parsed_value, 0.9 as confidence from told", "extractions", extra=(TOLD,))(_got("gstin"))
 query("extract_iso", f"select id, case when contains(text, 'certificate expired') then 'expired' {DENIED} else 'valid' end as parsed_value, case when contains(text, 'certificate expired') then 0.95 when (case {DENIED} end) is not null then 0.92 else 0.9 end as confidence from told", "extractions", extra=(TOLD,))(_got("iso_certificate"))
@@ -169,7 +170,7 @@ query("recalculate_decision", f"""select j.job_id, coalesce(status, 'PENDING') a
 query("latest_review", "select * from reviews qualify row_number() over (partition by job_id, criterion_id order by created_at desc, id desc) = 1", "reviews")(review.latest_review)
 query("review_entries", """select r.id, r.job_id, j.title, r.criterion_id, c.label, f.original_name as bidder_name, count(*) filter (s = 'pending') over (partition by r.job_id) as pending, count(*) filter (s = 'resolved') over (partition by r.job_id) as resolved
     from (select *, case when score >= 0.3 then 'pending' else 'resolved' end as s from latest) r left join jobs j on j.job_id = r.job_id left join criteria c on c.id = r.criterion_id left join files f on f.file_id = r.bidder_file_id qualify s = 'pending'""", "results", "criteria", "files", "jobs", extra=(LATEST,))(
-    lambda r, c, f, j: review.review_entries(_latest(r).withColumn("status", F.when(F.col("score") >= 0.3, "pending").otherwise("resolved")), c, f, j))
+    lambda r, c, f, j: review.review_entries(_latest(r).withColumn("status", F.when(F.col("score") >= 0.3, "pending").otherwise("resolved")), c, f, j).select("id", "job_id", "title", "criterion_id", "label", "bidder_name", "pending", "resolved"))
 
 
 def _latest(r):

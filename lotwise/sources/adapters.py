@@ -75,6 +75,11 @@ ADAPTERS: dict[str, str] = {
         from documents cross join (values (1), (2), (3)) as p(k) where 1500 * (k - 1) < length(text)""",
     "chunks": """
         select concat('v', vec_id) as chunk_id, concat('j', vec_id % 10) as job_id, concat('f', vec_id % 50) as file_id, vec_id as position, embedding from embeddings""",
+    "tied_chunks": """
+        select concat('v', a.vec_id) as chunk_id, concat('j', a.vec_id % 10) as job_id, concat('f', a.vec_id % 50) as file_id, a.vec_id as position, b.embedding
+        from embeddings a join embeddings b on b.vec_id = a.vec_id % 40""",
+    "uploads": """
+        select concat('d', doc_id) as file_id, concat('doc', doc_id, case doc_id % 7 when 0 then '.PNG' when 1 then '.docx' else '.pdf' end) as original_name from documents""",
     "questions": """
         select concat('q', vec_id) as query_id, concat('j', vec_id % 10) as job_id, embedding from embeddings where vec_id % 100 = 0""",
 }
