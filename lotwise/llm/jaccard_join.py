@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -261,45 +261,66 @@ def cell_links(sets: list[np.ndarray], blocks: np.ndarray, across: bool, thresho
     return np.concatenate(a), np.concatenate(b)
 
 
-def cells_of(groups: DataFrame, scratch: Scratch, threshold: float, block_shingles: int, block_sets: int) -> DataFrame:
-    """(rep, root, low, i, high, j, side): the cells in which each set of groups (rep, root, n) is compared.
+def places_of(groups: DataFrame, scratch: Scratch, threshold: float, block_shingles: int, block_sets: int) -> DataFrame:
+    """(rep, row_key, root, class, block, below, own, above): where each set of groups (rep, row_key, root, n) is compared.
 
     A group of at most one block is one cell. A larger one is cut into classes of size, a factor of 1 / threshold each, and
-    those into blocks. As linked sets are at most one class apart, cell (low, i, high, j) compares block i of a class with
-    block j of the same class or of the next one; sets of side 0 are of block i, those of side 1 of block j.
+    those into blocks; below, own and above are the numbers of blocks of the class beneath, of the set's own and of the next
+    one, as linked sets are at most one class apart.
     """
     weight = F.greatest("n", F.lit(max(1, block_shingles // block_sets)))
     whole = scratch.save(with_totals(groups, "root", groups.count(), _weight=F.sum(weight)), "group-weights")
-    zero = [F.lit(0).alias(x) for x in ("low", "i", "high", "j", "side")]
-    small = whole.where(F.col("_weight") <= block_shingles).select("rep", "root", *zero)
-    large = whole.where(F.col("_weight") > block_shingles).select("rep", "root", weight.alias("_weight"), F.floor(F.log("n") / -math.log(threshold)).cast("int").alias("class"))
+    fits = F.col("_weight") <= block_shingles
+    counts = {"class": 0, "block": 0, "below": 0, "own": 1, "above": 0}
+    small = whole.where(fits).select("rep", "row_key", "root", *(F.lit(v).alias(k) for k, v in counts.items()))
+    large = whole.where(~fits).select("rep", "row_key", "root", weight.alias("_weight"), F.floor(F.log("n") / -math.log(threshold)).cast("int").alias("class"))
     n_large = large.count()
     if not n_large:
         return small
-    own = with_totals(large.withColumn("_of", F.struct("root", "class")), "_of", n_large, blocks=F.ceil(F.sum("_weight") / block_shingles).cast("int"))
-    own = scratch.save(own.select("rep", "root", "class", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")), "blocks")
-    step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")
-    met = own.select("*", step).withColumn("_of", F.struct("root", (F.col("class") + F.col("step")).alias("class")))
-    met = with_totals(met, "_of", 3 * n_large, others=F.max(F.when(F.col("step") == 0, F.col("blocks")))).where("others is not null")
-    pairs = met.select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
-    first = (F.col("step") == 1) | ((F.col("step") == 0) & (F.col("block") <= F.col("other")))
-    i, j = F.when(first, F.col("block")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("block"))
-    low, high = F.least("class", F.col("class") + F.col("step")), F.greatest("class", F.col("class") + F.col("step"))
-    return small.unionByName(pairs.select("rep", "root", low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), F.when(first, 0).otherwise(1).alias("side")))
+    own = with_totals(large.withColumn("_of", F.struct("root", "class")), "_of", n_large, own=F.ceil(F.sum("_weight") / block_shingles).cast("int"))
+    own = scratch.save(own.drop("_of", "_weight").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int")), "blocks")
+    near = own.select("rep", "own", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), "root", "class")
+    near = near.withColumn("_of", F.struct("root", (F.col("class") + F.col("step")).alias("class")))
+    near = with_totals(near, "_of", 3 * n_large, blocks=F.max(F.when(F.col("step") == 0, F.col("own"))))
+    sides = near.groupBy("rep").agg(*(F.coalesce(F.max(F.when(F.col("step") == k, F.col("blocks"))), F.lit(0)).alias(name) for k, name in ((-1, "below"), (1, "above"))))
+    return small.unionByName(own.join(sides, "rep").select(small.columns))
+
+
+def cells() -> Column:
+    """The cells of a set's place: struct(low, i, high, j, side).
+
+    Cell (low, i, high, j) compares block i of class low with block j of class high, the same class or the next one; sets
+    of side 0 are of block i, those of side 1 of block j.
+    """
+    kind, block = F.col("class"), F.col("block")
+
+    def each(n: str, low: Column, high: Column, first: Callable[[Column], Column]) -> Column:
+        def cell(other: Column) -> Column:
+            is_first = first(other)
+            i, j = F.when(is_first, block).otherwise(other), F.when(is_first, other).otherwise(block)
+            return F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), F.when(is_first, 0).otherwise(1).alias("side"))
+
+        some = F.transform(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), cell)
+        return F.filter(some, lambda x: F.col(n) > 0)
+
+    return F.concat(each("below", kind - 1, kind, lambda o: F.lit(False)), each("own", kind, kind, lambda o: block <= o), each("above", kind, kind + 1, lambda o: F.lit(True)))
 
 
 def verify(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """(rep, links, linked_to) rows from comparing all pairs within groups (rep, root, n), exactly.
+    """(rep, links, linked_to) rows from comparing all pairs within groups (rep, row_key, root, n), exactly.
 
-    texts (rep, text) has one text of each set. A set has a row for each cell in which it has links; linked_to is the
-    smallest set of its part of the cell.
+    texts (row_key, text) has each set's text once. Texts and places meet in one shuffle, sets and their cells in the next.
+    A set has a row for each cell in which it has links; linked_to is the smallest set of its part of the cell.
     """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, words).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["rep", "set"])
+            made = pa.array([shingles(x, words).tobytes() for x in b.column(b.num_columns - 1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*b.schema.names[:-1], "set"])
 
-    made = texts.select("rep", "text").mapInArrow(sets, "rep long, set binary")
-    cells = made.join(cells_of(groups, scratch, threshold, block_shingles, block_sets), "rep")
+    placed = texts.join(places_of(groups, scratch, threshold, block_shingles, block_sets), "row_key")
+    columns = ("rep long", "root long", "class int", "block int", "below int", "own int", "above int")
+    made = placed.select(*(c.split()[0] for c in columns), "text").mapInArrow(sets, ", ".join(columns) + ", set binary")
+    met = made.select("rep", "root", "set", F.explode(cells()).alias("_cell")).select("rep", "root", "set", "_cell.*")
 
     def one(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         if len(rows) < 2:
@@ -328,7 +349,7 @@ def verify(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int = W
             yield _links(out)
 
     cell = ["root", "low", "i", "high", "j"]
-    dealt = cells.select(*cell, "rep", "side", "set").repartition(*cell).sortWithinPartitions(*cell, "rep")
+    dealt = met.select(*cell, "rep", "side", "set").repartition(*cell).sortWithinPartitions(*cell, "rep")
     return dealt.mapInArrow(run, "rep long, links long, linked_to long")
 
 
@@ -349,9 +370,9 @@ def judged(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "
     edges = candidate_edges(sets.select("rep", "minhashes"), scratch, threshold, recall)
     met = components(edges, scratch, "met").select(F.col("node").alias("rep"), "root")
     groups = scratch.save(met.join(sets.select("rep", "n", "row_key"), "rep"), "groups")
-    rows = docs.select(row_key(key, text).alias("row_key"), F.col(text).alias("text"))
-    texts = rows.join(groups.select("rep", "row_key"), "row_key").select("rep", "text").dropDuplicates(["rep"])
-    links = scratch.save(verify(texts, groups.select("rep", "root", "n"), scratch, words, threshold), "links")
+    # Repeats are merged before the shuffle; the join then keeps its partitioning.
+    texts = docs.select(row_key(key, text).alias("row_key"), F.col(text).alias("text")).dropDuplicates(["row_key"])
+    links = scratch.save(verify(texts, groups, scratch, words, threshold), "links")
     roots = components(links.select(F.col("rep").alias("a"), F.col("linked_to").alias("b")), scratch, "linked").select(F.col("node").alias("rep"), "root")
     found = links.groupBy("rep").agg(F.sum("links").alias("n_links")).join(roots, "rep", "left")
     placed = sets.select("rep", "copy_of").join(found, "rep", "left").select("rep", "copy_of", F.coalesce("root", "rep").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
