@@ -129,6 +129,6 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: token ids of every document that is left."""
+    """Last pipeline stage: doc_id, n_tokens and ids of every document that is left; texts and other columns end here."""
     encoded = encode(docs.select("doc_id", "text"), *vocabulary())
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

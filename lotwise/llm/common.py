@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,11 +42,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self) -> None:
+        """Delete all tables, once what was made of them has been written."""
+        self.drop("")
 
 
 # ---- vectorised word hashing over one text's bytes -------------------------------------------------------------------
@@ -79,24 +84,36 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
+def word_blocks(data: bytes, block: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Where a text's blocks start and end: of `block` bytes, and on to the next white space, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + block)
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        yield at, end
+        at = end
+
+
+def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a block's bytes start and stop."""
+    inside = ~_SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(data: bytes, block: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each word between ASCII white space, in order; equal words have equal hashes in any process.
 
     Polynomial hashes come from prefix sums modulo 2**64, then the finaliser and the word's length. Texts of any length
     are cut only where white space is, into blocks, so that memory stays bounded; the block size changes no hash.
     """
-    out, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + block)
-        while end < len(data) and not _SPACE[data[end]]:
-            end += 1
+    out = []
+    for at, end in word_blocks(data, block):
         raw = np.frombuffer(data, np.uint8, end - at, at)
-        at = end
-        inside = ~_SPACE[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-        if not len(edge):
+        start, stop = word_edges(raw)
+        if not len(start):
             continue
-        start, stop = edge[::2], edge[1::2]
         power, inverse = _tables(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])

@@ -370,6 +370,7 @@ def judged(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "
     edges = candidate_edges(sets.select("rep", "minhashes"), scratch, threshold, recall)
     met = components(edges, scratch, "met").select(F.col("node").alias("rep"), "root")
     groups = scratch.save(met.join(sets.select("rep", "n", "row_key"), "rep"), "groups")
+    scratch.drop(*(f"{name}-{level}" for name in ("split", "nodes", "crowds") for level in range(1, DEPTH + 1)))
     # Repeats are merged before the shuffle; the join then keeps its partitioning.
     texts = docs.select(row_key(key, text).alias("row_key"), F.col(text).alias("text")).dropDuplicates(["row_key"])
     links = scratch.save(verify(texts, groups, scratch, words, threshold), "links")

@@ -2,17 +2,21 @@
 
 Offline, once per vocabulary and worker, every vocabulary string that is one whole pre-token is encoded by the library;
 those that come back as exactly one token are proven to count 1. A text is cut into pre-tokens, matching ones are
-counted directly, and only the distinct rest is merged by the library. Texts with characters outside `_PLAIN` (where two
-regex engines' Unicode tables might disagree) are counted by the library as a whole, so results never differ from it.
+counted directly, and only the distinct rest is merged by the library. Stretches with characters outside `_PLAIN` (where
+two regex engines' Unicode tables might disagree) are cut out between a letter or digit and a space of ASCII, which no
+pre-token spans, and counted by the library, so results never differ from it.
 
 Null counts as an empty text; empty texts have 0 tokens; special strings inside texts are handled as the library does by
-default (one token each). Extra columns are dropped, except the key.
+default (one token each). Texts of any length are counted whole, in pieces of bounded length unless a single pre-token is
+longer. Rows that repeat, in key or text, give a row each; an empty table gives no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +30,7 @@ from lotwise.llm.common import read_table
 
 #: ASCII, Latin-1, Latin Extended-A/B, Greek, Cyrillic, common punctuation, symbols and CJK: old blocks whose classes no table disputes.
 _PLAIN = regex.compile(r"[\x00-\x7F\xA0-ɁΑ-ΡΣ-ώА-я‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥]*+")
+_BETWEEN_WORDS = re.compile(r"(?<=[A-Za-z0-9])(?= )")
 #: Merged pre-tokens that one worker remembers at most; forgetting some only costs time.
 REMEMBERED = 500_000
 
@@ -95,14 +100,31 @@ class Counts:
             total += sum(n * self.merged[t] for t, n in seen.items())
         return total
 
+    def count_part(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        if _PLAIN.fullmatch(text):
+            return self.count_plain(text)
+        total = 0
+        for plain, pieces in itertools.groupby(_BETWEEN_WORDS.split(text), lambda x: _PLAIN.fullmatch(x) is not None):
+            stretch = "".join(pieces)
+            total += self.count_plain(stretch) if plain else sum(len(self.library.encode(x, add_special_tokens=False)) for x in safe_words(stretch))
+        return total
+
     def count(self, text: str | None) -> int:
         """Tokens of one text, as the library counts them without begin and end tokens."""
         text = text or ""
-        if _PLAIN.fullmatch(text) is None:
-            return len(self.library.encode(text, add_special_tokens=False))
         if self.cut is None or not any(s in text for s in self.special):
-            return self.count_plain(text)
-        return len(self.cut.findall(text)) + sum(self.count_plain(x) for x in self.cut.split(text))
+            return self.count_part(text)
+        return len(self.cut.findall(text)) + sum(map(self.count_part, self.cut.split(text)))
+
+
+def safe_words(text: str, most: int = 50_000) -> Iterator[str]:
+    """Pieces of at most about `most` characters, cut where _BETWEEN_WORDS is."""
+    at = 0
+    while len(text) - at > most and (m := _BETWEEN_WORDS.search(text, at + most)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 @functools.lru_cache(maxsize=4)
