@@ -2,12 +2,14 @@
 
 Indicators of n-grams (bytes, and word shapes that mark a word equal to the one before) are hashed into 2**18 buckets and
 scaled by the log ratio of their smoothed class counts; a linear hinge-loss model on the scaled, length-normalised
-indicators is fitted by dual coordinate descent. Training uses at most `SAMPLE` labelled rows of each class, those of the
-smallest hash of their key; every row of the table is scored, whole.
-
-Only the text is an input of a score. Null and empty texts have no n-grams: their score is that of the model's bias. Null
-labels and labels without a document are ignored; with one class only, every score is that class. Repeated rows get equal
-scores; an empty table gives no rows; extra columns are kept by score().
+indicators is fitted by dual coordinate descent. Training uses at most `SAMPLE` different labelled rows of each class, those
+of the smallest hash of their key, and of these as many as have `SAMPLE_BUCKETS` indicators in all; every row of the table
+is scored, whole, and so is every training text read.
+
+Only the text is an input of a score. Null and empty texts have no n-grams: their score is that of the model's bias. Very
+long texts are read in blocks whose edges lose no n-gram. Null labels and labels without a document are ignored; a document
+with both labels counts for both; with one class only, every score is that class. Rows that repeat a doc_id and a text
+count once in the fit and get equal scores; an empty table gives no rows; extra columns are kept by score().
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.llm.common import _SPACE, mix, read_table, word_hashes
+from lotwise.llm.common import mix, read_table, word_blocks, word_edges, word_hashes
 
 BITS, BYTE_GRAMS, SHAPE_GRAMS = 18, 3, 3
 SAMPLE = 3_000
+#: Indicators that the sample has at most, all rows together: 4 bytes each come to the driver.
+SAMPLE_BUCKETS = 20_000_000
 COST, EPOCHS, SMOOTHING = 1.0, 15, 1.0
 THRESHOLD = 0.3
 #: score = logistic(SLOPE * (margin - MIDDLE)): kinds of bad texts are many, so those unlike the rest lie near margin 0,
@@ -48,24 +52,34 @@ def _grams(codes: np.ndarray, orders: int, salt: int) -> list[np.ndarray]:
 
 
 def indicators(text: str | None, stamps: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """Distinct buckets of a text's n-grams; stamps is scratch space of 2**BITS numbers. Very long texts go in blocks."""
+    """Distinct buckets of a text's n-grams; stamps is scratch space of 2**BITS numbers.
+
+    Blocks of bytes overlap by what an n-gram may reach over their edge; words are shaped block by block, but their
+    n-grams are those of the whole text.
+    """
     data = (text or "").encode()
     found = np.zeros(0, np.int64)
-    for at in range(0, len(data), block):
-        raw = np.frombuffer(data, np.uint8, min(block, len(data) - at), at)
-        inside = ~_SPACE[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-        start, stop = edge[::2], edge[1::2]
-        parts = _grams(raw.astype(np.uint64), BYTE_GRAMS, 0)
-        if len(start):
-            h = word_hashes(raw.tobytes(), block + 1)
-            same = np.concatenate(([False], h[1:] == h[:-1])) if len(h) == len(start) else np.zeros(len(start), bool)
-            shape = _CLASS[raw[start]] << np.uint64(24) | _CLASS[raw[np.minimum(start + 1, stop - 1)]] << np.uint64(16) | _CLASS[raw[stop - 1]] << np.uint64(8) | same
-            parts += _grams(shape, SHAPE_GRAMS, 1 << 40)
+
+    def add(parts: list[np.ndarray]) -> None:
+        nonlocal found
         every = np.concatenate([found, *parts])
         order = np.arange(len(every))
         stamps[every] = order
         found = every[stamps[every] == order]
+
+    shapes = []
+    for at, end in word_blocks(data, block):
+        raw = np.frombuffer(data, np.uint8, end - at, at)
+        more = np.frombuffer(data, np.uint8, min(len(data), end + BYTE_GRAMS - 1) - at, at)
+        add(_grams(more.astype(np.uint64), BYTE_GRAMS, 0))
+        start, stop = word_edges(raw)
+        shapes.append(_CLASS[raw[start]] << np.uint64(24) | _CLASS[raw[np.minimum(start + 1, stop - 1)]] << np.uint64(16) | _CLASS[raw[stop - 1]] << np.uint64(8))
+    shape = np.concatenate(shapes) if shapes else np.zeros(0, np.uint64)
+    if len(shape):
+        h = word_hashes(data, block)
+        shape[1:] |= h[1:] == h[:-1]
+        for at in range(0, len(shape), block):
+            add(_grams(shape[at : at + block + SHAPE_GRAMS - 1], SHAPE_GRAMS, 1 << 40))
     return found
 
 
@@ -113,28 +127,39 @@ def learnable(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_buckets: int = SAMPLE_BUCKETS) -> Model:
     """Train on labelled rows whose labels may be learned.
 
-    The sampled keys are at most 2 * sample, so they are broadcast to the documents' scan, and at most as many texts'
-    buckets come to the driver.
+    The sampled keys are at most 2 * sample, so they are broadcast to the documents' scan; at most as many rows, of at most
+    sample_buckets numbers in all, come to the driver, however often a key or a row repeats.
     """
-    usable = labels.where(F.col("quality").isin(0, 1) & learnable(F.col("doc_id"))).select("doc_id", "quality").distinct()
-    chosen = None
-    for side in (0, 1):
-        few = usable.where(F.col("quality") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        chosen = few if chosen is None else chosen.unionByName(few)
-    taken = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    usable = labels.where(F.col("quality").isin(0, 1) & learnable(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+
+    def smallest(rows: DataFrame, *more: str) -> DataFrame:
+        sides = [rows.where(F.col("quality") == side).orderBy(*order, *more).limit(sample) for side in (0, 1)]
+        return sides[0].unionByName(sides[1])
+
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_sum", F.md5(F.col("text").cast("binary")))
+    known = texts.join(F.broadcast(smallest(usable)), "doc_id")
+    chosen = smallest(known.select("doc_id", "quality", "_sum").distinct(), "_sum")
+    taken = texts.join(F.broadcast(chosen), ["doc_id", "_sum"]).groupBy("doc_id", "quality", "_sum").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stamps = np.zeros(1 << BITS, np.int64)
         for b in batches:
-            found = [indicators(x, stamps).astype(np.int32).tobytes() for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "y", "x"])
-
-    got = taken.mapInArrow(run, "doc_id long, y int, x binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
-    return train([(r["y"], np.sort(np.frombuffer(r["x"], np.int32)).astype(np.int64)) for r in got])
+            found = [np.sort(indicators(x, stamps)).astype(np.int32) for x in b.column(3).to_pylist()]
+            made = [pa.array([x.tobytes() for x in found], pa.binary()), pa.array(map(len, found), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names=["doc_id", "quality", "_sum", "x", "n"])
+
+    made = taken.select("doc_id", "quality", "_sum", "text").mapInArrow(run, "doc_id long, quality int, _sum string, x binary, n long")
+    # At most 2 * sample rows, taken in turn from both classes.
+    turn = F.row_number().over(Window.partitionBy("quality").orderBy(*order, "_sum"))
+    before = F.sum("n").over(Window.orderBy("_turn", "quality").rowsBetween(Window.unboundedPreceding, -1))
+    few = made.withColumn("_turn", turn).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") + F.col("n") <= sample_buckets)
+    got = few.select("doc_id", "quality", "_sum", "x").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["quality"], r["_sum"]))
+    return train([(r["quality"], np.frombuffer(r["x"], np.int32).astype(np.int64)) for r in got])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
