@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from lotwise.llm import quality_rules as rules
 from lotwise.llm import url_filter as urls
 
@@ -77,26 +79,35 @@ def chat_sql() -> str:
 
 
 def url_filter_sql() -> str:
-    """Rounds of both ranks as materialised tables."""
+    """Rounds of both ranks as a recursive table of one row per host and round."""
     order = sorted(urls.RULES, key=lambda r: -len(r[1]) - len(r[2]))
     fits = {r: f"(host = '{r[1]}' or ends_with(host, '.{r[1]}')) and starts_with(path, '{r[2]}')" for r in order}
     rule = "case " + " ".join(f"when {fits[r]} then '{r[1]}{r[2]}'" for r in order) + " end"
     verdict = "case " + " ".join(f"when {fits[r]} then '{r[0]}'" for r in order) + " end"
     d = urls.DAMPING
+    rounds = math.ceil(math.log(urls.TOLERANCE) / math.log(d))
     low = lambda x: f"translate({x}, '{urls.UPPER}', '{urls.LOWER}')"
     link = urls.LINK.replace("'", "''")
-    rounds = ", ".join(
-        f"r{k} as materialized (select n.host, {1 - d} * n.trusted + {d} * coalesce(a.x, 0) as trust, {1 - d} * n.blocked + {d} * coalesce(b.x, 0) as distrust from nodes n left join (select dst as host, sum(trust * ahead) as x from steps join r{k - 1} on src = host group by 1) a on a.host = n.host left join (select src as host, sum(distrust * reverse) as x from steps join r{k - 1} on dst = host group by 1) b on b.host = n.host)"
-        for k in range(1, urls.ROUNDS + 1)
-    )
-    return f"""with placed as (select page_id, coalesce(html, '') as html, {low("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+    return f"""with recursive placed as (select page_id, coalesce(html, '') as html,
+      {low("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} as host,
+      regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
     judged as (select page_id, host, path, {rule} as rule, {verdict} as known from placed),
-    edges as materialized (select src, dst, count(*) as links from (select host as src, {low("unnest(regexp_extract_all(html, '" + link + "', 1))")} as dst from placed) where src <> '' and src <> dst group by 1, 2),
-    hosts as (select host, sum(a) as a, sum(b) as b from (select host, count(*) filter (known = 'allow') as a, count(*) filter (known = 'block') as b from judged group by 1 union all select dst, 0, 0 from edges) group by 1),
-    sums as (select greatest(sum(a), 1) as a, greatest(sum(b), 1) as b, greatest(count(*), 1) as n from hosts), nodes as materialized (select host, hosts.a / sums.a as trusted, hosts.b / sums.b as blocked from hosts, sums),
-    steps as materialized (select src, dst, links / sum(links) over (partition by src) as ahead, links / sum(links) over (partition by dst) as reverse from edges),
-    r0 as materialized (select host, {1 - d} * trusted as trust, {1 - d} * blocked as distrust from nodes), {rounds}
-    select page_id, j.host, path, rule, coalesce(known, case when distrust > trust and distrust > {urls.THRESHOLD} / n * {1 - d} and j.host <> '' then 'block' else 'allow' end) as verdict from judged j join r{urls.ROUNDS} r on r.host = j.host, sums"""
+    edges as materialized (select src, dst, count(*) as links
+      from (select host as src, {low("unnest(regexp_extract_all(html, '" + link + "', 1))")} as dst from placed)
+      where src <> '' and src <> dst group by 1, 2),
+    hosts as (select host, sum(a) as a, sum(b) as b
+      from (select host, count(*) filter (known = 'allow') as a, count(*) filter (known = 'block') as b from judged group by 1 union all select dst, 0, 0 from edges) group by 1),
+    sums as (select greatest(sum(a), 1) as a, greatest(sum(b), 1) as b, greatest(count(*), 1) as n from hosts),
+    nodes as materialized (select host, hosts.a / sums.a as trusted, hosts.b / sums.b as blocked from hosts, sums),
+    flows as materialized (
+      select src as origin, dst as host, links / sum(links) over (partition by src) as ahead, 0.0::double as reverse from edges
+      union all select dst, src, 0.0, links / sum(links) over (partition by dst) from edges union all select host, host, 0.0, 0.0 from nodes),
+    ranks(k, host, trust, distrust) as (select 0, host, {1 - d} * trusted, {1 - d} * blocked from nodes union all
+      select any_value(k) + 1, n.host, {1 - d} * any_value(n.trusted) + {d} * sum(trust * ahead), {1 - d} * any_value(n.blocked) + {d} * sum(distrust * reverse)
+      from ranks r join flows f on f.origin = r.host join nodes n on n.host = f.host where k < {rounds} group by n.host)
+    select page_id, j.host, path, rule,
+      coalesce(known, case when distrust > trust and distrust > {urls.THRESHOLD} / n * {1 - d} and j.host <> '' then 'block' else 'allow' end) as verdict
+    from judged j join ranks r on r.host = j.host and k = {rounds}, sums"""
 
 
 SQL = {"op1_quality_rules": quality_rules_sql(), "op3_warc": warc_sql(), "op9_chat_format": chat_sql(), "op10_url_filter": url_filter_sql()}

@@ -6,6 +6,8 @@ along links, and from blocked seeds along reversed links (who links to blocked h
 with pages that rules allow or block, weighted by those pages. A host is blocked where its distrust exceeds both its
 trust and `threshold` times the mean; all others, the unreached included, are allowed.
 
+Ranks settle to a tolerance, whatever the length of the paths between hosts; nothing is cut after a number of links.
+
 Null urls and urls without "://" have empty host and path and get "allow" unless a rule fits. Null html has no links.
 Repeated pages count as often as they come; an empty table gives no rows; extra columns are ignored.
 """
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 from lotwise.llm.common import Scratch, read_table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-9, 1.0
+DAMPING, THRESHOLD = 0.85, 1.0
+#: Ranks have settled where they move less than this in a round, all together; more rounds than ROUNDS are an error.
+TOLERANCE, ROUNDS = 1e-7, 300
 #: Host of each absolute or protocol-relative link.
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,7 +57,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, scratch: Scratch, damping: flo
     """Ranks (host, trust, distrust) of nodes (host, trusted, blocked: restart shares).
 
     A walk restarts with probability 1 - damping; at a host without links it ends. Each round joins ranks with edges that
-    carry their out-share, which is one row per pair of hosts, and sums per target before the shuffle.
+    carry their out-share, which is one row per pair of hosts, and sums per target before the shuffle. Rounds go on until
+    the ranks have settled, which takes about log(tolerance) / log(damping) of them.
     """
     out, back = edges.groupBy("src").agg(F.sum("links").alias("n")), edges.groupBy("dst").agg(F.sum("links").alias("m"))
     steps = edges.join(out, "src").join(back, "dst").select("src", "dst", (F.col("links") / F.col("n")).alias("ahead"), (F.col("links") / F.col("m")).alias("reverse"))
@@ -77,6 +82,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, scratch: Scratch, damping: flo
             scratch.drop(f"ranks{k - 2}")
         if moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"ranks did not settle in {rounds} rounds")
     return ranks.select("host", "trust", "distrust")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import html_pages
 from lotwise.llm import byte_bpe, chat, html_extract, quality_classifier, quality_rules, token_counts
 
-TEXTS = [None, "", " ", "a", "Hello, world's   end.\n\nx", "naïve café — “q” 你好 ½²", "x<|endoftext|>y", "a" * 30_000, "ab cd " * 20_000, "1a2b'sx" * 9_000, "word\x00\x85  z", "Und Und Und Und Und", "dup", "dup"]
+TEXTS = [None, "", " ", "a", "Hello, world's   end.\n\nx", "naïve café — “q” 你好 ½²", "x<|endoftext|>y", "a" * 30_000, "ab cd " * 20_000, "1a2b'sx" * 9_000, "word\x00\x85  z", "Und Und Und Und Und", "dup", "dup", "plain words 😀 and हिन्दी then more, 한국어 x<|endoftext|>😀 y", "e\u0301a שלום  abc1 ไทย\n\n z" * 300, "😀" * 9_000, "a 😀 b" * 20_000]
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,15 @@ def test_token_counts(docs):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 1024)
 
 
+def test_token_counts_of_an_empty_table(docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.count_tokens(docs.limit(0), path, public_tokenizers.PATTERN, 1024).count() == 0
+    twice = token_counts.count_tokens(docs.unionByName(docs), path, public_tokenizers.PATTERN, 1024)
+    assert twice.count() == 2 * len(TEXTS) and twice.distinct().count() == len(TEXTS)
+
+
 def test_token_counts_forget(monkeypatch):
     import public_tokenizers
 
@@ -170,6 +179,82 @@ def test_quality_classifier(spark):
     assert quality_classifier.fit(docs.limit(0), labels.limit(0)).bias == quality_classifier.MIDDLE
 
 
+def brute_indicators(text):
+    """Buckets of all n-grams of a whole text, one by one."""
+    data, out = (text or "").encode(), set()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    kind = lambda c: int(quality_classifier._CLASS[c])
+    shapes = [kind(x[0]) << 24 | kind(x[min(1, len(x) - 1)]) << 16 | kind(x[-1]) << 8 | (k > 0 and w[k - 1] == x) for k, x in enumerate(w)]
+    for codes, salt in ((list(data), 0), (shapes, 1 << 40)):
+        for n in (1, 2, 3):
+            for k in range(len(codes) - n + 1):
+                run = codes[k] + salt
+                for c in codes[k + 1 : k + n]:
+                    run = (run * 0x9E3779B97F4A7C15 + c) % 2**64
+                out.add(int(quality_classifier.mix(np.array([run + n], np.uint64) % np.uint64(2**64 - 1))[0] >> np.uint64(64 - quality_classifier.BITS)))
+    return out
+
+
+def test_indicators_are_those_of_the_whole_text():
+    stamps = np.zeros(1 << quality_classifier.BITS, np.int64)
+    rng = random.Random(4)
+    texts = ["", " ", "a", "ab", *(" ".join(rng.choice(("the", "The", "é!", "x9", "longerword" * 3)) for _ in range(60)) for _ in range(4)), "x" * 300]
+    for text in texts:
+        want = brute_indicators(text)
+        for block in (7, 32, 1 << 20):
+            got = quality_classifier.indicators(text, stamps, block)
+            assert len(got) == len(set(got.tolist())) and set(got.tolist()) == want
+
+
+def test_training_equals_a_plain_solver():
+    """Log-count ratios by counting, and the dual problem by projected gradient."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 3 > 0), np.unique(rng.integers(0, 40, 12) + (20 if k % 3 else 0))) for k in range(60)]
+    model = quality_classifier.train(rows, epochs=3000)
+    size = 1 << quality_classifier.BITS
+    ones, zeros = np.ones(size), np.ones(size)
+    for y, x in rows:
+        (ones if y else zeros)[x] += 1
+    ratio = np.log(ones / ones.sum()) - np.log(zeros / zeros.sum())
+    v = np.zeros((len(rows), 61))
+    for k, (_, x) in enumerate(rows):
+        v[k, x], v[k, 60] = ratio[x] / np.sqrt(len(x)), 1
+    y = np.array([1.0 if a else -1.0 for a, _ in rows])
+    q, alpha = (v @ v.T) * np.outer(y, y), np.zeros(len(rows))
+    reach = np.linalg.norm(q, 2)
+    for _ in range(50_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / reach, 0, 1)
+    w = v.T @ (alpha * y)
+    assert model.bias == pytest.approx(w[60], abs=1e-2) and model.weights[:60] == pytest.approx(w[:60] * ratio[:60], abs=1e-2)
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "good text")] * 500 + [(k, f"good text {k}" if k % 2 else f"*** {k}") for k in range(2, 60)] + [(None, "x"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)] + [(1, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    seen = []
+    real = quality_classifier.train
+    try:
+        quality_classifier.train = lambda rows: seen.append(rows) or real(rows)
+        quality_classifier.fit(docs, labels)
+        quality_classifier.fit(docs, labels, sample=10)
+        quality_classifier.fit(docs, labels, sample_buckets=100)
+    finally:
+        quality_classifier.train = real
+    every, ten, few = seen
+    assert 40 <= len(every) <= 62 and [sum(y == side for y, _ in ten) for side in (0, 1)] == [10, 10] and 2 <= len(few) and sum(len(x) for _, x in few) <= 100
+
+
+def test_classifier_stage(spark, tmp_path):
+    rows = [(k, "good words in a row" if k % 2 else "bad*** words$$$", "en", "s", 3, "clash") for k in range(60)]
+    docs = spark.createDataFrame([*rows, (70, None, "en", "s", 0, "clash"), rows[1], (None, rows[1][1], None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, _score string")
+    spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = quality_classifier.stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    ids = sorted((r.doc_id for r in kept.collect() if r.doc_id != 70), key=repr)
+    assert ids == sorted([*(k for k in range(60) if k % 2), 1, None], key=repr)
+    assert quality_classifier.stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_html(spark):
     model = html_extract.default_model()
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>Menu one</a></li></ul></nav><div class=ad>Buy it now.</div><article><h1>Head&amp;line here</h1><p><b>First  part,\nof some length, it is.<br><p>Second part of it, a &lt; b, said they. And more.</p></article><section class='comments'><p>I liked it, really.</p></section><footer>&copy; site</footer>"
@@ -255,6 +340,17 @@ def test_chat(spark):
     assert chat.format_chat(chat.text_parts(turns.limit(0))).count() == 0
 
 
+def test_chat_with_audio_and_null_roles(spark):
+    part = lambda kind, text=None, ref=None, units=None: {"kind": kind, "text": text, "ref": ref, "units": units}
+    rows = [(1, 0, None, [part("audio", ref="a1", units=3), part("text", "said [this]")]), (1, 1, "assistant", [part("text", "yes"), part("audio", ref=None, units=0)]), (None, 0, "user", []), (None, 1, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:long>>")
+    got = {r.conv_id: r for r in chat.format_chat(df).collect()}
+    assert [(a.position, a.kind, a.ref, a.tokens) for a in got[1].attachments] == [(0, "audio", "a1", 77), (1, "audio", None, 27)] and got[1].expanded_tokens == 104
+    assert list(chat.parse_turns(got[1].formatted)) == [("", "<|audio:0:77|>said [this]"), ("assistant", "yes<|audio:1:27|>")]
+    assert [got[1].formatted[a:b] for a, b in got[1].loss_spans] == ["yes"]
+    assert list(chat.parse_turns(got[None].formatted)) == [("user", ""), ("", "")]
+
+
 def test_chat_parts(spark):
     parts = [{"kind": "text", "text": "a<", "ref": None, "units": None}, {"kind": "image", "text": None, "ref": "img1", "units": 2}, {"kind": "text", "text": "|b", "ref": None, "units": None}, {"kind": "document", "text": None, "ref": "doc", "units": None}]
     df = spark.createDataFrame([(1, 0, "user", parts)], "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:long>>")
