@@ -133,15 +133,30 @@ def build_prompts(context: DataFrame, criteria: DataFrame) -> DataFrame:
 
 
 def resolve_snippet_page(snippets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Page (file_id, snippet_id, page) of the chunk that holds each snippet: by exact heads, by a loose head, by words."""
-    raw, text = strip(F.col("snippet")), F.coalesce("text", F.lit(""))
-    both = snippets.join(chunks.select("file_id", "chunk_index", "page", "text"), "file_id")
-    exact = F.coalesce(*(F.when((F.length(p) >= 20) & text.contains(p), F.lit(k)) for k, p in enumerate((raw, *(strip(F.substring(raw, 1, n)) for n in (200, 120, 80, 50))))))
+    """Page (file_id, snippet_id, page) of the chunk that holds each snippet: by exact heads, by a loose head, by words.
+
+    Exact heads are plain substring tests; only snippets that none of them places meet the costlier tiers.
+    """
+    keys = ["file_id", "snippet_id"]
+    asked = snippets.select(*keys, strip(F.col("snippet")).alias("_raw"))
+    pages = chunks.select("file_id", "chunk_index", "page", F.coalesce("text", F.lit("")).alias("_text"))
+    raw, text = F.col("_raw"), F.col("_text")
+    heads = (raw, *(strip(F.substring(raw, 1, n)) for n in (200, 120, 80, 50)))
+    exact = F.coalesce(*(F.when((F.length(p) >= 20) & text.contains(p), F.lit(k)) for k, p in enumerate(heads)))
+    placed = _first_page(asked.join(pages, "file_id").withColumn("_tier", exact), F.struct("_tier", "chunk_index"))
+
     flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    head = flat(F.substring(raw, 1, 60))
-    words = F.regexp_extract_all(F.lower(raw), F.lit(r"[A-Za-z0-9]{4,}"), 0)
-    hits = F.size(F.filter(words, lambda w: F.lower(text).contains(w)))
-    tier = F.coalesce(exact, F.when((F.length(head) >= 20) & flat(text).contains(head), F.lit(5)), F.when((F.size(words) >= 4) & (hits > 3), F.lit(6)))
-    order = F.struct(F.col("_tier"), F.when(F.col("_tier") == 6, -F.col("_hits")).otherwise(F.lit(0)), F.col("chunk_index"))
-    best = both.withColumns({"_tier": tier, "_hits": hits}).where("_tier is not null").groupBy("file_id", "snippet_id").agg(F.min_by("page", order).alias("page"))
-    return snippets.select("file_id", "snippet_id").join(best, ["file_id", "snippet_id"], "left")
+    left = asked.join(placed.select(*keys), keys, "left_anti").select(
+        *keys, flat(F.substring(raw, 1, 60)).alias("_head"), F.regexp_extract_all(F.lower(raw), F.lit(r"[A-Za-z0-9]{4,}"), 0).alias("_words")
+    )
+    told = pages.select("file_id", "chunk_index", "page", F.lower("_text").alias("_low"), flat(F.col("_text")).alias("_flat"))
+    met = left.join(told, "file_id").withColumn("_hits", F.size(F.filter("_words", lambda w: F.col("_low").contains(w))))
+    loose = F.when((F.length("_head") >= 20) & F.col("_flat").contains(F.col("_head")), F.lit(5))
+    tier = F.coalesce(loose, F.when((F.size("_words") >= 4) & (F.col("_hits") > 3), F.lit(6)))
+    order = F.struct("_tier", F.when(F.col("_tier") == 6, -F.col("_hits")).otherwise(F.lit(0)), "chunk_index")
+    found = placed.unionByName(_first_page(met.withColumn("_tier", tier), order))
+    return snippets.select(*keys).join(found, keys, "left")
+
+
+def _first_page(rows: DataFrame, order: Column) -> DataFrame:
+    return rows.where("_tier is not null").groupBy("file_id", "snippet_id").agg(F.min_by("page", order).alias("page"))

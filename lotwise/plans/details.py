@@ -90,6 +90,20 @@ query(
     "pages", extra=(KINDS, BROKEN),
 )(lambda p: documents.ingestion_warnings(_failing(p), documents.document_kind(p)))
 query("ocr_quality_failed_pages", "select * from qualities", "pages", extra=(BROKEN, (MEANS[0], MEANS[1].replace("from pages", "from broken")), QUALITY))(lambda p: documents.ocr_quality(documents.with_failed_pages(_failing(p))))
+query(
+    "ocr_quality_by_kind", "select * from qualities", "pages",
+    extra=(KINDS, ("allmeans", MEANS[1]), ("means", "select m.* replace (k.document_kind <> 'digital' as scanned) from allmeans m join kinds k on k.file_id = m.file_id"), QUALITY),
+)(lambda p: documents.ocr_quality(p, documents.document_kind(p)))
+query(
+    "table_rows_blank_cells",
+    """select file_id, page_number, concat('a |  | ', regexp_replace(substr(text, 1, 3), '^\\s+|\\s+$', '', 'g'), chr(10), ' | ', page_number) as table_text from pages""",
+    "pages",
+)(
+    lambda p: p.select("file_id", "page_number", text.table_rows_text(F.array(
+        F.array(F.lit(" a "), F.lit(None).cast("string"), F.substring("text", 1, 3)), F.array(F.lit(" \n"), F.col("page_number").cast("string")))).alias("table_text"))
+)
+query("chain_categories", "select job_id, case when action in ('click', 'purchase') then 'review' else 'system' end as category, count(*) as entries from audit_logs group by 1, 2", "audit_logs")(
+    lambda a: audit.chain_stats(a.withColumn("action_type", F.when(F.col("action") == "click", "Reviewer_APPROVE").when(F.col("action") == "purchase", "rejected").otherwise(F.col("action")))))
 query(
     "ingestion_event_counts",
     f"""select d.file_id, page_count as pages, page_count as chunks, coalesce(w.n, 0) as warnings, round(m.density, 4) as density, ocr_quality, k.document_kind

@@ -15,7 +15,7 @@ ENTRY, PIECE_BYTES = ("created_at", "id", "action_type", "payload", "current_has
 
 
 def read_upload_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under a path with size and SHA-256 of their bytes; contents don't leave the scan."""
+    """Files under a path with size and SHA-256 of their bytes; contents don't leave the scan. Empty files have no row."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"))
 
 
