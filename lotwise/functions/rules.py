@@ -16,9 +16,13 @@ PASS_PHRASES = ("valid", "registered", "active", "compliant", "certified", "appr
 TAX_LABELS = ("gst", "gstin", "tax")
 
 
+#: Characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def any_of(c: Column, phrases: tuple[str, ...]) -> Column:
