@@ -26,4 +26,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(docs, name)
+            if k:
+                scratch.drop(STAGES[k - 1][0])
     return docs
