@@ -52,7 +52,8 @@ def reuse_extractions(files: DataFrame, criteria: DataFrame, extractions: DataFr
 
 def list_criteria(criteria: DataFrame) -> DataFrame:
     """Criteria in order of job, key and id, each with its job's total."""
-    return criteria.select("job_id", "id", "criterion_key", "label", F.count("*").over(Window.partitionBy("job_id")).alias("total")).orderBy("job_id", "criterion_key", "id")
+    totals = criteria.groupBy("job_id").agg(F.count("*").alias("total"))
+    return criteria.select("job_id", "id", "criterion_key", "label").join(totals, "job_id").orderBy("job_id", "criterion_key", "id")
 
 
 def parse_llm_fields(answers: DataFrame, expected: DataFrame) -> DataFrame:

@@ -149,5 +149,6 @@ def review_queue(jobs: DataFrame, insights: DataFrame) -> DataFrame:
 def pending_reviews(results: DataFrame, reviews: DataFrame, n: int = 5) -> DataFrame:
     """Per job the first n unknown criteria that no review action names, and how many there are."""
     rows = latest_results(results).where("verdict = 'unknown'").select("job_id", "criterion_id").distinct().join(reviews.select("job_id", "criterion_id").distinct(), ["job_id", "criterion_id"], "left_anti")
-    w = Window.partitionBy("job_id")
-    return rows.select("job_id", "criterion_id", F.row_number().over(w.orderBy("criterion_id")).alias("position"), F.count("*").over(w).alias("pending")).where(F.col("position") <= n)
+    # Only the first n of each job pass the window's shuffle; counts combine before theirs.
+    first = rows.withColumn("position", F.row_number().over(Window.partitionBy("job_id").orderBy("criterion_id"))).where(F.col("position") <= n)
+    return first.join(rows.groupBy("job_id").agg(F.count("*").alias("pending")), "job_id").select("job_id", "criterion_id", "position", "pending")
