@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 # Fixed values of the evaluated domain.
 GSTIN = r"\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]\b"
 UNKNOWN_SCORE, DEFAULT_CONFIDENCE = 0.3, 0.87
-CLEAN_PHRASES = ("not blacklisted", "not_blacklisted", "is not blacklisted", "are not blacklisted", "not debarred", "not_debarred", "is not debarred", "are not debarred", "not listed", "not_listed", "no blacklisting", "no debarment", "debarment: none", "not been blacklisted", "not been debarred", "hereby declare", "declares that")
-FAIL_PHRASES = ("is blacklisted", "has been blacklisted", "was blacklisted", "is debarred", "has been debarred", "was debarred", "expired", "invalid", "blacklisted", "debarred", "cancelled", "revoked", "suspended", "not registered", "not valid", "lapsed", "does not hold", "not held", "not_held", "not yet", "not yet allotted", "not yet issued", "not yet been issued", "under process", "in process", "in_process", "pending", "applied for", "application pending", "yet to be", "not certified", "not currently certified", "no certification", "no valid certificate")
+CLEAN_PHRASES = ("not blacklisted", "not_blacklisted", "is not blacklisted", "are not blacklisted", "not debarred", "not_debarred", "is not debarred", "are not debarred",
+    "not listed", "not_listed", "no blacklisting", "no debarment", "debarment: none", "not been blacklisted", "not been debarred", "hereby declare", "declares that")
+FAIL_PHRASES = ("is blacklisted", "has been blacklisted", "was blacklisted", "is debarred", "has been debarred", "was debarred", "expired", "invalid", "blacklisted",
+    "debarred", "cancelled", "revoked", "suspended", "not registered", "not valid", "lapsed", "does not hold", "not held", "not_held", "not yet", "not yet allotted",
+    "not yet issued", "not yet been issued", "under process", "in process", "in_process", "pending", "applied for", "application pending", "yet to be", "not certified",
+    "not currently certified", "no certification", "no valid certificate")
 PASS_PHRASES = ("valid", "registered", "active", "compliant", "certified", "approved", "current", "clean")
 TAX_LABELS = ("gst", "gstin", "tax")
 
@@ -48,7 +52,8 @@ def is_gst(value: Column) -> Column:
 def compare(value: Column, operator: Column, threshold: Column) -> Column:
     """value against threshold; an unknown or missing operator means at least."""
     op = F.lower(strip(F.coalesce(F.nullif(operator, F.lit("")), F.lit("gte"))))
-    return F.when(op == "lte", value <= threshold).when(op == "gt", value > threshold).when(op == "lt", value < threshold).when(op == "eq", value == threshold).when(op == "neq", value != threshold).otherwise(value >= threshold)
+    return F.when(op == "lte", value <= threshold).when(op == "gt", value > threshold).when(op == "lt", value < threshold).when(op == "eq",
+        value == threshold).when(op == "neq", value != threshold).otherwise(value >= threshold)
 
 
 def verdict(label: Column, ambiguous: Column, threshold: Column, operator: Column, value: Column, confidence: Column) -> Column:

@@ -72,7 +72,8 @@ def failure_index(chain: DataFrame) -> DataFrame:
     rows = chain.select("job_id", "previous_hash", F.struct("id", F.coalesce(good, F.lit(False)).alias("ok"), "current_hash", "created_at").alias("_row"))
     # The walk takes the lowest id of a fork and leaves the others.
     taken = rows.groupBy("job_id", "previous_hash").agg(F.min_by("_row", "_row.id").alias("_row"), F.count("*").alias("n"))
-    taken = taken.select("job_id", F.col("previous_hash").alias("start"), F.when(F.col("_row.ok"), F.col("_row.current_hash")).alias("end"), (F.col("n") > 1).alias("fork"), F.col("_row.created_at").alias("created_at"), F.col("_row.id").alias("id"))
+    taken = taken.select("job_id", F.col("previous_hash").alias("start"), F.when(F.col("_row.ok"), F.col("_row.current_hash")).alias("end"),
+        (F.col("n") > 1).alias("fork"), F.col("_row.created_at").alias("created_at"), F.col("_row.id").alias("id"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -101,7 +102,8 @@ def failure_index(chain: DataFrame) -> DataFrame:
         joined = segments.join(after(segments), ["job_id", "end"], "left")
         more = F.col("_n").isNotNull()
         k += 1
-        segments = scratch.save(joined.select("job_id", "start", F.when(more, F.col("_end")).otherwise(F.col("end")).alias("end"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce(F.col("n") + F.col("_fork"), "fork").alias("fork")), f"segments{k}")
+        segments = scratch.save(joined.select("job_id", "start", F.when(more, F.col("_end")).otherwise(F.col("end")).alias("end"), (F.col("n") + F.coalesce("_n",
+            F.lit(0))).alias("n"), F.coalesce(F.col("n") + F.col("_fork"), "fork").alias("fork")), f"segments{k}")
         if k > 1:
             scratch.drop(f"segments{k - 2}")
     walked = segments.where(F.col("start") == GENESIS)

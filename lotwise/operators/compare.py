@@ -48,8 +48,12 @@ def compare_bidders(results: DataFrame, criteria: DataFrame, files: DataFrame) -
     """
     rows = _with_criteria(latest_results(results), canonical_criteria(results, criteria))
     failed = (F.col("verdict") == "fail") & F.coalesce("mandatory", F.lit(False))
-    sums = rows.groupBy("job_id", "bidder_file_id").agg(exact_sum("weighted_score").alias("_s"), exact_sum("weight").alias("_t"), *verdict_counts(), F.count("*").alias("total_count"), F.bool_or(failed).alias("is_disqualified"), F.array_join(F.array_sort(F.collect_list(F.when(failed, F.col("label")))), ", ").alias("_why"))
-    return sums.join(_names(files), "bidder_file_id", "left").select("job_id", "bidder_file_id", F.coalesce("bidder_name", F.lit("Unassigned")).alias("bidder_name"), ratio("_s", "_t").alias("total_score"), "pass_count", "fail_count", "unknown_count", "total_count", "is_disqualified", F.nullif("_why", F.lit("")).alias("disqualification_reason"))
+    sums = rows.groupBy("job_id", "bidder_file_id").agg(exact_sum("weighted_score").alias("_s"), exact_sum("weight").alias("_t"), *verdict_counts(),
+        F.count("*").alias("total_count"), F.bool_or(failed).alias("is_disqualified"), F.array_join(F.array_sort(F.collect_list(F.when(failed, F.col("label")))),
+        ", ").alias("_why"))
+    return sums.join(_names(files), "bidder_file_id", "left").select("job_id", "bidder_file_id", F.coalesce("bidder_name", F.lit("Unassigned")).alias("bidder_name"),
+        ratio("_s", "_t").alias("total_score"), "pass_count", "fail_count", "unknown_count", "total_count", "is_disqualified", F.nullif("_why",
+        F.lit("")).alias("disqualification_reason"))
 
 
 def rank_bidders(comparison: DataFrame) -> DataFrame:
@@ -102,12 +106,14 @@ def evaluation_view(results: DataFrame, criteria: DataFrame, files: DataFrame, j
 def job_summary(jobs: DataFrame, results: DataFrame, criteria: DataFrame) -> DataFrame:
     """Per job: criteria, counts over bidders and criteria, status and whether review is required; zeros while pending."""
     rows = _with_criteria(latest_results(results), canonical_criteria(results, criteria))
-    sums = rows.groupBy("job_id").agg(exact_sum("weighted_score").alias("_s"), exact_sum("weight").alias("_t"), *verdict_counts(), F.count_distinct("bidder_file_id").alias("_b"), F.bool_or((F.col("verdict") == "fail") & F.coalesce("mandatory", F.lit(False))).alias("_out"))
+    sums = rows.groupBy("job_id").agg(exact_sum("weighted_score").alias("_s"), exact_sum("weight").alias("_t"), *verdict_counts(),
+        F.count_distinct("bidder_file_id").alias("_b"), F.bool_or((F.col("verdict") == "fail") & F.coalesce("mandatory", F.lit(False))).alias("_out"))
     keys = criteria.groupBy("job_id").agg(F.count_distinct("criterion_key").alias("_k"))
     all_ = jobs.select("job_id").join(keys, "job_id", "left").join(sums, "job_id", "left").withColumn("_on", F.col("_k").isNotNull() & F.col("_out").isNotNull())
     zero = lambda c: F.when(F.col("_on"), c).otherwise(F.lit(0))
     return all_.select(
-        "job_id", zero(F.col("_k")).alias("total_criteria"), *(zero(F.col(f"{v}_count")).alias(f"{v}_count") for v in ("pass", "fail", "unknown")), zero(F.when(F.col("_b") > 0, F.col("_b")).otherwise(1)).alias("bidder_count"),
+        "job_id", zero(F.col("_k")).alias("total_criteria"), *(zero(F.col(f"{v}_count")).alias(f"{v}_count") for v in ("pass", "fail", "unknown")),
+            zero(F.when(F.col("_b") > 0, F.col("_b")).otherwise(1)).alias("bidder_count"),
         F.when(~F.col("_on"), 0.0).otherwise(ratio("_s", "_t")).alias("total_score"), F.when(~F.col("_on"), "PENDING").when(F.col("_out"), "DISQUALIFIED").otherwise("QUALIFIED").alias("status"),
         (F.col("_on") & ((F.col("unknown_count") > 0) | (F.col("fail_count") > 0))).alias("review_required"),
     ).fillna({"review_required": False})
@@ -123,19 +129,25 @@ def resolved_ratio(summary: DataFrame) -> DataFrame:
 def category_scores(results: DataFrame, criteria: DataFrame) -> DataFrame:
     """Per job, bidder and kind of criterion: mean score of 100 and counts."""
     rows = _with_criteria(latest_results(results), criteria)
-    return rows.groupBy("job_id", "bidder_file_id", F.lower("criterion_type").alias("category")).agg(F.round(exact_sum("score") * 100 / F.count("*")).cast("long").alias("score"), *verdict_counts(), F.count("*").alias("total_count"))
+    return rows.groupBy("job_id", "bidder_file_id",
+        F.lower("criterion_type").alias("category")).agg(F.round(exact_sum("score") * 100 / F.count("*")).cast("long").alias("score"), *verdict_counts(),
+        F.count("*").alias("total_count"))
 
 
 def bidder_overview(results: DataFrame, criteria: DataFrame) -> DataFrame:
     """Per bidder: counts, mean score percent, whether nothing failed, and the first three failed labels."""
     rows = _with_criteria(latest_results(results), criteria)
-    sums = rows.groupBy("job_id", "bidder_file_id").agg(*verdict_counts(), F.count("*").alias("total_count"), F.round(exact_sum("score") * 100 / F.count("*")).cast("long").alias("confidence_percent"), F.array_sort(F.collect_list(F.when(F.col("verdict") == "fail", F.struct("criterion_id", "label")))).alias("_f"))
-    return sums.select("*", ((F.col("fail_count") == 0) & (F.col("total_count") > 0)).alias("qualified"), F.array_join(F.transform(F.slice("_f", 1, 3), lambda x: x["label"]), ", ").alias("failed_labels")).drop("_f")
+    sums = rows.groupBy("job_id", "bidder_file_id").agg(*verdict_counts(), F.count("*").alias("total_count"),
+        F.round(exact_sum("score") * 100 / F.count("*")).cast("long").alias("confidence_percent"), F.array_sort(F.collect_list(F.when(F.col("verdict") == "fail",
+        F.struct("criterion_id", "label")))).alias("_f"))
+    return sums.select("*", ((F.col("fail_count") == 0) & (F.col("total_count") > 0)).alias("qualified"), F.array_join(F.transform(F.slice("_f", 1, 3),
+        lambda x: x["label"]), ", ").alias("failed_labels")).drop("_f")
 
 
 def job_bidder_counts(comparison: DataFrame) -> DataFrame:
     """Per job: bidders evaluated, qualified, disqualified, and uncertain ones."""
-    return comparison.groupBy("job_id").agg(F.count("*").alias("evaluated"), F.count_if(~F.col("is_disqualified")).alias("qualified"), F.count_if("is_disqualified").alias("disqualified"), F.count_if(~F.col("is_disqualified") & (F.col("unknown_count") > 0)).alias("uncertain"))
+    return comparison.groupBy("job_id").agg(F.count("*").alias("evaluated"), F.count_if(~F.col("is_disqualified")).alias("qualified"),
+        F.count_if("is_disqualified").alias("disqualified"), F.count_if(~F.col("is_disqualified") & (F.col("unknown_count") > 0)).alias("uncertain"))
 
 
 def score_bars(comparison: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ def parse_criteria_json(answers: DataFrame) -> DataFrame:
     """Criteria of stored answers (job_id, answer); broken JSON gives none."""
     c = F.explode(F.from_json("answer", _CRITERIA)["criteria"]).alias("c")
     rows = answers.select("job_id", c).select("job_id", "c.*")
-    return rows.select("job_id", canonical_key(F.col("id"), F.col("label")).alias("criterion_key"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("criterion_type", F.lit("technical")).alias("criterion_type"), F.coalesce("mandatory", F.lit(True)).alias("mandatory"), parse_threshold(F.col("threshold_value")).alias("threshold_value"), "operator", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+    return rows.select("job_id", canonical_key(F.col("id"), F.col("label")).alias("criterion_key"), F.coalesce("label", F.lit("")).alias("label"),
+        F.coalesce("criterion_type", F.lit("technical")).alias("criterion_type"), F.coalesce("mandatory", F.lit(True)).alias("mandatory"),
+        parse_threshold(F.col("threshold_value")).alias("threshold_value"), "operator", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def dedupe_criteria(criteria: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -46,7 +48,8 @@ def reuse_extractions(files: DataFrame, criteria: DataFrame, extractions: DataFr
     bidders = files.where("file_type = 'bidder'").select("job_id", "file_id", "checksum")
     wanted = bidders.join(keyed, "job_id").join(extractions.select("job_id", "file_id", "criterion_id"), ["job_id", "file_id", "criterion_id"], "left_anti")
     found = extractions.where(~F.col("not_found")).join(files.select("file_id", "checksum"), "file_id").join(keyed.drop("job_id"), "criterion_id")
-    best = best_row(found.select("checksum", "criterion_key", "id", "parsed_value", "extraction_confidence", "created_at"), ["checksum", "criterion_key"], F.struct(-F.col("extraction_confidence"), "created_at", "id"))
+    best = best_row(found.select("checksum", "criterion_key", "id", "parsed_value", "extraction_confidence", "created_at"), ["checksum", "criterion_key"],
+        F.struct(-F.col("extraction_confidence"), "created_at", "id"))
     return wanted.join(best.withColumnRenamed("id", "source_id"), ["checksum", "criterion_key"]).select("job_id", "file_id", "criterion_id", "source_id", "parsed_value", "extraction_confidence")
 
 
@@ -79,7 +82,8 @@ def merge_field_sources(by_pattern: DataFrame, by_model: DataFrame, fallback: Da
         found = F.struct("parsed_value", "confidence", F.lit(name).alias("model_used")).alias(name)
         keys = keys.join(rows.where("parsed_value is not null").select("file_id", "field_name", found), ["file_id", "field_name"], "left")
     got = F.coalesce(*(F.col(f"`{name}`") for name, _ in tiers))
-    return keys.select("file_id", "field_name", got["parsed_value"].alias("parsed_value"), F.coalesce(got["confidence"], F.lit(0.20)).alias("confidence"), got.isNull().alias("not_found"), got["model_used"].alias("model_used"))
+    return keys.select("file_id", "field_name", got["parsed_value"].alias("parsed_value"), F.coalesce(got["confidence"], F.lit(0.20)).alias("confidence"),
+        got.isNull().alias("not_found"), got["model_used"].alias("model_used"))
 
 
 #: Families of criteria: parts of keys, and what a prompt says to extract, where to look, and what to return.

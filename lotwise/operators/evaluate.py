@@ -28,14 +28,16 @@ def evaluation_grid_no_bidders(files: DataFrame, criteria: DataFrame, extraction
     lone = criteria.join(files.where("file_type = 'bidder'").select("job_id").distinct(), "job_id", "left_anti")
     best = surest_row(extractions.where(~F.col("not_found")).drop("file_id"), ["job_id", "criterion_id"])
     value = best.select("job_id", "criterion_id", "parsed_value", F.col("extraction_confidence").alias("confidence"))
-    wanted = lone.select("job_id", F.col("id").alias("criterion_id"), "criterion_key", "label", "mandatory", "ambiguous", "threshold_value", "operator", F.lit(None).cast("string").alias("bidder_file_id"))
+    wanted = lone.select("job_id", F.col("id").alias("criterion_id"), "criterion_key", "label", "mandatory", "ambiguous", "threshold_value", "operator",
+        F.lit(None).cast("string").alias("bidder_file_id"))
     return wanted.join(value, ["job_id", "criterion_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)))
 
 
 def evaluate_grid(grid: DataFrame) -> DataFrame:
     """verdict, score, explanation, weight and weighted_score of each grid row. Row-local."""
     found = verdict(*(F.col(c) for c in ("label", "ambiguous", "threshold_value", "operator", "parsed_value", "confidence")))
-    return grid.withColumn("_v", found).select("job_id", "bidder_file_id", "criterion_id", "criterion_key", "mandatory", "_v.*", F.lit(1.0).alias("weight"), F.round(F.col("_v.score"), 4).alias("weighted_score"))
+    return grid.withColumn("_v", found).select("job_id", "bidder_file_id", "criterion_id", "criterion_key", "mandatory", "_v.*", F.lit(1.0).alias("weight"),
+        F.round(F.col("_v.score"), 4).alias("weighted_score"))
 
 
 def not_yet_judged(grid: DataFrame, existing: DataFrame) -> DataFrame:
@@ -82,7 +84,8 @@ def job_completion(results: DataFrame, jobs: DataFrame | None = None) -> DataFra
 
 
 def _completion(results: DataFrame) -> DataFrame:
-    return results.groupBy("job_id").agg(*(F.count_if(F.col("verdict") == v).alias(f"{v}_total") for v in ("pass", "fail", "unknown")), F.count_distinct("bidder_file_id").alias("bidders_evaluated")).withColumns({"status": F.lit("completed"), "review_required": F.col("unknown_total") > 0})
+    return results.groupBy("job_id").agg(*(F.count_if(F.col("verdict") == v).alias(f"{v}_total") for v in ("pass", "fail", "unknown")),
+        F.count_distinct("bidder_file_id").alias("bidders_evaluated")).withColumns({"status": F.lit("completed"), "review_required": F.col("unknown_total") > 0})
 
 
 def evaluation_events(totals: DataFrame) -> DataFrame:

@@ -24,26 +24,31 @@ def ocr_quality_latest(audit_logs: DataFrame) -> DataFrame:
 def ingestion_enrichment(files: DataFrame, audit_logs: DataFrame) -> DataFrame:
     """Files with the values of their newest ingestion event, even where those are missing."""
     last = newest_row(audit_logs.where("action = 'ingestion_done'"), ["file_id"])
-    return files.select("file_id", "job_id", "original_name").join(last.select("file_id", F.get_json_object("details", "$.ocr_quality").try_cast("double").alias("ocr_quality"), F.get_json_object("details", "$.document_kind").alias("document_kind")), "file_id", "left")
+    return files.select("file_id", "job_id", "original_name").join(last.select("file_id", F.get_json_object("details",
+        "$.ocr_quality").try_cast("double").alias("ocr_quality"), F.get_json_object("details", "$.document_kind").alias("document_kind")), "file_id", "left")
 
 
 def criterion_insights(results: DataFrame, criteria: DataFrame, files: DataFrame, extractions: DataFrame, audit_logs: DataFrame) -> DataFrame:
     """Every newest result with its criterion, bidder, evidence and review confidence."""
     named = criteria.select(F.col("id").alias("criterion_id"), "label", "mandatory", "ambiguous", "threshold_value", F.lit(True).alias("_known"))
     best = best_extraction_any(extractions).select(F.col("file_id").alias("bidder_file_id"), "criterion_id", "extraction_confidence", "not_found", "source_snippet", "page_number", "parsed_value")
-    rows = latest_results(results).join(named, "criterion_id", "left").join(files.select(F.col("file_id").alias("bidder_file_id"), F.col("original_name").alias("bidder_name")), "bidder_file_id", "left")
+    rows = latest_results(results).join(named, "criterion_id", "left").join(files.select(F.col("file_id").alias("bidder_file_id"),
+        F.col("original_name").alias("bidder_name")), "bidder_file_id", "left")
     rows = rows.join(best, ["bidder_file_id", "criterion_id"], "left").join(ocr_quality_latest(audit_logs).withColumnRenamed("file_id", "bidder_file_id"), "bidder_file_id", "left")
     importance = F.when(F.col("_known").isNull(), "medium").when(F.col("mandatory"), "high").when(F.col("weight") >= 2, "medium").otherwise("low")
     missing = F.coalesce("not_found", F.lit(True))
     snippet = F.coalesce(F.length("source_snippet") > 0, F.lit(False))
-    sure = review_confidence(F.col("verdict"), F.col("score"), F.col("extraction_confidence"), missing, F.col("threshold_value").isNotNull(), F.coalesce("ambiguous", F.lit(False)), snippet, F.coalesce("ocr_quality", F.lit(1.0)))
-    return rows.select("job_id", "bidder_file_id", F.coalesce("bidder_name", F.lit("")).alias("bidder_name"), "criterion_id", "label", "verdict", "score", importance.alias("importance"), missing.alias("not_found"), "extraction_confidence", "parsed_value", "page_number", sure.alias("review_confidence"))
+    sure = review_confidence(F.col("verdict"), F.col("score"), F.col("extraction_confidence"), missing, F.col("threshold_value").isNotNull(), F.coalesce("ambiguous",
+        F.lit(False)), snippet, F.coalesce("ocr_quality", F.lit(1.0)))
+    return rows.select("job_id", "bidder_file_id", F.coalesce("bidder_name", F.lit("")).alias("bidder_name"), "criterion_id", "label", "verdict", "score",
+        importance.alias("importance"), missing.alias("not_found"), "extraction_confidence", "parsed_value", "page_number", sure.alias("review_confidence"))
 
 
 def quality_flags(jobs: DataFrame, results: DataFrame, criteria: DataFrame) -> DataFrame:
     """Flag rows per job: no results, too many unknown, numeric criteria without threshold."""
     latest = latest_results(results)
-    empty = jobs.select("job_id").join(latest.select("job_id").distinct(), "job_id", "left_anti").select("job_id", F.lit("empty_evaluation").alias("flag"), F.lit("critical").alias("severity"), F.lit("").alias("detail"))
+    empty = jobs.select("job_id").join(latest.select("job_id").distinct(), "job_id", "left_anti").select("job_id", F.lit("empty_evaluation").alias("flag"),
+        F.lit("critical").alias("severity"), F.lit("").alias("detail"))
     sums = latest.groupBy("job_id").agg(F.count_if(F.col("verdict") == "unknown").alias("u"), F.count("*").alias("n")).where("2 * u > n")
     many = sums.select("job_id", F.lit("high_unknown_ratio"), F.lit("warning"), F.concat("u", F.lit("/"), "n"))
     unclear = latest.where("verdict = 'unknown'").join(criteria.where("threshold_value is null").select(F.col("id").alias("criterion_id")), "criterion_id", "left_semi")
@@ -83,7 +88,8 @@ def score_histogram(results: DataFrame) -> DataFrame:
 def score_trend(results: DataFrame) -> DataFrame:
     """Running mean of the score of 100 over a bidder's criteria in order, rounded."""
     w = Window.partitionBy("job_id", "bidder_file_id").orderBy("criterion_id").rowsBetween(Window.unboundedPreceding, 0)
-    return latest_results(results).select("job_id", "bidder_file_id", "criterion_id", F.count("*").over(w).alias("position"), F.round(F.sum(F.col("score").cast("decimal(18,4)")).over(w).cast("double") * 100 / F.count("*").over(w)).cast("long").alias("running_percent"))
+    return latest_results(results).select("job_id", "bidder_file_id", "criterion_id", F.count("*").over(w).alias("position"),
+        F.round(F.sum(F.col("score").cast("decimal(18,4)")).over(w).cast("double") * 100 / F.count("*").over(w)).cast("long").alias("running_percent"))
 
 
 def display_extraction(extractions: DataFrame) -> DataFrame:
@@ -97,7 +103,8 @@ def dashboard(jobs: DataFrame, results: DataFrame, criteria: DataFrame, files: D
     """One nested row per job: summary, ranked bidders, flags, and criterion insights where they are given."""
     from lotwise.operators.compare import compare_bidders, job_summary, rank_bidders
 
-    ranked = rank_bidders(compare_bidders(results, criteria, files)).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("position"), "bidder_name", "bidder_file_id", "total_score", "is_disqualified"))).alias("bidders"))
+    ranked = rank_bidders(compare_bidders(results, criteria, files)).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rank",
+        F.lit(1 << 30)).alias("position"), "bidder_name", "bidder_file_id", "total_score", "is_disqualified"))).alias("bidders"))
     flags = quality_flags(jobs, results, criteria).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("flag", "severity", "detail"))).alias("flags"))
     out = job_summary(jobs, results, criteria).join(ranked, "job_id", "left").join(flags, "job_id", "left")
     if insights is None:
@@ -111,7 +118,8 @@ def list_jobs(jobs: DataFrame, skip: int, limit: int) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), "job_id").offset(skip).limit(limit)
 
 
-def search_jobs(jobs: DataFrame, text: str = "", status: str | None = None, first: str | None = None, last: str | None = None, newest: bool | None = None, page: int = 0, size: int | None = None) -> DataFrame:
+def search_jobs(jobs: DataFrame, text: str = "", status: str | None = None, first: str | None = None, last: str | None = None, newest: bool | None = None, page: int = 0,
+    size: int | None = None) -> DataFrame:
     """Jobs by title or id, status ("processing": any working state) and day of creation, both ends included.
 
     newest sorts by creation, the newest or the oldest first; size cuts that into pages, of which page (from 0) is given.
@@ -143,12 +151,14 @@ def review_queue(jobs: DataFrame, insights: DataFrame) -> DataFrame:
     """Unknown rows of completed jobs with title, confidence and priority."""
     rows = insights.where("verdict = 'unknown'").join(jobs.where("status = 'completed'").select("job_id", "title"), "job_id")
     priority = F.when(F.col("importance") == "high", "high").when(F.col("importance") == "medium", "normal").otherwise("low")
-    return rows.select("job_id", "title", "bidder_file_id", "criterion_id", F.coalesce("review_confidence", "extraction_confidence", "score", F.lit(0.0)).alias("confidence"), priority.alias("priority"))
+    return rows.select("job_id", "title", "bidder_file_id", "criterion_id", F.coalesce("review_confidence", "extraction_confidence", "score",
+        F.lit(0.0)).alias("confidence"), priority.alias("priority"))
 
 
 def pending_reviews(results: DataFrame, reviews: DataFrame, n: int = 5) -> DataFrame:
     """Per job the first n unknown criteria that no review action names, and how many there are."""
-    rows = latest_results(results).where("verdict = 'unknown'").select("job_id", "criterion_id").distinct().join(reviews.select("job_id", "criterion_id").distinct(), ["job_id", "criterion_id"], "left_anti")
+    rows = latest_results(results).where("verdict = 'unknown'").select("job_id", "criterion_id").distinct().join(reviews.select("job_id", "criterion_id").distinct(),
+        ["job_id", "criterion_id"], "left_anti")
     # Only the first n of each job pass the window's shuffle; counts combine before theirs.
     first = rows.withColumn("position", F.row_number().over(Window.partitionBy("job_id").orderBy("criterion_id"))).where(F.col("position") <= n)
     return first.join(rows.groupBy("job_id").agg(F.count("*").alias("pending")), "job_id").select("job_id", "criterion_id", "position", "pending")

@@ -27,7 +27,8 @@ def l2_normalize(vector: Column) -> Column:
 def embedding_batches(chunks: DataFrame, size: int = 100, most_chars: int = 6000) -> DataFrame:
     """Chunks of a job in order, cut to the model's limit, with batch number and reference."""
     rows = running(chunks.select("job_id", "file_id", "chunk_index", F.substring("text", 1, most_chars).alias("text")), "job_id", ["file_id", "chunk_index"], F.lit(1), "position")
-    return rows.select("job_id", "file_id", "chunk_index", "position", F.floor(F.col("position") / size).alias("batch"), "text", F.concat(F.lit("vector:"), "job_id", F.lit(":"), "position").alias("reference"))
+    return rows.select("job_id", "file_id", "chunk_index", "position", F.floor(F.col("position") / size).alias("batch"), "text", F.concat(F.lit("vector:"), "job_id",
+        F.lit(":"), "position").alias("reference"))
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -57,8 +58,10 @@ def _cells(queries: DataFrame, chunks: DataFrame, slice_rows: int, block_rows: i
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sizes = slices.join(blocks, "job_id")
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    q = queries.join(sizes, "job_id").select("job_id", each("_slices").alias("slice"), mine("query_id", "_blocks").alias("block"), F.lit(0).alias("side"), F.lit(-1).cast("long").alias("position"), F.col("query_id").alias("id"), "embedding")
-    c = chunks.join(sizes, "job_id").select("job_id", mine("chunk_id", "_slices").alias("slice"), each("_blocks").alias("block"), F.lit(1).alias("side"), "position", F.col("chunk_id").alias("id"), "embedding")
+    q = queries.join(sizes, "job_id").select("job_id", each("_slices").alias("slice"), mine("query_id", "_blocks").alias("block"), F.lit(0).alias("side"),
+        F.lit(-1).cast("long").alias("position"), F.col("query_id").alias("id"), "embedding")
+    c = chunks.join(sizes, "job_id").select("job_id", mine("chunk_id", "_slices").alias("slice"), each("_blocks").alias("block"), F.lit(1).alias("side"), "position",
+        F.col("chunk_id").alias("id"), "embedding")
     return q.unionByName(c)
 
 
@@ -85,7 +88,8 @@ def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5, slice_rows: i
                 for at in range(0, len(ids), step):
                     scores = np.round(units[at : at + step] @ near, 6)
                     row, column = np.nonzero(_best(scores, k))
-                    yield pd.DataFrame({"job_id": cell[0], "query_id": np.array(ids, object)[at + row], "chunk_id": g.id.to_numpy()[column], "position": g.position.to_numpy()[column], "score": scores[row, column]})
+                    yield pd.DataFrame({"job_id": cell[0], "query_id": np.array(ids, object)[at + row], "chunk_id": g.id.to_numpy()[column],
+                        "position": g.position.to_numpy()[column], "score": scores[row, column]})
 
     cell = ["job_id", "slice", "block"]
     dealt = _cells(queries, chunks, slice_rows, block_rows).repartition(*cell).sortWithinPartitions(*cell, "side", "position")

@@ -16,9 +16,12 @@ def apply_reviews(actions: DataFrame, results: DataFrame, criteria: DataFrame) -
     known = results.select(F.col("id").alias("evaluation_result_id"), "job_id", "bidder_file_id", "weight")
     named = criteria.select(F.col("id").alias("criterion_id"), "label", "ambiguous", "threshold_value", "operator", F.lit(True).alias("_c"))
     rows = work.join(known, "evaluation_result_id", "left").join(named, "criterion_id", "left")
-    wrong = F.when(F.col("evaluation_result_id").isNull(), "no result id").when(F.col("job_id").isNull(), "unknown result").when((F.col("reviewer_action") == "edit") & F.col("_c").isNull(), "unknown criterion")
-    judged = F.when(F.col("reviewer_action") == "reject", F.struct(F.lit("fail").alias("verdict"), F.lit(0.0).alias("score"), F.concat(F.lit("Reviewer REJECTED. Reason: "), F.coalesce(F.nullif("updated_value", F.lit("")), F.lit("not provided"))).alias("explanation")))
-    judged = judged.when(F.col("threshold_value").isNull(), F.struct(F.lit("pass").alias("verdict"), F.lit(1.0).alias("score"), F.concat(F.lit("Reviewer EDITED: "), F.coalesce("updated_value", F.lit(""))).alias("explanation")))
+    wrong = F.when(F.col("evaluation_result_id").isNull(), "no result id").when(F.col("job_id").isNull(),
+        "unknown result").when((F.col("reviewer_action") == "edit") & F.col("_c").isNull(), "unknown criterion")
+    judged = F.when(F.col("reviewer_action") == "reject", F.struct(F.lit("fail").alias("verdict"), F.lit(0.0).alias("score"),
+        F.concat(F.lit("Reviewer REJECTED. Reason: "), F.coalesce(F.nullif("updated_value", F.lit("")), F.lit("not provided"))).alias("explanation")))
+    judged = judged.when(F.col("threshold_value").isNull(), F.struct(F.lit("pass").alias("verdict"), F.lit(1.0).alias("score"), F.concat(F.lit("Reviewer EDITED: "),
+        F.coalesce("updated_value", F.lit(""))).alias("explanation")))
     judged = judged.otherwise(verdict(F.col("label"), F.col("ambiguous"), F.col("threshold_value"), F.col("operator"), F.col("updated_value"), F.lit(DEFAULT_CONFIDENCE)))
     rows = rows.withColumns({"error": wrong, "_v": judged})
     made = rows.where("error is null").select("action_id", "job_id", "bidder_file_id", "criterion_id", "_v.*", "weight").withColumn("weighted_score", F.round(F.col("score") * F.col("weight"), 4))
@@ -28,8 +31,11 @@ def apply_reviews(actions: DataFrame, results: DataFrame, criteria: DataFrame) -
 def recalculate_decision(jobs: DataFrame, results: DataFrame, criteria: DataFrame) -> DataFrame:
     """Status, score and counts per job from the newest row per criterion, whichever bidder it is of."""
     rows = newest_row(results, ["job_id", "criterion_id"]).join(criteria.select(F.col("id").alias("criterion_id"), "mandatory"), "criterion_id", "left")
-    sums = rows.groupBy("job_id").agg(exact_sum("weighted_score").alias("_s"), exact_sum("weight").alias("_t"), *verdict_counts(), F.bool_or((F.col("verdict") == "fail") & F.coalesce("mandatory", F.lit(True))).alias("_out"))
-    return jobs.select("job_id").join(sums, "job_id", "left").select("job_id", F.when(F.col("_out").isNull(), "PENDING").when(F.col("_out"), "DISQUALIFIED").otherwise("QUALIFIED").alias("status"), ratio("_s", "_t").alias("score"), *(F.coalesce(f"{v}_count", F.lit(0)).alias(f"{v}_count") for v in ("pass", "fail", "unknown")))
+    sums = rows.groupBy("job_id").agg(exact_sum("weighted_score").alias("_s"), exact_sum("weight").alias("_t"), *verdict_counts(),
+        F.bool_or((F.col("verdict") == "fail") & F.coalesce("mandatory", F.lit(True))).alias("_out"))
+    return jobs.select("job_id").join(sums, "job_id", "left").select("job_id", F.when(F.col("_out").isNull(), "PENDING").when(F.col("_out"),
+        "DISQUALIFIED").otherwise("QUALIFIED").alias("status"), ratio("_s", "_t").alias("score"), *(F.coalesce(f"{v}_count",
+        F.lit(0)).alias(f"{v}_count") for v in ("pass", "fail", "unknown")))
 
 
 def latest_review(actions: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def running(df: DataFrame, group: str, order: list[str], weight: Column, name: s
     sampled = keys.sample(min(1.0, 10 / rows), seed=1).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("_at"))).where("_n % 10 = 0")
     cuts = sampled.groupBy(group).agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
     cuts = spark.createDataFrame(cuts.collect(), cuts.schema)
-    placed = df.join(F.broadcast(cuts), group, "left").withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.struct(*order))))).drop("_cuts").withColumn("_weight", weight)
+    placed = df.join(F.broadcast(cuts), group, "left").withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts",
+        lambda c: c <= F.struct(*order))))).drop("_cuts").withColumn("_weight", weight)
     sums = placed.groupBy(group, "_range").agg(F.sum("_weight").alias("_sum"))
     before = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     inside = F.coalesce(F.sum("_weight").over(Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -46,7 +46,8 @@ query(
 )(
     lambda j, r, c, f, x, a: insight.dashboard(j, r, c, f, insight.criterion_insights(r, c, f, x, a)).select(
         "job_id", "status", F.coalesce(F.array_size("criteria"), F.lit(0)).cast("long").alias("n"),
-        F.coalesce(F.array_join(F.transform("criteria", lambda x: F.concat_ws(":", x["criterion_id"], x["verdict"], x["importance"], x["review_confidence"].cast("string"))), ","), F.lit("")).alias("criteria"),
+        F.coalesce(F.array_join(F.transform("criteria", lambda x: F.concat_ws(":", x["criterion_id"], x["verdict"], x["importance"],
+            x["review_confidence"].cast("string"))), ","), F.lit("")).alias("criteria"),
     )
 )
 query(
@@ -58,7 +59,8 @@ query(
         evaluate.evaluate_jobs(c, f, x), f.select("job_id").distinct().withColumn("metadata", F.create_map(F.lit("title"), F.col("job_id"), F.lit("evaluation_pass"), F.lit("stale")))
     ).withColumn("metadata", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
 )
-query("search_jobs_page", "select * from jobs where contains(lower(title), 'a') order by created_at, job_id limit 4 offset 4", "jobs")(lambda j: insight.search_jobs(j, "a", newest=False, page=1, size=4))
+query("search_jobs_page", "select * from jobs where contains(lower(title), 'a') order by created_at, job_id limit 4 offset 4", "jobs")(lambda j: insight.search_jobs(j,
+    "a", newest=False, page=1, size=4))
 query("recent_jobs", "select * from jobs order by created_at desc, job_id limit 5", "jobs")(insight.recent_jobs)
 
 # ---- documents -------------------------------------------------------------------------------------------------------
@@ -89,7 +91,8 @@ query(
     union all select file_id, 'EMPTY_DOCUMENT', null from broken group by file_id having bool_and({TRIM.format('text')} = '')""",
     "pages", extra=(KINDS, BROKEN),
 )(lambda p: documents.ingestion_warnings(_failing(p), documents.document_kind(p)))
-query("ocr_quality_failed_pages", "select * from qualities", "pages", extra=(BROKEN, (MEANS[0], MEANS[1].replace("from pages", "from broken")), QUALITY))(lambda p: documents.ocr_quality(documents.with_failed_pages(_failing(p))))
+query("ocr_quality_failed_pages", "select * from qualities", "pages", extra=(BROKEN, (MEANS[0], MEANS[1].replace("from pages", "from broken")),
+    QUALITY))(lambda p: documents.ocr_quality(documents.with_failed_pages(_failing(p))))
 query(
     "ocr_quality_by_kind", "select * from qualities", "pages",
     extra=(KINDS, ("allmeans", MEANS[1]), ("means", "select m.* replace (k.document_kind <> 'digital' as scanned) from allmeans m join kinds k on k.file_id = m.file_id"), QUALITY),
@@ -181,7 +184,8 @@ query(
     "extractions", extra=(MODELLED,),
 )(
     lambda x: criteria.merge_field_sources(
-        x.select(F.col("id").alias("file_id"), F.col("criterion_id").alias("field_name"), F.when(F.col("page_number") == 1, F.col("parsed_value")).alias("parsed_value"), F.lit(0.9).alias("confidence")),
+        x.select(F.col("id").alias("file_id"), F.col("criterion_id").alias("field_name"), F.when(F.col("page_number") == 1, F.col("parsed_value")).alias("parsed_value"),
+            F.lit(0.9).alias("confidence")),
         _modelled(x), x.where("page_number = 2").select(F.col("id").alias("file_id"), F.col("criterion_id").alias("field_name"), F.lit("again").alias("parsed_value"), F.lit(0.85).alias("confidence")))
 )
 
@@ -198,12 +202,16 @@ WORDED = (
 )
 #: Written out here, apart from the library's own lists.
 REGEX_DENIALS = (
-    "does not hold", "do not hold", "not held", "not hold", "not yet allotted", "not yet been allotted", "not yet issued", "not yet been issued", "not yet certified", "not yet registered", "not currently certified",
-    "not currently registered", "not registered", "no valid certificate", "no certification", "status: not held", "status: not registered", "certification status: not", "registration status: not", "application pending", "under process",
+    "does not hold", "do not hold", "not held", "not hold", "not yet allotted", "not yet been allotted", "not yet issued", "not yet been issued", "not yet certified",
+        "not yet registered", "not currently certified",
+    "not currently registered", "not registered", "no valid certificate", "no certification", "status: not held", "status: not registered", "certification status: not",
+        "registration status: not", "application pending", "under process",
 )
 SNIPPET_DENIALS = (
-    "does not hold", "do not hold", "not yet allotted", "not yet been allotted", "not yet issued", "not yet been issued", "not yet certified", "not yet registered", "not currently certified", "not currently registered", "not held",
-    "not hold", "not registered", "no valid certificate", "no certification", "certification status: not", "status: not held", "status: not registered", "registration status: not", "application pending", "under process", "pending since",
+    "does not hold", "do not hold", "not yet allotted", "not yet been allotted", "not yet issued", "not yet been issued", "not yet certified", "not yet registered",
+        "not currently certified", "not currently registered", "not held",
+    "not hold", "not registered", "no valid certificate", "no certification", "certification status: not", "status: not held", "status: not registered",
+        "registration status: not", "application pending", "under process", "pending since",
 )
 
 

@@ -65,7 +65,8 @@ def reset_jobs(df: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def job_reports(dashboard: DataFrame, jobs: DataFrame) -> DataFrame:
     """One JSON document per job: header, summary, bidders and flags, and criterion insights where the dashboard has them."""
-    return jobs.select("job_id", "title").join(dashboard, "job_id").select("job_id", F.to_json(F.struct("title", F.struct(*[c for c in dashboard.columns if c not in ("job_id",)]).alias("evaluation"))).alias("report"))
+    return jobs.select("job_id", "title").join(dashboard, "job_id").select("job_id", F.to_json(F.struct("title",
+        F.struct(*[c for c in dashboard.columns if c not in ("job_id",)]).alias("evaluation"))).alias("report"))
 
 
 def audit_reports(chain: DataFrame, most_bytes: int = PIECE_BYTES) -> DataFrame:

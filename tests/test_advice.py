@@ -50,10 +50,12 @@ def test_every_snippet_is_resolved(spark):
 
 
 @pytest.mark.parametrize("snippet", [
-    "GSTIN: 27ABCDE1234F1Z5 of the bidder", "Turnover of the   last\nthree years IS GIVEN below", "completed bridges: seven, roads: eleven, tunnels: three", "seven roads", "nothing of this kind stands anywhere here", "eighteen letters..\n\n", "", None,
+    "GSTIN: 27ABCDE1234F1Z5 of the bidder", "Turnover of the   last\nthree years IS GIVEN below", "completed bridges: seven, roads: eleven, tunnels: three",
+        "seven roads", "nothing of this kind stands anywhere here", "eighteen letters..\n\n", "", None,
 ])
 def test_tiers(spark, snippet):
-    told = ["", None, "The turnover of the last three years is given below.", "Roads: eleven were completed. Seven bridges, three tunnels.", "See GSTIN: 27ABCDE1234F1Z5 of the bidder\nand eighteen letters..\n\n"]
+    told = ["", None, "The turnover of the last three years is given below.", "Roads: eleven were completed. Seven bridges, three tunnels.",
+        "See GSTIN: 27ABCDE1234F1Z5 of the bidder\nand eighteen letters..\n\n"]
     rows = spark.createDataFrame([("f", k, k + 1, t) for k, t in enumerate(told)], "file_id string, chunk_index int, page int, text string")
     got = criteria.resolve_snippet_page(spark.createDataFrame([("f", "s", snippet)], "file_id string, snippet_id string, snippet string"), rows).first()["page"]
     assert got == page_of(snippet, list(enumerate(told, 1)))
@@ -131,7 +133,8 @@ def test_prompts_of_all_criteria(spark):
     files = {}
     for p in sorted(pages, key=lambda p: p.page_number):
         files.setdefault((p.job_id.replace("src", "j"), p.file_id), []).append(p.text)
-    asked = {"turnover": "EXTRACT: The annual turnover", "projects": "EXTRACT: Count of completed", "gst": "EXTRACT: GST registration", "iso": "EXTRACT: ISO 9001", "epf": "EXTRACT: EPF/ESI", "blacklist": "EXTRACT: Blacklisting"}
+    asked = {"turnover": "EXTRACT: The annual turnover", "projects": "EXTRACT: Count of completed", "gst": "EXTRACT: GST registration", "iso": "EXTRACT: ISO 9001",
+        "epf": "EXTRACT: EPF/ESI", "blacklist": "EXTRACT: Blacklisting"}
     want = {(j, f, c.id): (c, texts) for (j, f), texts in files.items() for c in rules if c.job_id == j}
     got = {(r.job_id, r.file_id, r.criterion_id): r.prompt for r in registry.QUERIES["build_criterion_prompts"](spark, SF).collect()}
     assert got.keys() == want.keys()
@@ -142,7 +145,8 @@ def test_prompts_of_all_criteria(spark):
 
 
 @pytest.mark.parametrize("key,label,description,want", [
-    ("annual_REVENUE", "A", "Five crore.", "Field: A\nFive crore.\nEXTRACT: The annual turnover"), ("work_tax", "B", None, "Field: B\n\nEXTRACT: Count of completed"), ("bond", "Bid bond", "Two lakhs.", "Field: Bid bond\nTwo lakhs.\n\nContext:\n"), (None, "Bid bond", "", "Field: Bid bond\n\nContext:\n"),
+    ("annual_REVENUE", "A", "Five crore.", "Field: A\nFive crore.\nEXTRACT: The annual turnover"), ("work_tax", "B", None, "Field: B\n\nEXTRACT: Count of completed"),
+        ("bond", "Bid bond", "Two lakhs.", "Field: Bid bond\nTwo lakhs.\n\nContext:\n"), (None, "Bid bond", "", "Field: Bid bond\n\nContext:\n"),
 ])
 def test_prompt_families(spark, key, label, description, want):
     context = spark.createDataFrame([("j", "f", 0, "t")], "job_id string, file_id string, chunk_index int, text string")

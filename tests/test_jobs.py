@@ -113,7 +113,8 @@ def test_repeated_uploads_in_a_stream(spark, tmp_path):
     at = lambda h: datetime.datetime(2024, 1, 1, h)
     batches = [[("f1", "j", "a", at(0)), ("f2", "j", "a", at(1)), ("f3", "j", "b", at(1))], [("f4", "j", "a", at(2)), ("f5", "k", "a", at(2)), ("f6", "j", None, at(3)), ("f7", "j", None, at(3))]]
     rows = stream(spark, batches, "file_id string, job_id string, checksum string, created_at timestamp", str(tmp_path / "in"))
-    jobs.stream_dedupe_uploads(rows).writeStream.format("memory").queryName("kept").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    jobs.stream_dedupe_uploads(rows).writeStream.format("memory").queryName("kept").outputMode("append").trigger(availableNow=True).option("checkpointLocation",
+        str(tmp_path / "c")).start().awaitTermination()
     kept = spark.table("kept").collect()
     assert sorted((r.job_id, r.checksum or "") for r in kept) == [("j", ""), ("j", "a"), ("j", "b"), ("k", "a")]
     assert {r.file_id for r in kept if r.checksum == "a" and r.job_id == "j"} <= {"f1", "f2"}
@@ -123,7 +124,8 @@ def test_late_rows_of_daily_counts(spark, tmp_path):
     day = lambda d, h=0: (datetime.datetime(2024, 1, d, h),)
     batches = [[day(1), day(1, 5), day(2)], [day(6)], [day(6, 3)], [day(1, 7)], [day(9)], [day(9)]]
     rows = stream(spark, batches, "created_at timestamp", str(tmp_path / "in"))
-    jobs.stream_daily_counts(rows).writeStream.format("memory").queryName("daily").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    jobs.stream_daily_counts(rows).writeStream.format("memory").queryName("daily").outputMode("append").trigger(availableNow=True).option("checkpointLocation",
+        str(tmp_path / "c")).start().awaitTermination()
     got = {r.day: r.n for r in spark.table("daily").collect()}
     # The row of 1 January that comes after 6 January is too late; 9 January is still open.
     assert got == {"2024-01-01": 2, "2024-01-02": 1, "2024-01-06": 2}

@@ -9,7 +9,8 @@ from lotwise.sources import tables
 from lotwise.streaming import jobs
 
 
-@pytest.mark.parametrize("value,want", [("8.2", 8.2), ("8.2 crore", 8.2), ("82 lakhs", 0.82), ("[8.2, 9.1, 10.4]", 27.7 / 3), ("1,234", 117.5), ("-5", 5.0), ("None", None), ("nan", None), ("", None), (None, None), ("abc", None)])
+@pytest.mark.parametrize("value,want", [("8.2", 8.2), ("8.2 crore", 8.2), ("82 lakhs", 0.82), ("[8.2, 9.1, 10.4]", 27.7 / 3), ("1,234", 117.5), ("-5", 5.0), ("None",
+    None), ("nan", None), ("", None), (None, None), ("abc", None)])
 def test_to_float(spark, value, want):
     got = spark.createDataFrame([(value,)], "v string").select(rules.to_float(F.col("v"))).first()[0]
     assert got == want if want is None else abs(got - want) < 1e-9
@@ -18,8 +19,10 @@ def test_to_float(spark, value, want):
 @pytest.mark.parametrize("label,ambiguous,threshold,op,value,conf,want", [
     ("any", True, 5.0, "gte", "9", 0.9, ("unknown", 0.3)), ("turnover", False, 5.0, "gte", "9.23", 0.85, ("pass", 0.85)), ("turnover", False, 5.0, "gte", "2.67", 0.85, ("fail", 0.0)),
     ("turnover", False, 5.0, "contains", "5", 0.85, ("pass", 0.85)), ("turnover", False, 5.0, "gte", "abc", 0.85, ("unknown", 0.3)), ("GST", False, None, None, "29AABCI1234F1Z5", 0.9, ("pass", 0.9)),
-    ("GST", False, None, None, "invalid", 0.9, ("fail", 0.0)), ("blacklist", False, None, None, "is not blacklisted", 0.9, ("pass", 0.9)), ("blacklist", False, None, None, "was blacklisted", 0.9, ("fail", 0.0)),
-    ("ISO", False, None, None, "does not hold", 0.9, ("fail", 0.0)), ("ISO", False, None, None, "something else", 0.87, ("pass", 0.87)), ("ISO", False, None, None, "", 0.9, ("unknown", 0.3)), ("ISO", False, None, None, None, 0.9, ("unknown", 0.3)),
+    ("GST", False, None, None, "invalid", 0.9, ("fail", 0.0)), ("blacklist", False, None, None, "is not blacklisted", 0.9, ("pass", 0.9)), ("blacklist", False, None,
+        None, "was blacklisted", 0.9, ("fail", 0.0)),
+    ("ISO", False, None, None, "does not hold", 0.9, ("fail", 0.0)), ("ISO", False, None, None, "something else", 0.87, ("pass", 0.87)), ("ISO", False, None, None, "",
+        0.9, ("unknown", 0.3)), ("ISO", False, None, None, None, 0.9, ("unknown", 0.3)),
 ])
 def test_verdict(spark, label, ambiguous, threshold, op, value, conf, want):
     row = spark.createDataFrame([(label, ambiguous, threshold, op, value, conf)], "l string, a boolean, t double, o string, v string, c double")
@@ -28,8 +31,10 @@ def test_verdict(spark, label, ambiguous, threshold, op, value, conf, want):
 
 
 @pytest.mark.parametrize("args,want", [
-    (("pass", .92, .92, False, True, False, True, 1.0), 0.92), (("fail", 0.0, .85, False, True, False, True, 1.0), 0.0), (("unknown", .3, .85, False, False, True, True, 1.0), 0.95), (("unknown", .3, .20, True, True, False, False, 1.0), 0.05),
-    (("unknown", .3, .20, True, True, False, False, .55), 0.0), (("unknown", .3, .85, False, True, False, True, .65), 0.7975), (("unknown", .3, None, True, True, False, False, 1.0), 0.05), (("unknown", 0.0, 1.0, False, False, True, True, 1.0), 1.0),
+    (("pass", .92, .92, False, True, False, True, 1.0), 0.92), (("fail", 0.0, .85, False, True, False, True, 1.0), 0.0), (("unknown", .3, .85, False, False, True, True,
+        1.0), 0.95), (("unknown", .3, .20, True, True, False, False, 1.0), 0.05),
+    (("unknown", .3, .20, True, True, False, False, .55), 0.0), (("unknown", .3, .85, False, True, False, True, .65), 0.7975), (("unknown", .3, None, True, True, False,
+        False, 1.0), 0.05), (("unknown", 0.0, 1.0, False, False, True, True, 1.0), 1.0),
 ])
 def test_review_confidence(spark, args, want):
     row = spark.createDataFrame([args], "a string, b double, c double, d boolean, e boolean, f boolean, g boolean, h double")
@@ -42,7 +47,8 @@ FULL, OCR = "x" * 1500, "OCR text " * 200
 
 @pytest.mark.parametrize("rows,want", [
     ([(FULL, 1.0, 1.0, 1.0, 0.0, False)] * 5, 1.0), ([(OCR, .92, .95, .95, .5, False)] * 5, 0.935), ([(OCR, .70, .65, .55, 4.0, False)] * 5, 0.65), ([(OCR, .45, .30, .20, 2.5, False)] * 5, 0.45),
-    ([("", 0.0, 0.0, 0.0, 0.0, True), (OCR, .05, .05, .05, 8.0, False)] * 2 + [("", 0.0, 0.0, 0.0, 0.0, True)], 0.092), ([("", 0.0, 0.0, 0.0, 0.0, True)] * 3, 0.1), ([(OCR, 0.0, 0.0, 0.0, 10.0, False)] * 3, 0.1),
+    ([("", 0.0, 0.0, 0.0, 0.0, True), (OCR, .05, .05, .05, 8.0, False)] * 2 + [("", 0.0, 0.0, 0.0, 0.0, True)], 0.092), ([("", 0.0, 0.0, 0.0, 0.0, True)] * 3, 0.1),
+        ([(OCR, 0.0, 0.0, 0.0, 10.0, False)] * 3, 0.1),
 ])
 def test_ocr_quality(spark, rows, want):
     pages = spark.createDataFrame([("f", k, *r) for k, r in enumerate(rows, 1)], PAGE)
@@ -50,7 +56,8 @@ def test_ocr_quality(spark, rows, want):
 
 
 @pytest.mark.parametrize("given,size,overlap,want", [
-    ("alpha beta\n\ngamma", 20, 4, [("alpha beta", 0, 10), ("beta gamma", 0, 10)]), ("one two three four five six", 12, 4, ["one two", "two two three", "hree hree four", "four four five", "five five six"]),
+    ("alpha beta\n\ngamma", 20, 4, [("alpha beta", 0, 10), ("beta gamma", 0, 10)]), ("one two three four five six", 12, 4, ["one two", "two two three", "hree hree four",
+        "four four five", "five five six"]),
     ("first line here\nsecond line", 15, 5, ["first line here", "here second line"]), ("abc\n\n\n\ndefghij", 3, 2, ["abc", "bc defghij"]), ("  \n\n ", 5, 1, []),
 ])
 def test_chunks(given, size, overlap, want):
@@ -60,7 +67,8 @@ def test_chunks(given, size, overlap, want):
 
 def test_extract(spark):
     said = "Average Annual Turnover (FY 2021-22 to FY 2023-24): Rs. 9.23 Crore\nEPF not yet allotted. ISO 9001:2015: does not hold.\n5 qualifying projects. The firm is not blacklisted. GSTIN 27ABCDE1234F1Z5"
-    row = spark.createDataFrame([(said,)], "t string").select(*(fields.extract_field(F.lit(n), F.col("t"))["parsed_value"].alias(n) for n in ("turnover", "epf", "iso", "projects", "blacklist", "gst"))).first()
+    row = spark.createDataFrame([(said,)], "t string").select(*(fields.extract_field(F.lit(n), F.col("t"))["parsed_value"].alias(n) for n in ("turnover", "epf", "iso",
+        "projects", "blacklist", "gst"))).first()
     assert (row.turnover, row.projects, row.blacklist, row.gst) == ("9.23", "5", "not_blacklisted", "27ABCDE1234F1Z5")
     assert row.iso == "does not hold" and row.epf == "does not hold"
     years = spark.createDataFrame([("FY 2021-22: Rs. 8.20 Crore\nFY 2022-23: Rs. 9.10 Crore\nFY 2023-24: Rs. 10.40 Crore",)], "t string")
@@ -68,12 +76,14 @@ def test_extract(spark):
 
 
 def test_text(spark):
-    row = spark.createDataFrame([(" a  b \r\n---\r\n c​",)], "t string").select(text.clean_text(F.col("t")).alias("c"), text.normalize_chars(F.lit("“a”—b")).alias("n"), text.split_sentences(F.lit("One. Two? three. Four")).alias("s")).first()
+    row = spark.createDataFrame([(" a  b \r\n---\r\n c​",)], "t string").select(text.clean_text(F.col("t")).alias("c"), text.normalize_chars(F.lit("“a”—b")).alias("n"),
+        text.split_sentences(F.lit("One. Two? three. Four")).alias("s")).first()
     assert row.c == "a b\nc" and row.n == '"a"-b' and row.s == ["One.", "Two? three.", "Four"]
 
 
 def test_chain(spark):
-    actions = spark.createDataFrame([(str(k), "j", "x", f'{{"k": {k}}}') for k in range(4)], "id string, job_id string, action_type string, payload string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    actions = spark.createDataFrame([(str(k), "j", "x", f'{{"k": {k}}}') for k in range(4)],
+        "id string, job_id string, action_type string, payload string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
     chain = audit.append_chain(actions)
     assert audit.verify_chain(chain).first()["chain_valid"]
     tampered = chain.withColumn("payload", F.when(F.col("id") == "1", "{}").otherwise(F.col("payload")))
@@ -86,7 +96,8 @@ def test_chain(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([(str(k), f"j{k % 2}", "x", f'{{"k": {k}}}', f"sum{k % 3}") for k in range(6)], "id string, job_id string, action_type string, payload string, checksum string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    rows = spark.createDataFrame([(str(k), f"j{k % 2}", "x", f'{{"k": {k}}}', f"sum{k % 3}") for k in range(6)],
+        "id string, job_id string, action_type string, payload string, checksum string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for name, made in (("chained", jobs.stream_append_chain(stream)), ("firsts", jobs.stream_dedupe_uploads(stream))):
@@ -126,8 +137,10 @@ Organization is not blacklisted by any Government department."""
 
 
 @pytest.mark.parametrize("snippet,want", [
-    ("Average Annual Turnover (FY 2021-22 to FY 2023-24): Rs. 9.23 Crore", (68, 134, "exact")), ("Annual Turnover for FY 2023-24 is Rs. 11.40 Crore in their financial statement", (147, 162, "phrase")),
-    ("Average\u00a0Annual\u00a0Turnover — Rs.\u00a09.23\u00a0Crore", (68, 91, "phrase")), ("Qualifying projects: 5", (252, 260, "token")), ("FY values: [11.4, 9.9, 6.4] -> avg 9.23 Crore", (124, 128, "token")),
+    ("Average Annual Turnover (FY 2021-22 to FY 2023-24): Rs. 9.23 Crore", (68, 134, "exact")),
+        ("Annual Turnover for FY 2023-24 is Rs. 11.40 Crore in their financial statement", (147, 162, "phrase")),
+    ("Average\u00a0Annual\u00a0Turnover — Rs.\u00a09.23\u00a0Crore", (68, 91, "phrase")), ("Qualifying projects: 5", (252, 260, "token")),
+        ("FY values: [11.4, 9.9, 6.4] -> avg 9.23 Crore", (124, 128, "token")),
     ("GSTIN: 27ABCDE1234F1Z5", (297, 319, "exact")), ("ISO 9001:2015 Certificate", (320, 347, "exact")), ("Organization is not blacklisted by any Government department.", (374, 435, "exact")),
     ("The quick brown fox jumps over the lazy dog ABCXYZ987", (None, None, None)), (None, (None, None, None)), ("", (None, None, None)),
 ])
