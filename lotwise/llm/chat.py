@@ -6,8 +6,9 @@ is parsed back exactly, because no escaped text can hold a control string.
 
 Conversations are formatted as a stream: rows are dealt by conversation and sorted by turn, each turn is written in
 order, and output is cut into pieces of at least `piece_chars` characters, so a conversation of any length needs bounded
-memory. Rows of equal conversation and turn are ordered by role, then content. Null roles and texts are empty; null
-conversation ids form one group; an empty table gives no rows; extra columns are ignored.
+memory. Rows of equal conversation and turn, repeated ones too, are ordered by role, then content, and each is a turn. Null
+roles, texts and kinds are empty (a null kind is a text), null units are one; null conversation ids form one group; an
+empty table gives no rows; extra columns are ignored. A kind that no visitor's method knows is an error.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ OUTPUT = T.StructType([
     T.StructField("piece", T.LongType()),
     T.StructField("formatted", T.StringType()),
     T.StructField("loss_spans", T.ArrayType(T.ArrayType(T.LongType()))),
-    T.StructField("attachments", T.ArrayType(T.StructType([T.StructField("position", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("tokens", T.LongType())]))),
+    T.StructField("attachments", T.ArrayType(T.StructType([T.StructField("position", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("ref",
+        T.StringType()), T.StructField("tokens", T.LongType())]))),
     T.StructField("expanded_tokens", T.LongType()),
 ])
 
@@ -157,7 +159,8 @@ def format_chat(turns: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
 
 def _arrow_schema() -> pa.Schema:
     item = pa.struct([("position", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])
-    return pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.list_(pa.int64()))), ("attachments", pa.list_(item)), ("expanded_tokens", pa.int64())])
+    return pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.list_(pa.int64()))), ("attachments",
+        pa.list_(item)), ("expanded_tokens", pa.int64())])
 
 
 def parse_turns(formatted: str) -> Iterator[tuple[str, str]]:
@@ -177,7 +180,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     Runs in the tasks that wrote the pieces (no further shuffle) and hashes as a stream.
     """
-    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()),
+        T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = None, []

@@ -1,14 +1,17 @@
-"""What several operators share: reading the given tables, written intermediate tables, byte-level word hashing."""
+"""What several operators share: reading the given tables, written intermediate tables (Scratch), byte-level word hashing."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.operators.scratch import Scratch
+
+__all__ = ["Scratch", "mix", "read_table", "shingle_hashes", "word_blocks", "word_edges", "word_hashes", "words_of"]
+
 #: White space between words, as the query contracts give it: x20 and x09 to x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -24,35 +27,6 @@ def words_of(text: Column) -> Column:
     return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, SPACES))
 
 
-class Scratch:
-    """Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir).
-
-    A written table cuts lineage as checkpoint() does, is columnar and compressed, and survives lost executors.
-    Where the session sets no folder (as in some tests), a folder under the warehouse is used.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-        self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df under name and return it reread."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def close(self) -> None:
-        """Delete all tables, once what was made of them has been written."""
-        self.drop("")
-
-
 # ---- vectorised word hashing over one text's bytes -------------------------------------------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -286,7 +286,8 @@ def train(pages: list[str], penalty: float = 0.0005, rounds: int = 400, rate: fl
         p1 = np.exp(ahead[..., 1] + back[..., 1] - total[:, None]) * mask
         both = np.exp(np.minimum(ahead[:, :-1, :, None] + trans + (u[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None], 0)) * pairs[..., None, None]
         off = (y - p1) * mask
-        slope = np.concatenate((flat.T @ off.reshape(-1).astype(np.float32) - penalty * len(sequences) * w, (seen - both.sum((0, 1))).ravel() - penalty * len(sequences) * parameters[:4], [off[:, 0].sum() - penalty * len(sequences) * first])) / len(sequences)
+        slope = np.concatenate((flat.T @ off.reshape(-1).astype(np.float32) - penalty * len(sequences) * w, (seen - both.sum((0,
+            1))).ravel() - penalty * len(sequences) * parameters[:4], [off[:, 0].sum() - penalty * len(sequences) * first])) / len(sequences)
         moments[0] = 0.9 * moments[0] + 0.1 * slope
         moments[1] = 0.99 * moments[1] + 0.01 * slope**2
         step = rate * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.99**k)) + 1e-8)

@@ -39,10 +39,13 @@ _TOP = (
     "",
 )
 _NOISE = (
-    "<div class='ad'>{n}</div>", "<div class='ads advert advertisement banner'><p>{n}</p></div>", "<div class='sponsored promo promotion'><a href='/p'>{n}</a></div>", "<aside><h3>{s}</h3><p>{n}</p></aside>",
-    "<div class='cookie cookies consent notice gdpr'><p>We use cookies. {n}</p><button>OK</button></div>", "<form action='/s'><label>{s}</label><p>{n}</p><input><select><option>{s}</option></select></form>",
+    "<div class='ad'>{n}</div>", "<div class='ads advert advertisement banner'><p>{n}</p></div>", "<div class='sponsored promo promotion'><a href='/p'>{n}</a></div>",
+        "<aside><h3>{s}</h3><p>{n}</p></aside>",
+    "<div class='cookie cookies consent notice gdpr'><p>We use cookies. {n}</p><button>OK</button></div>",
+        "<form action='/s'><label>{s}</label><p>{n}</p><input><select><option>{s}</option></select></form>",
     "<div class='sidebar widget side rail'><h3>{s}</h3><ul><li><a href='/1'>{n}</a></li></ul></div>", "<div class='share social sharing toolbar'><a href='/f'>Share</a> <a href='/t'>Post</a></div>",
-    "<div class='related recommended more teaser'><h3>{s}</h3><a href='/1'>{n}</a></div>", "<div class='newsletter subscribe signup'><p>{n}</p></div>", "<div role='alert' class='alert warning popup modal overlay'>{n}</div>",
+    "<div class='related recommended more teaser'><h3>{s}</h3><a href='/1'>{n}</a></div>", "<div class='newsletter subscribe signup'><p>{n}</p></div>",
+        "<div role='alert' class='alert warning popup modal overlay'>{n}</div>",
     "<noscript><p>{n}</p></noscript><div class='login account user'>{n}</div>", "<section class='notice notification announcement'><p>{n}</p></section>", "",
 )
 _AFTER = (
@@ -52,7 +55,8 @@ _AFTER = (
     "<ul class='commentlist'><li>{b}</li><li>{c}</li></ul>", "<div class='pagination pager'><a href='/2'>2</a> <a href='/3'>3</a></div>", "", "",
 )
 _BOTTOM = (
-    "<footer>&copy; news.example &middot; {n}</footer>", "<footer><p>{a}</p><ul><li><a href='/i'>Imprint</a></li></ul></footer>", "<div class='footer bottom legal copyright'><p>&copy; 2020 {n}</p></div>",
+    "<footer>&copy; news.example &middot; {n}</footer>", "<footer><p>{a}</p><ul><li><a href='/i'>Imprint</a></li></ul></footer>",
+        "<div class='footer bottom legal copyright'><p>&copy; 2020 {n}</p></div>",
     "<div id='footer' role='contentinfo'><a href='/i'>Contact</a> {n}</div>", "",
 )
 
@@ -75,5 +79,6 @@ def labelled_pages() -> list[str]:
             inner = f"<!--main-->{body[:cut]}{within}{body[cut:]}<!--/main-->" if cut > 0 and frame != "{m}" else f"<!--main-->{body}<!--/main-->{within.replace('<!--/main-->', '').replace('<!--main-->', '')}"
             middle = frame.format(m=inner)
             wrap = "<div id='page' class='wrapper container'>{}</div>" if variant == 4 else "{}"
-            pages.append("<html><head><title>{}</title></head><body>{}</body></html>".format(words["s"], wrap.format(pick(_TOP, n, 1).format(**other) + noise + middle + pick(_AFTER, n, 1).format(**other) + pick(_NOISE, n, 1).format(**words) + pick(_BOTTOM, n, 1).format(**other))))
+            pages.append("<html><head><title>{}</title></head><body>{}</body></html>".format(words["s"], wrap.format(pick(_TOP, n,
+                1).format(**other) + noise + middle + pick(_AFTER, n, 1).format(**other) + pick(_NOISE, n, 1).format(**words) + pick(_BOTTOM, n, 1).format(**other))))
     return pages

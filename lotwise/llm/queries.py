@@ -14,6 +14,7 @@ from lotwise.llm.token_counts import op7_token_counts
 from lotwise.llm.url_filter import op10_url_filter
 from lotwise.llm.warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_warc, op4_decontaminate, op5_html_extract, op6_byte_bpe, op7_token_counts, op8_jaccard_join, op9_chat_format, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_warc, op4_decontaminate, op5_html_extract, op6_byte_bpe, op7_token_counts,
+    op8_jaccard_join, op9_chat_format, op10_url_filter)}
 
 __all__ = ["QUERIES", "SQL"]

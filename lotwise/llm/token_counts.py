@@ -140,7 +140,8 @@ def count_tokens(df: DataFrame, path: str, pattern: str, limit: int, key: str =
         for b in batches:
             texts = b.column(1).to_pylist()
             n = [counts(path, pattern).count(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len((x or "").encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len((x or "").encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()),
+                pa.array([x > limit for x in n], pa.bool_())], names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)
 

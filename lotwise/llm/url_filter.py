@@ -72,8 +72,10 @@ def propagate(nodes: DataFrame, edges: DataFrame, scratch: Scratch, damping: flo
         reverse = steps.join(ranks, steps.dst == ranks.host).select(F.col("src").alias("host"), F.lit(0.0).alias("_t"), (F.col("distrust") * F.col("reverse")).alias("_d"))
         flow = ahead.unionByName(reverse).groupBy("host").agg(F.sum("_t").alias("_t"), F.sum("_d").alias("_d"))
         after = ranks.join(flow, "host", "left").select(
-            "host", (F.col("trusted") * (1 - damping) + damping * F.coalesce("_t", F.lit(0.0))).alias("trust"), (F.col("blocked") * (1 - damping) + damping * F.coalesce("_d", F.lit(0.0))).alias("distrust"),
-            "trusted", "blocked", (F.abs(F.col("trust") - (F.col("trusted") * (1 - damping) + damping * F.coalesce("_t", F.lit(0.0)))) + F.abs(F.col("distrust") - (F.col("blocked") * (1 - damping) + damping * F.coalesce("_d", F.lit(0.0))))).alias("_moved"),
+            "host", (F.col("trusted") * (1 - damping) + damping * F.coalesce("_t", F.lit(0.0))).alias("trust"),
+                (F.col("blocked") * (1 - damping) + damping * F.coalesce("_d", F.lit(0.0))).alias("distrust"),
+            "trusted", "blocked", (F.abs(F.col("trust") - (F.col("trusted") * (1 - damping) + damping * F.coalesce("_t",
+                F.lit(0.0)))) + F.abs(F.col("distrust") - (F.col("blocked") * (1 - damping) + damping * F.coalesce("_d", F.lit(0.0))))).alias("_moved"),
         )
         after = scratch.save(after, f"ranks{k}")
         moved = after.agg(F.sum("_moved")).first()[0] or 0.0
@@ -94,7 +96,8 @@ def judge(pages: DataFrame, scratch: Scratch, rules: tuple[tuple[str, str, str],
     judged = placed.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("_verdict"))
     edges = scratch.save(host_edges(placed), "edges")
     hosts = judged.groupBy("host").agg(F.count_if(F.col("_verdict") == "allow").alias("a"), F.count_if(F.col("_verdict") == "block").alias("b"))
-    known = scratch.save(hosts.unionByName(edges.select(F.col("dst").alias("host"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).groupBy("host").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "hosts")
+    known = scratch.save(hosts.unionByName(edges.select(F.col("dst").alias("host"), F.lit(0).cast("long").alias("a"),
+        F.lit(0).cast("long").alias("b"))).groupBy("host").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "hosts")
     total = known.agg(F.sum("a"), F.sum("b"), F.count("*")).first()
     n = total[2] or 1
     nodes = known.select("host", (F.col("a") / F.lit(float(total[0] or 1))).alias("trusted"), (F.col("b") / F.lit(float(total[1] or 1))).alias("blocked"))

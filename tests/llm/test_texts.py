@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 import html_pages
 from lotwise.llm import byte_bpe, chat, html_extract, quality_classifier, quality_rules, token_counts
 
-TEXTS = [None, "", " ", "a", "Hello, world's   end.\n\nx", "naïve café — “q” 你好 ½²", "x<|endoftext|>y", "a" * 30_000, "ab cd " * 20_000, "1a2b'sx" * 9_000, "word\x00\x85  z", "Und Und Und Und Und", "dup", "dup", "plain words 😀 and हिन्दी then more, 한국어 x<|endoftext|>😀 y", "e\u0301a שלום  abc1 ไทย\n\n z" * 300, "😀" * 9_000, "a 😀 b" * 20_000]
+TEXTS = [None, "", " ", "a", "Hello, world's   end.\n\nx", "naïve café — “q” 你好 ½²", "x<|endoftext|>y", "a" * 30_000, "ab cd " * 20_000, "1a2b'sx" * 9_000,
+    "word\x00\x85  z", "Und Und Und Und Und", "dup", "dup", "plain words 😀 and हिन्दी then more, 한국어 x<|endoftext|>😀 y", "e\u0301a שלום  abc1 ไทย\n\n z" * 300,
+    "😀" * 9_000, "a 😀 b" * 20_000]
 
 
 @pytest.fixture(scope="module")
@@ -76,7 +78,8 @@ def brute_rules(text):
 
 
 def test_quality_rules(spark, docs):
-    more = docs.unionByName(spark.createDataFrame([(100, "a\nb c d e f\na\n \n\nb c d e f\n#*|", None, None, None, "x"), (101, "one two three four five six " * 3, None, None, None, "x")], docs.schema))
+    more = docs.unionByName(spark.createDataFrame([(100, "a\nb c d e f\na\n \n\nb c d e f\n#*|", None, None, None, "x"), (101, "one two three four five six " * 3, None,
+        None, None, "x")], docs.schema))
     rows = quality_rules.with_features(more.withColumnRenamed("ids", "p_good").withColumnRenamed("p_good", "other")).collect()
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
@@ -246,7 +249,8 @@ def test_the_sample_is_bounded(spark):
 
 def test_classifier_stage(spark, tmp_path):
     rows = [(k, "good words in a row" if k % 2 else "bad*** words$$$", "en", "s", 3, "clash") for k in range(60)]
-    docs = spark.createDataFrame([*rows, (70, None, "en", "s", 0, "clash"), rows[1], (None, rows[1][1], None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, _score string")
+    docs = spark.createDataFrame([*rows, (70, None, "en", "s", 0, "clash"), rows[1], (None, rows[1][1], None, None, None, None)],
+        "doc_id long, text string, lang string, source string, n_chars long, _score string")
     spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     kept = quality_classifier.stage(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
@@ -260,11 +264,13 @@ def test_html(spark):
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>Menu one</a></li></ul></nav><div class=ad>Buy it now.</div><article><h1>Head&amp;line here</h1><p><b>First  part,\nof some length, it is.<br><p>Second part of it, a &lt; b, said they. And more.</p></article><section class='comments'><p>I liked it, really.</p></section><footer>&copy; site</footer>"
     assert model.extract(page) == "Head&line here First part, of some length, it is. Second part of it, a < b, said they. And more."
     assert [model.extract(x) for x in (None, "", "<p>", "<!-- x", "<script>a")] == [""] * 5
-    df = spark.createDataFrame([(1, "u", page, "clash"), (2, None, None, "clash"), (3, "u", page, "x"), (3, "u", page, "x"), (None, None, page, None)], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(1, "u", page, "clash"), (2, None, None, "clash"), (3, "u", page, "x"), (3, "u", page, "x"), (None, None, page, None)],
+        "page_id long, url string, html string, text string")
     got = html_extract.extract_text(df, model)
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     want = model.extract(page)
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "u", want, len(want)), (2, None, "", 0), (3, "u", want, len(want)), (3, "u", want, len(want)), (None, None, want, len(want))], key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "u", want, len(want)), (2, None, "", 0), (3, "u", want, len(want)), (3, "u", want, len(want)),
+        (None, None, want, len(want))], key=repr)
     assert html_extract.extract_text(df.limit(0), model).count() == 0
 
 
@@ -342,7 +348,8 @@ def test_chat(spark):
 
 def test_chat_with_audio_and_null_roles(spark):
     part = lambda kind, text=None, ref=None, units=None: {"kind": kind, "text": text, "ref": ref, "units": units}
-    rows = [(1, 0, None, [part("audio", ref="a1", units=3), part("text", "said [this]")]), (1, 1, "assistant", [part("text", "yes"), part("audio", ref=None, units=0)]), (None, 0, "user", []), (None, 1, None, None)]
+    rows = [(1, 0, None, [part("audio", ref="a1", units=3), part("text", "said [this]")]), (1, 1, "assistant", [part("text", "yes"), part("audio", ref=None, units=0)]),
+        (None, 0, "user", []), (None, 1, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:long>>")
     got = {r.conv_id: r for r in chat.format_chat(df).collect()}
     assert [(a.position, a.kind, a.ref, a.tokens) for a in got[1].attachments] == [(0, "audio", "a1", 77), (1, "audio", None, 27)] and got[1].expanded_tokens == 104
@@ -352,7 +359,8 @@ def test_chat_with_audio_and_null_roles(spark):
 
 
 def test_chat_parts(spark):
-    parts = [{"kind": "text", "text": "a<", "ref": None, "units": None}, {"kind": "image", "text": None, "ref": "img1", "units": 2}, {"kind": "text", "text": "|b", "ref": None, "units": None}, {"kind": "document", "text": None, "ref": "doc", "units": None}]
+    parts = [{"kind": "text", "text": "a<", "ref": None, "units": None}, {"kind": "image", "text": None, "ref": "img1", "units": 2}, {"kind": "text", "text": "|b",
+        "ref": None, "units": None}, {"kind": "document", "text": None, "ref": "doc", "units": None}]
     df = spark.createDataFrame([(1, 0, "user", parts)], "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:long>>")
     row = chat.format_chat(df).first()
     assert [(a.position, a.kind, a.ref, a.tokens) for a in row.attachments] == [(0, "image", "img1", 514), (1, "document", "doc", 642)] and row.expanded_tokens == 1156
