@@ -13,6 +13,7 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ from lotwise.llm.common import read_table
 
 #: Texts up to this many characters go to the library whole.
 PIECE_CHARS = 100_000
+#: Rows whose ids a worker holds at once.
+ROWS = 500
 #: White space after something else always starts a new match, and so does a change of class after a letter or a digit
 #: (an apostrophe before a letter may be a contraction, so punctuation is no safe left side).
 SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])")
@@ -65,9 +68,12 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = pa.array([encode_text(x, rank_file, pattern, piece_chars) for x in b.column(keep.index(text)).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*keep, out])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                ids = [np.array(encode_text(x, rank_file, pattern, piece_chars), np.int32) for x in b.column(keep.index(text)).to_pylist()]
+                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, np.concatenate(ids))], names=[*keep, out])
 
     return df.select(*keep).mapInArrow(run, schema)
 
