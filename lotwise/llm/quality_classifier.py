@@ -105,13 +105,15 @@ def train(rows: list[tuple[int, np.ndarray]], cost: float = COST, epochs: int =
     if len(sides) < 2:
         return Model(np.zeros(size, np.float32), (1.0 if 1 in sides else -1.0) if sides else MIDDLE, 10.0)
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    data = [(1.0 if y else -1.0, x, ratio[x] / math.sqrt(max(1, len(x)))) for y, x in rows]
-    norm = [float(v @ v) + 1.0 for _, _, v in data]
-    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(data))
+    # Scaled indicators are made anew where a row is visited, so that the sample is held as bucket numbers only.
+    scales = [1 / math.sqrt(max(1, len(x))) for _, x in rows]
+    norm = [float(np.square(ratio[x]).sum()) * scale * scale + 1.0 for (_, x), scale in zip(rows, scales)]
+    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(0)
     for _ in range(epochs):
-        for i in order.permutation(len(data)):
-            y, x, v = data[i]
+        for i in order.permutation(len(rows)):
+            x, y = rows[i][1], 1.0 if rows[i][0] else -1.0
+            v = ratio[x] * scales[i]
             slope = y * (float(w[x] @ v) + bias) - 1
             after = min(cost, max(0.0, alpha[i] - slope / norm[i]))
             if after != alpha[i]:
@@ -157,9 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_buckets
     turn = F.row_number().over(Window.partitionBy("quality").orderBy(*order, "_sum"))
     before = F.sum("n").over(Window.orderBy("_turn", "quality").rowsBetween(Window.unboundedPreceding, -1))
     few = made.withColumn("_turn", turn).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") + F.col("n") <= sample_buckets)
-    got = few.select("doc_id", "quality", "_sum", "x").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["quality"], r["_sum"]))
-    return train([(r["quality"], np.frombuffer(r["x"], np.int32).astype(np.int64)) for r in got])
+    got = few.select("doc_id", "quality", "_sum", "x").toArrow().combine_chunks().sort_by([(c, "ascending") for c in ("doc_id", "quality", "_sum")])
+    return train([(y, np.frombuffer(x.as_buffer(), np.int32)) for y, x in zip(got["quality"].to_pylist(), got["x"])])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
