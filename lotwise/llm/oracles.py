@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
+from lotwise.llm import conversation_repair as repair
+from lotwise.llm import fill_in_middle as fim
 from lotwise.llm import quality_rules as rules
+from lotwise.llm import simhash
 from lotwise.llm import url_filter as urls
 
 SYMBOLS = "[#*$%&|<>]"
@@ -110,4 +113,107 @@ def url_filter_sql() -> str:
     from judged j join ranks r on r.host = j.host and k = {rounds}, sums"""
 
 
-SQL = {"op1_quality_rules": quality_rules_sql(), "op3_warc": warc_sql(), "op9_chat_format": chat_sql(), "op10_url_filter": url_filter_sql()}
+def fill_in_middle_sql() -> str:
+    """Lines by an expression, cuts by the digest's groups of eight digits, and the text rebuilt by taking markers out of the output."""
+    h = lambda k: f"cast(concat('0x', substr(h, {8 * k + 1}, 8)) as bigint)"
+    p, s, m = fim.PREFIX, fim.SUFFIX, fim.MIDDLE
+    return f"""with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as u, sha256(concat('{fim.SEED}:', doc_id)) as h from documents),
+    drawn as (select *, len(u) as n, least({h(0)} % (len(u) + 1), {h(1)} % (len(u) + 1)) as a, greatest({h(0)} % (len(u) + 1), {h(1)} % (len(u) + 1)) as b,
+      case when text = '' or contains(text, '{p}') or contains(text, '{s}') or contains(text, '{m}') or {h(2)} % 100 >= {fim.FIM_PERCENT} then 'plain' when {h(3)} % 100 < {fim.SPM_PERCENT} then 'spm' else 'psm' end as form from t),
+    parts as (select *, coalesce(array_to_string(u[1:a], ''), '') as prefix, coalesce(array_to_string(u[a + 1:b], ''), '') as middle, coalesce(array_to_string(u[b + 1:], ''), '') as suffix from drawn),
+    made as (select *, case form when 'plain' then text when 'psm' then concat('{p}', prefix, '{s}', suffix, '{m}', middle) else concat('{s}', suffix, '{p}', prefix, '{m}', middle) end as output from parts)
+    select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars, sha256(output) as output_sha256,
+      sha256(case form when 'plain' then output when 'psm' then concat(substr(split_part(output, '{s}', 1), 4), split_part(output, '{m}', 2), split_part(split_part(output, '{s}', 2), '{m}', 1))
+        else concat(split_part(split_part(output, '{p}', 2), '{m}', 1), split_part(output, '{m}', 2), substr(split_part(output, '{p}', 1), 4)) end) as restored_sha256 from made"""
+
+
+def conversation_repair_sql() -> str:
+    """Turn after turn, the least (cost, audit) of each state of the automaton, with what it has repaired to."""
+    table = "list_transform(range(256), lambda n: list_reduce(range(8), lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end, n))"
+    crc = "xor(list_reduce(list_transform(string_split(k, ''), lambda x: ascii(x)::bigint), lambda r, b: xor(r >> 8, t[1 + (xor(r, b) & 255)]), 4294967295::bigint), 4294967295)"
+    steps = ", ".join(f"({i}, '{c}', {j})" for (i, c), j in repair.STEP.items())
+    return f"""with recursive crc as materialized (select {table} as t),
+    keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')) as k from conversations),
+    coded as (select conv_id, turn, role, text, {crc} % 20 as c from keyed, crc),
+    damaged as (select conv_id, turn, case when c = 4 then 'user' else role end as role, case c when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+      unnest(range(case when c = 3 then 2 else 1 end)) as copy from coded where c <> 0),
+    placed as (select *, row_number() over (partition by conv_id, role, text order by n) as seen
+      from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n from damaged)),
+    faulty as (select *, substr(role, 1, 1) as i, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when seen > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then 'truncated' end as fault from placed),
+    turns as materialized (select *, concat(i, '') as own, case when fault = 'truncated' then {repair.TRUNCATED} else 0 end as extra, fault in ('blank', 'duplicate') is true as must_go,
+      lag(i) over (partition by conv_id order by n) as before from faulty),
+    step(i, c, j) as (values {steps}),
+    one(i, j, lines) as (select distinct on (s.i) s.i, s.j, [case s.c when 'a' then 'assistant:' else 'user:' end] from step s where s.c <> 's'),
+    closure as materialized (select unnest(range(4)) as i, unnest(range(4)) as j, []::varchar[] as lines
+      union all select * from one union all select a.i, b.j, list_concat(a.lines, b.lines) from one a join one b on b.i = a.j where b.j <> a.i),
+    ends as (select conv_id, max(n) as n_turns from turns group by 1),
+    parsed(conv_id, n, state, best) as (
+      select conv_id, 0::bigint, 0::bigint, {{'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]}} from ends
+      union all
+      select p.conv_id, p.n + 1, e.j, min({{'cost': p.best.cost + 5 * len(c.lines) + e.cost, 'audit': concat(p.best.audit, repeat('I', len(c.lines)), e.edit), 'lines': list_concat(p.best.lines, c.lines, e.lines)}})
+      from parsed p join closure c on c.i = p.state join (
+        select t.conv_id, t.n, s.i, s.i as j, 2 as cost, 'D' as edit, []::varchar[] as lines from turns t, (select unnest(range(4)) as i) s
+        union all select t.conv_id, t.n, s.i, s.j, t.extra, 'K', [concat(t.role, ':', t.text)] from turns t join step s on s.c = t.own where not must_go
+        union all select t.conv_id, t.n, s.i, s.j, t.extra + 1, 'R', [concat(case s.c when 'a' then 'assistant' else 'user' end, ':', t.text)] from turns t, step s where s.c <> 's' and not must_go
+      ) e on e.conv_id is not distinct from p.conv_id and e.n = p.n + 1 and e.i = c.j group by p.conv_id, p.n + 1, e.j),
+    chosen as (select p.conv_id, min({{'cost': p.best.cost + 5 * len(c.lines), 'audit': concat(p.best.audit, repeat('I', len(c.lines))), 'lines': list_concat(p.best.lines, c.lines)}}) as best
+      from parsed p join ends e on e.conv_id is not distinct from p.conv_id and e.n_turns = p.n join closure c on c.i = p.state and c.j in (0, 3) group by 1),
+    counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+      count(*) filter (fault = 'truncated') as truncated, count(*) filter (n > 1 and concat(before, i) not in ('su', 'ua', 'au')) as illegal from turns group by 1)
+    select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+      coalesce(best.cost, 0) as cost, coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) a left join counts c on c.conv_id is not distinct from a.conv_id left join chosen b on b.conv_id is not distinct from a.conv_id"""
+
+
+def simhash_sql() -> str:
+    """Runs of words hashed by wrapping arithmetic, votes as one sum per bit, and pairs within the radius by comparing all."""
+    mult, plus, size = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D, 1 << 64
+
+    def wrap(x: str) -> str:
+        return f"(({x}) % {size}::uhugeint)"
+
+    def number(half: int) -> str:
+        out = "0::uhugeint"
+        for k in range(simhash.WORDS):
+            word = f"cast(concat('0x', substr(m[i + {k}], {16 * half + 1}, 16)) as ubigint)::uhugeint"
+            out = f"case when m[i + {k}] is null then {out} else {wrap(f'{wrap(f"({out}) + {word}")} * {mult}::uhugeint + {plus}::uhugeint')} end"
+        return f"cast({out} as ubigint)"
+
+    def mixed(x: str) -> str:
+        return f"xor({x}, {x} >> 33)"
+
+    def times(x: str, shift: int, factor: int) -> str:
+        return f"cast({wrap(f'xor({x}, {x} >> {shift})::uhugeint * {factor}::uhugeint')} as ubigint)"
+
+    bits = range(64)
+    half = lambda h: " + ".join(f"(case when 2 * {h}{k} > total then {1 << (63 - k)}::ubigint else 0::ubigint end)" for k in bits)
+    digits = lambda h: f"lpad(lower(to_hex({half(h)})), 16, '0')"
+    distance = "bit_count(xor(a.x, b.x)::bit) + bit_count(xor(a.y, b.y)::bit)"
+    likeness = "case when {0} = {1} then 1.0 else greatest(0.0, round(cos(pi() * (bit_count(xor({2}x, {3}x)::bit) + bit_count(xor({2}y, {3}y)::bit)) / 128), 6)) end"
+    return f"""with recursive t as (select doc_id, coalesce(text, '') as text from documents),
+    e as (select doc_id, text, coalesce(lead(text) over w, first_value(text) over (order by doc_id nulls first)) as following, coalesce(lead(doc_id) over w, first_value(doc_id) over (order by doc_id nulls first)) as next_id
+      from t window w as (order by doc_id nulls first)),
+    edits as (select doc_id, text, next_id, concat(substr(text, 1, length(text) - length(text) // 2), substr(following, 1, length(text) // 2)) as edited from e),
+    said as materialized (select doc_id, 0 as kind, text from edits union all select doc_id, 1, edited from edits),
+    words as (select doc_id, kind, list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), lambda x: md5(x)) as m from said),
+    runs as (select doc_id, kind, m, unnest(range(1, greatest(len(m) - {simhash.WORDS - 2}, 2))) as i from words where len(m) > 0),
+    raw as (select doc_id, kind, {number(0)} as x0, {number(1)} as y0 from runs),
+    one as (select doc_id, kind, {times("x0", 31, 0x7FB5D329728EA185)} as x1, {times("y0", 31, 0x7FB5D329728EA185)} as y1 from raw),
+    two as (select doc_id, kind, {times("x1", 27, 0x81DADEF4BC2DD44D)} as x2, {times("y1", 27, 0x81DADEF4BC2DD44D)} as y2 from one),
+    terms as (select doc_id, kind, {mixed("x2")} as x, {mixed("y2")} as y, length(bin(count(*))) as w from two group by all),
+    votes as (select doc_id, kind, sum(w) as total, {", ".join(f"sum(w * ((x >> {63 - k}) & 1)) as x{k}, sum(w * ((y >> {63 - k}) & 1)) as y{k}" for k in bits)} from terms group by 1, 2),
+    prints as materialized (select s.doc_id, s.kind, coalesce({digits("x")} || {digits("y")}, repeat('0', 32)) as p from said s left join votes v using (doc_id, kind)),
+    halves as materialized (select *, cast(concat('0x', substr(p, 1, 16)) as ubigint) as x, cast(concat('0x', substr(p, 17)) as ubigint) as y from prints),
+    own as materialized (select distinct p, x, y from halves where kind = 0),
+    links as materialized (select a.p as a, b.p as b from own a join own b on a.p <> b.p and {distance} <= {simhash.RADIUS}),
+    reach(a, b) as (select p, p from own union select r.a, l.b from reach r join links l on l.a = r.b),
+    classes as (select a, min(b) as near_class from reach group by 1), counts as (select a, count(*) as n_near from links group by 1)
+    select d.doc_id, length(d.text) as n_chars, sha256(d.edited) as edited_sha256, o.p as fingerprint, f.p as edited_fingerprint,
+      {likeness.format("o.p", "f.p", "o.", "f.")} as near_edited, {likeness.format("o.p", "g.p", "o.", "g.")} as near_next, coalesce(n_near, 0) as n_near, near_class
+    from edits d join halves o on o.doc_id = d.doc_id and o.kind = 0 join halves f on f.doc_id = d.doc_id and f.kind = 1 join halves g on g.doc_id = d.next_id and g.kind = 0
+    join classes c on c.a = o.p left join counts n on n.a = o.p"""
+
+
+SQL = {"op1_quality_rules": quality_rules_sql(), "op3_warc": warc_sql(), "op9_chat_format": chat_sql(), "op10_url_filter": url_filter_sql(),
+    "op11_simhash": simhash_sql(), "op12_conversation_repair": conversation_repair_sql(), "op13_fill_in_middle": fill_in_middle_sql()}
