@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotwise.functions.canonical import join_texts, python_float
+
 # Fixed values of the evaluated domain.
 GSTIN = r"\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]\b"
 UNKNOWN_SCORE, DEFAULT_CONFIDENCE = 0.3, 0.87
@@ -68,6 +70,7 @@ def verdict(label: Column, ambiguous: Column, threshold: Column, operator: Colum
     op = F.lower(strip(F.coalesce(F.nullif(operator, F.lit("")), F.lit("gte"))))
     passed = compare(number, operator, threshold)
     sure = F.round(confidence, 4)
+    said = join_texts("extracted=", python_float(number), " ", op, " threshold=", python_float(threshold))
 
     def out(kind: str | Column, score: Column, *said: Column | str) -> Column:
         parts = [F.lit(x) if isinstance(x, str) else x.cast("string") for x in said]
@@ -78,8 +81,8 @@ def verdict(label: Column, ambiguous: Column, threshold: Column, operator: Colum
     return (
         F.when(F.coalesce(ambiguous, F.lit(False)), out("unknown", unsure, "Criterion is ambiguous — cannot evaluate deterministically"))
         .when(threshold.isNotNull() & number.isNull(), out("unknown", unsure, "Value not found or not numeric in bidder document"))
-        .when(threshold.isNotNull() & passed, out("pass", sure, "extracted=", number, " ", op, " threshold=", threshold, " → PASS"))
-        .when(threshold.isNotNull(), out("fail", F.lit(0.0), "extracted=", number, " ", op, " threshold=", threshold, " → FAIL"))
+        .when(threshold.isNotNull() & passed, out("pass", sure, said, " → PASS"))
+        .when(threshold.isNotNull(), out("fail", F.lit(0.0), said, " → FAIL"))
         .when(value.isNull(), out("unknown", unsure, "Not found in bidder document"))
         .when(tax, out("pass", sure, "Valid GST number found: ", text))
         .when(any_of(low, CLEAN_PHRASES), out("pass", sure, "Compliant (not blacklisted/debarred): '", value, "'"))

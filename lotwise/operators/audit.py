@@ -6,9 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions.canonical import canonical
 from lotwise.operators.scratch import Scratch
 
 GENESIS = hashlib.sha256(b"GENESIS").hexdigest()
@@ -28,12 +29,17 @@ def chain_tails(chain: DataFrame) -> DataFrame:
     return chain.join(used, ["job_id", "current_hash"], "left_anti").groupBy("job_id").agg(F.min("current_hash").alias("tail"))
 
 
+def payload_text(actions: DataFrame) -> Column:
+    """The payload of actions as the text that chains hash."""
+    return F.col("payload") if actions.schema["payload"].dataType.typeName() == "string" else canonical(actions, "payload")
+
+
 def append_chain(actions: DataFrame, chain: DataFrame | None = None) -> DataFrame:
     """Chain rows of new actions (id, job_id, action_type, payload, created_at), in order, after each job's tail.
 
-    A job's rows are hashed as a stream in sorted order, so a job of any length needs no memory.
+    A payload of any nested type is hashed, and kept, as canonical JSON; a text is taken to be that already. A job's rows are hashed as a stream in sorted order, so a job of any length needs no memory.
     """
-    rows = actions.select("id", "job_id", "action_type", "payload", "created_at")
+    rows = actions.select("id", "job_id", "action_type", payload_text(actions).alias("payload"), "created_at")
     rows = rows.withColumn("tail", F.lit(GENESIS)) if chain is None else rows.join(chain_tails(chain), "job_id", "left").withColumn("tail", F.coalesce("tail", F.lit(GENESIS)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions.canonical import canonical, join_texts
 from lotwise.functions.rules import DEFAULT_CONFIDENCE, verdict
-from lotwise.operators.latest import surest_row
+from lotwise.operators.latest import newest_row, surest_row
+
+# Fixed value: what follows the number of open criteria in a message.
+OPEN_MESSAGE = " criterion/criteria could not be evaluated deterministically — human review required."
 
 
 def best_extraction(extractions: DataFrame) -> DataFrame:
@@ -52,6 +56,19 @@ def evaluate_jobs(criteria: DataFrame, files: DataFrame, extractions: DataFrame,
     return evaluate_grid(grid if existing is None else not_yet_judged(grid, existing))
 
 
+def evaluate_with_stored(criteria: DataFrame, files: DataFrame, extractions: DataFrame, stored: DataFrame) -> DataFrame:
+    """The verdicts that decisions run over: of bidders and criteria with stored results the newest of those, of all others fresh ones.
+
+    Columns as evaluate_grid's without the key, and `fresh`, which marks the rows that are to be appended.
+    """
+    grid = evaluation_grid(files, criteria, best_extraction(extractions))
+    kept = newest_row(stored.where("bidder_file_id is not null"), ["job_id", "bidder_file_id", "criterion_id"])
+    kept = grid.select("job_id", "bidder_file_id", "criterion_id", "mandatory").join(kept.select("job_id", "bidder_file_id", "criterion_id", "verdict", "score", "explanation", "weight",
+        "weighted_score"), ["job_id", "bidder_file_id", "criterion_id"])
+    fresh = evaluate_grid(not_yet_judged(grid, stored)).drop("criterion_key")
+    return kept.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+
+
 def final_decision(results: DataFrame) -> DataFrame:
     """Status, score and counts per job and bidder; a failed mandatory criterion disqualifies (missing: mandatory)."""
     weight = F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight"))
@@ -89,8 +106,18 @@ def _completion(results: DataFrame) -> DataFrame:
 
 
 def evaluation_events(totals: DataFrame) -> DataFrame:
-    """Audit rows of completed jobs: one that evaluation is done, and one that review is needed where it is."""
-    done = totals.select("job_id", F.lit("evaluation_done").alias("action"), F.lit("evaluation_finalized").alias("chain_action"), "unknown_total")
-    done = done.withColumn("chain_action", F.when(F.col("unknown_total") > 0, "evaluation_complete_review_needed").otherwise(F.col("chain_action")))
-    need = totals.where("unknown_total > 0").select("job_id", F.lit("review_needed").alias("action"), F.lit(None).cast("string").alias("chain_action"), "unknown_total")
+    """Audit rows of completed jobs with their details: one that evaluation is done, and one that review is needed where it is.
+
+    The first also names the chain's action and has its payload. Both documents are canonical JSON.
+    """
+    some = F.col("unknown_total") > 0
+    counts = {"total": F.col("pass_total") + F.col("fail_total") + F.col("unknown_total"), "pass": F.col("pass_total"), "fail": F.col("fail_total"), "unknown": F.col("unknown_total"),
+        "bidders_evaluated": F.col("bidders_evaluated")}
+    counted = [c.alias(name) for name, c in counts.items()]
+    rows = totals.withColumns({"_counts": F.struct(*counted), "_open": F.struct("job_id", *counted, F.lit(True).alias("review_required")), "_closed": F.struct("job_id", *counted),
+        "_need": F.struct(F.col("unknown_total").alias("unknown_count"), F.lit(True).alias("review_required"), join_texts(F.col("unknown_total").cast("string"), OPEN_MESSAGE).alias("message"))})
+    done = rows.select("job_id", F.lit("evaluation_done").alias("action"), F.when(some, "evaluation_complete_review_needed").otherwise("evaluation_complete_finalized").alias("chain_action"),
+        "unknown_total", canonical(rows, "_counts").alias("details"), F.when(some, canonical(rows, "_open")).otherwise(canonical(rows, "_closed")).alias("payload"))
+    none = F.lit(None).cast("string")
+    need = rows.where(some).select("job_id", F.lit("review_needed").alias("action"), none.alias("chain_action"), "unknown_total", canonical(rows, "_need").alias("details"), none.alias("payload"))
     return done.unionByName(need)

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.functions.canonical import join_texts, python_repr
+from lotwise.functions.let import let
 from lotwise.functions.rules import DEFAULT_CONFIDENCE, verdict
 from lotwise.operators.compare import exact_sum, ratio, verdict_counts
 from lotwise.operators.latest import newest_row
 
+# What explanations of reviewed rows say before the reviewer's value, or around it.
+REJECTED, OVERRIDDEN, PROVIDED = "Reviewer REJECTED this criterion. Reason: ", "Reviewer override applied with value=", ("Reviewer provided updated value=", ". Re-evaluated: ")
+
 
 def apply_reviews(actions: DataFrame, results: DataFrame, criteria: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new result rows, error rows) of reviewers' edits and rejections; approvals make no row."""
@@ -18,11 +23,12 @@ def apply_reviews(actions: DataFrame, results: DataFrame, criteria: DataFrame) -
     rows = work.join(known, "evaluation_result_id", "left").join(named, "criterion_id", "left")
     wrong = F.when(F.col("evaluation_result_id").isNull(), "no result id").when(F.col("job_id").isNull(),
         "unknown result").when((F.col("reviewer_action") == "edit") & F.col("_c").isNull(), "unknown criterion")
-    judged = F.when(F.col("reviewer_action") == "reject", F.struct(F.lit("fail").alias("verdict"), F.lit(0.0).alias("score"),
-        F.concat(F.lit("Reviewer REJECTED. Reason: "), F.coalesce(F.nullif("updated_value", F.lit("")), F.lit("not provided"))).alias("explanation")))
-    judged = judged.when(F.col("threshold_value").isNull(), F.struct(F.lit("pass").alias("verdict"), F.lit(1.0).alias("score"), F.concat(F.lit("Reviewer EDITED: "),
-        F.coalesce("updated_value", F.lit(""))).alias("explanation")))
-    judged = judged.otherwise(verdict(F.col("label"), F.col("ambiguous"), F.col("threshold_value"), F.col("operator"), F.col("updated_value"), F.lit(DEFAULT_CONFIDENCE)))
+    given = F.col("updated_value")
+    out = lambda kind, score, said: F.struct(F.lit(kind).alias("verdict"), F.lit(score).alias("score"), said.alias("explanation"))
+    judged = F.when(F.col("reviewer_action") == "reject", out("fail", 0.0, join_texts(REJECTED, F.coalesce(F.nullif(given, F.lit("")), F.lit("not provided")))))
+    judged = judged.when(F.col("threshold_value").isNull(), out("pass", 1.0, join_texts(OVERRIDDEN, F.coalesce(given, F.lit("None")))))
+    again = verdict(F.col("label"), F.col("ambiguous"), F.col("threshold_value"), F.col("operator"), given, F.lit(DEFAULT_CONFIDENCE))
+    judged = judged.otherwise(let(again, lambda v: v.withField("explanation", join_texts(PROVIDED[0], python_repr(given), PROVIDED[1], v["explanation"]))))
     rows = rows.withColumns({"error": wrong, "_v": judged})
     made = rows.where("error is null").select("action_id", "job_id", "bidder_file_id", "criterion_id", "_v.*", "weight").withColumn("weighted_score", F.round(F.col("score") * F.col("weight"), 4))
     return made, rows.where("error is not null").select("action_id", "error")
@@ -38,6 +44,17 @@ def recalculate_decision(jobs: DataFrame, results: DataFrame, criteria: DataFram
         F.lit(0)).alias(f"{v}_count") for v in ("pass", "fail", "unknown")))
 
 
+def review_entries_for_chain(actions: DataFrame, made: DataFrame) -> DataFrame:
+    """Chain actions (id, job_id, action_type, payload, created_at) of review actions, with what was decided and which new row came of it.
+
+    made: apply_reviews' new rows, whose action_id names the row; columns that actions lack are null in the payload.
+    """
+    new = made.select(F.col("action_id").alias("id"), F.col("id" if "id" in made.columns else "action_id").alias("new_result_id"))
+    known = lambda c: F.col(c) if c in actions.columns else F.lit(None).cast("string").alias(c)
+    payload = F.struct(*(known(c) for c in ("actor", "reviewer_action", "criterion_id", "evaluation_result_id")), "new_result_id", *(known(c) for c in ("original_value", "updated_value", "reason")))
+    return actions.join(new, "id", "left").select("id", "job_id", F.lit("review_action").alias("action_type"), payload.alias("payload"), "created_at")
+
+
 def latest_review(actions: DataFrame) -> DataFrame:
     """The newest action per job and criterion."""
     return newest_row(actions, ["job_id", "criterion_id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,12 +16,15 @@ class Scratch:
     """Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir).
 
     A written table cuts lineage as checkpoint() does, is columnar and compressed, and survives lost executors.
-    Where the session sets no folder (as in some tests), a folder under the warehouse is used.
+    Where a session on one machine sets no folder (as in tests), a folder under its warehouse is used; a cluster must set one.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +60,7 @@ def running(df: DataFrame, group: str, order: list[str], weight: Column, name: s
     placed = df.join(F.broadcast(cuts), group, "left").withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts",
         lambda c: c <= F.struct(*order))))).drop("_cuts").withColumn("_weight", weight)
     sums = placed.groupBy(group, "_range").agg(F.sum("_weight").alias("_sum"))
-    before = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    # Only groups that are cut have offsets: as many rows as there are cuts, and one more for each such group.
+    before = sums.join(F.broadcast(cuts.select(group)), group, "left_semi").select(group, "_range", F.coalesce(F.sum("_sum").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     inside = F.coalesce(F.sum("_weight").over(Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn(name, inside).join(F.broadcast(before), [group, "_range"]).withColumn(name, F.col(name) + F.col("_offset")).drop("_range", "_weight", "_offset")
+    return placed.withColumn(name, inside).join(F.broadcast(before), [group, "_range"], "left").withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_range", "_weight", "_offset")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotwise.functions import fields, text
 from lotwise.operators import audit, compare, criteria, documents, evaluate, insight, quality, retrieval, review
 from lotwise.plans.evaluation import CANON, COUNTS, LATEST, SCORE, SQL, SUMMARY, TO_INSIGHT, TO_JUDGED, TOTALS, query
-from lotwise.plans.texts import CLEANED, DOCS, KINDS, MEANS, MODELLED, QUALITY, _chain, _modelled
+from lotwise.plans.texts import CLEANED, DOCS, KINDS, MEANS, MODELLED, NUMBERED_BY_JOB, QUALITY, _chain, _modelled, _numbered
 
 TRIM = "trim({0}, concat(' ', chr(10)))"
 
@@ -40,14 +40,14 @@ query(
 )(lambda r, c, f, j: compare.evaluation_view(r, c, f, j.select("job_id").unionByName(j.sparkSession.createDataFrame([("none",)], "job_id string"))))
 query(
     "dashboard_criteria",
-    """select s.job_id, s.status, count(i.job_id) as n, coalesce(string_agg(concat(criterion_id, ':', verdict, ':', importance, ':', review_confidence),
+    """select s.job_id, s.status, count(i.job_id) as n, coalesce(string_agg(concat(criterion_id, ':', verdict, ':', importance, ':', cast(review_confidence as decimal(10,4))),
       ',' order by bidder_file_id nulls first, criterion_id) filter (i.job_id is not null), '') as criteria from summary s left join insight i on i.job_id = s.job_id group by 1, 2""",
     "jobs", "results", "criteria", "files", "extractions", "audit_logs", extra=(*TO_INSIGHT, CANON, SUMMARY),
 )(
     lambda j, r, c, f, x, a: insight.dashboard(j, r, c, f, insight.criterion_insights(r, c, f, x, a)).select(
         "job_id", "status", F.coalesce(F.array_size("criteria"), F.lit(0)).cast("long").alias("n"),
         F.coalesce(F.array_join(F.transform("criteria", lambda x: F.concat_ws(":", x["criterion_id"], x["verdict"], x["importance"],
-            x["review_confidence"].cast("string"))), ","), F.lit("")).alias("criteria"),
+            x["review_confidence"].cast("decimal(10,4)").cast("string"))), ","), F.lit("")).alias("criteria"),
     )
 )
 query(
@@ -194,7 +194,7 @@ WORDED = (
     "worded",
     """select id, n, v, case n % 5 when 0 then concat('3-year average: Rs. ', v, '.25 Crore') when 1 then concat('FY 2021-22: Rs. ', v, '.5 Crore, FY 2022-23: Rs. ', v + 2, '.5 Cr.')
         when 2 then concat('The annual turnover was ', v, '.75 crore.') when 3 then concat('About ', v, '50 lakhs a year.') else 'No figures.' end as money,
-      case n % 4 when 0 then concat(v, ' qualifying similar projects') when 1 then concat('Total projects completed: ', v) when 2 then concat('Road Rs. 3.', v, ' crore in 2021', chr(10), 'Dam Rs. 3.', v, ' Cr. May', chr(10), 'Well Rs. 1.5 crore 2020', chr(10), 'Fort 7.5 Crore June') else 'none' end as work,
+      case n % 4 when 0 then case n % 8 when 0 then concat(v, ' qualifying similar projects. Qualifying projects: ', v + 1) else concat('Qualifying projects: ', v, ' (in words). Elsewhere ', v + 1, ' qualifying projects.') end when 1 then concat('Total projects completed: ', v) when 2 then concat('Road Rs. 3.', v, ' crore in 2021', chr(10), 'Dam Rs. 3.', v, ' Cr. May', chr(10), 'Well Rs. 1.5 crore 2020', chr(10), 'Fort 7.5 Crore June') else 'none' end as work,
       case n % 5 when 0 then 'ISO 9001 certificate. Status' || chr(10) || 'EXPIRED' when 1 then 'ISO9001 EXPIRED: 2020' when 2 then 'ISO 9001 audit under process; it is not held' when 3 then 'ISO 9001 held' else 'quality manual' end as norm,
       case n % 4 when 0 then 'EPF number KA/123, not yet allotted' when 1 then 'ESI reg 77; application PENDING' when 2 then 'PF code MH/1' else 'none' end as fund,
       case n % 3 when 0 then 'Work is pending since May and not held' when 1 then 'The certificate is Not Yet Issued; it is not held' else 'All in order.' end as denial
@@ -271,6 +271,49 @@ query(
 )(
     lambda r, c, f, j: review.review_entries(compare.latest_results(r).withColumn("status", F.when(F.col("score") >= 0.3, "pending").otherwise("resolved")), c, f, j, "resolved", 10, 20)
 )
+PAYLOADS = (
+    "payloads",
+    """select a.id, a.job_id, a.created_at, concat('{"actor": null, "criterion_id": "', criterion_id, '", "evaluation_result_id": ', coalesce(concat('"', evaluation_result_id, '"'), 'null'),
+      ', "new_result_id": ', case when reviewer_action <> 'approve' and n.rid is not null then concat('"', a.id, '"') else 'null' end, ', "original_value": null, "reason": null, "reviewer_action": "', reviewer_action,
+      '", "updated_value": ', coalesce(concat('"', updated_value, '"'), 'null'), '}') as payload from reviews a left join numbered n on n.rid = a.evaluation_result_id""",
+)
+query(
+    "review_chain", "select job_id, id, payload, previous_hash, current_hash from links", "reviews", "results", "criteria",
+    extra=(
+        LATEST, NUMBERED_BY_JOB, PAYLOADS, ("ordered", "select *, row_number() over (partition by job_id order by created_at, id) as n from payloads"),
+        ("links", """select job_id, 1 as n, id, payload, sha256('GENESIS') as previous_hash, sha256(concat(sha256('GENESIS'), payload)) as current_hash from ordered where n = 1
+        union all select o.job_id, l.n + 1, o.id, o.payload, l.current_hash, sha256(concat(l.current_hash, o.payload)) from links l join ordered o on o.job_id = l.job_id and o.n = l.n + 1"""),
+    ),
+)(
+    lambda a, r, c: audit.append_chain(review.review_entries_for_chain(a, review.apply_reviews(a, _numbered(r), c)[0])).select("job_id", "id", "payload", "previous_hash", "current_hash")
+)
+SQL["review_chain"] = SQL["review_chain"].replace("with ", "with recursive ", 1)
+query(
+    "pending_reviews_open",
+    """select * from (select job_id, criterion_id, row_number() over (partition by job_id order by criterion_id) as position, count(*) over (partition by job_id) as pending
+      from (select distinct job_id, criterion_id from latest l where verdict = 'unknown' and not exists (select 1 from reviews r
+      where r.job_id = l.job_id and r.criterion_id = l.criterion_id and reviewer_action = 'edit' and updated_value is null))) where position <= 5""",
+    "results", "reviews", extra=(LATEST,),
+)(lambda r, a: insight.pending_reviews(r, a.where("reviewer_action = 'edit' and updated_value is null")))
+WITH_STORED = (
+    "withstored",
+    """select g.job_id, g.bidder_file_id, g.mandatory, coalesce(l.verdict, g.verdict) as verdict, coalesce(l.score, g.score) as score, l.id is null as fresh
+    from judged g left join latest l on l.job_id = g.job_id and l.criterion_id = g.criterion_id and l.bidder_file_id = g.bidder_file_id where g.bidder_file_id is not null""",
+)
+query(
+    "decisions_with_stored",
+    f"""select d.*, fresh from (select job_id, bidder_file_id, case when bool_or(verdict = 'fail' and mandatory) then 'DISQUALIFIED' else 'QUALIFIED' end as status, round(cast(sum(cast(score as decimal(18,4))) as double) / count(*), 4) as score,
+      round(cast(sum(cast(score as decimal(18,4))) as double), 4) as total_weighted, cast(count(*) as double) as total_weight, {COUNTS} from withstored group by 1, 2) d
+    join (select job_id, bidder_file_id, count(*) filter (fresh) as fresh from withstored group by 1, 2) using (job_id, bidder_file_id)""",
+    "criteria", "files", "extractions", "results", extra=(*TO_JUDGED, LATEST, WITH_STORED),
+)(lambda c, f, x, r: _decided(evaluate.evaluate_with_stored(c, f, x, r)))
+
+
+def _decided(rows):
+    keys = ["job_id", "bidder_file_id"]
+    return evaluate.final_decision(rows).join(rows.groupBy(*keys).agg(F.count_if("fresh").alias("fresh")), keys)
+
+
 query("audit_action_types", "select distinct action as action_type from audit_logs where job_id in (select job_id from jobs where status = 'completed')", "audit_logs", "jobs")(
     lambda a, j: audit.audit_action_types(a.withColumnRenamed("action", "action_type"), j))
 query(

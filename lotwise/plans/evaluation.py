@@ -96,8 +96,12 @@ TOTALS = ("totals", """select job_id, count(*) filter (verdict = 'pass') as pass
       from judged group by job_id""")
 query("job_completion", "select * from totals", "criteria", "files", "extractions", extra=(*TO_JUDGED, TOTALS))(lambda c, f, x: E.job_completion(E.evaluate_jobs(c, f, x)))
 query("evaluation_events",
-    """select job_id, 'evaluation_done' as action, case when unknown_total > 0 then 'evaluation_complete_review_needed' else 'evaluation_finalized' end as chain_action, unknown_total from totals
-    union all select job_id, 'review_needed', null, unknown_total from totals where unknown_total > 0""", "criteria", "files", "extractions", extra=(*TO_JUDGED,
+    """select job_id, 'evaluation_done' as action, case when unknown_total > 0 then 'evaluation_complete_review_needed' else 'evaluation_complete_finalized' end as chain_action, unknown_total,
+      concat('{"bidders_evaluated": ', bidders_evaluated, ', "fail": ', fail_total, ', "pass": ', pass_total, ', "total": ', pass_total + fail_total + unknown_total, ', "unknown": ', unknown_total, '}') as details,
+      concat('{"bidders_evaluated": ', bidders_evaluated, ', "fail": ', fail_total, ', "job_id": "', job_id, '", "pass": ', pass_total, case when unknown_total > 0 then ', "review_required": true' else '' end,
+        ', "total": ', pass_total + fail_total + unknown_total, ', "unknown": ', unknown_total, '}') as payload from totals
+    union all select job_id, 'review_needed', null, unknown_total, concat('{"message": "', unknown_total, ' criterion/criteria could not be evaluated deterministically \\u2014 human review required.", "review_required": true, "unknown_count": ', unknown_total, '}'), null
+      from totals where unknown_total > 0""", "criteria", "files", "extractions", extra=(*TO_JUDGED,
         TOTALS))(lambda c, f, x: E.evaluation_events(E.job_completion(E.evaluate_jobs(c, f, x))))
 
 query("latest_results", "select * from latest", "results", extra=(LATEST,))(Q.latest_results)

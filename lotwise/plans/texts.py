@@ -10,6 +10,7 @@ from lotwise.functions import fields as X
 from lotwise.functions import rules, text
 from lotwise.operators import audit, criteria, documents, locate, quality, retrieval, review
 from lotwise.plans.evaluation import COUNTS, LATEST, QUERIES, SCORE, SQL, query
+from lotwise.operators.scratch import running
 from lotwise.sources import tables
 from lotwise.streaming import jobs as streaming
 
@@ -21,8 +22,8 @@ MEANS = (
     avg(case when trim(text, concat(' ', chr(10))) = '' then 1.0 else 0.0 end) as empty, avg(case when length(trim(text, concat(' ', chr(10)))) < 100 then 1.0 else 0.0 end) as low, bool_or(ocr_confidence < 1) as scanned from pages group by 1""",
 )
 QUALITY = ("qualities",
-    """select file_id, round(least(greatest(case when scanned then .5 * conf + .15 * sharp + .15 * density + .1 * (1 - least(skew / 5, 1)) + .05 * (1 - empty) + .05 * (1 - empty) else 1 - .25 * empty - .15 * low - .1 * (1 - density) end,
-      0), 1), 4) as ocr_quality from means""")
+    """select file_id, cast(round(cast(least(greatest(case when scanned then .5 * conf + .15 * sharp + .15 * density + .1 * (1 - least(skew / 5, 1)) + .05 * (1 - empty) + .05 * (1 - empty) else 1 - .25 * empty - .15 * low - .1 * (1 - density) end,
+      0), 1) as decimal(18,10)), 4) as double) as ocr_quality from means""")
 KINDS = ("kinds", "select file_id, case when avg(length(trim(text, concat(' ', chr(10))))) >= 50 then 'digital' else 'scanned' end as document_kind from pages where page_number <= 5 group by 1")
 DOCS = ("docs", "select file_id, coalesce(string_agg(clean, chr(10) || chr(10) order by page_number) filter (clean <> ''), '') as raw_text, count(*) as page_count from cleaned group by 1")
 
@@ -207,25 +208,23 @@ query("audit_reports", None, "audit_logs")(lambda a: tables.audit_reports(_chain
 
 
 def _numbered(r):
-    from pyspark.sql import Window
-
-    from lotwise.operators.compare import latest_results
-
-    best = latest_results(r)
-    # Numbers run over all rows of a small table of newest results: counts per job first, then numbers within each job.
-    before = best.groupBy("job_id").agg(F.count("*").alias("n")).withColumn("_before",
-        F.coalesce(F.sum("n").over(Window.orderBy("job_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return best.join(before, "job_id").withColumn("id", F.concat(F.lit("x"), F.col("_before") + F.row_number().over(Window.partitionBy("job_id").orderBy("id")) - 1)).drop("_before")
+    """Newest results with numbers of all of them, in order of job and id, as ids."""
+    rows = running(_latest(r).withColumn("_all", F.lit(0)), "_all", ["job_id", "id"], F.lit(1), "_n")
+    return rows.withColumn("id", F.concat(F.lit("x"), "_n")).drop("_all", "_n")
 
 
 NUMBERED_BY_JOB = ("numbered", "select concat('x', row_number() over (order by job_id, id) - 1) as rid, job_id, bidder_file_id, weight from latest")
 query("apply_reviews",
-    """select a.id as action_id, n.job_id, n.bidder_file_id, a.criterion_id, case when reviewer_action = 'reject' then 'fail' when c.threshold_value is null then 'pass' when c.ambiguous or updated_value is null then 'unknown'
+    """select a.id as action_id, n.job_id, n.bidder_file_id, a.criterion_id, case when reviewer_action = 'reject' then concat('Reviewer REJECTED this criterion. Reason: ', coalesce(nullif(updated_value, ''), 'not provided'))
+      when c.threshold_value is null then concat('Reviewer override applied with value=', coalesce(updated_value, 'None')) else concat('Reviewer provided updated value=', coalesce(concat('''', updated_value, ''''), 'None'), '. Re-evaluated: [', c.label, '] ',
+      case when c.ambiguous then 'Criterion is ambiguous — cannot evaluate deterministically' when updated_value is null then 'Value not found or not numeric in bidder document'
+        else concat('extracted=', cast(updated_value as double), ' ', c.operator, ' threshold=', c.threshold_value, ' → ', case when (case c.operator when 'gt' then cast(updated_value as double) > c.threshold_value else cast(updated_value as double) >= c.threshold_value end) then 'PASS' else 'FAIL' end) end) end as explanation,
+    case when reviewer_action = 'reject' then 'fail' when c.threshold_value is null then 'pass' when c.ambiguous or updated_value is null then 'unknown'
     when (case c.operator when 'gt' then cast(updated_value as double) > c.threshold_value else cast(updated_value as double) >= c.threshold_value end) then 'pass' else 'fail' end as verdict,
     case when reviewer_action = 'reject' then 0.0 when c.threshold_value is null then 1.0 when c.ambiguous or updated_value is null then 0.3 when (case c.operator when 'gt' then cast(updated_value as double) > c.threshold_value else cast(updated_value as double) >= c.threshold_value end) then 0.87 else 0.0 end as score
     from reviews a join numbered n on n.rid = a.evaluation_result_id join criteria c on c.id = a.criterion_id where reviewer_action <> 'approve'""", "reviews", "results",
         "criteria", extra=(LATEST, NUMBERED_BY_JOB))(
-    lambda a, r, c: review.apply_reviews(a, _numbered(r), c)[0].select("action_id", "job_id", "bidder_file_id", "criterion_id", "verdict", "score"))
+    lambda a, r, c: review.apply_reviews(a, _numbered(r), c)[0].select("action_id", "job_id", "bidder_file_id", "criterion_id", "verdict", "score", "explanation"))
 query("review_errors", """select a.id as action_id, case when evaluation_result_id is null then 'no result id' else 'unknown result' end as error
       from reviews a left join numbered n on n.rid = a.evaluation_result_id where reviewer_action <> 'approve' and n.rid is null""", "reviews", "results", "criteria", extra=(LATEST, NUMBERED_BY_JOB))(
     lambda a, r, c: review.apply_reviews(a, _numbered(r), c)[1])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,15 @@ ENTRY, PIECE_BYTES = ("created_at", "id", "action_type", "payload", "current_has
 
 
 def read_upload_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under a path with size and SHA-256 of their bytes; contents don't leave the scan. Empty files have no row."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"))
+    """Files under a path with size and SHA-256 of their bytes; contents don't leave the scan.
+
+    The scan skips files without bytes; their rows come from its list of files, which is on the driver in any case.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    read = scan.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"))
+    listed = spark.createDataFrame([(unquote(re.sub("^([a-z0-9]+):///", r"\1:/", f)),) for f in scan.inputFiles()], "path string")
+    empty = listed.join(scan.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("size_bytes"), F.sha2(F.lit(b""), 256).alias("checksum"))
+    return read.unionByName(empty)
 
 
 def accept_uploads(files: DataFrame) -> DataFrame:
@@ -34,9 +44,17 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
-def write_table(df: DataFrame, path: str, name: str, bucket_key: str = "job_id", buckets: int = 64) -> None:
-    """Replace a table, partitioned by a bucket of its key, so that later replacement touches few partitions."""
-    df.withColumn("bucket", F.pmod(F.xxhash64(bucket_key), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+def _dealt(df: DataFrame, files: int) -> DataFrame:
+    """A bucket's rows in so many parts, each of which is one task's and one file."""
+    return df.repartition("bucket", F.pmod(F.xxhash64(*[c for c in df.columns if c != "bucket"], F.lit(1)), F.lit(files)))
+
+
+def write_table(df: DataFrame, path: str, name: str, bucket_key: str = "job_id", buckets: int = 64, files: int = 4) -> None:
+    """Replace a table, partitioned by a bucket of its key, so that later replacement touches few partitions.
+
+    A bucket is written as so many files at most: choose buckets and files so that a part is of a size for one task.
+    """
+    _dealt(df.withColumn("bucket", F.pmod(F.xxhash64(bucket_key), F.lit(buckets))), files).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def append_results(df: DataFrame, path: str, name: str) -> None:
@@ -44,7 +62,7 @@ def append_results(df: DataFrame, path: str, name: str) -> None:
     df.write.mode("append").parquet(f"{path}/{name}")
 
 
-def replace_rows(spark: SparkSession, fresh: DataFrame, path: str, name: str, key: str = "file_id", buckets: int = 64) -> None:
+def replace_rows(spark: SparkSession, fresh: DataFrame, path: str, name: str, key: str = "file_id", buckets: int = 64, files: int = 4) -> None:
     """Replace the rows of fresh's keys; only partitions that hold such keys are read and written.
 
     The merged partitions go to a sibling folder first, so a lost executor can't leave a partition half written.
@@ -55,7 +73,7 @@ def replace_rows(spark: SparkSession, fresh: DataFrame, path: str, name: str, ke
     merged = kept.select(*old.columns).unionByName(placed.select(*old.columns))
     merged.write.mode("overwrite").parquet(f"{path}/_{name}_merged")
     again = spark.read.schema(merged.schema).parquet(f"{path}/_{name}_merged")
-    again.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+    _dealt(again, files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def reset_jobs(df: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -133,19 +133,19 @@ def test_prompts_of_all_criteria(spark):
     files = {}
     for p in sorted(pages, key=lambda p: p.page_number):
         files.setdefault((p.job_id.replace("src", "j"), p.file_id), []).append(p.text)
-    asked = {"turnover": "EXTRACT: The annual turnover", "projects": "EXTRACT: Count of completed", "gst": "EXTRACT: GST registration", "iso": "EXTRACT: ISO 9001",
-        "epf": "EXTRACT: EPF/ESI", "blacklist": "EXTRACT: Blacklisting"}
+    asked = {"turnover": "WANTED: how much", "projects": "WANTED: how many", "gst": "number under the goods", "iso": "ISO 9001",
+        "epf": "provident fund", "blacklist": "shut out"}
     want = {(j, f, c.id): (c, texts) for (j, f), texts in files.items() for c in rules if c.job_id == j}
     got = {(r.job_id, r.file_id, r.criterion_id): r.prompt for r in registry.QUERIES["build_criterion_prompts"](spark, SF).collect()}
     assert got.keys() == want.keys()
     for k, (c, texts) in want.items():
         head, _, context = got[k].partition("\n\nContext:\n")
         assert context == "\n\n---\n\n".join(texts)
-        assert head.startswith(f"Field: {c.label}\n") and asked[c.criterion_key] in head and head.count("EXTRACT: ") == 1 and "RETURN: " in head
+        assert head.startswith(f"Field: {c.label}\n") and asked[c.criterion_key] in head and head.count("WANTED: ") == 1 and "ANSWER: " in head
 
 
 @pytest.mark.parametrize("key,label,description,want", [
-    ("annual_REVENUE", "A", "Five crore.", "Field: A\nFive crore.\nEXTRACT: The annual turnover"), ("work_tax", "B", None, "Field: B\n\nEXTRACT: Count of completed"),
+    ("annual_REVENUE", "A", "Five crore.", "Field: A\nFive crore.\nWANTED: how much"), ("work_tax", "B", None, "Field: B\n\nWANTED: how many"),
         ("bond", "Bid bond", "Two lakhs.", "Field: Bid bond\nTwo lakhs.\n\nContext:\n"), (None, "Bid bond", "", "Field: Bid bond\n\nContext:\n"),
 ])
 def test_prompt_families(spark, key, label, description, want):

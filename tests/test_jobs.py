@@ -5,11 +5,10 @@ import hashlib
 import json
 import os
 import pathlib
+import random
 import re
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lotwise.operators import documents
@@ -33,11 +32,31 @@ def check_chunks(text, size, overlap, chunks):
     assert all(any(w == x for x in said) for w in text.split()) or overlap >= size
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "bb", "word", "longerword", "x" * 30, "\n", "\n\n", "\n \n\n", " "]), max_size=60), st.integers(5, 60), st.integers(1, 4))
-def test_chunks_of_any_text(parts, size, overlap):
-    text = " ".join(parts).replace(" \n ", "\n")
-    check_chunks(text, size, overlap, list(documents.chunk_one(text, size, overlap)))
+def test_chunks_of_any_text(spark):
+    rng = random.Random(11)
+    parts = ["a", "bb", "word", "longerword", "x" * 30, "é😀", "\n", "\n\n", "\n \n\n", " "]
+    texts = {str(k): " ".join(rng.choice(parts) for _ in range(rng.randrange(60))).replace(" \n ", "\n") for k in range(300)} | {"none": None, "blank": " \n\n "}
+    docs = spark.createDataFrame(list(texts.items()), "file_id string, raw_text string")
+    for size, overlap in ((5, 1), (12, 4), (25, 3), (60, 4)):
+        made = documents.chunk_documents(docs, size, overlap)
+        assert "Python" not in made._jdf.queryExecution().toString()
+        got = {}
+        for r in made.orderBy("file_id", "chunk_index").collect():
+            assert r.chunk_index == len(got.setdefault(r.file_id, []))
+            got[r.file_id].append((r.text, r.char_start, r.char_end))
+        for f, text in texts.items():
+            check_chunks(text or "", size, overlap, got.get(f, []))
+    assert documents.chunk_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,size,overlap,want", [
+    ("alpha beta\n\ngamma", 20, 4, [("alpha beta", 0, 10), ("beta gamma", 0, 10)]), ("first line here\nsecond line", 15, 5, [("first line here", 0, 15), ("here second line", 0, 16)]),
+    ("one two three four five six", 12, 4, ["one two", "two two three", "hree hree four", "four four five", "five five six"]), ("abc\n\n\n\ndefghij", 3, 2, ["abc", "bc defghij"]),
+    (" \n ", 9, 2, []), ("aa bb cc", 5, 0, ["aa", "bb", "cc"]),
+])
+def test_chunks_of_rows(spark, text, size, overlap, want):
+    rows = documents.chunk_documents(spark.createDataFrame([("f", text)], "file_id string, raw_text string"), size, overlap).orderBy("chunk_index").collect()
+    assert [(r.text, r.char_start, r.char_end) if w and isinstance(w, tuple) else r.text for r, w in zip(rows, want)] == want and len(rows) == len(want)
 
 
 def test_chunks_of_documents(spark):
@@ -90,10 +109,10 @@ def test_job_reports(spark):
 
 def test_uploads_and_results(spark, tmp_path):
     (tmp_path / "up" / "deep").mkdir(parents=True)
-    for name, data in (("x.bin", b"abc"), ("deep/z.bin", b"q" * 10_000)):
+    for name, data in (("x.bin", b"abc"), ("deep/z.bin", b"q" * 10_000), ("deep/no ne.bin", b"")):
         (tmp_path / "up" / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: (r.size_bytes, r.checksum) for r in tables.read_upload_files(spark, str(tmp_path / "up")).collect()}
-    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in (("x.bin", b"abc"), ("z.bin", b"q" * 10_000))}
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in (("x.bin", b"abc"), ("z.bin", b"q" * 10_000), ("no ne.bin", b""))}
     rows = spark.createDataFrame([("r1", "pass"), ("r2", "fail")], "id string, verdict string")
     for part in (rows, rows.withColumn("verdict", F.lit("unknown")), rows.limit(0)):
         tables.append_results(part, str(tmp_path), "results")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.functions import fields, rules, text
-from lotwise.operators import audit, documents, latest, locate
+from lotwise.operators import audit, documents, latest, locate, review
 from lotwise.sources import tables
 from lotwise.streaming import jobs
 
@@ -55,16 +55,6 @@ def test_ocr_quality(spark, rows, want):
     assert documents.ocr_quality(pages).first()["ocr_quality"] == want
 
 
-@pytest.mark.parametrize("given,size,overlap,want", [
-    ("alpha beta\n\ngamma", 20, 4, [("alpha beta", 0, 10), ("beta gamma", 0, 10)]), ("one two three four five six", 12, 4, ["one two", "two two three", "hree hree four",
-        "four four five", "five five six"]),
-    ("first line here\nsecond line", 15, 5, ["first line here", "here second line"]), ("abc\n\n\n\ndefghij", 3, 2, ["abc", "bc defghij"]), ("  \n\n ", 5, 1, []),
-])
-def test_chunks(given, size, overlap, want):
-    got = list(documents.chunk_one(given, size, overlap))
-    assert got == want or [c for c, _, _ in got] == want
-
-
 def test_extract(spark):
     said = "Average Annual Turnover (FY 2021-22 to FY 2023-24): Rs. 9.23 Crore\nEPF not yet allotted. ISO 9001:2015: does not hold.\n5 qualifying projects. The firm is not blacklisted. GSTIN 27ABCDE1234F1Z5"
     row = spark.createDataFrame([(said,)], "t string").select(*(fields.extract_field(F.lit(n), F.col("t"))["parsed_value"].alias(n) for n in ("turnover", "epf", "iso",
@@ -151,3 +141,27 @@ def test_locate(snippet, want):
 def test_locate_rows(spark):
     df = spark.createDataFrame([("GSTIN: 27ABCDE1234F1Z5", TOLD), (None, None)], "snippet string, text string")
     assert [tuple(r)[2:] for r in locate.locate_snippets(df).collect()] == [(297, 319, "exact"), (None, None, None)]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Qualifying projects: 6 (six). Elsewhere 5 qualifying projects.", "6"), ("5 qualifying projects. Total qualifying projects: 6", "5"), ("total qualifying similar projects completed - 7", "7"), ("none", None),
+])
+def test_qualifying_projects(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(fields.extract_projects(F.col("t")).alias("f")).first()["f"]
+    assert (got and got["parsed_value"]) == want
+
+
+def test_explanations_of_reviews(spark):
+    actions = spark.createDataFrame([(str(k), c, r, a, v) for k, (c, r, a, v) in enumerate([("t", "r", "reject", None), ("t", "r", "reject", "too small"), ("n", "r", "edit", None), ("n", "r", "edit", "ok"),
+        ("t", "r", "edit", "it's 0.0004"), ("t", "r", "edit", None), ("t", "r", "edit", 'a "b"\n'), ("t", "r", "edit", "12345678.5"), ("t", "r", "approve", "9")])],
+        "id string, criterion_id string, evaluation_result_id string, reviewer_action string, updated_value string")
+    results = spark.createDataFrame([("r", "j", "f", 1.0)], "id string, job_id string, bidder_file_id string, weight double")
+    rules_ = spark.createDataFrame([("t", "Sum", False, 0.00005, "gte"), ("n", "Paper", False, None, None)], "id string, label string, ambiguous boolean, threshold_value double, operator string")
+    got = {r.action_id: r.explanation for r in review.apply_reviews(actions, results, rules_)[0].collect()}
+    again = lambda said, text: f"Reviewer provided updated value={said!r}. Re-evaluated: [Sum] {text}"
+    missing = "Value not found or not numeric in bidder document"
+    assert got == {
+        "0": "Reviewer REJECTED this criterion. Reason: not provided", "1": "Reviewer REJECTED this criterion. Reason: too small", "2": "Reviewer override applied with value=None",
+        "3": "Reviewer override applied with value=ok", "4": again("it's 0.0004", "extracted=0.0004 gte threshold=5e-05 → PASS"), "5": again(None, missing), "6": again('a "b"\n', missing),
+        "7": again("12345678.5", "extracted=12345678.5 gte threshold=5e-05 → PASS"),
+    }
