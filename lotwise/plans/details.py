@@ -273,9 +273,9 @@ query(
 )
 PAYLOADS = (
     "payloads",
-    """select a.id, a.job_id, a.created_at, concat('{"actor": null, "criterion_id": "', criterion_id, '", "evaluation_result_id": ', coalesce(concat('"', evaluation_result_id, '"'), 'null'),
+    """select a.id, a.job_id, a.created_at, concat('{"actor": null, "criterion_id": "', criterion_id, '", "evaluation_result_id": ', coalesce('"' || evaluation_result_id || '"', 'null'),
       ', "new_result_id": ', case when reviewer_action <> 'approve' and n.rid is not null then concat('"', a.id, '"') else 'null' end, ', "original_value": null, "reason": null, "reviewer_action": "', reviewer_action,
-      '", "updated_value": ', coalesce(concat('"', updated_value, '"'), 'null'), '}') as payload from reviews a left join numbered n on n.rid = a.evaluation_result_id""",
+      '", "updated_value": ', coalesce('"' || updated_value || '"', 'null'), '}') as payload from reviews a left join numbered n on n.rid = a.evaluation_result_id""",
 )
 query(
     "review_chain", "select job_id, id, payload, previous_hash, current_hash from links", "reviews", "results", "criteria",

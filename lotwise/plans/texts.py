@@ -216,7 +216,7 @@ def _numbered(r):
 NUMBERED_BY_JOB = ("numbered", "select concat('x', row_number() over (order by job_id, id) - 1) as rid, job_id, bidder_file_id, weight from latest")
 query("apply_reviews",
     """select a.id as action_id, n.job_id, n.bidder_file_id, a.criterion_id, case when reviewer_action = 'reject' then concat('Reviewer REJECTED this criterion. Reason: ', coalesce(nullif(updated_value, ''), 'not provided'))
-      when c.threshold_value is null then concat('Reviewer override applied with value=', coalesce(updated_value, 'None')) else concat('Reviewer provided updated value=', coalesce(concat('''', updated_value, ''''), 'None'), '. Re-evaluated: [', c.label, '] ',
+      when c.threshold_value is null then concat('Reviewer override applied with value=', coalesce(updated_value, 'None')) else concat('Reviewer provided updated value=', coalesce('''' || updated_value || '''', 'None'), '. Re-evaluated: [', c.label, '] ',
       case when c.ambiguous then 'Criterion is ambiguous — cannot evaluate deterministically' when updated_value is null then 'Value not found or not numeric in bidder document'
         else concat('extracted=', cast(updated_value as double), ' ', c.operator, ' threshold=', c.threshold_value, ' → ', case when (case c.operator when 'gt' then cast(updated_value as double) > c.threshold_value else cast(updated_value as double) >= c.threshold_value end) then 'PASS' else 'FAIL' end) end) end as explanation,
     case when reviewer_action = 'reject' then 'fail' when c.threshold_value is null then 'pass' when c.ambiguous or updated_value is null then 'unknown'
