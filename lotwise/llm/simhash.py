@@ -227,7 +227,7 @@ def _compare(x: np.ndarray, side: np.ndarray, table: int, tables: Tables) -> tup
         near = sum(np.bitwise_count(x[at : at + 256, None, k] ^ x[None, :, k]).astype(np.uint16) for k in (0, 1)) <= tables.radius
         i, j = np.nonzero(near)
         i += at
-        good = (i < j) & (~two | (side[i] != side[j]))
+        good = (i < j) & (side[i] != side[j]) if two else i < j
         i, j = i[good], j[good]
         own = tables.first(x[i] ^ x[j]) == table
         a.append(i[own])
