@@ -10,20 +10,23 @@ themselves; every other item must share a rarer seed as well, so none is lost, a
 nothing. Items whose shared seeds can't cover enough of them are not tiled.
 
 The benchmark's seeds are broadcast in blocks of at most `BLOCK_WORDS` words (or one item), and documents are scanned once
-per block, so that memory is bounded for benchmarks of any size. Items of fewer than LEAST words are one tile as a whole;
+per block, each time by tasks of their own that hold one block, so that memory is bounded for benchmarks of any size. An item
+of fewer than LEAST words has no seed and leaks only into a text whose words are that item and nothing else (one tile);
 items and texts without words, and nulls, never match. Repeated items and rows, and null ids, are reported each; very long
 and repetitive texts take memory in proportion to their length; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.llm.common import mix, read_table
@@ -148,14 +151,19 @@ class Block:
             if words:
                 self.items.append((item_id, np.array(words, np.int64)))
         self.lengths = np.array([len(w) for _, w in self.items], np.int64)
-        some = sorted({min(least, n) for n in self.lengths.tolist()})
-        self.seeds = [Seeds([(k, w) for k, (_, w) in enumerate(self.items) if min(least, len(w)) == n], n, self.lengths, coverage) for n in some]
+        #: Items without a seed, by all their words.
+        self.short: dict[bytes, list[int]] = {}
+        for k, (_, w) in enumerate(self.items):
+            if len(w) < least:
+                self.short.setdefault(w.tobytes(), []).append(k)
+        seeded = [(k, w) for k, (_, w) in enumerate(self.items) if len(w) >= least]
+        self.seeds = [Seeds(seeded, least, self.lengths, coverage)] if seeded else []
 
     def leaks(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """(item_id, coverage, tiles, longest tile) of the items that a text holds, in the items' order."""
         words = WORD.findall((text or "").lower())
         doc = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
-        out = []
+        out = [(k, 1.0, 1, len(doc)) for k in self.short.get(doc.tobytes(), ())] if self.short else []
         for seeds in self.seeds:
             runs = karp_rabin(doc, seeds.n)
             number = np.minimum(np.searchsorted(seeds.hashes, runs), len(seeds.hashes) - 1)
@@ -232,17 +240,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without rows that leak any item; columns stay as they are. No shuffle, one pass per block."""
-    at = docs.columns.index(text)
+    """docs without rows that leak any item; columns stay as they are.
+
+    A benchmark of one block is a filter without a shuffle. With more, each block yields the texts that leak, by tasks of
+    its own, and docs are joined against those; no task holds more than a block.
+    """
+    spark, first, rest = docs.sparkSession, None, []
     for block in blocks(benchmark, least, coverage, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast(block)
+        first = first or sent
+        rest.append(_leaking(docs.select(F.col(text).alias("_text")), sent))
+    if first is None:
+        return docs
+    if len(rest) > 1:
+        found = functools.reduce(DataFrame.unionByName, rest).distinct()
+        return docs.withColumn("_key", _text_key(F.col(text))).join(found, "_key", "left_anti").drop("_key").select(*docs.columns)
+    at = docs.columns.index(text)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not sent.value.leaks(x) for x in b.column(at).to_pylist()], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not first.value.leaks(x) for x in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _leaking(texts: DataFrame, sent) -> DataFrame:
+    """_key of the texts (_text) that leak an item of a broadcast block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(sent.value.leaks(x)) for x in b.column(0).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return texts.mapInArrow(run, texts.schema).select(_text_key(F.col("_text")).alias("_key"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

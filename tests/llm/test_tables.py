@@ -154,7 +154,10 @@ def brute_leaks(text, items, least, coverage):
     number = {w: k for k, w in enumerate(dict.fromkeys(doc + [w for _, t in items for w in re.findall(r"\w+", (t or "").lower())]))}
     for item_id, t in items:
         words = re.findall(r"\w+", (t or "").lower())
-        got = brute_tiles([number[w] for w in doc], [number[w] for w in words], min(least, len(words))) if words else []
+        if len(words) < least:
+            got = [(0, 0, len(words))] if words and doc == words else []
+        else:
+            got = brute_tiles([number[w] for w in doc], [number[w] for w in words], least)
         n = sum(x[2] for x in got)
         if got and n >= coverage * len(words):
             out.append((item_id, n / len(words), len(got), max(x[2] for x in got)))
@@ -181,6 +184,7 @@ def test_leaks_equal_brute_force(monkeypatch, frequent, pairs):
         text = " ".join(words)
         assert block.leaks(text) == brute_leaks(text, items, 4, 0.5)
     assert block.leaks(None) == block.leaks("") == block.leaks("none of these") == []
+    assert block.leaks("A  phrase!") == brute_leaks("A  phrase!", items, 4, 0.5) == [(53, 1.0, 1, 2)] and block.leaks("such a phrase") == []
 
 
 def test_a_phrase_that_all_items_share_costs_little():
@@ -203,16 +207,21 @@ def test_decontaminate(spark):
     items = [words(rng, 30) for _ in range(6)] + [["tiny", "item"], []]
     docs = {
         0: words(rng, 50) + items[0] + words(rng, 9), 1: items[1][15:] + words(rng, 20) + items[1][:15], 2: items[2][:8] + words(rng, 50), 3: words(rng, 80),
-            4: [w.upper() for w in items[3]], 5: ["a", "tiny", "item"],
+            4: [w.upper() for w in items[3]], 5: ["a", "tiny", "item"], 6: ["Tiny", "item!"],
     }
     rows = [(k, " ".join(v)) for k, v in docs.items()] + [(8, None), (9, "")]
     frame = spark.createDataFrame([(*r, "clash") for r in [*rows, (None, rows[3][1]), rows[3]]], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(k if k != 3 else None, " ".join(v), "clash") for k, v in enumerate(items)] + [(20, None, None)], "item_id long, text string, coverage string")
-    want = {(0, 0), (1, 1), (4, None), (5, 6)}
+    want = {(0, 0), (1, 1), (4, None), (6, 6)}
     for block in (10, 1 << 20):
         assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench, block_words=block).collect()} == want
         left = decontaminate.drop_leaking(frame, bench, block_words=block)
-        assert left.columns == frame.columns and sorted((r.doc_id for r in left.collect()), key=repr) == [2, 3, 3, 8, 9, None]
+        assert left.columns == frame.columns and sorted((r.doc_id for r in left.collect()), key=repr) == [2, 3, 3, 5, 8, 9, None]
+        # Tasks of one Python worker each: no worker feeds another.
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        assert all("MapInArrow" not in below for line, below in zip(lines, lines[1:]) if "MapInArrow" in line)
+        assert ("LeftAnti" in plan) == (block == 10) and ("Exchange" in plan) == (block == 10)
     assert decontaminate.find_leaks(frame, bench.limit(0)).count() == 0 and decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
