@@ -1,4 +1,10 @@
-"""A corpus pipeline of five operators: reject by classifier and rules, keep one of each group of near duplicates, drop what leaks the benchmark, encode."""
+"""A corpus pipeline of five operators: reject by classifier and rules, keep one of each group of near duplicates, drop what leaks the benchmark, encode.
+
+Every stage judges all rows that the one before kept; null and empty texts are judged as empty texts, which the rules reject.
+Null and repeated ids are rows like any other; of equal texts, repeated rows included, one stays (the smallest id, nulls last).
+Texts of any length are judged whole. Empty tables of documents, labels or benchmark items give no rows, no model and no leaks.
+Extra columns travel with their rows up to the last stage, which returns doc_id, n_tokens and ids alone.
+"""
 
 from __future__ import annotations
 
