@@ -255,7 +255,35 @@ class Model:
         return " ".join(b.text for b, keep in zip(blocks, self.decode(blocks)) if keep)
 
 
-def train(pages: list[str], penalty: float = 0.0005, rounds: int = 400, rate: float = 0.1) -> Model:
+def likelihood(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: np.ndarray, parameters: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """Mean penalised log-likelihood of labelled sequences (padded; mask marks blocks), and its slope by forward-backward.
+
+    x has each block's features, w their weights for label 1; parameters are the four transitions and the first block's.
+    """
+    n, longest = y.shape
+    flat, pairs = x.reshape(-1, x.shape[2]), mask[:, 1:]
+    trans, first = parameters[:4].reshape(2, 2), parameters[4]
+    u = np.zeros((*y.shape, 2))
+    u[..., 1] = (flat @ w.astype(x.dtype)).reshape(y.shape)
+    u[:, 0, 1] += first
+    ahead, back = np.zeros_like(u), np.zeros_like(u)
+    ahead[:, 0] = u[:, 0]
+    for t in range(1, longest):
+        ahead[:, t] = np.where(mask[:, t, None], u[:, t] + np.logaddexp.reduce(ahead[:, t - 1, :, None] + trans, axis=1), ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        back[:, t] = np.where(mask[:, t + 1, None], np.logaddexp.reduce(trans + (u[:, t + 1] + back[:, t + 1])[:, None, :], axis=2), 0)
+    total = np.logaddexp.reduce(ahead[:, -1], axis=1)
+    p1 = np.exp(ahead[..., 1] + back[..., 1] - total[:, None]) * mask
+    both = np.exp(np.minimum(ahead[:, :-1, :, None] + trans + (u[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None], 0)) * pairs[..., None, None]
+    seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & pairs).sum() for b in (0, 1)] for a in (0, 1)], float)
+    off = (y - p1) * mask
+    slope = np.concatenate((flat.T @ off.reshape(-1).astype(x.dtype), (seen - both.sum((0, 1))).ravel(), [off[:, 0].sum()])) / n
+    own = np.concatenate((w, parameters))
+    value = ((u[..., 1] * y * mask).sum() + (seen * trans).sum() - total.sum()) / n - penalty * (own @ own) / 2
+    return float(value), slope - penalty * own
+
+
+def train(pages: list[str], penalty: float = 0.0005, rounds: int = 250, rate: float = 0.1) -> Model:
     """Fit the field on labelled pages, all sequences at once (they are padded), with Adam steps on the likelihood."""
     sequences = [s for s in (leaf_blocks(x, marked=True) for x in pages) if s]
     names = sorted({f for s in sequences for b in s for f in (*b.context, *text_features(b))})
@@ -266,33 +294,14 @@ def train(pages: list[str], penalty: float = 0.0005, rounds: int = 400, rate: fl
         for t, b in enumerate(s):
             x[i, t, [index[f] for f in (*b.context, *text_features(b))]] = 1
             y[i, t], mask[i, t] = b.main, True
-    flat = x.reshape(-1, len(names))
-    pairs = mask[:, 1:]
-    seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & pairs).sum() for b in (0, 1)] for a in (0, 1)], float)
-    w, parameters = np.zeros(len(names)), np.zeros(5)
-    moments = [np.zeros(len(names) + 5), np.zeros(len(names) + 5)]
+    own = np.zeros(len(names) + 5)
+    moments = [np.zeros_like(own), np.zeros_like(own)]
     for k in range(1, rounds + 1):
-        trans, first = parameters[:4].reshape(2, 2), parameters[4]
-        u = np.zeros((*y.shape, 2))
-        u[..., 1] = (flat @ w.astype(np.float32)).reshape(y.shape)
-        u[:, 0, 1] += first
-        ahead, back = np.zeros_like(u), np.zeros_like(u)
-        ahead[:, 0] = u[:, 0]
-        for t in range(1, longest):
-            ahead[:, t] = np.where(mask[:, t, None], u[:, t] + np.logaddexp.reduce(ahead[:, t - 1, :, None] + trans, axis=1), ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            back[:, t] = np.where(mask[:, t + 1, None], np.logaddexp.reduce(trans + (u[:, t + 1] + back[:, t + 1])[:, None, :], axis=2), 0)
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        p1 = np.exp(ahead[..., 1] + back[..., 1] - total[:, None]) * mask
-        both = np.exp(np.minimum(ahead[:, :-1, :, None] + trans + (u[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None], 0)) * pairs[..., None, None]
-        off = (y - p1) * mask
-        slope = np.concatenate((flat.T @ off.reshape(-1).astype(np.float32) - penalty * len(sequences) * w, (seen - both.sum((0,
-            1))).ravel() - penalty * len(sequences) * parameters[:4], [off[:, 0].sum() - penalty * len(sequences) * first])) / len(sequences)
+        _, slope = likelihood(x, y, mask, own[:-5], own[-5:], penalty)
         moments[0] = 0.9 * moments[0] + 0.1 * slope
         moments[1] = 0.99 * moments[1] + 0.01 * slope**2
-        step = rate * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.99**k)) + 1e-8)
-        w, parameters = w + step[:-5], parameters + step[-5:]
-    return Model(dict(zip(names, w.tolist())), parameters[:4].reshape(2, 2).tolist(), float(parameters[4]))
+        own = own + rate * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.99**k)) + 1e-8)
+    return Model(dict(zip(names, own[:-5].tolist())), own[-5:-1].reshape(2, 2).tolist(), float(own[-1]))
 
 
 @functools.lru_cache(maxsize=1)
