@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lotwise.functions import fields as X
 from lotwise.functions import rules, text
 from lotwise.operators import audit, criteria, documents, locate, quality, retrieval, review
 from lotwise.plans.evaluation import COUNTS, LATEST, QUERIES, SCORE, SQL, query
-from lotwise.operators.scratch import running
+from lotwise.operators.scratch import Scratch, running
 from lotwise.sources import tables
 from lotwise.streaming import jobs as streaming
 
@@ -261,16 +259,34 @@ query("score_bounds", """select job_id, min(score) as least, max(score) as most,
       from results group by 1""", "results")(lambda r: quality.score_bounds(r, "job_id", "score"))
 
 
-def _stream_daily_counts(spark, sf_dir):
-    """The streaming twin over the events table as a file stream, run until all is read."""
+def _events_stream(spark, sf_dir):
+    """The events table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    name = f"daily_{uuid.uuid4().hex}"
-    counts = streaming.stream_daily_counts(rows.select(F.col("ts").cast("timestamp").alias("created_at")))
-    # The result has a row per day, so the memory sink stays small.
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return rows.withColumn("created_at", F.col("ts").cast("timestamp"))
+
+
+def _streamed(make, mode: str = "append"):
+    """A query that runs a stream over events until all is read, and gives what its sink has."""
+    def run(spark, sf_dir):
+        scratch, stream = Scratch(spark, "stream"), make(_events_stream(spark, sf_dir))
+        streaming.run_to_table(stream, f"{scratch.root}/rows", f"{scratch.root}/state", mode)
+        return streaming.read_batches(spark, f"{scratch.root}/rows", stream.schema, newest=mode == "complete")
+
+    return run
 
 
-QUERIES["stream_daily_counts"] = _stream_daily_counts
+QUERIES["stream_daily_counts"] = _streamed(lambda e: streaming.stream_daily_counts(e.select("created_at")), "complete")
 SQL["stream_daily_counts"] = "select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1"
+QUERIES["stream_closed_days"] = _streamed(lambda e: streaming.stream_daily_counts(e.select("created_at")))
+SQL["stream_closed_days"] = """select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1
+    having max(date_trunc('day', ts)) + interval 1 day <= (select max(ts) - interval 1 day from events)"""
+QUERIES["stream_append_chain"] = _streamed(
+    lambda e: streaming.stream_append_chain(e.select(F.concat(F.lit("l"), "event_id").alias("id"), F.concat(F.lit("j"), F.col("user_id") % 25).alias("job_id"),
+        F.col("event_type").alias("action_type"), F.struct("value", "event_id", F.struct("event_type", "props").alias("about")).alias("payload"), "created_at")))
+SQL["stream_append_chain"] = """with recursive said as (select concat('l', event_id) as id, concat('j', user_id % 25) as job_id, event_type as action_type, ts as created_at,
+      concat('{"about": {"event_type": "', event_type, '", "props": ', coalesce('"' || replace(props, '"', '\\"') || '"', 'null'), '}, "event_id": ', event_id, ', "value": ', coalesce(cast(value as varchar), 'null'), '}') as payload from events),
+    ordered as (select *, row_number() over (partition by job_id order by created_at, id) as n from said),
+    links as (select *, sha256('GENESIS') as previous_hash, sha256(concat(sha256('GENESIS'), payload)) as current_hash from ordered where n = 1
+      union all select o.*, l.current_hash, sha256(concat(l.current_hash, o.payload)) from links l join ordered o on o.job_id = l.job_id and o.n = l.n + 1)
+    select id, job_id, action_type, payload, previous_hash, current_hash, created_at from links"""

@@ -1,19 +1,25 @@
-"""Structured Streaming twins of batch operators."""
+"""Structured Streaming twins of batch operators, and a sink that a repeated batch doesn't change."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lotwise.operators.audit import CHAIN, GENESIS, link
+from lotwise.operators.audit import CHAIN, GENESIS, link, payload_text
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Columns of an action, and rows of a piece of output.
+ACTION, PIECE_ROWS = ("id", "action_type", "payload", "created_at"), 1_000
 
 
 def stream_daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Events per day; rows later than the watermark are dropped."""
+    """Events per day; in append mode a day comes once, when the watermark has passed it, and rows later than that are dropped."""
     return events.withWatermark("created_at", lateness).groupBy(F.window("created_at", "1 day")).agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
 
 
@@ -22,17 +28,100 @@ def stream_dedupe_uploads(files: DataFrame, lateness: str = "1 day") -> DataFram
     return files.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["job_id", "checksum"])
 
 
+class ChainProcessor(StatefulProcessor):
+    """A job's chain: its tail, the ids that it has, and, while a batch lasts, sorted runs of what arrived.
+
+    Rows come in pieces of bounded size. A single piece is sorted in memory; several are kept as runs in the state store
+    and merged from there, one row of each run at a time, so that a job's batch of any size is never held.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tail = handle.getValueState("tail", "hash string")
+        self.known = handle.getMapState("known", "id string", "at timestamp")
+        self.runs = handle.getMapState("runs", "run int, place int", "id string, action_type string, payload string, created_at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        job, last = key[0], self.tail.get()[0] if self.tail.exists() else GENESIS
+        out = []
+        for row in self._in_order(rows):
+            ident, kind, payload, at = row
+            if self.known.containsKey((ident,)):
+                continue
+            self.known.updateValue((ident,), (at,))
+            now = link(last, payload or "")
+            out.append((ident, job, kind, payload, last, now, at))
+            last = now
+            if len(out) >= PIECE_ROWS:
+                yield self._chained(out)
+                out = []
+        self.tail.update((last,))
+        if out:
+            yield self._chained(out)
+
+    def _in_order(self, pieces: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        first = next(pieces, None)
+        if first is None:
+            return
+        second = next(pieces, None)
+        if second is None:
+            yield from self._sorted(first)
+            return
+        sizes = []
+        for piece in self._all(first, second, pieces):
+            for place, row in enumerate(self._sorted(piece)):
+                self.runs.updateValue((len(sizes), place), row)
+            sizes.append(len(piece))
+        yield from heapq.merge(*(self._run(k, n) for k, n in enumerate(sizes)), key=lambda r: (r[3], r[0]))
+
+    def _run(self, run: int, size: int) -> Iterator[tuple]:
+        for place in range(size):
+            ident, kind, payload, at = self.runs.getValue((run, place))
+            self.runs.removeKey((run, place))
+            yield ident, kind, payload, pd.Timestamp(at)
+
+    @staticmethod
+    def _all(first: pd.DataFrame, second: pd.DataFrame, rest: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield first
+        yield second
+        yield from rest
+
+    @staticmethod
+    def _sorted(piece: pd.DataFrame) -> Iterator[tuple]:
+        return piece.sort_values(["created_at", "id"])[list(ACTION)].itertuples(index=False, name=None)
+
+    @staticmethod
+    def _chained(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["id", "job_id", "action_type", "payload", "previous_hash", "current_hash", "created_at"])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_append_chain(actions: DataFrame) -> DataFrame:
-    """Chain rows of arriving actions; a job's state is its last hash. Within a batch, order is by time and id."""
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else GENESIS
-        f = pd.concat(list(frames)).sort_values(["created_at", "id"])
-        before, now = [], []
-        for payload in f.payload:
-            before.append(last)
-            last = link(last, payload or "")
-            now.append(last)
-        state.update((last,))
-        yield f.assign(previous_hash=before, current_hash=now)[["id", "job_id", "action_type", "payload", "previous_hash", "current_hash", "created_at"]]
-
-    return actions.groupBy("job_id").applyInPandasWithState(run, CHAIN, "tail string", "append", GroupStateTimeout.NoTimeout)
+    """Chain rows of arriving actions (id, job_id, action_type, payload, created_at), in order of time and id within a batch.
+
+    An id that its job's chain has already adds nothing. Payloads of nested types become canonical JSON. The session's
+    state store is set to RocksDB, which this state needs.
+    """
+    actions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = actions.select("id", "job_id", "action_type", payload_text(actions).alias("payload"), "created_at")
+    return rows.groupBy("job_id").transformWithStateInPandas(ChainProcessor(), CHAIN, "Append", "None")
+
+
+def put_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Write a batch under its number, in place of what an earlier attempt at it has written."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Take in all that a stream has and write it batch by batch; run again, it goes on where it was, and no row comes twice."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda b, k: put_batch(b, k, path)).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType, newest: bool = False) -> DataFrame:
+    """Rows that run_to_table has written; the newest batch's where batches are whole results (complete mode)."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    if newest:
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch", "left_semi")
+    return rows.select(*schema.fieldNames())

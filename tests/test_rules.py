@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from lotwise.functions import fields, rules, text
 from lotwise.operators import audit, documents, latest, locate, review
 from lotwise.sources import tables
-from lotwise.streaming import jobs
 
 
 @pytest.mark.parametrize("value,want", [("8.2", 8.2), ("8.2 crore", 8.2), ("82 lakhs", 0.82), ("[8.2, 9.1, 10.4]", 27.7 / 3), ("1,234", 117.5), ("-5", 5.0), ("None",
@@ -85,17 +84,6 @@ def test_chain(spark):
     assert audit.verify_chain(chain.limit(0)).count() == 0
 
 
-def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([(str(k), f"j{k % 2}", "x", f'{{"k": {k}}}', f"sum{k % 3}") for k in range(6)],
-        "id string, job_id string, action_type string, payload string, checksum string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    for name, made in (("chained", jobs.stream_append_chain(stream)), ("firsts", jobs.stream_dedupe_uploads(stream))):
-        made.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
-    assert audit.verify_chain(spark.createDataFrame(spark.table("chained").collect(), audit.CHAIN)).where("chain_valid").count() == 2
-    assert spark.table("firsts").count() == 6
-
-
 def test_tables(spark, tmp_path):
     rows = spark.createDataFrame([("f1", "a"), ("f2", "b"), ("f3", "c")], "file_id string, text string")
     tables.write_table(rows, str(tmp_path), "chunks", "file_id", 4)
