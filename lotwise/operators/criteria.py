@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.rules import canonical_key, parse_threshold, strip
 from lotwise.operators.latest import best_row
+from lotwise.operators.search import MostWords, first_places, search
 
 _CRITERIA = "struct<criteria: array<struct<id: string, label: string, criterion_type: string, mandatory: boolean, threshold_value: string, threshold_unit: string, operator: string, ambiguous: boolean>>>"
 _FIELDS = "struct<fields: array<struct<field_name: string, raw_value: string, parsed_value: string, unit: string, source_snippet: string, confidence: double, not_found: boolean>>>"
@@ -137,28 +138,25 @@ def build_prompts(context: DataFrame, criteria: DataFrame) -> DataFrame:
 def resolve_snippet_page(snippets: DataFrame, chunks: DataFrame) -> DataFrame:
     """Page (file_id, snippet_id, page) of the chunk that holds each snippet: by exact heads, by a loose head, by words.
 
-    Exact heads are plain substring tests; only snippets that none of them places meet the costlier tiers.
+    Each tier is one pass of an automaton over the chunks of a file; only snippets that none has placed meet the next one.
     """
     keys = ["file_id", "snippet_id"]
     asked = snippets.select(*keys, strip(F.col("snippet")).alias("_raw"))
-    pages = chunks.select("file_id", "chunk_index", "page", F.coalesce("text", F.lit("")).alias("_text"))
-    raw, text = F.col("_raw"), F.col("_text")
-    heads = (raw, *(strip(F.substring(raw, 1, n)) for n in (200, 120, 80, 50)))
-    exact = F.coalesce(*(F.when((F.length(p) >= 20) & text.contains(p), F.lit(k)) for k, p in enumerate(heads)))
-    placed = _first_page(asked.join(pages, "file_id").withColumn("_tier", exact), F.struct("_tier", "chunk_index"))
+    texts = chunks.select("file_id", F.col("chunk_index").alias("at"), "page", F.coalesce("text", F.lit("")).alias("text"))
+    raw = F.col("_raw")
+    heads = F.array(*(F.struct(F.lit(k).alias("tier"), p.alias("head")) for k, p in enumerate((raw, *(strip(F.substring(raw, 1, n)) for n in (200, 120, 80, 50))))))
+    wanted = asked.select(*keys, F.explode(heads).alias("_h")).where(F.length("_h.head") >= 20).select(*keys, "_h.*")
+    # The tier stands before the id, so that each pattern has an id of its own.
+    exact = first_places(wanted.select("file_id", F.concat("tier", F.lit(":"), "snippet_id").alias("pattern_id"), "head"), texts, F.col("head"))
+    exact = exact.select("file_id", F.expr("substring(pattern_id, 3)").alias("snippet_id"), F.substring("pattern_id", 1, 1).cast("int").alias("tier"), "page")
+    placed = exact.groupBy(*keys).agg(F.min_by("page", "tier").alias("page"))
 
     flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    left = asked.join(placed.select(*keys), keys, "left_anti").select(
-        *keys, flat(F.substring(raw, 1, 60)).alias("_head"), F.regexp_extract_all(F.lower(raw), F.lit(r"[A-Za-z0-9]{4,}"), 0).alias("_words")
-    )
-    told = pages.select("file_id", "chunk_index", "page", F.lower("_text").alias("_low"), flat(F.col("_text")).alias("_flat"))
-    met = left.join(told, "file_id").withColumn("_hits", F.size(F.filter("_words", lambda w: F.col("_low").contains(w))))
-    loose = F.when((F.length("_head") >= 20) & F.col("_flat").contains(F.col("_head")), F.lit(5))
-    tier = F.coalesce(loose, F.when((F.size("_words") >= 4) & (F.col("_hits") > 3), F.lit(6)))
-    order = F.struct("_tier", F.when(F.col("_tier") == 6, -F.col("_hits")).otherwise(F.lit(0)), "chunk_index")
-    found = placed.unionByName(_first_page(met.withColumn("_tier", tier), order))
-    return snippets.select(*keys).join(found, keys, "left")
-
-
-def _first_page(rows: DataFrame, order: Column) -> DataFrame:
-    return rows.where("_tier is not null").groupBy("file_id", "snippet_id").agg(F.min_by("page", order).alias("page"))
+    left = asked.join(placed.select(*keys), keys, "left_anti").select("file_id", F.col("snippet_id").alias("pattern_id"), flat(F.substring(raw, 1, 60)).alias("_head"),
+        F.regexp_extract_all(F.lower(raw), F.lit(r"[A-Za-z0-9]{4,}"), 0).alias("words"))
+    loose = first_places(left.where(F.length("_head") >= 20), texts.withColumn("text", flat(F.col("text"))), F.col("_head"))
+    rest = left.where(F.size("words") >= 4).join(loose.select("file_id", "pattern_id"), ["file_id", "pattern_id"], "left_anti").select("file_id", "pattern_id", "words")
+    worded = search(rest, texts.withColumn("text", F.lower("text")), MostWords).where("hits > 3")
+    later = loose.select("file_id", "pattern_id", "page").unionByName(worded.select("file_id", "pattern_id", "page")).withColumnRenamed("pattern_id", "snippet_id")
+    kind = chunks.schema["page"].dataType
+    return snippets.select(*keys).join(placed.unionByName(later), keys, "left").withColumn("page", F.col("page").cast(kind))

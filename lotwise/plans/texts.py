@@ -146,14 +146,20 @@ query("build_prompts",
         "label": F.lit("Turnover")})).select("job_id", "file_id", "criterion_id", F.length("prompt").cast("long").alias("prompt_chars")))
 query("build_criterion_prompts", None, "pages", "criteria")(
     lambda p, c: criteria.build_prompts(p.withColumnRenamed("page_number", "chunk_index").withColumn("job_id", F.regexp_replace("job_id", "^src", "j")), c))
-query("resolve_snippet_page", """select file_id, file_id || '-' || page_number as snippet_id, (select min(q.page_number) from pages q
-      where q.file_id = p.file_id and contains(q.text, trim(substr(p.text, 101, 100), ' '))) as page
-      from pages p where length(trim(substr(p.text, 101, 100), ' ')) >= 90""", "pages")(
-    lambda p: criteria.resolve_snippet_page(p.select("file_id", F.concat("file_id", F.lit("-"), "page_number").alias("snippet_id"), F.substring("text", 101,
-        100).alias("snippet")).where(F.length(F.btrim("snippet")) >= 90), p.withColumns({"chunk_index": F.col("page_number"), "page": F.col("page_number")})))
-query("resolve_all_snippets", None, "pages")(
-    lambda p: criteria.resolve_snippet_page(p.select("file_id", F.concat("file_id", F.lit("-"), "page_number").alias("snippet_id"), F.substring("text", 101,
-        100).alias("snippet")), p.withColumns({"chunk_index": F.col("page_number"), "page": F.col("page_number")})))
+#: Pairs of snippets and pages of their file, by the first tier that places the one in the other.
+PLACED = (
+    "placed",
+    """select a.file_id, a.file_id || '-' || a.page_number as snippet_id, q.page_number as page, case when length(raw) >= 20 and contains(q.text, raw) then 0 when length(h80) >= 20 and contains(q.text, h80) then 3
+      when length(h50) >= 20 and contains(q.text, h50) then 4 when length(low) >= 20 and contains(regexp_replace(lower(q.text), '\\s+', ' ', 'g'), low) then 5
+      when len(words) >= 4 and len(list_filter(words, lambda w: contains(lower(q.text), w))) > 3 then 6 end as tier, len(list_filter(words, lambda w: contains(lower(q.text), w))) as hits
+    from (select file_id, page_number, raw, trim(substr(raw, 1, 80), concat(' ', chr(10))) as h80, trim(substr(raw, 1, 50), concat(' ', chr(10))) as h50, regexp_replace(lower(substr(raw, 1, 60)), '\\s+', ' ', 'g') as low,
+      regexp_extract_all(lower(raw), '[A-Za-z0-9]{4,}') as words from (select *, trim(substr(text, 101, 100), concat(' ', chr(10))) as raw from pages)) a join pages q on q.file_id = a.file_id""",
+)
+for snippets_query in ("resolve_snippet_page", "resolve_all_snippets"):
+    query(snippets_query, """select p.file_id, p.file_id || '-' || p.page_number as snippet_id, arg_min(page, (tier, case when tier = 6 then -hits else 0 end, page)) filter (tier is not null) as page
+      from pages p left join placed t on t.file_id = p.file_id and t.snippet_id = p.file_id || '-' || p.page_number group by 1, 2""", "pages", extra=(PLACED,))(
+        lambda p: criteria.resolve_snippet_page(p.select("file_id", F.concat("file_id", F.lit("-"), "page_number").alias("snippet_id"), F.substring("text", 101,
+            100).alias("snippet")), p.withColumns({"chunk_index": F.col("page_number"), "page": F.col("page_number")})))
 
 query("locate_snippets", None, "pages")(lambda p: locate.locate_snippets(p.withColumn("snippet", F.substring("text", 101, 80))).select("file_id", "page_number", "start", "end", "tier"))
 

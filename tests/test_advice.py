@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import audit, criteria, retrieval
+from lotwise.operators import audit, criteria, retrieval, search
 from lotwise.operators.scratch import running
 from lotwise.plans import registry
 from lotwise.sources import adapters, tables
@@ -61,6 +61,29 @@ def test_tiers(spark, snippet):
     assert got == page_of(snippet, list(enumerate(told, 1)))
 
 
+def test_search_in_slices_and_blocks(spark):
+    """A long file whose texts and patterns are cut; the same places as in one piece, and as by plain search."""
+    rng = random.Random(6)
+    texts = [(f, k, 100 + k, " ".join(f"w{rng.randrange(60)}" for _ in range(30))) for f, n in (("long", 300), ("short", 3), ("none", 1)) for k in range(n)]
+    patterns = [(f, f"p{k}", rng.choice(texts)[3][20:28] if k % 3 else f"absent {k}") for f, n in (("long", 200), ("short", 5), ("other", 2)) for k in range(n)] + [("long", "empty", "")]
+    rows = spark.createDataFrame(texts, "file_id string, at long, page long, text string")
+    asked = spark.createDataFrame(patterns, "file_id string, pattern_id string, pattern string")
+    want = {(f, p): next(((at, page) for g, at, page, t in texts if g == f and said in t), None) for f, p, said in patterns if said}
+    words = {(f, p): said.split() for f, p, said in patterns if said}
+    best = {}
+    for (f, p), own in words.items():
+        hits = [(-sum(w in t for w in own), at, page) for g, at, page, t in texts if g == f and any(w in t for w in own)]
+        if hits:
+            best[f, p] = min(hits)
+    listed = asked.where("pattern <> ''").select("file_id", "pattern_id", F.split("pattern", " +").alias("words")).withColumn("words", F.filter("words", lambda w: w != ""))
+    for sizes in ({}, {"slice_texts": 40, "block_patterns": 15}):
+        got = {(r.file_id, r.pattern_id): (r.at, r.page) for r in search.first_places(asked, rows, F.col("pattern"), **sizes).collect()}
+        assert got == {k: v for k, v in want.items() if v}
+        got = {(r.file_id, r.pattern_id): (-r.hits, r.at, r.page) for r in search.search(listed, rows, search.MostWords, **sizes).collect()}
+        assert got == best
+    assert search.first_places(asked.limit(0), rows, F.col("pattern")).count() == 0
+
+
 def walk(rows):
     """Failure index by the rules of SURVEY H5; None where the chain is valid."""
     after, at, seen, index = {}, audit.GENESIS, 0, None
