@@ -9,9 +9,37 @@ from lotwise.functions.rules import strip
 from lotwise.operators.compare import latest_results
 
 
-def diff_runs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of only one of two runs (same columns), with the side; repeated rows count."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+#: Buckets by job, and within each by row, that runs are compared in; their product bounds what is broadcast.
+JOB_BUCKETS, ROW_BUCKETS = 256, 256
+
+
+def _bucketed(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
+    whole = F.xxhash64(*columns)
+    return rows.select(*columns, (F.pmod(F.xxhash64(key), F.lit(JOB_BUCKETS)) * ROW_BUCKETS + F.pmod(whole, F.lit(ROW_BUCKETS))).cast("int").alias("_bucket"))
+
+
+def bucket_digests(rows: DataFrame, key: str = "job_id") -> DataFrame:
+    """(_bucket, n, total, mixed) of a run: digests that depend on its rows and how often each comes, and on no order."""
+    columns = rows.columns
+    one, two = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+    return _bucketed(rows, columns, key).groupBy("_bucket").agg(F.count("*").alias("n"), F.sum(one.cast("decimal(20,0)")).alias("total"), F.sum(two.cast("decimal(20,0)")).alias("mixed"))
+
+
+def diff_runs(a: DataFrame, b: DataFrame, key: str = "job_id") -> DataFrame:
+    """Rows of only one of two runs (same columns), with the side; repeated rows count.
+
+    Runs are compared by digests of buckets first, by job and row, which combine before their shuffle. Only rows of buckets
+    that differ are shuffled, and counted once for both runs: those of the left add one, those of the right take one off.
+    A bucket whose digests agree by chance (128 bits) would be taken for equal.
+    """
+    columns, names = a.columns, ["n", "total", "mixed"]
+    left, right = bucket_digests(a, key), bucket_digests(b.select(*columns), key)
+    differ = left.join(right.select("_bucket", *(F.col(c).alias(f"_{c}") for c in names)), "_bucket", "full")
+    differ = F.broadcast(differ.where(~F.struct(*names).eqNullSafe(F.struct(*(F.col(f"_{c}").alias(c) for c in names)))).select("_bucket"))
+    suspects = [_bucketed(rows, columns, key).join(differ, "_bucket", "left_semi").select(*columns, F.lit(sign).cast("long").alias("_sign")) for rows, sign in ((a, 1), (b, -1))]
+    counts = suspects[0].unionByName(suspects[1]).groupBy(*columns).agg(F.sum("_sign").alias("_n")).where("_n <> 0")
+    repeated = counts.withColumn("_n", F.explode(F.array_repeat(F.when(F.col("_n") > 0, "left").otherwise("right"), F.abs("_n").cast("int"))))
+    return repeated.withColumnRenamed("_n", "side")
 
 
 def run_signature(results: DataFrame, criteria: DataFrame, files: DataFrame) -> DataFrame:

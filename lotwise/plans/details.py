@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import fields, text
 from lotwise.operators import audit, compare, criteria, documents, evaluate, insight, quality, retrieval, review
-from lotwise.plans.evaluation import CANON, COUNTS, LATEST, SCORE, SQL, SUMMARY, TO_INSIGHT, TO_JUDGED, TOTALS, query
+from lotwise.operators.scratch import Scratch
+from lotwise.plans.evaluation import CANON, COUNTS, LATEST, RANKED, SCORE, SQL, SUMMARY, TO_COMPARED, TO_INSIGHT, TO_JUDGED, TOTALS, query
 from lotwise.plans.texts import CLEANED, DOCS, KINDS, MEANS, MODELLED, NUMBERED_BY_JOB, QUALITY, _chain, _modelled, _numbered
+from lotwise.sources import tables
 
 TRIM = "trim({0}, concat(' ', chr(10)))"
 
@@ -314,6 +316,15 @@ def _decided(rows):
     return evaluate.final_decision(rows).join(rows.groupBy(*keys).agg(F.count_if("fresh").alias("fresh")), keys)
 
 
+def _ranks_from_layout(r, c, f):
+    """Results laid out by job and bidder first, then ranked as they lie."""
+    spark, scratch = r.sparkSession, Scratch(r.sparkSession, "layout")
+    name = scratch.root.rsplit("/", 1)[1].replace("-", "_")
+    tables.write_laid_out(r, name, f"{scratch.root}/results", buckets=8)
+    return compare.rank_bidders(compare.compare_bidders(tables.read_laid_out(spark, name), c, f))
+
+
+query("ranks_from_layout", RANKED, "results", "criteria", "files", extra=TO_COMPARED)(_ranks_from_layout)
 query("audit_action_types", "select distinct action as action_type from audit_logs where job_id in (select job_id from jobs where status = 'completed')", "audit_logs", "jobs")(
     lambda a, j: audit.audit_action_types(a.withColumnRenamed("action", "action_type"), j))
 query(

@@ -76,6 +76,20 @@ def replace_rows(spark: SparkSession, fresh: DataFrame, path: str, name: str, ke
     _dealt(again, files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
+def write_laid_out(df: DataFrame, name: str, path: str, keys: tuple[str, ...] = ("job_id", "bidder_file_id"), buckets: int = 64) -> None:
+    """Write a catalogued table at a path of the shared folder, bucketed by keys; what groups or joins by those then needs no exchange.
+
+    One task and file a bucket: choose buckets so that each is of a size for one task. A table of that name is replaced.
+    """
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+
+
+def read_laid_out(spark: SparkSession, name: str) -> DataFrame:
+    """A table of write_laid_out, with its layout known to the optimiser."""
+    return spark.table(name)
+
+
 def reset_jobs(df: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows of other jobs than those given, whose rows are to be made again."""
     return df.join(jobs.select("job_id").distinct(), "job_id", "left_anti")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import audit, criteria, retrieval, search
+from lotwise.operators import audit, criteria, quality, retrieval, search
 from lotwise.operators.scratch import running
 from lotwise.plans import registry
 from lotwise.sources import adapters, tables
@@ -84,6 +84,25 @@ def test_search_in_slices_and_blocks(spark):
     assert search.first_places(asked.limit(0), rows, F.col("pattern")).count() == 0
 
 
+def test_runs_differ(spark):
+    rng = random.Random(4)
+    rows = [(f"j{rng.randrange(40)}", rng.choice([None, "a", "b"]), rng.choice([None, 0.5, -0.0, 1.0])) for _ in range(3000)]
+    other = rows[:]
+    for k in rng.sample(range(3000), 30):
+        other[k] = (other[k][0], "c", other[k][2])
+    other += rows[:5] + [("new", None, None)] * 3
+    rng.shuffle(other)
+    a, b = (spark.createDataFrame(x, "job_id string, verdict string, score double") for x in (rows, other))
+    want = sorted(map(tuple, a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right"))).collect()), key=repr)
+    assert sorted(map(tuple, quality.diff_runs(a, b).collect()), key=repr) == want and len(want) > 60
+    assert quality.diff_runs(a, a.orderBy("score")).count() == quality.diff_runs(a.limit(0), b.limit(0)).count() == 0
+    # Rows of jobs that are equal leave before the shuffle that counts rows: only the digests' buckets and theirs travel.
+    made = quality.diff_runs(a, b)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "ExceptAll" not in plan
+
+
 def walk(rows):
     """Failure index by the rules of SURVEY H5; None where the chain is valid."""
     after, at, seen, index = {}, audit.GENESIS, 0, None

@@ -107,6 +107,23 @@ def test_job_reports(spark):
         assert {b.get("bidder_file_id"): (b["bidder_name"], b["total_score"], b["is_disqualified"]) for b in report.get("bidders", [])} == ranked.get(j.job_id, {})
 
 
+def test_ranks_from_stored_results(spark):
+    """From results that lie by job and bidder to ranks, only the few ranked rows are exchanged, not the results."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.QUERIES["ranks_from_layout"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    lines = plan.splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*0123456789()"))
+    wide = next(k for k, x in enumerate(lines) if "FileScan parquet" in x and "Bucketed: true" in x and "weighted_score" in x)
+    above, at = [], depth(lines[wide])
+    for x in reversed(lines[:wide]):
+        if depth(x) < at:
+            above, at = [*above, x], depth(x)
+    assert sum("Exchange" in x for x in above) <= 1, above
+
+
 def test_uploads_and_results(spark, tmp_path):
     (tmp_path / "up" / "deep").mkdir(parents=True)
     for name, data in (("x.bin", b"abc"), ("deep/z.bin", b"q" * 10_000), ("deep/no ne.bin", b"")):
