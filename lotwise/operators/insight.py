@@ -9,6 +9,10 @@ from lotwise.functions.rules import review_confidence
 from lotwise.operators.compare import exact_sum, latest_results, verdict_counts
 from lotwise.operators.latest import newest_row, surest_row
 
+#: What a dashboard shows of a bidder and of a judged criterion; the first ones give the order.
+BIDDER = ("position", "bidder_name", "bidder_file_id", "total_score", "is_disqualified")
+INSIGHT = ("bidder_file_id", "criterion_id", "bidder_name", "label", "verdict", "score", "importance", "review_confidence", "parsed_value", "page_number")
+
 
 def best_extraction_any(extractions: DataFrame) -> DataFrame:
     """The surest extraction per file and criterion, rows that found nothing included."""
@@ -104,13 +108,12 @@ def dashboard(jobs: DataFrame, results: DataFrame, criteria: DataFrame, files: D
     from lotwise.operators.compare import compare_bidders, job_summary, rank_bidders
 
     ranked = rank_bidders(compare_bidders(results, criteria, files)).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rank",
-        F.lit(1 << 30)).alias("position"), "bidder_name", "bidder_file_id", "total_score", "is_disqualified"))).alias("bidders"))
+        F.lit(1 << 30)).alias("position"), *BIDDER[1:]))).alias("bidders"))
     flags = quality_flags(jobs, results, criteria).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("flag", "severity", "detail"))).alias("flags"))
     out = job_summary(jobs, results, criteria).join(ranked, "job_id", "left").join(flags, "job_id", "left")
     if insights is None:
         return out
-    shown = F.struct("bidder_file_id", "criterion_id", "bidder_name", "label", "verdict", "score", "importance", "review_confidence", "parsed_value", "page_number")
-    return out.join(insights.groupBy("job_id").agg(F.array_sort(F.collect_list(shown)).alias("criteria")), "job_id", "left")
+    return out.join(insights.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(*INSIGHT))).alias("criteria")), "job_id", "left")
 
 
 def list_jobs(jobs: DataFrame, skip: int, limit: int) -> DataFrame:

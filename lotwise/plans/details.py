@@ -325,6 +325,8 @@ def _ranks_from_layout(r, c, f):
 
 
 query("ranks_from_layout", RANKED, "results", "criteria", "files", extra=TO_COMPARED)(_ranks_from_layout)
+query("dashboard_pieces", None, "jobs", "results", "criteria", "files", "extractions", "audit_logs")(
+    lambda j, r, c, f, x, a: tables.dashboard_pieces(j, r, c, f, insight.criterion_insights(r, c, f, x, a)))
 query("audit_action_types", "select distinct action as action_type from audit_logs where job_id in (select job_id from jobs where status = 'completed')", "audit_logs", "jobs")(
     lambda a, j: audit.audit_action_types(a.withColumnRenamed("action", "action_type"), j))
 query(

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.operators.compare import compare_bidders, job_summary, rank_bidders
+from lotwise.operators.insight import BIDDER, INSIGHT, quality_flags
 from lotwise.operators.scratch import running
 
 # Accepted kinds and size of uploads.
@@ -96,18 +98,49 @@ def reset_jobs(df: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def job_reports(dashboard: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One JSON document per job: header, summary, bidders and flags, and criterion insights where the dashboard has them."""
+    """One JSON document per job: header, summary, bidders and flags, and criterion insights where the dashboard has them.
+
+    For jobs whose lists may be too long for one value there is dashboard_pieces.
+    """
     return jobs.select("job_id", "title").join(dashboard, "job_id").select("job_id", F.to_json(F.struct("title",
         F.struct(*[c for c in dashboard.columns if c not in ("job_id",)]).alias("evaluation"))).alias("report"))
 
 
 def audit_reports(chain: DataFrame, most_bytes: int = PIECE_BYTES) -> DataFrame:
     """JSON documents (job_id, piece, report): each job's chain in time order, in pieces numbered from 0 of at most most_bytes and one entry."""
-    entry = F.struct(*ENTRY)
+    size = F.lit(200) + F.coalesce(F.octet_length("payload"), F.lit(0))
+    return pieces(chain, list(ENTRY), ["created_at", "id"], size, "entries", most_bytes).withColumnRenamed("document", "report")
+
+
+def pieces(rows: DataFrame, entry: list[str], order: list[str], size: Column, name: str, most_bytes: int = PIECE_BYTES) -> DataFrame:
+    """JSON documents (job_id, piece, document) with a list `name` of a job's entries in order, in pieces numbered from 0.
+
+    An entry is the columns of that name, of which the first ones decide the order within a piece; size is its bytes. A
+    piece has at most most_bytes and one entry, so no job's list is ever one value.
+    """
     # An entry counts as one piece at most, so that no number is left out.
-    size = F.least(F.lit(200) + F.coalesce(F.octet_length("payload"), F.lit(0)), F.lit(most_bytes)).cast("long")
-    rows = running(chain.select("job_id", *ENTRY), "job_id", ["created_at", "id"], size, "_before").withColumn("piece", F.floor(F.col("_before") / most_bytes))
-    return rows.groupBy("job_id", "piece").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias("entries"))).alias("report"))
+    counted = F.least(size, F.lit(most_bytes)).cast("long")
+    placed = running(rows.select("job_id", *dict.fromkeys([*entry, *order])), "job_id", order, counted, "_before").withColumn("piece", F.floor(F.col("_before") / most_bytes))
+    return placed.groupBy("job_id", "piece").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(*entry))).alias(name))).alias("document"))
+
+
+def dashboard_pieces(jobs: DataFrame, results: DataFrame, criteria: DataFrame, files: DataFrame, insights: DataFrame, most_bytes: int = PIECE_BYTES) -> DataFrame:
+    """The dashboard as documents of bounded size: (job_id, part, piece, document).
+
+    Part `summary` is one document a job with its counts and flags; the lists of parts `bidders` and `criteria` come in
+    pieces, which join in order to the lists that dashboard() has in one value.
+    """
+    ranked = rank_bidders(compare_bidders(results, criteria, files)).withColumn("position", F.coalesce("rank", F.lit(1 << 30)))
+    bytes_of = lambda *columns: sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(4)) + len(c) + 6 for c in columns), F.lit(2))
+    lists = []
+    for part, rows, entry in (("bidders", ranked, list(BIDDER)), ("criteria", insights, list(INSIGHT))):
+        cut = pieces(rows, entry, entry[:3] if part == "bidders" else entry[:2], bytes_of(*entry), part, most_bytes)
+        lists.append(cut.select("job_id", F.lit(part).alias("part"), "piece", "document"))
+    flags = quality_flags(jobs, results, criteria).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("flag", "severity", "detail"))).alias("flags"))
+    summary = job_summary(jobs, results, criteria).join(flags, "job_id", "left")
+    said = F.to_json(F.struct(*[c for c in summary.columns if c != "job_id"]))
+    head = summary.select("job_id", F.lit("summary").alias("part"), F.lit(0).cast("long").alias("piece"), said.alias("document"))
+    return head.unionByName(lists[0]).unionByName(lists[1])
 
 
 def write_json(df: DataFrame, path: str) -> None:

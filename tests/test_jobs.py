@@ -11,7 +11,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import documents
+from lotwise.operators import documents, insight
 from lotwise.plans import registry
 from lotwise.sources import adapters, tables
 from lotwise.streaming import jobs
@@ -107,6 +107,24 @@ def test_job_reports(spark):
         assert {b.get("bidder_file_id"): (b["bidder_name"], b["total_score"], b["is_disqualified"]) for b in report.get("bidders", [])} == ranked.get(j.job_id, {})
 
 
+def test_pieces_of_dashboards(spark):
+    """Pieces of some kilobytes join to the lists of the whole dashboard, and the registered query has all jobs."""
+    j, r, c, f, x, a = (adapters.frame(spark, SF, n) for n in ("jobs", "results", "criteria", "files", "extractions", "audit_logs"))
+    insights = insight.criterion_insights(r, c, f, x, a)
+    whole = {d.job_id: json.loads(d.d) for d in insight.dashboard(j, r, c, f, insights).select("job_id", F.to_json(F.struct("*")).alias("d")).collect()}
+    got = {}
+    for row in tables.dashboard_pieces(j, r, c, f, insights, most_bytes=3000).orderBy("job_id", "part", "piece").collect():
+        held = got.setdefault(row.job_id, {}).setdefault(row.part, [])
+        assert row.piece == len(held) and len(row.document.encode()) < 3600
+        held.append(json.loads(row.document))
+    assert got.keys() == whole.keys() and any(len(parts["criteria"]) > 3 for parts in got.values() if "criteria" in parts)
+    for job, parts in got.items():
+        for part in ("bidders", "criteria"):
+            assert [e for d in parts.get(part, []) for e in d[part]] == whole[job].get(part, [])
+        assert {k: v for k, v in whole[job].items() if k not in ("job_id", "bidders", "criteria")} == parts["summary"][0]
+    assert registry.QUERIES["dashboard_pieces"](spark, SF).select("job_id").distinct().count() == len(whole)
+
+
 def test_ranks_from_stored_results(spark):
     """From results that lie by job and bidder to ranks, only the few ranked rows are exchanged, not the results."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
