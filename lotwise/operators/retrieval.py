@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.rules import strip
-from lotwise.operators.scratch import running
+from lotwise.operators.scratch import Scratch, running
 
 #: Chunks of a job that are searched in one cell, and queries that it holds, about.
 SLICE_ROWS, BLOCK_ROWS = 100_000, 4_096
@@ -99,6 +99,84 @@ def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5, slice_rows: i
     return best.withColumn("total_searched", F.count("*").over(by_query))
 
 
+def _pivots(chunks: DataFrame, most: int) -> DataFrame:
+    """(job_id, cell, embedding) of about the root of a job's chunks, `most` at most, taken by the hash of their ids."""
+    wanted = chunks.groupBy("job_id").agg(F.least(F.ceil(F.sqrt(F.count("*"))), F.lit(most)).alias("_wanted"))
+    # The window keeps the first few of each job before its shuffle.
+    turn = F.row_number().over(Window.partitionBy("job_id").orderBy(F.xxhash64("chunk_id"), "chunk_id"))
+    few = chunks.select("job_id", "chunk_id", "embedding").withColumn("cell", turn).where(F.col("cell") <= most)
+    return few.join(wanted, "job_id").where(F.col("cell") <= F.col("_wanted")).select("job_id", F.col("cell").cast("string").alias("cell"), "embedding")
+
+
+def _nearest(pivots: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunks (job_id, chunk_id, position, embedding) with the cell of the nearest pivot and the distance of unit vectors from it."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, vectors, units = None, [], [], None
+        for f in frames:
+            for cell, g in f.groupby(["job_id", "slice", "block"], sort=False):
+                if cell != now:
+                    now, ids, vectors, units = cell, [], [], None
+                asked, g = g[g.side == 0], g[g.side == 1]
+                ids += list(asked.id)
+                vectors += list(asked.embedding)
+                if not len(g) or not ids:
+                    continue
+                units = _unit(vectors) if units is None else units
+                own = _unit(list(g.embedding))
+                apart = np.maximum((own**2).sum(1)[:, None] + (units**2).sum(1)[None, :] - 2 * own @ units.T, 0)
+                at = apart.argmin(1)
+                yield pd.DataFrame({"job_id": cell[0], "cell": np.array(ids, object)[at], "chunk_id": g.id, "position": g.position, "embedding": g.embedding,
+                    "distance": np.sqrt(apart[np.arange(len(at)), at])})
+
+    cell = ["job_id", "slice", "block"]
+    dealt = _cells(pivots.withColumnRenamed("cell", "query_id"), chunks, SLICE_ROWS, BLOCK_ROWS).repartition(*cell).sortWithinPartitions(*cell, "side", "position", "id")
+    return dealt.mapInPandas(run, "job_id string, cell string, chunk_id string, position long, embedding array<float>, distance double")
+
+
+#: What numbers of the bounds may be off by, more than scores are rounded by.
+SLACK = 1e-5
+
+
+def topk_pruned(queries: DataFrame, chunks: DataFrame, k: int = 5, most_pivots: int = 256) -> DataFrame:
+    """topk_cosine's rows, exactly, with n_compared: how many chunks a query was compared with.
+
+    A job's chunks lie in cells around pivots. Within a cell of radius r, no chunk is nearer to a query than its pivot's
+    distance less r, which bounds their scores. A query is compared with the cells that promise most until they hold k
+    chunks; of the others, only with those whose bound reaches the k-th of these scores. Worth while where many queries
+    meet large jobs of clustered vectors: it takes more shuffles than comparing all.
+    """
+    scratch = Scratch(queries.sparkSession, "topk")
+    pivots = scratch.save(_pivots(chunks, most_pivots), "pivots")
+    placed = scratch.save(_nearest(pivots, chunks.select("job_id", "chunk_id", "position", "embedding")), "placed")
+    cells = placed.groupBy("job_id", "cell").agg(F.max("distance").alias("_radius"), F.count("*").alias("n")).join(pivots, ["job_id", "cell"])
+    unit = lambda c: l2_normalize(F.col(c))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    asked = queries.select("job_id", "query_id", unit("embedding").alias("_q"))
+    met = asked.join(cells.select("job_id", "cell", "n", "_radius", unit("embedding").alias("_p")), "job_id")
+    apart = F.sqrt(F.greatest(dot(F.col("_q"), F.col("_q")) + dot(F.col("_p"), F.col("_p")) - 2 * dot(F.col("_q"), F.col("_p")), F.lit(0.0)))
+    gap = F.greatest(apart - F.col("_radius") - SLACK, F.lit(0.0))
+    bound = (dot(F.col("_q"), F.col("_q")) + 1 - gap * gap) / 2 + SLACK
+    promising = Window.partitionBy("job_id", "query_id").orderBy(F.desc("bound"), "cell").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = met.select("job_id", "query_id", "cell", "n", bound.alias("bound")).withColumn("near", F.coalesce(F.sum("n").over(promising), F.lit(0)) < k)
+    pairs = scratch.save(pairs, "pairs")
+
+    def compared(some: DataFrame, name: str) -> DataFrame:
+        """The k best of each query in each of its cells, each cell searched as a job of its own."""
+        within = lambda df: df.withColumn("job_id", F.concat("job_id", F.lit(":"), "cell"))
+        wanted = within(some.join(queries.select("job_id", "query_id", "embedding"), ["job_id", "query_id"])).select("job_id", "query_id", "embedding")
+        found = topk_cosine(wanted, within(placed), k).withColumn("job_id", F.regexp_replace("job_id", ":[^:]*$", ""))
+        return scratch.save(found.select("job_id", "query_id", "chunk_id", "position", "score"), name)
+
+    by_query = Window.partitionBy("job_id", "query_id")
+    place = F.row_number().over(by_query.orderBy(F.desc("score"), "position"))
+    first = compared(pairs.where("near"), "first")
+    least = first.withColumn("_at", place).where(F.col("_at") == k).select("job_id", "query_id", F.col("score").alias("_least"))
+    more = scratch.save(pairs.where("not near").join(least, ["job_id", "query_id"], "left").where("_least is null or bound >= _least").drop("_least"), "more")
+    best = first.unionByName(compared(more, "second")).withColumn("rank", place).where(F.col("rank") <= k)
+    counts = pairs.where("near").select("job_id", "query_id", "n").unionByName(more.select("job_id", "query_id", "n")).groupBy("job_id", "query_id").agg(F.sum("n").alias("n_compared"))
+    return best.withColumn("total_searched", F.count("*").over(by_query)).join(counts, ["job_id", "query_id"])
+
+
 def blank_queries(queries: DataFrame) -> DataFrame:
     """(job_id, query_id, error) of queries (with a column text) that ask nothing."""
     blank = F.coalesce(strip(F.col("text")), F.lit("")) == ""

@@ -158,6 +158,8 @@ def _worded(c):
 for name, table in (("topk_chunks", "chunks"), ("topk_tied_chunks", "tied_chunks")):
     query(name, "select job_id, query_id, chunk_id, position, rank, total_searched from ranked", "questions", table, extra=(_pairs(table), _ranked(5)))(
         lambda q, c: retrieval.topk_cosine(q, c).select("job_id", "query_id", "chunk_id", "position", "rank", "total_searched"))
+query("topk_pruned_chunks", "select job_id, query_id, chunk_id, position, rank, total_searched from ranked", "questions", "chunks", extra=(_pairs("chunks"), _ranked(5)))(
+    lambda q, c: retrieval.topk_pruned(q, c).select("job_id", "query_id", "chunk_id", "position", "rank", "total_searched"))
 query(
     "retrieve_chunks",
     "select job_id, query_id, chunk_id, rank, total_searched, file_id, concat('text of ', chunk_id) as text, position % 9 + 1 as page from ranked where score >= 0.1 and not ends_with(query_id, '300')",

@@ -103,6 +103,23 @@ def test_runs_differ(spark):
     assert "BroadcastHashJoin" in plan and "ExceptAll" not in plan
 
 
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_pruned_search_is_exact(spark, k):
+    """Clustered vectors with copies and zeros: the same rows as without bounds, and less than half of the products."""
+    rng = np.random.default_rng(k)
+    centres = rng.normal(size=(30, 16))
+    vectors = [(centres[n % 30] + 0.05 * rng.normal(size=16)).tolist() for n in range(1200)] + [[0.0] * 16] * 3 + [centres[0].tolist()] * 9
+    chunks = spark.createDataFrame([(f"j:{n % 2}", f"c{n}", n, v) for n, v in enumerate(vectors)] + [("small", "x", 0, vectors[0])], "job_id string, chunk_id string, position long, embedding array<float>")
+    queries = spark.createDataFrame([(j, f"q{n}", v) for j in ("j:0", "j:1", "small", "none") for n, v in enumerate([vectors[0], vectors[7], (centres[3] - centres[4]).tolist(), [0.0] * 16, vectors[601]])],
+        "job_id string, query_id string, embedding array<float>")
+    columns = ["job_id", "query_id", "chunk_id", "position", "score", "rank", "total_searched"]
+    got = retrieval.topk_pruned(queries, chunks, k)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, retrieval.topk_cosine(queries, chunks, k).select(*columns).collect()))
+    if k == 5:
+        used = got.where("job_id like 'j:%' and query_id in ('q0', 'q1', 'q4')").select("job_id", "query_id", "n_compared").distinct().agg(F.sum("n_compared")).first()[0]
+        assert used < 0.5 * 3 * 1212
+
+
 def walk(rows):
     """Failure index by the rules of SURVEY H5; None where the chain is valid."""
     after, at, seen, index = {}, audit.GENESIS, 0, None
