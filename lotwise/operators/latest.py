@@ -1,4 +1,4 @@
-"""Newest or best row per key by max_by and min_by, which combine before the shuffle and sort nothing."""
+"""Newest or best row per key by max_by and min_by: sorted aggregation, which combines before the shuffle and spills."""
 
 from __future__ import annotations
 

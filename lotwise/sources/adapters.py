@@ -85,9 +85,18 @@ ADAPTERS: dict[str, str] = {
 }
 
 
+_LIST = re.compile(r"cross join \(values\s+(.*?)\) as (\w+)\(([^)]*)\)", re.S)
+
+
+def _rows_of(m: re.Match) -> str:
+    """A list of constants as rows that Spark makes of each row by itself, without a join."""
+    rows = re.sub(r"\),\s*\(", "), struct(", m[1].strip())
+    return f"lateral view inline(array(struct{rows})) {m[2]} as {m[3]}"
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An adapter's rows as a DataFrame."""
-    sql = ADAPTERS[name]
+    sql = _LIST.sub(_rows_of, ADAPTERS[name])
     used = [t for t in GIVEN if re.search(rf"\b(?:from|join)\s+{t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(from|join)(\s+){t}\b", rf"\1\2{{{t}}}", sql)
