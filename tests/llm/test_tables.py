@@ -13,6 +13,32 @@ from lotwise.llm.common import Scratch
 from lotwise.llm.components import components, with_totals
 
 
+def test_recall_near_the_threshold(spark):
+    """1,000 pairs of texts whose sets' similarity is from 0.80 to 0.85: at least nine of ten are found, and nothing else."""
+    rng, rows, want = random.Random(12), [], set()
+    while len(want) < 1000:
+        n = rng.randrange(80, 200)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        copy = list(base)
+        for at in rng.sample(range(6, n - 6), 2 + n // 100):
+            copy[at] = f"v{rng.randrange(10**6)}"
+        if rng.random() < 0.5:
+            copy += [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(n // 12))]
+        a, b = (set(jaccard_join.shingles(" ".join(x), 5).tolist()) for x in (base, copy))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            k = 2 * len(want)
+            want.add((k, k + 1))
+            rows += [(k, " ".join(base)), (k + 1, " ".join(copy))]
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), Scratch(spark, "test")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.class_id, set()).add(r.doc_id)
+    pairs = {tuple(sorted(c)) for c in found.values() if len(c) == 2}
+    assert pairs <= want and all(len(c) <= 2 for c in found.values())
+    print(f"recall from 0.80 to 0.85: {len(pairs) / 1000:.3f}")
+    assert len(pairs) >= 900
+
+
 def words(rng, n):
     return [rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(n)]
 
