@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.rules import canonical_key, parse_threshold, strip
 from lotwise.operators.latest import best_row
+from lotwise.operators.retrieval import context_texts
 from lotwise.operators.search import MostWords, first_places, search
 
 _CRITERIA = "struct<criteria: array<struct<id: string, label: string, criterion_type: string, mandatory: boolean, threshold_value: string, threshold_unit: string, operator: string, ambiguous: boolean>>>"
@@ -127,12 +128,32 @@ def build_prompts(context: DataFrame, criteria: DataFrame) -> DataFrame:
     Criteria have id, job_id and label, and may have criterion_key (else the id is the key) and description.
     """
     joined = context.groupBy("job_id", "file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("_context"))
+    return joined.join(_fields(criteria), "job_id").select("job_id", "file_id", "criterion_id", _prompt())
+
+
+def build_retrieved_prompts(context: DataFrame, chunks: DataFrame, criteria: DataFrame) -> DataFrame:
+    """One prompt per file and criterion over what bidder_context has found for it (its query_id is the criterion's id)."""
+    texts = context_texts(context, chunks).select("job_id", F.col("query_id").alias("criterion_id"), "file_id", F.col("context").alias("_context"))
+    return texts.join(_fields(criteria), ["job_id", "criterion_id"]).select("job_id", "file_id", "criterion_id", _prompt())
+
+
+def criterion_questions(criteria: DataFrame) -> DataFrame:
+    """(job_id, query_id, text) that are embedded to search for each criterion: its label and description."""
+    said = F.col("description") if "description" in criteria.columns else F.lit("")
+    return criteria.select("job_id", F.col("id").alias("query_id"), F.concat(F.coalesce("label", F.lit("")), F.lit(" "), F.coalesce(said, F.lit(""))).alias("text"))
+
+
+def _fields(criteria: DataFrame) -> DataFrame:
+    """(job_id, criterion_id, _field): what prompts ask for."""
     label = F.coalesce("label", F.lit(""))
     key = F.col("criterion_key" if "criterion_key" in criteria.columns else "id")
     wanted = field_description(key, label, F.col("description") if "description" in criteria.columns else F.lit(None).cast("string"))
     field = F.when(wanted == label, label).otherwise(F.concat(label, F.lit("\n"), wanted))
-    rows = criteria.select("job_id", F.col("id").alias("criterion_id"), field.alias("_field"))
-    return joined.join(rows, "job_id").select("job_id", "file_id", "criterion_id", F.concat(F.lit("Field: "), "_field", F.lit("\n\nContext:\n"), "_context").alias("prompt"))
+    return criteria.select("job_id", F.col("id").alias("criterion_id"), field.alias("_field"))
+
+
+def _prompt() -> Column:
+    return F.concat(F.lit("Field: "), "_field", F.lit("\n\nContext:\n"), "_context").alias("prompt")
 
 
 def resolve_snippet_page(snippets: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -167,14 +167,23 @@ query(
 )(lambda q, c: retrieval.retrieve(q.withColumn("text", F.when(F.col("query_id").endswith("300"), " \n").otherwise("asked")), _worded(c), 5, 0.1).drop("score", "position"))
 query("blank_queries", "select job_id, query_id, 'EMPTY_QUERY' as error from questions where ends_with(query_id, '300')", "questions")(
     lambda q: retrieval.blank_queries(q.withColumn("text", F.when(F.col("query_id").endswith("300"), F.lit(None).cast("string")).otherwise("asked"))))
-query(
-    "context_texts",
+CONTEXTS = (
+    "contexts",
     """select job_id, query_id, file_id, string_agg(concat('text of ', chunk_id), concat(chr(10), chr(10), '---', chr(10), chr(10)) order by place) as context from (
       select w.job_id, w.query_id, w.file_id, c.chunk_id, case when h.rank is null then c.position else h.rank end as place, h.rank is not null as hit, bool_or(h.rank is not null) over (partition by w.job_id, w.query_id, w.file_id) as any_hit
       from (select q.job_id, q.query_id, f.file_id from questions q join (select distinct job_id, file_id from chunks) f on f.job_id = q.job_id) w join chunks c on c.job_id = w.job_id and c.file_id = w.file_id
       left join (select * from ranked where score >= 0.15) h on h.job_id = w.job_id and h.query_id = w.query_id and h.chunk_id = c.chunk_id) where hit or not any_hit group by 1, 2, 3""",
-    "questions", "chunks", extra=(_pairs("chunks"), _ranked(15)),
-)(lambda q, c: retrieval.context_texts(retrieval.bidder_context(q, c, c.select("job_id", "file_id").distinct()), _worded(c)))
+)
+query("context_texts", "select * from contexts", "questions", "chunks", extra=(_pairs("chunks"), _ranked(15), CONTEXTS))(
+    lambda q, c: retrieval.context_texts(retrieval.bidder_context(q, c, c.select("job_id", "file_id").distinct()), _worded(c)))
+query(
+    "retrieved_prompts",
+    """select job_id, file_id, query_id as criterion_id, concat('Field: Criterion ', query_id, case when ends_with(query_id, '200') then concat(chr(10), 'As in part two.') else '' end, chr(10), chr(10), 'Context:', chr(10), context) as prompt from contexts""",
+    "questions", "chunks", extra=(_pairs("chunks"), _ranked(15), CONTEXTS),
+)(
+    lambda q, c: criteria.build_retrieved_prompts(
+        retrieval.bidder_context(q, c, c.select("job_id", "file_id").distinct()), _worded(c), q.select("job_id", F.col("query_id").alias("id"), F.lit("bond").alias("criterion_key"),
+            F.concat(F.lit("Criterion "), "query_id").alias("label"), F.when(F.col("query_id").endswith("200"), "As in part two.").alias("description"))))
 
 # ---- fields ----------------------------------------------------------------------------------------------------------
 
