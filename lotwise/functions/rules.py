@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lotwise.functions.canonical import join_texts, python_float
+from lotwise.functions.let import let
 
 # Fixed values of the evaluated domain.
 GSTIN = r"\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]\b"
@@ -53,44 +54,63 @@ def is_gst(value: Column) -> Column:
 
 def compare(value: Column, operator: Column, threshold: Column) -> Column:
     """value against threshold; an unknown or missing operator means at least."""
-    op = F.lower(strip(F.coalesce(F.nullif(operator, F.lit("")), F.lit("gte"))))
+    op = _operator(operator)
     return F.when(op == "lte", value <= threshold).when(op == "gt", value > threshold).when(op == "lt", value < threshold).when(op == "eq",
         value == threshold).when(op == "neq", value != threshold).otherwise(value >= threshold)
 
 
-def verdict(label: Column, ambiguous: Column, threshold: Column, operator: Column, value: Column, confidence: Column) -> Column:
-    """struct(verdict, score, explanation) of one criterion on one extracted value.
+#: Branches of the rules, in the order in which they are tried, and those that pass or fail; all others leave it unknown.
+AMBIGUOUS, NOT_NUMERIC, ABOVE, BELOW, NOT_FOUND, TAX_NUMBER, CLEARED, BARRED, STATED, PRESENT, UNCLEAR = range(1, 12)
+PASSING, FAILING = (ABOVE, TAX_NUMBER, CLEARED, STATED, PRESENT), (BELOW, BARRED)
+
+
+def _operator(operator: Column) -> Column:
+    return F.lower(strip(F.coalesce(F.nullif(operator, F.lit("")), F.lit("gte"))))
+
+
+def branch(label: Column, ambiguous: Column, threshold: Column, operator: Column, value: Column) -> Column:
+    """Which rule decides on a criterion's extracted value.
 
     Ambiguous criteria are unknown; a threshold compares numbers; else phrases decide, clean ones before failing ones,
     since the latter occur within the former.
     """
-    name = F.coalesce(label, F.lit("unnamed"))
-    number, text = to_float(value), strip(value)
+    text, number = strip(value), to_float(value)
     low = F.lower(text)
-    op = F.lower(strip(F.coalesce(F.nullif(operator, F.lit("")), F.lit("gte"))))
-    passed = compare(number, operator, threshold)
-    sure = F.round(confidence, 4)
-    said = join_texts("extracted=", python_float(number), " ", op, " threshold=", python_float(threshold))
-
-    def out(kind: str | Column, score: Column, *said: Column | str) -> Column:
-        parts = [F.lit(x) if isinstance(x, str) else x.cast("string") for x in said]
-        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("verdict"), score.cast("double").alias("score"), F.concat(F.lit("["), name, F.lit("] "), *parts).alias("explanation"))
-
-    unsure = F.lit(UNKNOWN_SCORE)
-    tax = any_of(F.lower(name), TAX_LABELS) & is_gst(text)
-    return (
-        F.when(F.coalesce(ambiguous, F.lit(False)), out("unknown", unsure, "Criterion is ambiguous — cannot evaluate deterministically"))
-        .when(threshold.isNotNull() & number.isNull(), out("unknown", unsure, "Value not found or not numeric in bidder document"))
-        .when(threshold.isNotNull() & passed, out("pass", sure, said, " → PASS"))
-        .when(threshold.isNotNull(), out("fail", F.lit(0.0), said, " → FAIL"))
-        .when(value.isNull(), out("unknown", unsure, "Not found in bidder document"))
-        .when(tax, out("pass", sure, "Valid GST number found: ", text))
-        .when(any_of(low, CLEAN_PHRASES), out("pass", sure, "Compliant (not blacklisted/debarred): '", value, "'"))
-        .when(any_of(low, FAIL_PHRASES), out("fail", F.lit(0.0), "Non-compliant: '", value, "'"))
-        .when(any_of(low, PASS_PHRASES), out("pass", sure, "Compliant: '", value, "'"))
-        .when(low != "", out("pass", sure, "Value present: '", value, "'"))
-        .otherwise(out("unknown", unsure, "Could not determine compliance from: '", value, "'"))
-    )
+    tax = any_of(F.lower(F.coalesce(label, F.lit("unnamed"))), TAX_LABELS) & is_gst(text)
+    numeric = F.when(number.isNull(), NOT_NUMERIC).when(compare(number, operator, threshold), ABOVE).otherwise(BELOW)
+    worded = F.when(value.isNull(), NOT_FOUND).when(tax, TAX_NUMBER).when(any_of(low, CLEAN_PHRASES), CLEARED).when(any_of(low, FAIL_PHRASES), BARRED)
+    worded = worded.when(any_of(low, PASS_PHRASES), STATED).when(low != "", PRESENT).otherwise(UNCLEAR)
+    return F.when(F.coalesce(ambiguous, F.lit(False)), AMBIGUOUS).when(threshold.isNotNull(), numeric).otherwise(worded)
+
+
+def verdict_of(taken: Column) -> Column:
+    return F.when(taken.isin(*PASSING), "pass").when(taken.isin(*FAILING), "fail").otherwise("unknown")
+
+
+def score_of(taken: Column, confidence: Column) -> Column:
+    return F.when(taken.isin(*PASSING), F.round(confidence, 4)).when(taken.isin(*FAILING), 0.0).otherwise(UNKNOWN_SCORE).cast("double")
+
+
+def explanation_of(taken: Column, label: Column, threshold: Column, operator: Column, value: Column) -> Column:
+    """What a branch says of the value."""
+    compared = join_texts("extracted=", python_float(to_float(value)), " ", _operator(operator), " threshold=", python_float(threshold))
+    quoted = join_texts("'", value, "'")
+    said = {
+        AMBIGUOUS: F.lit("Criterion is ambiguous — cannot evaluate deterministically"), NOT_NUMERIC: F.lit("Value not found or not numeric in bidder document"), ABOVE: join_texts(compared, " → PASS"),
+        BELOW: join_texts(compared, " → FAIL"), NOT_FOUND: F.lit("Not found in bidder document"), TAX_NUMBER: join_texts("Valid GST number found: ", strip(value)),
+        CLEARED: join_texts("Compliant (not blacklisted/debarred): ", quoted), BARRED: join_texts("Non-compliant: ", quoted), STATED: join_texts("Compliant: ", quoted), PRESENT: join_texts("Value present: ", quoted),
+        UNCLEAR: join_texts("Could not determine compliance from: ", quoted),
+    }
+    text = reduce(lambda got, kv: got.when(taken == kv[0], kv[1]), list(said.items())[1:], F.when(taken == AMBIGUOUS, said[AMBIGUOUS]))
+    return join_texts("[", F.coalesce(label, F.lit("unnamed")), "] ", text)
+
+
+def verdict(label: Column, ambiguous: Column, threshold: Column, operator: Column, value: Column, confidence: Column) -> Column:
+    """struct(verdict, score, explanation) of one criterion on one extracted value."""
+    def all_of(taken: Column) -> Column:
+        return F.struct(verdict_of(taken).alias("verdict"), score_of(taken, confidence).alias("score"), explanation_of(taken, label, threshold, operator, value).alias("explanation"))
+
+    return let(branch(label, ambiguous, threshold, operator, value), all_of)
 
 
 def clip(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.canonical import canonical, join_texts
-from lotwise.functions.rules import DEFAULT_CONFIDENCE, verdict
+from lotwise.functions.rules import DEFAULT_CONFIDENCE, branch, explanation_of, score_of, verdict_of
 from lotwise.operators.latest import newest_row, surest_row
 
 # Fixed value: what follows the number of open criteria in a message.
@@ -39,9 +39,12 @@ def evaluation_grid_no_bidders(files: DataFrame, criteria: DataFrame, extraction
 
 def evaluate_grid(grid: DataFrame) -> DataFrame:
     """verdict, score, explanation, weight and weighted_score of each grid row. Row-local."""
-    found = verdict(*(F.col(c) for c in ("label", "ambiguous", "threshold_value", "operator", "parsed_value", "confidence")))
-    return grid.withColumn("_v", found).select("job_id", "bidder_file_id", "criterion_id", "criterion_key", "mandatory", "_v.*", F.lit(1.0).alias("weight"),
-        F.round(F.col("_v.score"), 4).alias("weighted_score"))
+    said = [F.col(c) for c in ("label", "threshold_value", "operator", "parsed_value")]
+    taken = F.col("_branch")
+    # Columns of their own, so that what nobody asks for isn't made.
+    rows = grid.withColumn("_branch", branch(said[0], F.col("ambiguous"), *said[1:])).withColumns({"verdict": verdict_of(taken), "score": score_of(taken, F.col("confidence")),
+        "explanation": explanation_of(taken, *said)})
+    return rows.select("job_id", "bidder_file_id", "criterion_id", "criterion_key", "mandatory", "verdict", "score", "explanation", F.lit(1.0).alias("weight"), F.round("score", 4).alias("weighted_score"))
 
 
 def not_yet_judged(grid: DataFrame, existing: DataFrame) -> DataFrame:
