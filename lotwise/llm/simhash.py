@@ -36,7 +36,7 @@ from lotwise.llm.components import components, with_totals
 
 WORDS, BITS, RADIUS = 5, 128, 6
 #: Word digests that a worker remembers, fingerprints of a cell about, and rows and characters of a batch.
-REMEMBERED, CELL, ROWS, BATCH_CHARS = 1 << 20, 1024, 1000, 16 << 20
+REMEMBERED, CELL, ROWS, BATCH_CHARS = 1 << 18, 1024, 1000, 16 << 20
 #: For each byte, its bits as votes.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACES = (256 * np.arange(BITS // 8, dtype=np.int64))[None, :]
