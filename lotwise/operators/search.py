@@ -79,7 +79,12 @@ def _parts(rows: DataFrame, most: int, name: str) -> DataFrame:
     return counts.where(F.col("_n") > least).select("file_id", F.ceil(F.col("_n") / most).cast("int").alias(name))
 
 
-def search(patterns: DataFrame, texts: DataFrame, finder: type, slice_texts: int = SLICE_TEXTS, block_patterns: int = BLOCK_PATTERNS) -> DataFrame:
+def text_slices(texts: DataFrame, slice_texts: int = SLICE_TEXTS) -> DataFrame:
+    """Which files' texts are cut into how many slices; written, so that several searches of the same texts share it."""
+    return Scratch(texts.sparkSession, "slices").save(_parts(texts, slice_texts, "_slices"), "slices")
+
+
+def search(patterns: DataFrame, texts: DataFrame, finder: type, slice_texts: int = SLICE_TEXTS, block_patterns: int = BLOCK_PATTERNS, slices: DataFrame | None = None) -> DataFrame:
     """PLACE rows of patterns (file_id, pattern_id, words: what a finder takes) that texts (file_id, at, page, text) of their file hold.
 
     A file's texts and patterns meet in one task, or, where there are more of them, each slice of its texts with each block
@@ -89,7 +94,7 @@ def search(patterns: DataFrame, texts: DataFrame, finder: type, slice_texts: int
     """
     scratch = Scratch(patterns.sparkSession, "search")
     patterns = scratch.save(patterns, "patterns")
-    slices, blocks = _parts(texts, slice_texts, "_slices"), _parts(patterns, block_patterns, "_blocks")
+    slices, blocks = _parts(texts, slice_texts, "_slices") if slices is None else slices, _parts(patterns, block_patterns, "_blocks")
     cut = lambda df: df.join(F.broadcast(slices), "file_id", "left").join(F.broadcast(blocks), "file_id", "left").fillna({"_slices": 1, "_blocks": 1})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
@@ -126,7 +131,7 @@ def search(patterns: DataFrame, texts: DataFrame, finder: type, slice_texts: int
     return scratch.save(met.groupBy("file_id", "pattern_id").agg(best.alias("_b")).select("file_id", "pattern_id", "_b.*"), "places")
 
 
-def first_places(patterns: DataFrame, texts: DataFrame, pattern: Column, **sizes: int) -> DataFrame:
+def first_places(patterns: DataFrame, texts: DataFrame, pattern: Column, **cut) -> DataFrame:
     """Where each pattern comes first: (file_id, pattern_id, at, page). Empty patterns are nowhere."""
     rows = patterns.select("file_id", "pattern_id", F.array(pattern).alias("words")).where(F.coalesce(F.length(F.get("words", F.lit(0))), F.lit(0)) > 0)
-    return search(rows, texts, FirstPlaces, **sizes).drop("hits")
+    return search(rows, texts, FirstPlaces, **cut).drop("hits")
