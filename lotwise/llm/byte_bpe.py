@@ -2,7 +2,8 @@
 
 Long texts are split first at boundaries that no match of the pre-splitting pattern can span, so one call never sees
 more than about `piece_chars` characters unless a single pre-token is longer. Null counts as an empty text; an empty
-text has no ids; repeated rows give repeated results; extra columns are kept unless `out` columns would clash, in which
+text has no ids; repeated rows give repeated results (nothing is ranked, so nothing ties); an empty table gives no rows;
+extra columns are kept unless `out` columns would clash, in which
 case the operator's own column replaces the old one.
 """
 

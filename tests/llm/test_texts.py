@@ -381,7 +381,7 @@ def test_chat(spark):
             said = [x for a, x in want if a == "assistant"]
             assert r.n_turns == len(odd) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{x}\n" for a, x in want).encode()).hexdigest()
             assert (r.loss_chars, r.loss_sha256) == (len("".join(said)), hashlib.sha256("".join(said).encode()).hexdigest())
-    assert chat.format_chat(chat.text_parts(turns.limit(0))).count() == 0
+    assert chat.format_chat(chat.text_parts(turns.limit(0))).count() == chat.read_back(chat.format_chat(chat.text_parts(turns.limit(0)))).count() == 0
 
 
 def test_chat_with_audio_and_null_roles(spark):
