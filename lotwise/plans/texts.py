@@ -163,6 +163,17 @@ for snippets_query in ("resolve_snippet_page", "resolve_all_snippets"):
 
 query("locate_snippets", None, "pages")(lambda p: locate.locate_snippets(p.withColumn("snippet", F.substring("text", 101, 80))).select("file_id", "page_number", "start", "end", "tier"))
 
+
+
+def _altered(p):
+    """Pages with a snippet of theirs told with other spaces between words, within other words, or by one of its words alone."""
+    middle, kind = F.substring("text", 101, 80), (F.col("page_number") + F.length("text")) % 3
+    snippet = F.when(kind == 0, F.regexp_replace(middle, " +", "\u00a0 ")).when(kind == 1, F.concat(F.lit("As it says: "), middle, F.lit(" indeed")))
+    return p.withColumn("snippet", snippet.otherwise(F.concat(F.lit("none of 0x7; "), F.regexp_extract(middle, "[A-Za-z]{6,}", 0), F.lit(" zzqxj"))))
+
+
+query("locate_altered_snippets", None, "pages")(lambda p: locate.locate_snippets(_altered(p)).select("file_id", "page_number", "snippet", "start", "end", "tier"))
+
 query("dedupe_criteria", "select * from criteria qualify row_number() over (partition by job_id, criterion_key order by created_at, id) = 1", "criteria")(criteria.dedupe_criteria)
 query("duplicate_criteria", "select job_id, criterion_key, count(*) as n from criteria group by 1, 2 having count(*) > 1", "criteria")(quality.duplicate_criteria)
 query("list_criteria", "select job_id, id, criterion_key, label, count(*) over (partition by job_id) as total from criteria", "criteria")(criteria.list_criteria)

@@ -94,6 +94,33 @@ def test_places_of_snippets(spark):
         assert (r.start, r.end, r.tier) == (first.start(), first.end(), "exact")
 
 
+def slow_place(snippet, text):
+    """All windows of a snippet's words as patterns, the longest first; then its most distinctive word."""
+    words, gap = snippet.split(), r"[\s\-–—:;,]+"
+    find = lambda ws: re.search(gap.join(map(re.escape, ws)), text, re.I)
+    if words and (m := find(words)):
+        return m.start(), m.end(), "exact"
+    for n in range(min(len(words), 30), 2, -1):
+        found = [m for k in range(len(words) - n + 1) if (m := find(words[k : k + n]))]
+        if found:
+            m = max(found, key=lambda m: m.end() - m.start())
+            return m.start(), m.end(), "phrase"
+    cores = [re.sub(r"[^A-Za-z0-9.\-]", "", w) for w in words]
+    for core in sorted((c for c in cores if re.fullmatch(r"\d+(?:\.\d+)?|[A-Za-z][A-Za-z\-]{5,}", c)), key=len, reverse=True):
+        if m := re.search(rf"\b{re.escape(core)}\b", text, re.I | re.A):
+            return m.start(), m.end(), "token"
+    return None, None, None
+
+
+def test_places_of_altered_snippets(spark):
+    texts = {(p.file_id, p.page_number): p.text for p in adapters.frame(spark, SF, "pages").collect()}
+    rows = registry.QUERIES["locate_altered_snippets"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    tiers = [(r.start, r.end, r.tier) for r in rows]
+    assert tiers == [slow_place(r.snippet.replace("\u00a0", " "), texts[r.file_id, r.page_number]) for r in rows]
+    assert {t for *_, t in tiers} >= {"exact", "phrase", "token"}
+
+
 def test_job_reports(spark):
     said = {r.job_id: json.loads(r.report) for r in registry.QUERIES["job_reports"](spark, SF).collect()}
     jobs_, summary = adapters.frame(spark, SF, "jobs").collect(), {r.job_id: r for r in registry.QUERIES["job_summary"](spark, SF).collect()}
