@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.rules import canonical_key, parse_threshold, strip
 from lotwise.operators.latest import best_row
 from lotwise.operators.retrieval import context_texts
-from lotwise.operators.search import MostWords, first_places, search, text_slices
+from lotwise.operators.search import MostWords, first_places, search
 
 _CRITERIA = "struct<criteria: array<struct<id: string, label: string, criterion_type: string, mandatory: boolean, threshold_value: string, threshold_unit: string, operator: string, ambiguous: boolean>>>"
 _FIELDS = "struct<fields: array<struct<field_name: string, raw_value: string, parsed_value: string, unit: string, source_snippet: string, confidence: double, not_found: boolean>>>"
@@ -164,21 +164,17 @@ def resolve_snippet_page(snippets: DataFrame, chunks: DataFrame) -> DataFrame:
     keys = ["file_id", "snippet_id"]
     asked = snippets.select(*keys, strip(F.col("snippet")).alias("_raw"))
     texts = chunks.select("file_id", F.col("chunk_index").alias("at"), "page", F.coalesce("text", F.lit("")).alias("text"))
-    slices = text_slices(texts)
     raw = F.col("_raw")
-    heads = F.array(*(F.struct(F.lit(k).alias("tier"), p.alias("head")) for k, p in enumerate((raw, *(strip(F.substring(raw, 1, n)) for n in (200, 120, 80, 50))))))
-    wanted = asked.select(*keys, F.explode(heads).alias("_h")).where(F.length("_h.head") >= 20).select(*keys, "_h.*")
-    # The tier stands before the id, so that each pattern has an id of its own.
-    exact = first_places(wanted.select("file_id", F.concat("tier", F.lit(":"), "snippet_id").alias("pattern_id"), "head"), texts, F.col("head"), slices=slices)
-    exact = exact.select("file_id", F.expr("substring(pattern_id, 3)").alias("snippet_id"), F.substring("pattern_id", 1, 1).cast("int").alias("tier"), "page")
-    placed = exact.groupBy(*keys).agg(F.min_by("page", "tier").alias("page"))
-
-    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    left = asked.join(placed.select(*keys), keys, "left_anti").select("file_id", F.col("snippet_id").alias("pattern_id"), flat(F.substring(raw, 1, 60)).alias("_head"),
-        F.regexp_extract_all(F.lower(raw), F.lit(r"[A-Za-z0-9]{4,}"), 0).alias("words"))
-    loose = first_places(left.where(F.length("_head") >= 20), texts.withColumn("text", flat(F.col("text"))), F.col("_head"), slices=slices)
-    rest = left.where(F.size("words") >= 4).join(loose.select("file_id", "pattern_id"), ["file_id", "pattern_id"], "left_anti").select("file_id", "pattern_id", "words")
-    worded = search(rest, texts.withColumn("text", F.lower("text")), MostWords, slices=slices).where("hits > 3")
-    later = loose.select("file_id", "pattern_id", "page").unionByName(worded.select("file_id", "pattern_id", "page")).withColumnRenamed("pattern_id", "snippet_id")
+    # A tier's sign stands before the id, so that each pattern has an id of its own: five exact heads, then a loose one.
+    heads = [("0", raw), *((str(k), strip(F.substring(raw, 1, n))) for k, n in enumerate((200, 120, 80, 50), 1)), ("~", F.substring(raw, 1, 60))]
+    wanted = asked.select("file_id", "snippet_id", F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), p.alias("head")) for t, p in heads))).alias("_h")).where(F.length("_h.head") >= 20)
+    found = first_places(wanted.select("file_id", F.concat("_h.tier", "snippet_id").alias("pattern_id"), "_h.head"), texts, F.col("head"))
+    found = found.select("file_id", F.expr("substring(pattern_id, 2)").alias("snippet_id"), F.substring("pattern_id", 1, 1).alias("tier"), "page")
+    placed = found.groupBy(*keys).agg(F.min_by("page", "tier").alias("page"))
+
+    left = asked.select("file_id", "snippet_id", F.regexp_extract_all(F.lower(raw), F.lit(r"[A-Za-z0-9]{4,}"), 0).alias("words")).where(F.size("words") >= 4)
+    rest = left.join(placed.select(*keys), keys, "left_anti").select("file_id", F.col("snippet_id").alias("pattern_id"), "words")
+    worded = search(rest, texts, MostWords).where("hits > 3")
+    later = worded.select("file_id", F.col("pattern_id").alias("snippet_id"), "page")
     kind = chunks.schema["page"].dataType
     return snippets.select(*keys).join(placed.unionByName(later), keys, "left").withColumn("page", F.col("page").cast(kind))

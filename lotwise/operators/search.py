@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,56 +12,66 @@ from pyspark.sql import functions as F
 from lotwise.operators.scratch import Scratch
 
 #: Texts of a file that one task searches, and patterns that it searches for, about.
-SLICE_TEXTS, BLOCK_PATTERNS = 2_000, 20_000
+SLICE_TEXTS, BLOCK_PATTERNS = 20_000, 20_000
 #: Files that are cut into slices or blocks, at most; beyond, only larger ones are cut.
 MOST_CUT = 500_000
 PLACE = "file_id string, pattern_id string, hits long, at long, page long"
 
 
+def _automaton(words):
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for w in words:
+        made.add_word(w, w)
+    made.make_automaton()
+    return made
+
+
+def flat(text: str) -> str:
+    """In lower case, with single spaces."""
+    return re.sub(r"\s+", " ", text.lower())
+
+
 class FirstPlaces:
-    """The first text, in the order in which texts come, that holds each pattern."""
+    """The first text, in the order in which texts come, that holds each pattern.
 
-    def __init__(self, patterns: list[tuple[str, list[str]]]):
-        import ahocorasick
+    A pattern's id may start with "~": then it is looked for in flattened texts, and is flattened itself.
+    """
 
-        self.wanted: dict[str, list[str]] = {}
-        for ident, (pattern,) in patterns:
-            self.wanted.setdefault(pattern, []).append(ident)
-        self.automaton = ahocorasick.Automaton()
-        for p in self.wanted:
-            self.automaton.add_word(p, p)
-        self.automaton.make_automaton()
+    def __init__(self, patterns: list[tuple[str, list[str]]]):
         self.rows: list[tuple[str, int, int, int]] = []
+        self.wanted: list[dict[str, list[str]]] = [{}, {}]
+        for ident, (pattern,) in patterns:
+            loose = ident.startswith("~")
+            self.wanted[loose].setdefault(flat(pattern) if loose else pattern, []).append(ident)
+        self.automata = [_automaton(w) if w else None for w in self.wanted]
 
     def feed(self, at: int, page: int, text: str) -> None:
-        if self.wanted:
-            for p in {p for _, p in self.automaton.iter(text)}:
-                self.rows += [(ident, 1, at, page) for ident in self.wanted.pop(p, ())]
+        for wanted, automaton, told in zip(self.wanted, self.automata, (str, flat)):
+            if wanted:
+                for p in {p for _, p in automaton.iter(told(text))}:
+                    self.rows += [(ident, 1, at, page) for ident in wanted.pop(p, ())]
 
     def found(self) -> list[tuple[str, int, int, int]]:
         return self.rows
 
 
 class MostWords:
-    """The text that holds most of each pattern's words (repeated ones count so often), the first of several."""
+    """The text that holds most of each pattern's words (repeated ones count so often) in lower case, the first of several."""
 
     def __init__(self, patterns: list[tuple[str, list[str]]]):
-        import ahocorasick
-
         self.owners: dict[str, dict[str, int]] = {}
         for ident, words in patterns:
             for w in words:
                 own = self.owners.setdefault(w, {})
                 own[ident] = own.get(ident, 0) + 1
-        self.automaton = ahocorasick.Automaton()
-        for w in self.owners:
-            self.automaton.add_word(w, w)
-        self.automaton.make_automaton()
+        self.automaton = _automaton(self.owners)
         self.best: dict[str, tuple[int, int, int]] = {}
 
     def feed(self, at: int, page: int, text: str) -> None:
         hits: dict[str, int] = {}
-        for w in {w for _, w in self.automaton.iter(text)}:
+        for w in {w for _, w in self.automaton.iter(text.lower())}:
             for ident, times in self.owners[w].items():
                 hits[ident] = hits.get(ident, 0) + times
         for ident, n in hits.items():
@@ -71,20 +82,18 @@ class MostWords:
         return [(ident, *b) for ident, b in self.best.items()]
 
 
-def _parts(rows: DataFrame, most: int, name: str) -> DataFrame:
-    """(file_id, name) of the files of more than so many rows: into how many parts they are cut."""
+def _parts(rows: DataFrame, most: int, name: str) -> DataFrame | None:
+    """(file_id, name) of the files of more than so many rows: into how many parts they are cut; None where there can't be any."""
+    n = rows.count()
+    if n <= most:
+        return None
     counts = rows.groupBy("file_id").agg(F.count("*").alias("_n"))
     # Files beyond the least size number at most total / least, which bounds what is broadcast.
-    least = max(most, rows.count() // MOST_CUT)
+    least = max(most, n // MOST_CUT)
     return counts.where(F.col("_n") > least).select("file_id", F.ceil(F.col("_n") / most).cast("int").alias(name))
 
 
-def text_slices(texts: DataFrame, slice_texts: int = SLICE_TEXTS) -> DataFrame:
-    """Which files' texts are cut into how many slices; written, so that several searches of the same texts share it."""
-    return Scratch(texts.sparkSession, "slices").save(_parts(texts, slice_texts, "_slices"), "slices")
-
-
-def search(patterns: DataFrame, texts: DataFrame, finder: type, slice_texts: int = SLICE_TEXTS, block_patterns: int = BLOCK_PATTERNS, slices: DataFrame | None = None) -> DataFrame:
+def search(patterns: DataFrame, texts: DataFrame, finder: type, slice_texts: int = SLICE_TEXTS, block_patterns: int = BLOCK_PATTERNS) -> DataFrame:
     """PLACE rows of patterns (file_id, pattern_id, words: what a finder takes) that texts (file_id, at, page, text) of their file hold.
 
     A file's texts and patterns meet in one task, or, where there are more of them, each slice of its texts with each block
@@ -94,8 +103,13 @@ def search(patterns: DataFrame, texts: DataFrame, finder: type, slice_texts: int
     """
     scratch = Scratch(patterns.sparkSession, "search")
     patterns = scratch.save(patterns, "patterns")
-    slices, blocks = _parts(texts, slice_texts, "_slices") if slices is None else slices, _parts(patterns, block_patterns, "_blocks")
-    cut = lambda df: df.join(F.broadcast(slices), "file_id", "left").join(F.broadcast(blocks), "file_id", "left").fillna({"_slices": 1, "_blocks": 1})
+    many = {"_slices": _parts(texts, slice_texts, "_slices"), "_blocks": _parts(patterns, block_patterns, "_blocks")}
+
+    def cut(df: DataFrame) -> DataFrame:
+        for name, parts in many.items():
+            df = df.withColumn(name, F.lit(1)) if parts is None else df.join(F.broadcast(parts), "file_id", "left").fillna({name: 1})
+        return df
+
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     none = lambda t: F.lit(None).cast(t)
