@@ -10,6 +10,7 @@ from lotwise.operators.scratch import Scratch
 from lotwise.plans.evaluation import CANON, COUNTS, LATEST, RANKED, SCORE, SQL, SUMMARY, TO_COMPARED, TO_INSIGHT, TO_JUDGED, TOTALS, query
 from lotwise.plans.texts import CLEANED, DOCS, KINDS, MEANS, MODELLED, NUMBERED_BY_JOB, QUALITY, _chain, _modelled, _numbered
 from lotwise.sources import tables
+from lotwise.sources.adapters import with_adapters
 
 TRIM = "trim({0}, concat(' ', chr(10)))"
 
@@ -124,6 +125,8 @@ query(
             ("ocr_quality", "double", "ocr_quality"), ("document_kind", "string", "document_kind"))),
     )
 )
+SENTENCES = """list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z\\x{0900}-\\x{097F}])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"""
+SQL["split_sentences"] = with_adapters(f"select file_id, page_number, len({SENTENCES}) as sentences from pages")
 query(
     "sentences",
     """select file_id, page_number, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as position from (select file_id, page_number,
@@ -350,6 +353,8 @@ query(
     ),
 )(lambda a: _chain(a).select("job_id", "id", "previous_hash", "current_hash"))
 SQL["append_chain_hashes"] = SQL["append_chain_hashes"].replace("with ", "with recursive ", 1)
+SQL["append_chain"] = SQL["append_chain_hashes"].replace("select job_id, id, previous_hash, current_hash from links",
+    "select id, job_id, action as action_type, details as payload, previous_hash, current_hash, created_at from links join audit_logs using (job_id, id)")
 query("verify_broken_chain", "select job_id, count(*) as total, not bool_or(ends_with(id, '00')) as chain_valid from audit_logs group by 1", "audit_logs")(
     lambda a: audit.verify_chain(_chain(a).withColumn("payload", F.when(F.col("id").endswith("00"), F.lit("{}")).otherwise(F.col("payload")))))
 query(
