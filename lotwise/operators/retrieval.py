@@ -65,9 +65,11 @@ def _cells(queries: DataFrame, chunks: DataFrame, slice_rows: int, block_rows: i
     return q.unionByName(c)
 
 
-def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5, slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5, slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS, decimals: int = 6) -> DataFrame:
     """The k best chunks (job_id, query_id, chunk_id, position, score, rank, total_searched) of each query's own job, exactly.
 
+    Scores are rounded to so many decimals before they are ranked; of equal ones the first position counts.
+
     A cell's queries come first and are held, at most about block_rows of them; its chunks pass by in batches, each of
     which yields its own k best per query. A window keeps the k best of those. total_searched is how many a query got.
     """
@@ -86,14 +88,14 @@ def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5, slice_rows: i
                     units = _unit(vectors)
                 near, step = _unit(list(g.embedding)).T, max(1, SCORES // len(g))
                 for at in range(0, len(ids), step):
-                    scores = np.round(units[at : at + step] @ near, 6)
+                    scores = np.round(units[at : at + step] @ near, decimals)
                     row, column = np.nonzero(_best(scores, k))
                     yield pd.DataFrame({"job_id": cell[0], "query_id": np.array(ids, object)[at + row], "chunk_id": g.id.to_numpy()[column],
                         "position": g.position.to_numpy()[column], "score": scores[row, column]})
 
     cell = ["job_id", "slice", "block"]
     dealt = _cells(queries, chunks, slice_rows, block_rows).repartition(*cell).sortWithinPartitions(*cell, "side", "position")
-    scored = dealt.mapInPandas(run, "job_id string, query_id string, chunk_id string, position long, score double").withColumn("score", F.round("score", 6))
+    scored = dealt.mapInPandas(run, "job_id string, query_id string, chunk_id string, position long, score double").withColumn("score", F.round("score", decimals))
     by_query = Window.partitionBy("job_id", "query_id")
     best = scored.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "position"))).where(F.col("rank") <= k)
     return best.withColumn("total_searched", F.count("*").over(by_query))
@@ -183,20 +185,20 @@ def blank_queries(queries: DataFrame) -> DataFrame:
     return queries.where(blank).select("job_id", "query_id", F.lit("EMPTY_QUERY").alias("error"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
-    """topk_cosine's rows of a least score with the chunk's file, and its text and page where chunks have them.
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.3, decimals: int = 6) -> DataFrame:
+    """topk_cosine's rows of a least score (as rounded) with the chunk's file, and its text and page where chunks have them.
 
     Queries whose text is blank get none (see blank_queries).
     """
     asked = queries if "text" not in queries.columns else queries.where(F.coalesce(strip(F.col("text")), F.lit("")) != "")
     shown = [c for c in ("file_id", "text", "page") if c in chunks.columns]
-    return topk_cosine(asked, chunks, k).where(F.col("score") >= least).join(chunks.select("job_id", "chunk_id", *shown), ["job_id", "chunk_id"])
+    return topk_cosine(asked, chunks, k, decimals=decimals).where(F.col("score") >= least).join(chunks.select("job_id", "chunk_id", *shown), ["job_id", "chunk_id"])
 
 
-def bidder_context(queries: DataFrame, chunks: DataFrame, files: DataFrame, k: int = 15, least: float = 0.15) -> DataFrame:
+def bidder_context(queries: DataFrame, chunks: DataFrame, files: DataFrame, k: int = 15, least: float = 0.15, decimals: int = 6) -> DataFrame:
     """Chunks per query and bidder file, in order of place: its share of the job's best by rank, or all its chunks by position where it has none."""
     rows = ["job_id", "query_id", "file_id"]
-    hits = retrieve(queries, chunks, k, least).select(*rows, "chunk_id", F.col("rank").cast("long").alias("place"))
+    hits = retrieve(queries, chunks, k, least, decimals).select(*rows, "chunk_id", F.col("rank").cast("long").alias("place"))
     wanted = queries.select("job_id", "query_id").join(files.select("job_id", "file_id"), "job_id")
     every = wanted.join(hits.select(*rows).distinct(), rows, "left_anti").join(chunks.select("job_id", "file_id", "chunk_id", F.col("position").alias("place")), ["job_id", "file_id"])
     return hits.join(wanted, rows, "left_semi").unionByName(every.select(*rows, "chunk_id", "place"))

@@ -67,14 +67,14 @@ PAIRS = ("pairs",
       from questions q join chunks c on c.job_id = q.job_id""")
 query("topk_cosine", """select job_id, query_id, max(score) as best, count(*) as returned from (select * from pairs qualify row_number() over (partition by job_id, query_id
       order by score desc) <= 5) group by 1, 2""", "questions", "chunks", extra=(PAIRS,))(
-    lambda q, c: retrieval.topk_cosine(q, c).groupBy("job_id", "query_id").agg(F.max(F.round("score", 4)).alias("best"), F.count("*").alias("returned")))
+    lambda q, c: retrieval.topk_cosine(q, c, decimals=4).groupBy("job_id", "query_id").agg(F.max("score").alias("best"), F.count("*").alias("returned")))
 query("retrieve", """select job_id, query_id, count(*) as hits from (select * from pairs qualify row_number() over (partition by job_id, query_id
-      order by score desc) <= 5) where score >= 0.3 group by 1, 2""", "questions", "chunks", extra=(PAIRS,))(lambda q, c: retrieval.retrieve(q, c).groupBy("job_id",
+      order by score desc) <= 5) where score >= 0.3 group by 1, 2""", "questions", "chunks", extra=(PAIRS,))(lambda q, c: retrieval.retrieve(q, c, decimals=4).groupBy("job_id",
           "query_id").agg(F.count("*").alias("hits")))
 query("bidder_context", """select job_id, query_id, file_id, count(*) as n from (select job_id, query_id, file_id, chunk_id, s, bool_or(s) over (partition by job_id, query_id, file_id) as has_some
       from (select *, row_number() over (partition by job_id, query_id order by score desc, position) <= 15 and score >= 0.15 as s
       from pairs)) where s or not has_some group by 1, 2, 3""", "questions", "chunks", extra=(PAIRS,))(
-    lambda q, c: retrieval.bidder_context(q, c, c.select("job_id", "file_id").distinct()).groupBy("job_id", "query_id", "file_id").agg(F.count("*").alias("n")))
+    lambda q, c: retrieval.bidder_context(q, c, c.select("job_id", "file_id").distinct(), decimals=4).groupBy("job_id", "query_id", "file_id").agg(F.count("*").alias("n")))
 query("l2_normalize", "select chunk_id, round(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 4) as length, 1.0 as unit from chunks", "chunks")(
     lambda c: c.select("chunk_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 4).alias("length"),
         F.round(F.aggregate(retrieval.l2_normalize(F.col("embedding")), F.lit(0.0), lambda a, x: a + x * x), 4).alias("unit")))
