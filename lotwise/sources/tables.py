@@ -8,9 +8,9 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.operators.compare import compare_bidders, job_summary, rank_bidders
+from lotwise.operators.compare import compare_bidders, job_summary, latest_results, rank_bidders
 from lotwise.operators.insight import BIDDER, INSIGHT, quality_flags
-from lotwise.operators.scratch import running
+from lotwise.operators.scratch import Scratch, running
 
 # Accepted kinds and size of uploads.
 ACCEPTED = ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "image/png", "image/jpeg", "image/tiff")
@@ -116,11 +116,13 @@ def pieces(rows: DataFrame, entry: list[str], order: list[str], size: Column, na
     """JSON documents (job_id, piece, document) with a list `name` of a job's entries in order, in pieces numbered from 0.
 
     An entry is the columns of that name, of which the first ones decide the order within a piece; size is its bytes. A
-    piece has at most most_bytes and one entry, so no job's list is ever one value.
+    piece has at most most_bytes and one entry, so no job's list is ever one value. Rows are written to the shared folder,
+    as their running sums read them several times.
     """
+    rows = Scratch(rows.sparkSession, name).save(rows.select("job_id", *dict.fromkeys([*entry, *order]), size.alias("_size")), "entries")
     # An entry counts as one piece at most, so that no number is left out.
-    counted = F.least(size, F.lit(most_bytes)).cast("long")
-    placed = running(rows.select("job_id", *dict.fromkeys([*entry, *order])), "job_id", order, counted, "_before").withColumn("piece", F.floor(F.col("_before") / most_bytes))
+    counted = F.least("_size", F.lit(most_bytes)).cast("long")
+    placed = running(rows, "job_id", order, counted, "_before").withColumn("piece", F.floor(F.col("_before") / most_bytes))
     return placed.groupBy("job_id", "piece").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(*entry))).alias(name))).alias("document"))
 
 
@@ -128,8 +130,9 @@ def dashboard_pieces(jobs: DataFrame, results: DataFrame, criteria: DataFrame, f
     """The dashboard as documents of bounded size: (job_id, part, piece, document).
 
     Part `summary` is one document a job with its counts and flags; the lists of parts `bidders` and `criteria` come in
-    pieces, which join in order to the lists that dashboard() has in one value.
+    pieces, which join in order to the lists that dashboard() has in one value. Newest results are found once and written.
     """
+    results = Scratch(results.sparkSession, "dashboard").save(latest_results(results), "latest")
     ranked = rank_bidders(compare_bidders(results, criteria, files)).withColumn("position", F.coalesce("rank", F.lit(1 << 30)))
     bytes_of = lambda *columns: sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(4)) + len(c) + 6 for c in columns), F.lit(2))
     lists = []

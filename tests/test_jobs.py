@@ -218,3 +218,19 @@ def test_kinds_of_documents(spark, names, want):
     pages = spark.createDataFrame([("f0", 1, "x" * 60), ("f1", 1, "x" * 60)], "file_id string, page_number int, text string")
     got = {r.file_id: (r.document_kind, r.error) for r in documents.document_kinds(files, pages).collect()}
     assert [got[f"f{k}"] for k in range(len(names))] == want and got["f9"] == (None, "PDF_EMPTY") and got["f8"] == (None, "UNSUPPORTED_FILE_TYPE")
+
+
+def test_pieces_of_dashboards_find_newest_results_once(spark, tmp_path):
+    """Results pass once to the dashboard's newest rows, and once to the insights, however often the rows of pieces are read."""
+    j, r, c, f, x, a = (adapters.frame(spark, SF, n) for n in ("jobs", "results", "criteria", "files", "extractions", "audit_logs"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        read.add(1)
+        return v
+
+    seen = r.withColumn("verdict", counted.asNondeterministic()("verdict"))
+    made = tables.dashboard_pieces(j, seen, c, f, insight.criterion_insights(seen, c, f, x, a))
+    made.write.parquet(str(tmp_path / "out"))
+    assert read.value == 2 * r.count()
