@@ -334,7 +334,7 @@ def _ranks_from_layout(r, c, f):
     """Results laid out by job and bidder first, then ranked as they lie."""
     spark, scratch = r.sparkSession, Scratch(r.sparkSession, "layout")
     name = scratch.root.rsplit("/", 1)[1].replace("-", "_")
-    tables.write_laid_out(r, name, f"{scratch.root}/results", buckets=8)
+    tables.write_laid_out(r, name, f"{scratch.root}/results")
     return compare.rank_bidders(compare.compare_bidders(tables.read_laid_out(spark, name), c, f))
 
 

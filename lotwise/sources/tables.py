@@ -18,6 +18,9 @@ MOST_BYTES = 100 * 1024 * 1024
 #: Columns of an entry of an audit report, and bytes of entries in a piece of it.
 ENTRY, PIECE_BYTES = ("created_at", "id", "action_type", "payload", "current_hash"), 4 << 20
 
+#: Rows of a bucket of a laid-out table, about, and buckets at least.
+BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 8
+
 
 def read_upload_files(spark: SparkSession, path: str) -> DataFrame:
     """Files under a path with size and SHA-256 of their bytes; contents don't leave the scan.
@@ -78,11 +81,13 @@ def replace_rows(spark: SparkSession, fresh: DataFrame, path: str, name: str, ke
     _dealt(again, files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
-def write_laid_out(df: DataFrame, name: str, path: str, keys: tuple[str, ...] = ("job_id", "bidder_file_id"), buckets: int = 64) -> None:
+def write_laid_out(df: DataFrame, name: str, path: str, keys: tuple[str, ...] = ("job_id", "bidder_file_id"), buckets: int | None = None) -> None:
     """Write a catalogued table at a path of the shared folder, bucketed by keys; what groups or joins by those then needs no exchange.
 
-    One task and file a bucket: choose buckets so that each is of a size for one task. A table of that name is replaced.
+    One task and file a bucket. Where no number of buckets is given, the rows are counted, and a bucket has about BUCKET_ROWS
+    of them, so that a task's share doesn't grow with the table. A table of that name is replaced.
     """
+    buckets = buckets or max(LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
     dealt = df.repartition(buckets, *keys)
     dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
 

@@ -234,3 +234,13 @@ def test_pieces_of_dashboards_find_newest_results_once(spark, tmp_path):
     made = tables.dashboard_pieces(j, seen, c, f, insight.criterion_insights(seen, c, f, x, a))
     made.write.parquet(str(tmp_path / "out"))
     assert read.value == 2 * r.count()
+
+
+def test_buckets_of_laid_out_results_grow_with_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 100)
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("job_id"), F.lit("b").alias("bidder_file_id"), "id")
+    for n, want in ((300, 8), (2000, 20)):
+        tables.write_laid_out(rows.limit(n), f"laid_{n}", str(tmp_path / str(n)))
+        spec = spark.sql(f"describe extended laid_{n}").where("col_name = 'Num Buckets'").first()
+        assert int(spec.data_type) == want and tables.read_laid_out(spark, f"laid_{n}").count() == n
+        spark.sql(f"drop table laid_{n}")
