@@ -236,6 +236,22 @@ def test_pieces_of_dashboards_find_newest_results_once(spark, tmp_path):
     assert read.value == 2 * r.count()
 
 
+def test_words_of_pages_travel_together(spark):
+    """Words in any order and of any characters, pages in several stretches, nulls; pages, not words, are shuffled."""
+    rng = random.Random(4)
+    pages = [(f, p, k, rng.choice(["a", "b c", "\x01", "x\x02y", "é|", " ", None]), rng.choice([-1, 40, 71, None])) for f in ("f", "g", None) for p in (1, None, 3) for k in range(40)]
+    rows = rng.sample(pages, len(pages)) + [("h", 1, k, f"w{k}", 50) for k in range(3000)]
+    schema = "file_id string, page_number int, position int, text string, conf int"
+    made = documents.ocr_page_text(spark.createDataFrame(rows, schema).coalesce(1))
+    got = {(r.file_id, r.page_number): (r.text, round(r.confidence, 9)) for r in made.collect()}
+    good = {}
+    for f, p, k, t, c in sorted((r for r in rows if r[4] not in (-1, None) and (r[3] or "").strip()), key=lambda r: r[2]):
+        good.setdefault((f, p), []).append((t, c))
+    assert got == {key: (" ".join(t for t, _ in ws), round(sum(c for _, c in ws) / len(ws) / 100, 9)) for key, ws in good.items()}
+    plain = spark.createDataFrame(rows[360:], schema).coalesce(1).where("conf <> -1").select("file_id", "page_number", "position", "text", "conf")
+    assert plain.mapInArrow(documents._stretches, "file_id string, page_number int, at array<int>, words string, part string, sum double, n long").count() == 1
+
+
 def test_buckets_of_laid_out_results_grow_with_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "BUCKET_ROWS", 100)
     rows = spark.range(2000).select(F.col("id").cast("string").alias("job_id"), F.lit("b").alias("bidder_file_id"), "id")
