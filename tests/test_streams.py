@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from lotwise.operators import audit
@@ -67,3 +68,49 @@ def test_days_come_once(spark, tmp_path, mode, want):
     assert sorted(got) == sorted(want.items()) and len(written) >= 4
     jobs.run_to_table(counts, path, str(tmp_path / "state"), mode)
     assert sorted((r.day, r.n) for r in rows.collect()) == sorted(got)
+
+
+class Held:
+    """A state kept in memory that counts its calls."""
+
+    def __init__(self):
+        self.all, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: () in self.all, "get": lambda: self.all[()], "update": lambda v: self.all.__setitem__((), v),
+            "containsKey": self.all.__contains__, "getValue": self.all.__getitem__, "updateValue": self.all.__setitem__, "removeKey": self.all.__delitem__,
+        }[name]
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, *schemas):
+        return self.states.setdefault(name, Held())
+
+    getMapState = getValueState
+
+
+def test_state_is_called_for_blocks_not_for_rows(monkeypatch):
+    """A batch of many pieces, more than are merged at once, takes few calls of the state, and its rows come in order; blocks are left by none."""
+    monkeypatch.setattr(jobs, "FAN_IN", 4, raising=False)
+    rows, handle, made = random.Random(5).sample(actions(6000), 6000), Handle(), jobs.ChainProcessor()
+    frame = pd.DataFrame(rows, columns=["id", "job_id", "action_type", "payload", "created_at"])
+    made.init(handle)
+    out = pd.concat(made.handleInputRows(("j",), (frame[k : k + 500] for k in range(0, 6000, 500)), None))
+    want = frame.sort_values(["created_at", "id"])
+    assert list(out.id) == list(want.id) and list(out.created_at) == list(want.created_at) and list(out.previous_hash)[1:] == list(out.current_hash)[:-1]
+    assert sum(s.calls for s in handle.states.values()) < 200 and not handle.states["runs"].all
+
+
+def test_new_ids_are_the_first_rows_of_their_ids():
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    batch = lambda *rows: iter([pd.DataFrame([(i, "x", p, at(m) if m is not None else pd.NaT) for i, p, m in part], columns=list(jobs.ACTION)) for part in rows])
+    made = jobs.NewIds()
+    made.init(Handle())
+    ids = lambda *rows: [(r.job_id, r.id, r.payload) for f in made.handleInputRows(("j", 0), batch(*rows), None) for r in f.itertuples()]
+    assert ids([("a", "late", 5), ("b", "b", 1)], [("a", "early", 2), ("c", "none", None), ("c", "c", 9)]) == [("j", "a", "early"), ("j", "b", "b"), ("j", "c", "c")]
+    assert ids([("a", "again", 0), ("d", "d", 3)]) == [("j", "d", "d")] and ids([("d", "d", 3)]) == []
