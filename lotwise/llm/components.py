@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import Scratch
 
-#: A key of more rows than this is frequent; so is one of more than a MOST_FREQUENT-th of twice the rows at least.
-FREQUENT, MOST_FREQUENT = 1_000, 500_000
+#: A table of at most so many rows has no key so frequent that its rows must not meet in one task.
+FREQUENT = 1_000
 
 
-def with_totals(rows: DataFrame, key: str, n_rows: int, **totals: Column) -> DataFrame:
-    """rows with aggregates of their key's group; no key's rows are gathered in one task.
+def with_totals(rows: DataFrame, key: str, n_rows: int, where: str | None = None, into: tuple[Scratch, str] | None = None, **totals: Column) -> DataFrame:
+    """rows with aggregates of their key's group, of groups for which `where` holds; a frequent key's rows are not gathered in one task.
 
-    Frequent keys number at most MOST_FREQUENT (so do rows over their least size), which bounds what is broadcast; their
-    rows stay where they are. The others' rows meet their totals by a shuffle.
+    The totals are written (into a named table, or else a folder of their own), so that rows and totals meet in a plain join
+    of two shuffles, whose large partitions Spark splits. Nothing is broadcast but what Spark itself finds small.
     """
-    least = max(FREQUENT, n_rows // MOST_FREQUENT)
-    found = rows.groupBy(key).agg(F.count("*").alias("_rows"), *(c.alias(name) for name, c in totals.items()))
-    frequent = found.where(F.col("_rows") > least).drop("_rows")
-    often = rows.join(F.broadcast(frequent), key)
-    seldom = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(found.where(F.col("_rows") <= least).drop("_rows"), key)
-    return often.unionByName(seldom)
+    found = rows.groupBy(key).agg(*(c.alias(name) for name, c in totals.items()))
+    found = found if where is None else found.where(where)
+    if n_rows > FREQUENT:
+        scratch, name = into or (Scratch(rows.sparkSession, "totals"), "totals")
+        found = scratch.save(found, name)
+    return rows.join(found, key)
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str, most_rounds: int = 50) -> DataFrame:
@@ -35,14 +35,13 @@ def components(edges: DataFrame, scratch: Scratch, label: str, most_rounds: int
     mark = _mark(now)
     for k in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = with_totals(both, "a", 2 * mark[0], m=F.min("b")).select("a", "b", F.least("a", "m").alias("m"))
+        least = with_totals(both, "a", 2 * mark[0], into=(scratch, f"{label}-least-{k}"), m=F.min("b")).select("a", "b", F.least("a", "m").alias("m"))
         large = scratch.save(least.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{label}-large-{k}")
-        down = with_totals(large, "a", mark[0], m=F.min("b"))
+        down = with_totals(large, "a", mark[0], into=(scratch, f"{label}-down-{k}"), m=F.min("b"))
         small = down.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         after = scratch.save(small, f"{label}-{k}")
         seen = _mark(after)
-        scratch.drop(f"{label}-{k - 1}")
-        scratch.drop(f"{label}-large-{k}")
+        scratch.drop(f"{label}-{k - 1}", *(f"{label}-{name}-{k}" for name in ("large", "least", "down")))
         now = after
         if seen == mark:
             break

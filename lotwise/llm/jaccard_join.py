@@ -6,7 +6,8 @@ takes the sets that share that value, and each value is sampled with chance 1 /
 the threshold are expected to meet in one child. Nodes of at most `SMALL` sets are compared by brute force (on the
 embedding, with slack); larger ones are split again, except where splitting is of no use: a large node half of whose
 sets share one more value, drawn by its path, is a crowd of near copies and is passed on whole, as are those still large
-after `DEPTH` splits, so no link is lost to a cap. Runs are repeated until the chance of meeting, 1 - (1 - f) ** runs with f the chance of a pair at
+after `DEPTH` splits, so no link is lost to a cap. Where the large nodes have at most `FREQUENT` rows in all, they are
+compared as well. Runs are repeated until the chance of meeting, 1 - (1 - f) ** runs with f the chance of a pair at
 the threshold to meet at full depth, reaches `RECALL`.
 
 What met is gathered into groups (components), and within each group every pair is compared exactly, once, on whole sets:
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import Scratch, mix, read_table, shingle_hashes, word_hashes
-from lotwise.llm.components import FREQUENT, MOST_FREQUENT, components, with_totals
+from lotwise.llm.components import FREQUENT, components, with_totals
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
 SIZE, SMALL, DEPTH = 128, 64, 4
@@ -192,11 +193,11 @@ def candidate_edges(sets: DataFrame, scratch: Scratch, threshold: float = THRESH
     nodes, compared, edges = first_nodes(sets, runs_for(recall, depth), threshold), [], []
     for level in range(1, depth + 1):
         nodes = scratch.save(nodes, f"split-{level}")
-        shared = scratch.save(with_totals(nodes, "path", nodes.count(), size=F.count("*")).where("size > 1"), f"nodes-{level}")
-        compared.append(shared.where(F.col("size") <= small).select("path", "rep"))
+        shared = scratch.save(with_totals(nodes, "path", nodes.count(), "size > 1", (scratch, f"sizes-{level}"), size=F.count("*")), f"nodes-{level}")
         large = shared.where(F.col("size") > small)
-        n_rows = large.count()
-        if not n_rows:
+        few = large.count() <= FREQUENT
+        compared.append((shared if few else shared.where(F.col("size") <= small)).select("path", "rep"))
+        if few:
             break
         if level == depth:
             crowds = large.groupBy("path").agg(F.max("size").alias("size"), F.min("rep").alias("b"))
@@ -205,9 +206,9 @@ def candidate_edges(sets: DataFrame, scratch: Scratch, threshold: float = THRESH
             values = large.join(sets.select("rep", "minhashes"), "rep").groupBy("path", "size", probe.alias("_value")).agg(F.count("*").alias("n"), F.min("rep").alias("b"))
             crowds = values.groupBy("path", "size").agg(F.max("n").alias("most"), F.min("b").alias("b")).where("2 * most >= size").select("path", "size", "b")
         crowds = scratch.save(crowds, f"crowds-{level}")
-        edges.append(_in_crowds(large, crowds, n_rows, "inner").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+        edges.append(large.select("path", "rep").join(crowds.select("path", "b"), "path").where("rep <> b").select(F.col("rep").alias("a"), "b"))
         if level < depth:
-            rest = _in_crowds(large, crowds, n_rows, "left_anti")
+            rest = large.select("path", "rep").join(crowds, "path", "left_anti")
             nodes = split(rest.join(sets.select("rep", "minhashes"), "rep"), threshold)
     every = compared[0]
     for more in compared[1:]:
@@ -219,14 +220,6 @@ def candidate_edges(sets: DataFrame, scratch: Scratch, threshold: float = THRESH
     return out.distinct()
 
 
-def _in_crowds(large: DataFrame, crowds: DataFrame, n_rows: int, how: str) -> DataFrame:
-    """Rows of large nodes joined with crowds (path, size, b), the largest crowds by broadcast: at most MOST_FREQUENT of them."""
-    least = max(FREQUENT, n_rows // MOST_FREQUENT)
-    often, seldom = F.col("size") > least, F.col("size") <= least
-    some = large.where(often).join(F.broadcast(crowds.where(often).drop("size")), "path", how)
-    return some.unionByName(large.where(seldom).join(crowds.where(seldom).drop("size"), "path", how))
-
-
 def cell_links(sets: list[np.ndarray], blocks: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked sets: those of one block with each other, or, across, those of two sides.
 
@@ -269,7 +262,7 @@ def places_of(groups: DataFrame, scratch: Scratch, threshold: float, block_shing
     one, as linked sets are at most one class apart.
     """
     weight = F.greatest("n", F.lit(max(1, block_shingles // block_sets)))
-    whole = scratch.save(with_totals(groups, "root", groups.count(), _weight=F.sum(weight)), "group-weights")
+    whole = scratch.save(with_totals(groups, "root", groups.count(), into=(scratch, "weights"), _weight=F.sum(weight)), "group-weights")
     fits = F.col("_weight") <= block_shingles
     counts = {"class": 0, "block": 0, "below": 0, "own": 1, "above": 0}
     small = whole.where(fits).select("rep", "row_key", "root", *(F.lit(v).alias(k) for k, v in counts.items()))
@@ -277,11 +270,11 @@ def places_of(groups: DataFrame, scratch: Scratch, threshold: float, block_shing
     n_large = large.count()
     if not n_large:
         return small
-    own = with_totals(large.withColumn("_of", F.struct("root", "class")), "_of", n_large, own=F.ceil(F.sum("_weight") / block_shingles).cast("int"))
+    own = with_totals(large.withColumn("_of", F.struct("root", "class")), "_of", n_large, into=(scratch, "own-blocks"), own=F.ceil(F.sum("_weight") / block_shingles).cast("int"))
     own = scratch.save(own.drop("_of", "_weight").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int")), "blocks")
     near = own.select("rep", "own", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), "root", "class")
     near = near.withColumn("_of", F.struct("root", (F.col("class") + F.col("step")).alias("class")))
-    near = with_totals(near, "_of", 3 * n_large, blocks=F.max(F.when(F.col("step") == 0, F.col("own"))))
+    near = with_totals(near, "_of", 3 * n_large, into=(scratch, "near-blocks"), blocks=F.max(F.when(F.col("step") == 0, F.col("own"))))
     sides = near.groupBy("rep").agg(*(F.coalesce(F.max(F.when(F.col("step") == k, F.col("blocks"))), F.lit(0)).alias(name) for k, name in ((-1, "below"), (1, "above"))))
     return small.unionByName(own.join(sides, "rep").select(small.columns))
 
@@ -370,7 +363,7 @@ def judged(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "
     edges = candidate_edges(sets.select("rep", "minhashes"), scratch, threshold, recall)
     met = components(edges, scratch, "met").select(F.col("node").alias("rep"), "root")
     groups = scratch.save(met.join(sets.select("rep", "n", "row_key"), "rep"), "groups")
-    scratch.drop(*(f"{name}-{level}" for name in ("split", "nodes", "crowds") for level in range(1, DEPTH + 1)))
+    scratch.drop(*(f"{name}-{level}" for name in ("split", "sizes", "nodes", "crowds") for level in range(1, DEPTH + 1)))
     # Repeats are merged before the shuffle; the join then keeps its partitioning.
     texts = docs.select(row_key(key, text).alias("row_key"), F.col(text).alias("text")).dropDuplicates(["row_key"])
     links = scratch.save(verify(texts, groups, scratch, words, threshold), "links")
@@ -378,7 +371,7 @@ def judged(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "
     found = links.groupBy("rep").agg(F.sum("links").alias("n_links")).join(roots, "rep", "left")
     placed = sets.select("rep", "copy_of").join(found, "rep", "left").select("rep", "copy_of", F.coalesce("root", "rep").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     placed = scratch.save(placed, "placed")
-    classes = scratch.save(with_totals(placed, "class", placed.count(), class_id=F.min("copy_of")), "classes")
+    classes = scratch.save(with_totals(placed, "class", placed.count(), into=(scratch, "class-ids"), class_id=F.min("copy_of")), "classes")
     return members.join(classes, "rep").drop("rep"), sketched.where("n = 0").select("doc_id")
 
 

@@ -251,7 +251,7 @@ def near_fingerprints(prints: DataFrame, scratch: Scratch, radius: int = RADIUS,
     n = prints.count()
     tables = Tables(n, radius)
     rows = _buckets(prints, tables)
-    shared = with_totals(rows, "bucket", n * len(tables.masks), _n=F.count(F.lit(1))).where("_n > 1")
+    shared = with_totals(rows, "bucket", n * len(tables.masks), "_n > 1", (scratch, "buckets"), _n=F.count(F.lit(1)))
     # A fingerprint's own block meets every block; two of a kind form a cell, and one with itself.
     own = shared.withColumn("_blocks", F.ceil(F.col("_n") / cell).cast("int")).withColumn("_own", F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.col("_blocks")).cast("int"))
     met = own.select("bucket", "table", "fingerprint", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_met"))

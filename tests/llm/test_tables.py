@@ -116,6 +116,32 @@ def test_keys_that_repeat_or_are_null(spark):
     assert jaccard_join.stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_totals_meet_rows_in_one_join(spark, monkeypatch):
+    """Frequent keys are no case of their own: one plain join of rows and written totals, without an anti join or a broadcast of keys."""
+    monkeypatch.setattr("lotwise.llm.components.FREQUENT", 10)
+    rows = spark.createDataFrame([(k % 3 if k % 5 else 100 + k, k) for k in range(3000)] + [(None, 1)], "g long, v long")
+    kept = with_totals(rows, "g", 3001, "n > 1", n=F.count("*"), most=F.max("v"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "LeftAnti" not in plan and "Aggregate" not in plan and "Union" not in plan and "broadcast" not in plan
+    got = sorted(tuple(r) for r in kept.collect())
+    own = {g: [k for k in range(3000) if k % 5 and k % 3 == g] for g in range(3)}
+    assert got == [(g, v, len(own[g]), max(own[g])) for g in range(3) for v in own[g]]
+
+
+def test_few_large_nodes_are_compared(spark, monkeypatch):
+    """Near copies and strangers in one large node: where large nodes have few rows, only those that are alike are linked, after one split."""
+    monkeypatch.setattr("lotwise.llm.jaccard_join.FREQUENT", 10_000)
+    rng = random.Random(9)
+    common = " ".join(words(rng, 90))
+    texts = [f"{common} {' '.join(words(rng, 3))}" for _ in range(90)] + [" ".join(words(rng, 100)) for _ in range(20)]
+    rows = spark.createDataFrame([(k, jaccard_join.embed(jaccard_join.shingles(t)).tobytes()) for k, t in enumerate(texts)], "rep long, minhashes binary")
+    scratch = Scratch(spark, "test")
+    edges = jaccard_join.candidate_edges(rows, scratch)
+    assert {r.node: r.root for r in components(edges, scratch, "c").collect()} == {k: 0 for k in range(90)}
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch.root}/nodes-2")
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_frequent_keys_are_not_gathered(spark, monkeypatch):
     """Totals, components and nodes are the same whichever keys count as frequent."""
     rng = random.Random(6)
@@ -214,6 +240,7 @@ def test_leaks_equal_brute_force(monkeypatch, frequent, pairs):
 
 
 def test_a_phrase_that_all_items_share_costs_little():
+    monkeypatch.setattr("lotwise.llm.jaccard_join.FREQUENT", 10_000)
     rng = random.Random(9)
     phrase = "this very long phrase here is in all items".split()
     items = [(k, " ".join([*words(rng, 12), *phrase, *words(rng, 12)])) for k in range(20_000)]
