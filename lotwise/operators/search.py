@@ -1,4 +1,4 @@
-"""Many patterns in many texts of the same file: one pass of an automaton over each text, however many patterns there are."""
+"""Many patterns in many texts of the same file: one pass of an automaton over each text, however many patterns there are, few ones by plain search."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from lotwise.operators.scratch import Scratch
 
 #: Texts of a file that one task searches, and patterns that it searches for, about.
 SLICE_TEXTS, BLOCK_PATTERNS = 20_000, 20_000
+#: Patterns up to which each is looked for by itself: an automaton of long patterns takes more to make than a few short searches.
+FEW_PATTERNS = 64
 #: Files that are cut into slices or blocks, at most; beyond, only larger ones are cut.
 MOST_CUT = 500_000
 PLACE = "file_id string, pattern_id string, hits long, at long, page long"
@@ -36,7 +38,8 @@ def flat(text: str) -> str:
 class FirstPlaces:
     """The first text, in the order in which texts come, that holds each pattern.
 
-    A pattern's id may start with "~": then it is looked for in flattened texts, and is flattened itself.
+    A pattern's id may start with "~": then it is looked for in flattened texts, and is flattened itself. At most FEW_PATTERNS
+    are looked for one by one, those that aren't found yet; more by an automaton.
     """
 
     def __init__(self, patterns: list[tuple[str, list[str]]]):
@@ -45,12 +48,13 @@ class FirstPlaces:
         for ident, (pattern,) in patterns:
             loose = ident.startswith("~")
             self.wanted[loose].setdefault(flat(pattern) if loose else pattern, []).append(ident)
-        self.automata = [_automaton(w) if w else None for w in self.wanted]
+        self.automata = [_automaton(w) if len(w) > FEW_PATTERNS else None for w in self.wanted]
 
     def feed(self, at: int, page: int, text: str) -> None:
         for wanted, automaton, told in zip(self.wanted, self.automata, (str, flat)):
             if wanted:
-                for p in {p for _, p in automaton.iter(told(text))}:
+                said = told(text)
+                for p in {p for _, p in automaton.iter(said)} if automaton else [p for p in wanted if p in said]:
                     self.rows += [(ident, 1, at, page) for ident in wanted.pop(p, ())]
 
     def found(self) -> list[tuple[str, int, int, int]]:
@@ -82,6 +86,15 @@ class MostWords:
         return [(ident, *b) for ident, b in self.best.items()]
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values by way of NumPy, several times quicker than to_pylist(); nulls of whole numbers become 0, null lists empty."""
+    if pa.types.is_list(column.type):
+        at, inside = column.offsets.to_numpy().tolist(), _values(column.values)
+        return [inside[i:j] for i, j in zip(at, at[1:])]
+    column = column.fill_null(0) if pa.types.is_integer(column.type) else column
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _parts(rows: DataFrame, most: int, name: str) -> DataFrame | None:
     """(file_id, name) of the files of more than so many rows: into how many parts they are cut; None where there can't be any."""
     n = rows.count()
@@ -128,7 +141,7 @@ def search(patterns: DataFrame, texts: DataFrame, finder: type, slice_texts: int
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows)), *(pa.array(c) for c in zip(*rows))], names=["file_id", "pattern_id", "hits", "at", "page"])
 
         for b in batches:
-            for *own_key, side, at, page, ident, words, text in zip(*(c.to_pylist() for c in b.columns)):
+            for *own_key, side, at, page, ident, words, text in zip(*(_values(c) for c in b.columns)):
                 if own_key != key:
                     yield from ready()
                     key, held, made = own_key, [], None

@@ -59,7 +59,7 @@ query("normalize_chars", f"""select file_id, page_number, translate(text, '{text
       from pages""", "pages")(lambda p: p.select("file_id", "page_number", text.normalize_chars(F.col("text")).alias("plain")))
 query("split_sentences", None, "pages")(lambda p: p.select("file_id", "page_number", F.size(text.split_sentences(F.col("text"))).alias("sentences")))
 query("chunk_documents", None, "pages")(lambda p: documents.chunk_documents(documents.assemble_documents(p)))
-query("estimate_page", None, "pages")(lambda p: documents.estimate_page(documents.chunk_documents(documents.assemble_documents(p)), p))
+query("estimate_page", None, "pages")(lambda p: documents.estimate_page(documents.chunk_texts(documents.assemble_documents(p)), p))
 
 PAIRS = ("pairs",
     """select q.job_id, query_id, chunk_id, c.file_id, position, round(list_dot_product(cast(q.embedding as double[]), cast(c.embedding as double[])) / (sqrt(list_dot_product(cast(q.embedding as double[]),

@@ -70,6 +70,15 @@ def test_chunks_of_documents(spark):
         check_chunks(texts[f], 500, 100, [tuple(x) for _, *x in rows])
 
 
+def test_texts_of_chunks(spark):
+    """The chunks without places are those with them, and no place is looked for."""
+    docs = registry.QUERIES["assemble_documents"](spark, SF)
+    for overlap in (0, 100):
+        made = documents.chunk_texts(docs, 500, overlap)
+        assert "char_start" not in made._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, documents.chunk_documents(docs, 500, overlap).select("file_id", "chunk_index", "text").collect()))
+
+
 def test_pages_of_chunks(spark):
     pages = {}
     for p in sorted(adapters.frame(spark, SF, "pages").collect(), key=lambda p: p.page_number):
